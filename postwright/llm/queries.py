@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets, urlfilter
+from . import ann, decontaminate, mixing, neardup, pii, quality, secrets, toxicity, urlfilter
 
 QUERIES = {
+    "op1_nearest_vectors": ann.op1_nearest_vectors,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
     "op4_personal_data": pii.op4_personal_data,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_url_rules": urlfilter.op6_url_rules,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_quality": quality.op8_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {"op6_url_rules": urlfilter.ORACLE_SQL}
