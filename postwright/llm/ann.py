@@ -13,7 +13,7 @@ from .common import cut, table
 
 #: Rows of the sample that the codebooks are fitted on, at most, whatever the size of the table.
 SAMPLE_ROWS = 20_000
-CENTROIDS, BLOCK_ROWS, BLOCK_QUERIES = 24, 4_000, 2_000
+BLOCK_ROWS, BLOCK_QUERIES = 4_000, 2_000
 
 
 def valid_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -102,10 +102,10 @@ def _first(dot: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "vec_id", vector: str = "embedding", centroids: int = CENTROIDS, share: float = 0.3, least: int = 2_000, power: float = 0.8, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "vec_id", vector: str = "embedding", centroids: int | None = None, share: float = 0.5, least: int = 2_000, power: float = 0.8, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its nearest rows of vectors by cosine, without itself.
 
-    Codebooks of `centroids` for each half of the vectors are fitted on a sample of at most sample_rows rows (those
+    Codebooks of `centroids` (None: sqrt(rows) / 4.7, from 8 to 256) for each half of the vectors are fitted on a sample of at most sample_rows rows (those
     with the smallest hashed ids); every row is indexed under its pair of centroids. A query visits pairs in order
     of summed distance until these hold `candidates` rows: share * rows up to 50,000 rows, beyond that growing as
     rows to the given power, and never fewer than `least`. All visited rows are ranked by exact cosine in double
@@ -125,10 +125,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     keyed = every.withColumn("h", F.xxhash64("vec_id"))
-    most = -(1 << 63) + int(min(1.0, 1.5 * sample_rows / n) * ((1 << 64) - 1))
+    most = -(1 << 63) + int(min(1.0, 1.5 * sample_rows / n) * ((1 << 64) - 1) * (1 - 1e-9))
     sample = keyed.filter(F.col("h") <= most).orderBy("h").limit(sample_rows).select("v").toPandas()
     if not len(sample):
         sample = every.limit(sample_rows).select("v").toPandas()
+    centroids = centroids or int(min(256, max(8, n**0.5 / 4.7)))
     books = fit_codebooks(np.stack(sample["v"].to_numpy()), centroids)
     k2 = len(books[1])
     dim = sum(b.shape[1] for b in books)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, mixing, neardup, pii, quality, secrets, toxicity, urlfilter
+from . import ann, decontaminate, linededup, mixing, neardup, pii, quality, secrets, toxicity, urlfilter
 
 QUERIES = {
     "op1_nearest_vectors": ann.op1_nearest_vectors,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_rules": urlfilter.op6_url_rules,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_quality": quality.op8_quality,
+    "op9_line_runs": linededup.op9_line_runs,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
