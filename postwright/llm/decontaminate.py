@@ -19,17 +19,18 @@ NAME = "⁣"  # an invisible separator put before names
 
 
 def tokens_of(text: Column) -> Column:
-    """Words and numbers; a capitalised word after a word and a blank, thus inside a sentence, starts with NAME."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", NAME)
-    return F.regexp_extract_all(named, F.lit(NAME + r"?[\p{L}\p{N}]++(?:[.,'’_-][\p{L}\p{N}]++)*+"), F.lit(0))
+    """Words and numbers in lower case; a capitalised word after a word and a blank, thus inside a sentence, starts
+    with NAME."""
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:]\s)", NAME)
+    return F.regexp_extract_all(F.lower(named), F.lit(NAME + r"?[\p{L}\p{N}]++(?:[.,'’_-][\p{L}\p{N}]++)*+"), F.lit(0))
 
 
 def template_of(tokens: str) -> Column:
-    """The tokens in lower case, with numbers, names and units behind a number replaced by <num>, <name>, <unit>."""
+    """The tokens with numbers, names and units behind a number replaced by <num>, <name>, <unit>."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    digit = lambda x: f"(substr({x}, 1, 1) between '0' and '9')"
-    return F.expr(f"""transform({tokens}, (x, i) -> CASE WHEN {digit('x')} THEN '<num>' WHEN startswith(x, '{NAME}') THEN '<name>'
-        WHEN i > 0 AND {digit(f'get({tokens}, i - 1)')} AND array_contains(array({units}), lower(x)) THEN '<unit>' ELSE lower(x) END)""")
+    digit = lambda x: f"ascii({x}) BETWEEN 48 AND 57"
+    return F.expr(f"""transform({tokens}, (x, i) -> CASE WHEN {digit('x')} THEN '<num>' WHEN ascii(x) = {ord(NAME)} THEN '<name>'
+        WHEN i > 0 AND {digit(f'get({tokens}, i - 1)')} AND array_contains(array({units}), x) THEN '<unit>' ELSE x END)""")
 
 
 def windows_of(template: str, width: int, least_literal: int = 0) -> Column:
@@ -70,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     df = df.select("k1", "k2", "doc_id", "item_id", "n", "bt", "bp", "dt", F.explode("shifts").alias("s")).select("*", "s.shift", "s.places").drop("s")
     # every placeholder of the windows found, with the item's and the document's value
     slots = F.expr(f"""array_distinct(transform(filter(array_distinct(flatten(transform(places, b -> sequence(b, b + {width - 1})))), j -> startswith(bp[j - 1], '<')),
-        j -> named_struct('b', concat(bp[j - 1], lower(bt[j - 1])), 'd', concat(bp[j - 1], lower(dt[j + shift - 1])))))""")
+        j -> named_struct('b', concat(bp[j - 1], bt[j - 1]), 'd', concat(bp[j - 1], dt[j + shift - 1]))))""")
     df = df.withColumn("slots", slots).withColumn("holds", F.expr("size(array_distinct(transform(slots, x -> x.b))) = size(slots)"))
     df = df.filter("holds").groupBy("k1", "k2", "doc_id", "item_id", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.max(F.exists("slots", lambda x: x.b != x.d)).alias("changed")
