@@ -123,10 +123,11 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     """(doc_id, node) of all rows, and (node, comp) of the nodes that are linked.
 
     Exact copies are one node. Nodes that share a band are candidates; the exact similarity of their shingle sets
-    (weighting="count": bags) decides. In each bucket, first every node is checked against the smallest one, and
-    what holds is joined to components. Then, in buckets whose nodes are of several components, all pairs across
-    components are checked too, those within the commonest one excepted: no link between components is lost, and
-    a bucket of many near copies never emits its pairs. At 0.8 a pair shares no band once in 20,000.
+    (weighting="count": bags) decides. In each bucket, first every node is checked against the most central one,
+    whose buckets are the largest, and what holds is joined to components. Then, in buckets whose nodes are of
+    several components, the pairs across components are checked too, but for those that can't reach the threshold
+    because too many of their shingles occur in no other text there. So no link between components is lost, and a
+    bucket of many near copies doesn't emit its pairs. At 0.8 a pair shares no band once in 20,000.
     """
     counted = weighting == "count"
     sketches = with_shingles(docs, shingle, not counted).mapInArrow(_band_batches(bands, rows, counted), "doc_id bigint, node string, bands array<bigint>")
@@ -134,8 +135,13 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     members = sketches.select("doc_id", "node")
     nodes = sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     places = nodes.select("node", F.explode("x.bands").alias("bucket"))
-    hubs = places.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = cut(places.join(hubs, "bucket").select("bucket", "node", "hub"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = cut(places.join(sizes, "bucket").select("bucket", "node", "n"))
+    # the middle of a group meets more of it than others do, so it is in larger buckets
+    weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x")).select("bucket", F.col("x.node").alias("hub"))
+    shared = cut(crowded.join(hubs, "bucket").select("bucket", "node", "hub"))
     wanted = shared.select("node").distinct()
     texts = with_shingles(docs, shingle, True if not counted else False).join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
     texts = cut(texts)
@@ -151,17 +157,24 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
         # 1e-9 keeps pairs at the very threshold
         return df.withColumn("both", both).filter(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)").select("a", "b")
 
-    first = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = cut(checked(first))
     comps = cut(connected_components(links))
     named = cut(shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
     groups = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
-    mixed_up = named.join(several, "bucket")
-    others = mixed_up.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    mixed_up = cut(named.join(several, "bucket"))
+    # shingles that no other text of these buckets has can't be shared: they bound the similarity of every pair
+    alive = texts.join(mixed_up.select("node").distinct(), "node", "left_semi")
+    own = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    alive = alive.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("both"))
+    alive = alive.filter(f"both >= ({threshold} - 1e-9) * size")
+    mixed_up = mixed_up.join(alive, "node")
+    others = mixed_up.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"))
+    bound = f"least(bx, both) >= ({threshold} - 1e-9) * (zx + size - least(bx, both))"
     rest = (
-        others.join(mixed_up.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main"), "bucket")
-        .filter("cx <> cy AND (cy = main OR x < y)")
+        others.join(mixed_up.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both"), "bucket")
+        .filter(f"cx <> cy AND (cy = main OR x < y) AND {bound}")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
