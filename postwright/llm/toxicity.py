@@ -17,6 +17,8 @@ PREFIXES = (4, 5, 6)
 #: The model's size: features of the lexicon, by |z|; and the most log-odds of one word.
 MOST_FEATURES, MOST_SCORE = 20_000, 8.0
 BINS, BIN = 400, 0.25
+#: Tables of labels of at most so many rows are broadcast, larger ones joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -24,29 +26,31 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0, least_count: int = 5) -> list[tuple[str, float]]:
-    """(feature, score) of words and word beginnings that toxic texts favour, from (text, toxic).
+    """(feature, score) of words and word beginnings that toxic texts favour, from (doc_id, text, toxic).
 
     Counts are of distinct words per text, each distinct text once, so neither repetition nor copies count more.
     Log-odds have a Dirichlet prior: one count of each feature and `prior` counts spread as in all texts; z is
-    the log-odds over its standard error. A feature's score is its log-odds less one standard error. The counts cover all rows; only the lexicon, of at
-    most MOST_FEATURES rows, comes to the driver.
+    the log-odds over its standard error. A feature's score is its log-odds less one standard error. The
+    counts cover all rows; only the lexicon, of at most MOST_FEATURES rows, comes to the driver.
     """
-    df = texts.withColumns(dict(zip(("k1", "k2"), row_key("text"), strict=True)))
-    one = df.groupBy("k1", "k2", "toxic").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.max_by("toxic", F.struct("n", "toxic")).alias("label"))
-    df = df.dropDuplicates(["k1", "k2"]).join(one, ["k1", "k2"])
+    df = texts.select("doc_id", "text", "toxic", *row_key("text"))
+    one = df.groupBy("k1", "k2").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    one = cut(one.select("k1", "k2", "doc_id", F.when(2 * F.col("t") >= F.col("n"), 1).otherwise(0).alias("label")))
+    df = df.join(F.broadcast(one) if one.count() <= BROADCAST_LABELS else one, ["k1", "k2", "doc_id"])
     words = df.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
     counts = words.groupBy("w").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     begins = [F.when(F.length("w") > k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in PREFIXES]
-    feats = counts.select(F.explode(F.array_compact(F.array("w", *begins))).alias("f"), "t", "c").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    feats = feats.filter(f"t + c >= {least_count}")
-    totals = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    if not totals.t or not totals.c:
+    # the empty feature counts all words
+    feats = counts.select(F.explode(F.array_compact(F.array(F.lit(""), F.col("w"), *begins))).alias("f"), "t", "c").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    feats = cut(feats.filter(f"t + c >= {least_count} OR f = ''"))
+    totals = feats.filter("f = ''").first()
+    if not totals or not totals.t or not totals.c:
         return []
     a = 1 + F.lit(prior) * (F.col("t") + F.col("c")) / float(totals.t + totals.c)
     odds = lambda n, all_n: F.log((n + a) / (float(all_n) + prior + 1))
     delta = odds(F.col("t"), totals.t) - odds(F.col("c"), totals.c)
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    found = feats.select("f", delta.alias("d"), error.alias("e")).filter(f"d >= {least_z} * e").orderBy((F.col("d") / F.col("e")).desc(), "f").limit(MOST_FEATURES)
+    found = feats.filter("f <> ''").select("f", delta.alias("d"), error.alias("e")).filter(f"d >= {least_z} * e").orderBy((F.col("d") / F.col("e")).desc(), "f").limit(MOST_FEATURES)
     return [(r.f, min(r.d - r.e, MOST_SCORE)) for r in found.collect()]
 
 
@@ -130,7 +134,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1) ->
     """
     df = docs.select("doc_id", "text")
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("lid")).agg(F.max("toxic").alias("toxic")).filter(~held_out("lid"))
-    lexicon = learn_lexicon(df.join(marks, F.col("doc_id") == F.col("lid")).select("text", "toxic").filter("text IS NOT NULL"))
+    marks = cut(marks)
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    lexicon = learn_lexicon(df.join(marks, F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic").filter("text IS NOT NULL"))
     found = cut(df.mapInArrow(_segment_batches(lexicon, penalty), "doc_id bigint, words bigint, segments array<struct<first:int,last:int,score:double>>"))
     train = found.join(marks, F.col("doc_id") == F.col("lid")).select("words", "segments", "toxic")
     clean = train.filter("toxic = 0")
