@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .components import connected_components
 
+#: A list of at most so many candidate texts is broadcast, a longer one joined by shuffle.
+BROADCAST_NODES = 500_000
 GOLDEN, CHUNK = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 
 
@@ -107,13 +109,16 @@ def _band_batches(bands: int, rows: int, counted: bool):
     return run
 
 
+def normal_text(text: str = "text") -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
 def with_shingles(docs: DataFrame, shingle: int, distinct: bool) -> DataFrame:
     """(doc_id, node, shingles): node names the normalised text, shingles hashes its runs of `shingle` words.
 
     Words are split at white space, in lower case. A text of fewer words is one shingle; one of none has none.
     """
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
-    df = docs.select("doc_id", text.alias("norm")).select("doc_id", F.md5("norm").alias("node"), F.when(F.col("norm") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("w"))
+    df = docs.select("doc_id", normal_text().alias("norm")).select("doc_id", F.unhex(F.md5("norm")).alias("node"), F.when(F.col("norm") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("w"))
     made = F.expr(f"""if(size(w) > {shingle}, transform(sequence(1, size(w) - {shingle - 1}), i -> xxhash64(slice(w, i, {shingle}))),
         if(size(w) > 0, array(xxhash64(w)), w))""")
     return df.select("doc_id", "node", (F.array_distinct(made) if distinct else made).alias("shingles"))
@@ -130,7 +135,7 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     bucket of many near copies doesn't emit its pairs. At 0.8 a pair shares no band once in 20,000.
     """
     counted = weighting == "count"
-    sketches = with_shingles(docs, shingle, not counted).mapInArrow(_band_batches(bands, rows, counted), "doc_id bigint, node string, bands array<bigint>")
+    sketches = with_shingles(docs, shingle, not counted).mapInArrow(_band_batches(bands, rows, counted), "doc_id bigint, node binary, bands array<bigint>")
     sketches = cut(sketches)
     members = sketches.select("doc_id", "node")
     nodes = sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
@@ -142,9 +147,11 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
     hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x")).select("bucket", F.col("x.node").alias("hub"))
     shared = cut(crowded.join(hubs, "bucket").select("bucket", "node", "hub"))
-    wanted = shared.select("node").distinct()
-    texts = with_shingles(docs, shingle, True if not counted else False).join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
-    texts = cut(texts)
+    wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"))
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = cut(with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         one, two = texts.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), texts.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -155,12 +162,14 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
         else:
             both = F.size(F.array_intersect("sa", "sb"))
         # 1e-9 keeps pairs at the very threshold
-        return df.withColumn("both", both).filter(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)").select("a", "b")
+        df = df.withColumn("both", both).withColumn("linked", F.expr(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)"))
+        return df.select("a", "b", "both", "linked").distinct()
 
     first = shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = cut(checked(first))
+    to_hubs = cut(checked(first))
+    links = to_hubs.filter("linked").select("a", "b")
     comps = cut(connected_components(links))
-    named = cut(shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
+    named = cut(shared.join(comps, "node", "left").select("bucket", "node", "hub", F.coalesce("comp", "node").alias("comp")))
     groups = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
     mixed_up = cut(named.join(several, "bucket"))
@@ -169,17 +178,21 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     own = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     alive = alive.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("both"))
     alive = alive.filter(f"both >= ({threshold} - 1e-9) * size")
-    mixed_up = mixed_up.join(alive, "node")
-    others = mixed_up.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"))
-    bound = f"least(bx, both) >= ({threshold} - 1e-9) * (zx + size - least(bx, both))"
+    mixed_up = mixed_up.join(alive, "node").withColumn("a", F.least("hub", "node")).withColumn("b", F.greatest("hub", "node"))
+    mixed_up = mixed_up.join(to_hubs.select("a", "b", F.col("both").alias("met")), ["a", "b"], "left").drop("a", "b")
+    # shingles that the hub has too, and others that aren't the text's own: a pair shares no more than the lesser of each
+    mixed_up = cut(mixed_up.withColumn("with_hub", F.when(F.col("node") == F.col("hub"), F.col("size")).otherwise(F.coalesce("met", "both"))))
+    others = mixed_up.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"), F.col("with_hub").alias("hx"))
+    most = "least(bx, both, least(hx, with_hub) + least(greatest(bx - hx, 0), greatest(both - with_hub, 0)))"
+    bound = f"{most} >= ({threshold} - 1e-9) * (zx + size - {most})"
     rest = (
-        others.join(mixed_up.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both"), "bucket")
+        others.join(mixed_up.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both", "with_hub"), "bucket")
         .filter(f"cx <> cy AND (cy = main OR x < y) AND {bound}")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = cut(checked(rest))
+    more = cut(checked(rest).filter("linked").select("a", "b"))
     if more.isEmpty():
         return members, comps
     return members, cut(connected_components(links.unionByName(more)))
@@ -194,7 +207,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     copies of each other. Other columns of docs aren't read.
     """
     members, comps = link_documents(docs, **options)
-    blank = F.col("node") == F.md5(F.lit(""))
+    blank = F.col("node") == F.unhex(F.md5(F.lit("")))
     full = members.filter(~blank).join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
     classes = full.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = full.join(classes, "comp").select("doc_id", "class_id", "class_size")
@@ -207,14 +220,14 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     Blank and null texts all stay. Of repeated rows with that doc_id and text, one stays.
     """
     members, comps = link_documents(docs, **options)
-    blank = F.md5(F.lit(""))
+    blank = F.unhex(F.md5(F.lit("")))
     full = members.filter(F.col("node") != blank).join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))
     kept = full.groupBy("comp").agg(one.alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.node").alias("kept_node"))
     copies = full.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
     kept = kept.join(copies, (F.col("kept_node") == F.col("node")) & F.col("kept_id").eqNullSafe(F.col("doc_id")))
     kept = cut(kept.select("kept_id", "kept_node", "copies"))
-    named = docs.select(F.struct("*").alias("row"), F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))).alias("node"))
+    named = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(normal_text())).alias("node"))
     found = named.join(kept, (F.col("node") == F.col("kept_node")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
     single = found.filter("copies = 1").select("row.*")
     repeated = found.filter("copies > 1").dropDuplicates(["kept_id", "kept_node"]).select("row.*")
