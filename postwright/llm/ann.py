@@ -147,13 +147,6 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "
     for r in placed.groupBy("cell").count().collect():  # one row per pair of centroids
         counts[r["cell"]] = r["count"]
 
-    def visit(batches):
-        for pdf in batches:
-            if len(pdf):
-                d1, d2 = half_distances(unit(np.stack(pdf["v"].to_numpy())), books)
-                cells = [multi_sequence(a, b, counts, candidates) for a, b in zip(d1, d2, strict=True)]
-                yield pdf.assign(cell=cells)
-
     # A bin is a set of small cells or a part of a large one; a query goes once to each bin it visits.
     parts = np.maximum(1, -(-counts // BLOCK_ROWS))
     small, bin_of, bins, room = np.argsort(counts, kind="stable"), np.zeros(len(counts), dtype=np.int64), 0, 0
@@ -165,9 +158,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "
     shape = spark.createDataFrame([(int(c), int(bin_of[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell long, bin long, parts long")
     shape = F.broadcast(shape)  # at most centroids squared rows
     entries = placed.join(shape, "cell").select((F.col("bin") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("bin"), "cell", "vec_id", "v")
-    visits = asked.repartition(max(8, spark.sparkContext.defaultParallelism), "vec_id").mapInPandas(visit, "vec_id long, v array<double>, cell array<long>")
-    visits = visits.select("vec_id", "v", F.explode("cell").alias("cell")).join(shape, "cell").groupBy("vec_id", "bin", "parts").agg(F.first("v").alias("v"), F.collect_list("cell").alias("cells"))
-    visits = visits.select("vec_id", "v", "cells", F.explode(F.expr("sequence(bin, bin + parts - 1)")).alias("bin"))
+    def visit(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d1, d2 = half_distances(unit(np.stack(pdf["v"].to_numpy())), books)
+            rows = []
+            for q, v, a, b in zip(pdf["vec_id"], pdf["v"], d1, d2, strict=True):
+                cells = np.array(multi_sequence(a, b, counts, candidates), dtype=np.int64)
+                for first in np.unique(bin_of[cells]):
+                    own = cells[bin_of[cells] == first]
+                    rows += [(q, v, own, first + i) for i in range(parts[own[0]])]
+            yield pd.DataFrame(rows, columns=["vec_id", "v", "cells", "bin"])
+
+    visits = asked.repartition(max(8, spark.sparkContext.defaultParallelism), "vec_id").mapInPandas(visit, "vec_id long, v array<double>, cells array<long>, bin long")
     visits = cut(visits)
     q_parts = visits.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("q_parts"))
     visits = visits.join(q_parts, "bin").withColumn("q_part", F.pmod(F.xxhash64("vec_id", F.lit(5)), "q_parts")).drop("q_parts")
