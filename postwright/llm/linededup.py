@@ -22,9 +22,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     base = docs.filter("text IS NOT NULL").select(*row_key("doc_id", "text"), "doc_id", F.posexplode(F.transform(lines, lambda x: F.xxhash64(x))).alias("pos", "lid"))
-    base = cut(base.withColumn("pos", F.col("pos") + 1).dropDuplicates(["k1", "k2", "pos"]))
-    often = base.groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1").select("lid")
-    base = base.join(often, "lid")
+    base = base.withColumn("pos", F.col("pos") + 1)
+    # equal rows give equal lines: counted once each, before the lines that occur once go
+    often = base.groupBy("lid", "k1", "k2", "pos").count().groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1").select("lid")
+    base = base.join(often, "lid").dropDuplicates(["k1", "k2", "pos"])
     doc = Window.partitionBy("k1", "k2")
     island = base.withColumn("island", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
     return island.withColumn("run", F.max("pos").over(Window.partitionBy("k1", "k2", "island")) - F.col("pos") + 1).drop("island")
