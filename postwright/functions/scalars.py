@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORY_LABELS, SENDER_LABELS
+from .text import bind
 
 
 def _col(c) -> Column:
@@ -70,9 +71,13 @@ def embedding_stats(vec) -> Column:
 
 
 def l2_normalize(vec) -> Column:
-    v = F.transform(_col(vec), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    """The vector as doubles of length 1; null for a zero vector."""
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return bind(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
+
+    return bind(F.transform(_col(vec), lambda x: x.cast("double")), scaled)
 
 
 def dot(a, b) -> Column:

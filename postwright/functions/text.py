@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tags, classes, sign-offs, banners and disclaimers.
 VOID_TAGS = {"br", "hr", "img", "meta", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -74,21 +75,25 @@ def visible_text(html: str | None) -> str | None:
     return unescape("".join(parser.out))
 
 
-@F.pandas_udf("string")
-def _strip_html(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _strip_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(visible_text)
 
 
 def strip_html(c) -> Column:
-    """T1. HTML to text; text without both < and > stays as it is, and then no Python runs on the row's value."""
-    return _strip_html(F.col(c) if isinstance(c, str) else c)
+    """T1. HTML to text; text without both < and > stays as it is."""
+    return F.pandas_udf(_strip_batches, StringType())(F.col(c) if isinstance(c, str) else c)
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def cut_quotes(c) -> Column:
     """T2. Without what follows the first quoted line or banner."""
     return F.regexp_replace(_col(c), QUOTE_PATTERN, "$1")
@@ -96,23 +101,24 @@ def cut_quotes(c) -> Column:
 
 def cut_pasted_headers(c) -> Column:
     """T3. Without what follows a `From:` line that has Sent or Date, To and Subject among the next four lines."""
-    lines = F.split(_col(c), "\n")
-    n = F.size(lines)
 
-    def starts(i: Column) -> Column:
-        window = F.transform(F.slice(lines, i + 2, 4), lambda x: F.trim(F.regexp_replace(x, r"^\s+", "")))
-        has = lambda p: F.exists(window, lambda x: x.rlike(p))
-        offset = F.length(F.array_join(F.slice(lines, 1, i), "\n")) + 1
-        return F.get(lines, i).rlike(r"(?i)^\s*from:\s*\S") & (i > 0) & (offset >= LEAST_BEFORE_CUT) & has(r"(?i)^(sent|date):") & has("(?i)^to:") & has("(?i)^subject:")
+    def kept(lines: Column) -> Column:
+        def starts(i: Column) -> Column:
+            window = F.transform(F.slice(lines, i + 2, 4), lambda x: F.regexp_replace(x, r"^\s+", ""))
+            has = lambda p: F.exists(window, lambda x: x.rlike(p))
+            offset = F.length(F.array_join(F.slice(lines, 1, i), "\n")) + 1
+            return F.get(lines, i).rlike(r"(?i)^\s*from:\s*\S") & (i > 0) & (offset >= LEAST_BEFORE_CUT) & has(r"(?i)^(sent|date):") & has("(?i)^to:") & has("(?i)^subject:")
+
+        at = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), starts)), F.size(lines))
+        return F.array_join(F.slice(lines, 1, at), "\n")
 
-    at = F.array_min(F.filter(F.sequence(F.lit(0), n - 1), starts))
-    return F.when(~_col(c).rlike(r"(?im)^\s*from:"), _col(c)).otherwise(F.when(at.isNotNull(), F.array_join(F.slice(lines, 1, F.coalesce(at, F.lit(0))), "\n")).otherwise(_col(c)))
+    return bind(_col(c), lambda t: F.when(~t.rlike(r"(?im)^\s*from:"), t).otherwise(bind(F.split(t, "\n"), kept)))
 
 
 def strip_quoted_history(c) -> Column:
     """T2 and T3: whichever cuts earlier."""
-    quotes, headers = cut_quotes(c), cut_pasted_headers(c)
-    return F.when(F.length(quotes) <= F.length(headers), quotes).otherwise(headers)
+    both = bind(_col(c), lambda t: F.array(cut_quotes(t), cut_pasted_headers(t)))
+    return bind(both, lambda x: F.when(F.length(x[0]) <= F.length(x[1]), x[0]).otherwise(x[1]))
 
 
 def remove_signature(c) -> Column:
@@ -120,12 +126,15 @@ def remove_signature(c) -> Column:
     return F.regexp_replace(_col(c), SIGN_OFF_PATTERN, "$1")
 
 
+def _before(marker: str):
+    return lambda t: F.when(F.contains(F.lower(t), F.lit(marker)), F.left(t, F.instr(F.lower(t), marker) - 1)).otherwise(t)
+
+
 def remove_disclaimers(c) -> Column:
     """T5. Cut at each marker in turn, whatever its case."""
     out = _col(c)
     for m in DISCLAIMERS:
-        at = F.instr(F.lower(out), m)
-        out = F.when(at > 0, F.left(out, at - 1)).otherwise(out)
+        out = bind(out, _before(m))
     return out
 
 
@@ -148,7 +157,7 @@ def clean_text(c) -> Column:
 def embedding_text(subject, body) -> Column:
     """T8. Subject, an empty line and the clean body; the body alone if the subject is blank."""
     s = F.regexp_replace(_col(subject), r"\A\s+|\s+\z", "")
-    return F.when(F.coalesce(s, F.lit("")) == "", _col(body)).otherwise(F.concat_ws("\n\n", s, _col(body)))
+    return F.concat_ws("\n\n", F.nullif(s, F.lit("")), _col(body))
 
 
 def normalize_email(c) -> Column:
@@ -167,8 +176,8 @@ def words(c) -> Column:
 
 def stem(w: Column) -> Column:
     """A light suffix stripper for English plurals and -ing, -ed forms; not Porter's."""
-    w = F.when(w.rlike("(ss|us|is)$"), w).when(w.rlike(".{3}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike(".{3}s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
-    return F.when(w.rlike(".{3}[aeiouy].*ing$|^.{4,}ing$"), F.regexp_replace(w, "ing$", "")).when(w.rlike("^.{4,}ed$"), F.regexp_replace(w, "ed$", "")).otherwise(w)
+    w = F.regexp_replace(F.regexp_replace(w, "(?<=.{3})ies$", "y"), "(?<=.{3}[^su])s$", "")
+    return F.regexp_replace(w, "(?<=.{4})(ing|ed)$", "")
 
 
 def lexemes(c, stemmed: bool = True) -> Column:

@@ -110,7 +110,11 @@ def check_conversations(conversations: DataFrame, tickets: DataFrame) -> DataFra
         return F.transform(F.filter(indices, condition), made).cast(FINDINGS)
 
     enums = [("intent_type", INTENTS), ("tone", TONES), ("length_bucket", LENGTHS), ("noise_level", NOISES)]
-    bad = [each("fail", "enum_valid", lambda i, f=f, v=v: ~F.coalesce(at(i).generation_metadata[f].isin(v), F.lit(False)), f"invalid {f}") for f, v in enums]
+
+    def outside(field: str, values: list[str]):
+        return lambda i: ~F.coalesce(at(i).generation_metadata[field].isin(values), F.lit(False))
+
+    bad = [each("fail", "enum_valid", outside(f, v), f"invalid {f}") for f, v in enums]
     day = lambda i: at(i).production_fields.day_offset
     sender = lambda i: at(i).production_fields.sender_type
     back = each("fail", "day_offsets_non_decreasing", lambda i: F.coalesce((i > 0) & (day(i) < day(i - 1)), F.lit(False)), "day_offset decreased")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..functions.scalars import recency, sender_label
 from ..functions.text import words
 from .retrieval import top_n
 
+WORD = re.compile(r"[^\W_]+")
+
 
 def hits_to_tickets(hits: DataFrame, interactions: DataFrame) -> DataFrame:
     """J14. Add ticket_id and created_at; hits without a ticket go."""
@@ -78,17 +84,15 @@ def lexical_overlap(query_text: Column, context: Column) -> Column:
 def pair_scorer(score: Callable[[list[str], list[str]], list[float]]):
     """M2. A vectorized column function from a batch scorer of text pairs, such as a cross-encoder."""
 
-    @F.pandas_udf("double")
     def run(q: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(score(q.tolist(), c.tolist()))
 
-    return run
+    return F.pandas_udf(run, DoubleType())
 
 
 def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int = 16):
     """M1. A vectorized column function text -> vector from a batch embedder; one vector per text, in order."""
 
-    @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out: list = []
         for i in range(0, len(texts), batch):
@@ -99,15 +103,22 @@ def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int =
             out += made
         return pd.Series(out, index=texts.index)
 
-    return run
+    return F.pandas_udf(run, ArrayType(FloatType()))
 
 
 def hashed_embedding(c, dims: int = 64) -> Column:
-    """The default embedding: hashed counts of words, normalised; built-in functions only."""
-    slots = F.transform(words(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    """The default embedding: hashed counts of words, normalised; a vector of zeros for a text without words."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            slots = [zlib.crc32(w.encode()) % dims for w in WORD.findall((t or "").lower())]
+            v = np.bincount(slots, minlength=dims).astype("float32") if slots else np.zeros(dims, "float32")
+            out.append(v / max(float(np.sqrt((v * v).sum())), 1e-12))
+        return pd.Series(out, index=texts.index)
+
+    # declared so that the optimizer computes it once where it stands, and doesn't copy it into later expressions
+    return F.pandas_udf(run, ArrayType(FloatType())).asNondeterministic()(F.col(c) if isinstance(c, str) else c)
 
 
 def rerank(candidates: DataFrame, scorer=lexical_overlap, top_k: int = 3) -> DataFrame:
