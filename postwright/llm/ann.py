@@ -185,7 +185,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "
                 at = np.fromiter((cell in w for w in wanted), bool, len(q))
                 if at.any():
                     found.append(best_of_block(q[at], part, top))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
+        if found:
+            best = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            return best.groupby("query_id").head(top)
+        return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
 
     found = visits.groupBy("bin", "q_part").cogroup(entries.groupBy("bin", "q_part")).applyInPandas(rank, out_schema).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
