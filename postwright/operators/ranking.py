@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..functions.scalars import recency, sender_label
-from ..functions.text import words
+from ..functions.text import bind, words
 from .retrieval import top_n
 
-WORD = re.compile(r"[^\W_]+")
-
 
 def hits_to_tickets(hits: DataFrame, interactions: DataFrame) -> DataFrame:
     """J14. Add ticket_id and created_at; hits without a ticket go."""
@@ -107,18 +102,17 @@ def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int =
 
 
 def hashed_embedding(c, dims: int = 64) -> Column:
-    """The default embedding: hashed counts of words, normalised; a vector of zeros for a text without words."""
+    """The default embedding: hashed counts of words, normalised, in built-in functions; zeros without words."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            slots = [zlib.crc32(w.encode()) % dims for w in WORD.findall((t or "").lower())]
-            v = np.bincount(slots, minlength=dims).astype("float32") if slots else np.zeros(dims, "float32")
-            out.append(v / max(float(np.sqrt((v * v).sum())), 1e-12))
-        return pd.Series(out, index=texts.index)
+    def counted(slots: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return bind(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
 
-    # declared so that the optimizer computes it once where it stands, and doesn't copy it into later expressions
-    return F.pandas_udf(run, ArrayType(FloatType())).asNondeterministic()(F.col(c) if isinstance(c, str) else c)
+    slots = F.transform(words(c), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    return bind(bind(slots, counted), scaled)
 
 
 def rerank(candidates: DataFrame, scorer=lexical_overlap, top_k: int = 3) -> DataFrame:
