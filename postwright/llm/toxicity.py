@@ -141,10 +141,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1) ->
     found = cut(df.mapInArrow(_segment_batches(lexicon, penalty), "doc_id bigint, words bigint, segments array<struct<first:int,last:int,score:double>>"))
     train = found.join(marks, F.col("doc_id") == F.col("lid")).select("words", "segments", "toxic")
     clean = train.filter("toxic = 0")
-    tail = clean.select("words", F.explode("segments.score").alias("s")).agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.min("s").alias("least")).first()
-    words = clean.agg(F.sum("words")).first()[0] or 0
-    rate = 1 / max(tail.mean - tail.least, 0.05) if tail.n > 10 else 1.0
-    big_k = max(tail.n, 0.5) * math.exp(min(rate * (tail.least or 0.0), 50.0)) / max(words, 1)
+    scores = F.col("segments.score")
+    per_text = clean.select("words", F.size(scores).alias("n"), F.aggregate(scores, F.lit(0.0), lambda t, x: t + x).alias("sum"), F.array_min(scores).alias("least"))
+    tail = per_text.agg(F.sum("n").alias("n"), (F.sum("sum") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.min("least").alias("least"), F.sum("words").alias("words")).first()
+    found_n, words = tail.n or 0, tail.words or 0
+    rate = 1 / max(tail.mean - tail.least, 0.05) if found_n > 10 else 1.0
+    big_k = max(found_n, 0.5) * math.exp(min(rate * (tail.least or 0.0), 50.0)) / max(words, 1)
     surprise = F.expr(f"""filter(transform(segments, x -> named_struct('first', x.first, 'last', x.last, 'score', x.score,
         'surprise', {rate}D * x.score - ln({big_k!r}D * greatest(words, 1)))), x -> x.surprise > 0)""")
     evidence = F.aggregate("passages", F.lit(0.0), lambda t, x: t + x.surprise)
