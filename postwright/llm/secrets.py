@@ -19,7 +19,7 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 #: Least bits per character of a window, by the character class of the candidate.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Candidates that are never secrets: placeholders, counters, one character over and over, rulers, paths of words.
-ALLOWED = r"(?i)example|placeholder|changeme|your[_-]?(key|token|secret)|x{8,}|0123456789|abcdefgh|(.)\1{7,}|^[a-z]+([_/-][a-z]+)+$"
+ALLOWED = r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|x{8,}|0123456789|abcdefgh|(.)\1{7,}|^[a-z]+(?:[_/-][a-z]+)+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 
