@@ -18,7 +18,7 @@ def _col(c) -> Column:
 
 def age_days(ts, now: Column) -> Column:
     """D1. Days before now, from microseconds; 0 for the future."""
-    return F.greatest((F.unix_micros(now) - F.unix_micros(_col(ts))) / 86_400e6, F.lit(0.0))
+    return F.greatest((F.unix_micros(now) - F.unix_micros(_col(ts).cast("timestamp"))) / 86_400e6, F.lit(0.0))
 
 
 def recency(ts, now: Column, half_life: float = 14.0) -> Column:

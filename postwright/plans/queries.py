@@ -307,7 +307,7 @@ def j11_vector_search_global(spark, sf_dir):
     return retrieval.vector_search_global(q, d, exclude_self=True).select("query_id", "interaction_id", r6(F.round("score", 9)).alias("score"), "rank")
 
 
-QWORDS = f"(SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS scope, {_lex('text')}[1:2] AS lexemes FROM benchmark)"
+QWORDS = f"(SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS scope, (list_sort({_lex('text')}))[1:2] AS lexemes FROM benchmark)"
 DWORDS = f"(SELECT doc_id AS interaction_id, source AS scope, {_lex('text')} AS lexemes FROM documents)"
 KEYWORD = f"""q AS {QWORDS}, d AS {DWORDS}, st AS (SELECT scope, count(*) AS docs, avg(len(lexemes)) AS avg_len FROM d GROUP BY scope),
     post AS (SELECT interaction_id, scope, len(lexemes) AS n, unnest(lexemes) AS lex FROM d), df AS (SELECT scope, lex, count(*) AS df FROM post GROUP BY scope, lex), ql AS (SELECT query_id, scope, len(lexemes) AS terms, unnest(lexemes) AS lex FROM q),
@@ -316,7 +316,7 @@ KEYWORD = f"""q AS {QWORDS}, d AS {DWORDS}, st AS (SELECT scope, count(*) AS doc
 
 
 def keyword_tables(spark, sf_dir):
-    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("customer_id"), F.slice(text.lexemes("text", stemmed=False), 1, 2).alias("lexemes"))
+    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("customer_id"), F.slice(F.array_sort(text.lexemes("text", stemmed=False)), 1, 2).alias("lexemes"))
     d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), F.col("source").alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
     return q, d
 
@@ -363,9 +363,9 @@ def scored(spark, sf_dir):
     return ranking.score_tickets(ranking.hits_to_tickets(fused(spark, sf_dir), rows), F.lit(V.NOW).cast("timestamp")), rows
 
 
-@query(f"WITH {SCORED} SELECT query_id, ticket_id, round(final, 6) AS final_score, ticket_rank, ids FROM top")
+@query(f"WITH {SCORED} SELECT query_id, ticket_id, round(final, 4) AS final_score, ticket_rank, ids FROM top")
 def a1_j14_score_tickets(spark, sf_dir):
-    return scored(spark, sf_dir)[0].select("query_id", "ticket_id", r6("final_score").alias("final_score"), "ticket_rank", F.array_join(F.transform("matched_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return scored(spark, sf_dir)[0].select("query_id", "ticket_id", F.round("final_score", 4).alias("final_score"), "ticket_rank", F.array_join(F.transform("matched_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"""WITH i AS (SELECT id, ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY created_at, id) AS idx FROM {I} AS i WHERE ticket_id IS NOT NULL),

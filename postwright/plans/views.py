@@ -16,7 +16,7 @@ CUSTOMERS = ("customer", {"id": "c_custkey", "name": "c_name", "inbox_email": "'
 INTERACTIONS = (
     "events",
     {
-        "id": "event_id", "interaction_id": "event_id", "customer_id": "user_id", "ticket_id": TICKET, "created_at": "ts",
+        "id": "event_id", "interaction_id": "event_id", "customer_id": "user_id", "ticket_id": TICKET, "created_at": "CAST(ts AS TIMESTAMP)",
         "interaction_type": "CASE event_type WHEN 'purchase' THEN 'agent_reply' WHEN 'signup' THEN 'internal_note' WHEN 'error' THEN 'system_event' ELSE 'customer_email' END",
         "message_id": "'m' || CAST(event_id AS STRING)", "conversation_id": f"'c' || CAST({TICKET} AS STRING)", "clean_content": "props",
         "embedding_model": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'old' ELSE 'new' END", "embedding": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END",
@@ -33,7 +33,7 @@ EMAILS = (
 FEEDBACK = (
     "events",
     {
-        "id": "event_id", "customer_id": "user_id", "created_at": "ts", "should_attach": "event_type IN ('click', 'purchase')", "manager_decision": "CASE WHEN event_id % 3 <> 0 THEN 'accepted' ELSE 'rejected' END",
+        "id": "event_id", "customer_id": "user_id", "created_at": "CAST(ts AS TIMESTAMP)", "should_attach": "event_type IN ('click', 'purchase')", "manager_decision": "CASE WHEN event_id % 3 <> 0 THEN 'accepted' ELSE 'rejected' END",
         "confidence": "least(value / 500, 1.0)", "recommended_ticket_id": TICKET, "corrected_ticket_id": "CASE WHEN event_id % 6 = 0 THEN user_id * 8 + (event_id + 1) % 8 END",
     },
 )
