@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key, table
@@ -16,6 +18,8 @@ BROADCAST_IDS = 2_000_000
 #: shards by joins.
 BROADCAST_MODEL = 3_000_000
 HELD = 4_000_000
+#: Trusted texts are scored by models that leave out their part of so many.
+FOLDS = 5
 
 
 def symbols() -> np.ndarray:
@@ -61,9 +65,11 @@ def _count_batches(batches):
         return k, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
     for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in _slices(texts):
-            k, n = np.unique(grams_of(texts[a:b])[0], return_counts=True)
+            grams, sizes = grams_of(texts[a:b])
+            k, n = np.unique(grams | np.repeat(folds[a:b], sizes) << (BITS * ORDER), return_counts=True)
             keys.append(k)
             counts.append(n)
             held += len(k)
@@ -78,43 +84,59 @@ def _count_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["g", "c"])
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams with counts 1 to 4 (Chen and Goodman); 0.5, 1, 1.5 where undefined."""
-    n = counts.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).first()
-    if not (n.n1 and n.n2):
-        return [0.5, 1.0, 1.5]
-    y = n.n1 / (n.n1 + 2 * n.n2)
-    d = [1 - 2 * y * n.n2 / n.n1, 2 - 3 * y * n.n3 / n.n2, 3 - 4 * y * n.n4 / n.n3 if n.n3 else 1.5]
-    return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+def discounts(counts: DataFrame, models: int) -> list[list[float]]:
+    """D1, D2, D3+ of each model from its numbers of n-grams with counts 1 to 4 (Chen and Goodman); 0.5, 1, 1.5 where undefined."""
+    found = {n.m: n for n in counts.groupBy("m").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()}
+    out = []
+    for m in range(models):
+        n = found.get(m)
+        if n is None or not (n.n1 and n.n2):
+            out.append([0.5, 1.0, 1.5])
+            continue
+        y = n.n1 / (n.n1 + 2 * n.n2)
+        d = [1 - 2 * y * n.n2 / n.n1, 2 - 3 * y * n.n3 / n.n2, 3 - 4 * y * n.n4 / n.n3 if n.n3 else 1.5]
+        out.append([min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)])
+    return out
+
+
+def fold_of(text: str, folds: int) -> Column:
+    """The part that a text belongs to, by its hash: copies of a text are held out together."""
+    return F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """(ord, ctx, g, v): v is log2 p(g) of each seen n-gram, or with ctx the log2 weight of a context's back-off.
+def train(trusted: DataFrame, folds: int = 0) -> DataFrame:
+    """(m, ord, ctx, g, v): v is log2 p(g) of each seen n-gram, or with ctx the log2 weight of a context's back-off.
 
-    Counts of the highest order are those of the text; a lower order counts in how many contexts an n-gram was
-    seen. All texts are counted. Counts are sharded by n-gram, and meet their contexts and suffixes by joins.
+    Model m = folds is that of all texts, each m below leaves out the texts of fold m. Counts of the highest order
+    are those of the text; a lower order counts in how many contexts an n-gram was seen. Texts are counted once, by
+    fold; counts are sharded by n-gram, and meet their contexts and suffixes by joins.
     """
-    counts = cut(trusted.select("text").mapInArrow(_count_batches, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
+    whole = (1 << (BITS * ORDER)) - 1
+    texts = trusted.filter("text <> ''").select("text", (fold_of("text", folds) if folds else F.lit(1)).alias("fold"))
+    parted = texts.mapInArrow(_count_batches, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    parted = parted.select(F.col("g").bitwiseAND(F.lit(whole)).alias("g"), F.shiftright("g", BITS * ORDER).cast("int").alias("fold"), "c")
+    parted = parted.select("g", "c", F.explode(F.expr(f"filter(sequence(0, {folds}), m -> m <> fold)")).alias("m"))
+    counts = cut(parted.groupBy("m", "g").agg(F.sum("c").alias("c")))
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << (BITS * k)) - 1
-        orders[k] = orders[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
+        orders[k] = orders[k + 1].groupBy("m", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
     parts, lower = [], None
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(orders[k])
+        d1, d2, d3 = (F.element_at(F.array(*[F.lit(x) for x in d]), F.col("m") + 1) for d in zip(*discounts(orders[k], folds + 1), strict=True))
         df = orders[k].withColumn("h", F.shiftright("g", BITS)).withColumn("s", F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        ctx = df.groupBy("h").agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
-        df = df.join(ctx, "h")
+        df = df.withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        ctx = df.groupBy("m", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
+        df = df.join(ctx, ["m", "h"])
         below = F.lit(1.0 / (1 << BITS))
         if lower is not None:
-            df = df.join(lower, "s")
+            df = df.join(lower, ["m", "s"])
             below = F.col("pl")
-        df = df.select("g", ((F.col("c") - off + F.col("off") * below) / F.col("total")).alias("p"))
+        df = df.select("m", "g", ((F.col("c") - F.col("d") + F.col("off") * below) / F.col("total")).alias("p"))
         df = cut(df)
-        lower = df.select(F.col("g").alias("s"), F.col("p").alias("pl"))
-        parts.append(df.select(F.lit(k).alias("ord"), F.lit(False).alias("ctx"), "g", F.log2("p").alias("v")))
-        parts.append(ctx.select(F.lit(k).alias("ord"), F.lit(True).alias("ctx"), F.col("h").alias("g"), F.log2(F.col("off") / F.col("total")).alias("v")))
+        lower = df.select("m", F.col("g").alias("s"), F.col("p").alias("pl"))
+        parts.append(df.select("m", F.lit(k).alias("ord"), F.lit(False).alias("ctx"), "g", F.log2("p").alias("v")))
+        parts.append(ctx.select("m", F.lit(k).alias("ord"), F.lit(True).alias("ctx"), F.col("h").alias("g"), F.log2(F.col("off") / F.col("total")).alias("v")))
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
@@ -200,47 +222,67 @@ def score(docs: DataFrame, model: DataFrame, broadcast_model: int = BROADCAST_MO
     return docs.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(tables)), schema)
 
 
-def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, margin: float = 0.5, most_chars: int = 4096, broadcast_model: int = BROADCAST_MODEL) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, broadcast_model: int = BROADCAST_MODEL, folds: int = FOLDS) -> DataFrame:
     """doc_id, lang, perplexity (per character), deviation, low, high, keep: a row for each row of docs.
 
     trusted_ids (doc_id) names the rows whose texts train the model; all of them are counted, and every row is
-    scored on its whole text. A text's mean log2 p is compared with the mean of its language's trusted texts;
-    times sqrt(min(chars, most_chars)) the difference spreads alike at all lengths. keep: the deviation lies
-    within the language's quantiles (quantile, 1 - quantile) of trusted texts, widened by `margin` of their
-    distance. Languages without trusted text use those of all languages; a null language is one of its own.
-    Both ends count: symbols and shouting are unlikely, and repetition strays further than its length allows.
-    Null and empty texts have a null perplexity and aren't kept. Without any trusted text, all others are kept.
-    Repeated rows and null ids are scored like others. Other columns aren't read.
+    scored on its whole text. Trusted texts and their copies are scored by a model without their fold, so their
+    scores are like those of unseen texts. A text's mean log2 p is compared with the mean of its language's trusted
+    texts (the others, where it is one of them); times sqrt(min(chars, most_chars)) the difference spreads alike at
+    all lengths. keep: the deviation lies within the language's quantiles (quantile, 1 - quantile) of trusted
+    texts. Fewer than 1 / quantile texts don't show such quantiles: then the ends reach as far as those of a normal
+    distribution, and as those of all languages' deviations from their own means. Languages without trusted text
+    are compared with the mean of all; a null language is one of its own. Both ends count: symbols and shouting are
+    unlikely, and repetition strays further than its length allows. Null and empty texts have a null perplexity and
+    aren't kept. Without two trusted texts, all others are kept. Repeated rows and null ids are scored like others.
+    Other columns aren't read.
     """
     ids = trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     df = docs.select("doc_id", "lang", "text")
-    model = train(df.join(ids, F.col("doc_id") == F.col("tid"), "left_semi"))
-    scored = cut(score(df, model, broadcast_model).join(ids, F.col("doc_id") == F.col("tid"), "left").drop("tid"))
-    mean = F.sum("logp") / F.sum("chars")
-    good = scored.filter("trusted AND chars > 0")
-    langs = good.groupBy(F.col("lang").alias("ml")).agg(mean.alias("mean"))
-    dev = (F.col("logp") / F.col("chars") - F.col("mean")) * F.sqrt(F.least("chars", F.lit(most_chars)))
-    ends = [F.percentile_approx("dev", F.lit(q), F.lit(100_000)) for q in (quantile, 0.5, 1 - quantile)]
-    stats = (
-        good.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("ml"))).select("lang", "mean", dev.alias("dev"))
-        .groupBy("lang").agg(F.first("mean").alias("mean"), ends[0].alias("q0"), ends[2].alias("q1"))
-    )
-    whole = good.agg(mean.alias("mean0"))
-    whole = good.crossJoin(F.broadcast(whole)).select("mean0", ((F.col("logp") / F.col("chars") - F.col("mean0")) * F.sqrt(F.least("chars", F.lit(most_chars)))).alias("dev")).agg(F.first("mean0").alias("mean0"), ends[0].alias("w0"), ends[2].alias("w1"))
-    stats = F.broadcast(stats.select(F.col("lang").alias("sl"), "mean", "q0", "q1"))
+    trusted = df.join(ids, F.col("doc_id") == F.col("tid"), "left_semi")
+    model = train(trusted, folds)
+    seen = cut(trusted.filter("text <> ''").select(*row_key("text")).distinct().select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.lit(True).alias("seen")))
+    if seen.count() <= BROADCAST_IDS:
+        seen = F.broadcast(seen)
+    t1, t2 = row_key("text")
+    df = df.withColumns({"t1": t1, "t2": t2}).join(seen, (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")), "left")
+    df = df.select("doc_id", "lang", "text", F.when(F.col("seen"), fold_of("text", folds)).otherwise(folds).alias("m"))
+    scored = None
+    for m in range(folds + 1):
+        part = cut(score(df.filter(F.col("m") == m).drop("m"), model.filter(F.col("m") == m), broadcast_model))
+        scored = part if scored is None else scored.unionByName(part)
+    scored = scored.join(ids, F.col("doc_id") == F.col("tid"), "left").drop("tid")
+    good = scored.filter("trusted AND chars > 0").select("lang", "logp", "chars")
+    sums = [F.sum("logp").alias("lp"), F.sum("chars").alias("ch")]
+    langs = F.broadcast(good.groupBy(F.col("lang").alias("ml")).agg(*sums))
+    scale = F.sqrt(F.least("chars", F.lit(most_chars)))
+    others = (F.col("lp") - F.col("logp")) / F.nullif(F.col("ch") - F.col("chars"), F.lit(0))
+    dev = ((F.col("logp") / F.col("chars") - others) * scale).alias("dev")
+    z, few = NormalDist().inv_cdf(1 - quantile), F.col("n") * F.lit(quantile) < 1
+    spread = [F.percentile_approx("dev", F.lit(quantile), F.lit(100_000)).alias("p0"), F.percentile_approx("dev", F.lit(1 - quantile), F.lit(100_000)).alias("p1")]
+    spread += [F.avg("dev").alias("mu"), F.stddev("dev").alias("sd"), F.count("dev").alias("n")]
+    far = z * F.col("sd") * F.sqrt(1 + 1 / F.col("n"))
+    ends = lambda low, high: [F.when(few, F.least("p0", F.col("mu") - far)).otherwise(F.col("p0")).alias(low), F.when(few, F.greatest("p1", F.col("mu") + far)).otherwise(F.col("p1")).alias(high)]
+    own = cut(good.join(langs, F.col("lang").eqNullSafe(F.col("ml"))).select("lang", dev))
+    pool = F.broadcast(own.agg(*spread).select(*ends("a0", "a1")))
+    stats = own.groupBy("lang").agg(*spread).select("lang", few.alias("few"), *ends("q0", "q1")).crossJoin(pool)
+    stats = stats.select(F.col("lang").alias("sl"), F.when(F.col("few"), F.least("q0", "a0")).otherwise(F.col("q0")).alias("q0"), F.when(F.col("few"), F.greatest("q1", "a1")).otherwise(F.col("q1")).alias("q1"))
+    stats = F.broadcast(stats.join(langs, F.col("sl").eqNullSafe(F.col("ml"))).select("sl", (F.col("lp") / F.col("ch")).alias("mean"), "q0", "q1"))
+    total = F.broadcast(good.agg(*sums))
+    whole = good.crossJoin(total).select(dev).agg(*spread).select(*ends("w0", "w1")).crossJoin(total.select((F.col("lp") / F.col("ch")).alias("mean0")))
     df = scored.join(stats, F.col("lang").eqNullSafe(F.col("sl")), "left").crossJoin(F.broadcast(whole))
-    df = df.withColumns({"mean": F.coalesce("mean", "mean0"), "q0": F.coalesce("q0", "w0"), "q1": F.coalesce("q1", "w1")})
-    wide = margin * (F.col("q1") - F.col("q0"))
+    df = df.withColumns({"mean": F.coalesce("mean", "mean0"), "low": F.coalesce("q0", "w0"), "high": F.coalesce("q1", "w1")})
+    dev = (F.col("logp") / F.col("chars") - F.col("mean")) * scale
     return df.select(
         "doc_id",
         "lang",
         F.when(F.col("chars") > 0, F.pow(F.lit(2.0), -F.col("logp") / F.col("chars"))).alias("perplexity"),
         F.when(F.col("chars") > 0, dev).alias("deviation"),
-        (F.col("q0") - wide).alias("low"),
-        (F.col("q1") + wide).alias("high"),
-        F.when(F.col("chars") == 0, False).otherwise(F.coalesce(dev.between(F.col("q0") - wide, F.col("q1") + wide), F.lit(True))).alias("keep"),
+        "low",
+        "high",
+        F.when(F.col("chars") == 0, False).otherwise(F.coalesce(dev.between(F.col("low"), F.col("high")), F.lit(True))).alias("keep"),
     )
 
 
