@@ -18,6 +18,8 @@ BROADCAST_IDS = 2_000_000
 #: shards by joins.
 BROADCAST_MODEL = 3_000_000
 HELD = 4_000_000
+#: What a verdict depends on.
+ROW = ("doc_id", "text", "lang")
 #: Trusted texts are scored by models that leave out their part of so many.
 FOLDS = 5
 
@@ -237,6 +239,11 @@ def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.0
     aren't kept. Without two trusted texts, all others are kept. Repeated rows and null ids are scored like others.
     Other columns aren't read.
     """
+    return _judge(docs, trusted_ids, quantile, most_chars, broadcast_model, folds).drop("r1", "r2")
+
+
+def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, broadcast_model: int = BROADCAST_MODEL, folds: int = FOLDS) -> DataFrame:
+    """judge_quality() with r1, r2: row_key() of doc_id, text and lang. Rows equal in these have one verdict."""
     ids = trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -248,7 +255,8 @@ def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.0
         seen = F.broadcast(seen)
     t1, t2 = row_key("text")
     df = df.withColumns({"t1": t1, "t2": t2}).join(seen, (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")), "left")
-    df = df.select("doc_id", "lang", "text", F.when(F.col("seen"), fold_of("text", folds)).otherwise(folds).alias("m"))
+    r1, r2 = row_key(*ROW)
+    df = df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2"), F.when(F.col("seen"), fold_of("text", folds)).otherwise(folds).alias("m"))
     scored = None
     for m in range(folds + 1):
         part = cut(score(df.filter(F.col("m") == m).drop("m"), model.filter(F.col("m") == m), broadcast_model))
@@ -276,6 +284,8 @@ def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.0
     df = df.withColumns({"mean": F.coalesce("mean", "mean0"), "low": F.coalesce("q0", "w0"), "high": F.coalesce("q1", "w1")})
     dev = (F.col("logp") / F.col("chars") - F.col("mean")) * scale
     return df.select(
+        "r1",
+        "r2",
         "doc_id",
         "lang",
         F.when(F.col("chars") > 0, F.pow(F.lit(2.0), -F.col("logp") / F.col("chars"))).alias("perplexity"),
@@ -291,10 +301,10 @@ def trusted_documents(spark, sf_dir) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judge_quality() keeps; all columns. Rows of one doc_id are kept together."""
-    judged = judge_quality(docs, trusted_ids, **options)
-    bad = judged.filter("NOT keep").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs that judge_quality() keeps, each by its own verdict; all columns, whatever their names."""
+    bad = _judge(docs, trusted_ids, **options).filter("NOT keep").select(F.col("r1").alias("b1"), F.col("r2").alias("b2")).distinct()
+    key = docs.select(F.struct("*").alias("row"), *ROW).select("row", *row_key(*ROW))
+    return key.join(bad, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")), "left_anti").select("row.*")
 
 
 def op8_quality(spark, sf_dir):

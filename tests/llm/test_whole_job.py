@@ -17,3 +17,15 @@ def test_unseen_clean_texts_of_a_small_language_stay(spark):
     got = {r.doc_id: r.keep for r in quality.judge_quality(df, ids).collect()}
     assert sum(got[i] for i in range(40)) == 40 and sum(got[i] for i in range(40, 240)) >= 196
     assert not any(got[900 + i] for i in range(5))
+
+
+def test_rows_of_one_id_go_by_their_own_verdict(spark):
+    rnd = random.Random(12)
+    docs = [(i, words_of(rnd, 60), "en", 0) for i in range(60)] + [(None, words_of(rnd, 60), "en", 1), (None, None, "en", 2), (None, "#$%! XQZ " * 30, "en", 3), (7, "#$%! XQZ " * 30, "en", 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, k1 int")
+    ids = spark.createDataFrame([(i,) for i in range(60) if i != 7], "doc_id long")
+    kept = quality.keep_good(df, ids)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert [r.k1 for r in got if r.doc_id is None] == [1]
+    assert [r.k1 for r in got if r.doc_id == 7] == [0]
