@@ -41,19 +41,55 @@ def windows_of(template: str, width: int, least_literal: int = 0) -> Column:
     return F.expr(f"if(size({template}) >= {width}, {made}, array())")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_share: float = 0.5) -> DataFrame:
+def _raw(tokens: str) -> Column:
+    """The tokens without the marks of names, which depend on the word before."""
+    return F.expr(f"transform({tokens}, x -> replace(x, '{NAME}', ''))")
+
+
+def _whole_items(texts: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
+    """Rows of contaminated() for items without windows of their own, which are found as a whole or not at all.
+
+    An item is looked up by its first `width` tokens (all, if fewer) and then compared to its end: the raw tokens, or,
+    if it has three plain words, its template, in which a value must stand for one value. None without such items.
+    """
+    short = cut(items.filter("size(bw) = 0 AND size(bp) > 0").select("item_id", "bp", "bt", _raw("bt").alias("br")))
+    ways = short.withColumn("exact", F.explode(F.expr("if(size(filter(bp, t -> NOT startswith(t, '<'))) >= 3, array(true, false), array(true))")))
+    ways = ways.withColumn("w", F.least(F.size("bp"), F.lit(width)))
+    ways = ways.withColumn("h", F.expr("xxhash64(exact, w, slice(if(exact, br, bp), 1, w))"))
+    kinds = sorted(tuple(r) for r in ways.select("exact", "w").distinct().collect())
+    if not kinds:
+        return None
+    anchors = ways.select("item_id", "exact", "h")
+    if anchors.count() <= BROADCAST_WINDOWS:
+        anchors = F.broadcast(anchors)
+    tokens = lambda df: df.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("dt")).select("*", template_of("dt").alias("dp"), _raw("dt").alias("dr"))
+    at = [f"if(size(dp) >= {w}, transform(sequence(1, size(dp) - {w - 1}), i -> named_struct('h', xxhash64({exact}, {w}, slice({'dr' if exact else 'dp'}, i, {w})), 'at', i)), array())" for exact, w in kinds]
+    placed = tokens(texts).select("k1", "k2", F.explode(F.concat(*[F.expr(x) for x in at])).alias("x")).select("k1", "k2", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+    likely = cut(placed.join(anchors, "h").groupBy("k1", "k2", "item_id").agg(F.collect_set(F.struct("exact", "at")).alias("places")))
+    sources = tokens(texts.join(likely.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    df = likely.join(sources, ["k1", "k2"]).join(short, "item_id")
+    pairs = "array_distinct(filter(transform(bp, (t, j) -> named_struct('b', concat(t, bt[j]), 'd', concat(t, get(dt, p.at + j - 1)))), x -> startswith(x.b, '<')))"
+    df = df.withColumn("copied", F.expr("exists(places, p -> p.exact AND slice(dr, p.at, size(br)) = br)"))
+    df = df.withColumn("held", F.expr(f"exists(places, p -> NOT p.exact AND slice(dp, p.at, size(bp)) = bp AND size(array_distinct(transform({pairs}, x -> x.b))) = size({pairs}))"))
+    df = df.filter("copied OR held").groupBy("k1", "k2", "doc_id", "item_id").agg(F.bool_and(~F.col("copied")).alias("changed"))
+    return df.select("k1", "k2", "doc_id", "item_id", F.lit(1).cast("long").alias("windows"), F.lit(1.0).alias("share"), "changed")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_share: float = 0.5, least_run: int = 16) -> DataFrame:
     """(k1, k2, doc_id, item_id, windows, share, changed): the documents that hold a benchmark item.
 
     Texts become templates, in which numbers, names and units are placeholders. Equal windows of `width` tokens
     meet by a hash join. Windows of one offset between document and item are one alignment; in it each value of
     the item's placeholders must stand for one value of the document, or else it doesn't count. share is the part
-    of the item's windows found in such alignments; least_share of them makes a row. changed: some value differs,
-    so the question was given other parameters. Windows with fewer than three plain words don't count, and items
-    without any other don't take part. k1, k2 name the document's id and text: repeated rows give one row. Null
+    of the item's windows found in such alignments; least_share of them makes a row, and so do least_run windows of
+    one alignment, however long the item. changed: some value differs, so the question was given other parameters.
+    Windows with fewer than three plain words don't count; items without any other, also those shorter than a
+    window, are found as a whole (see _whole_items), with windows and share 1. k1, k2 name the document's id and text: repeated rows give one row. Null
     ids of documents are kept; null and empty texts and items match nothing. Other columns aren't read.
     """
     items = benchmark.filter("text IS NOT NULL").select("item_id", tokens_of(F.col("text")).alias("bt")).distinct()
-    items = cut(items.select("item_id", "bt", template_of("bt").alias("bp")).withColumn("bw", windows_of("bp", width, min(3, width))).filter("size(bw) > 0"))
+    every = cut(items.select("item_id", "bt", template_of("bt").alias("bp")).withColumn("bw", windows_of("bp", width, min(3, width))))
+    items = every.filter("size(bw) > 0")
     windows = items.select("item_id", F.explode("bw").alias("w")).select("item_id", F.col("w.h").alias("h"), F.col("w.at").alias("b_at"))
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
@@ -64,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     sizes = items.select("item_id", F.size("bw").alias("n"))
     total = F.sum(F.size("places"))
     likely = hits.join(sizes, "item_id").groupBy("k1", "k2", "item_id").agg(total.alias("found"), F.first("n").alias("n"), F.collect_list(F.struct("shift", "places")).alias("shifts"))
-    likely = cut(likely.filter(F.col("found") >= F.lit(least_share) * F.col("n")).drop("found"))
+    likely = cut(likely.filter((F.col("found") >= F.lit(least_share) * F.col("n")) | F.exists("shifts", lambda x: F.size(x.places) >= least_run)).drop("found"))
     keys = likely.select("k1", "k2").distinct()
     sources = texts.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("dt"))
     df = likely.join(sources, ["k1", "k2"]).join(items.select("item_id", "bt", "bp"), "item_id")
@@ -74,9 +110,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
         j -> named_struct('b', concat(bp[j - 1], bt[j - 1]), 'd', concat(bp[j - 1], dt[j + shift - 1]))))""")
     df = df.withColumn("slots", slots).withColumn("holds", F.expr("size(array_distinct(transform(slots, x -> x.b))) = size(slots)"))
     df = df.filter("holds").groupBy("k1", "k2", "doc_id", "item_id", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.max(F.exists("slots", lambda x: x.b != x.d)).alias("changed")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.max(F.exists("slots", lambda x: x.b != x.d)).alias("changed"), F.max(F.size("places")).alias("run")
     )
-    return df.select("k1", "k2", "doc_id", "item_id", "windows", (F.col("windows") / F.col("n")).alias("share"), "changed").filter(F.col("share") >= least_share)
+    df = df.withColumn("share", F.col("windows") / F.col("n")).filter((F.col("share") >= least_share) | (F.col("run") >= least_run))
+    df = df.select("k1", "k2", "doc_id", "item_id", "windows", "share", "changed")
+    whole = _whole_items(texts, every, width)
+    return df if whole is None else df.unionByName(whole)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from postwright.llm import quality
+from postwright.llm import decontaminate, quality
 
 
 def words_of(rnd, n):
@@ -29,3 +29,13 @@ def test_rows_of_one_id_go_by_their_own_verdict(spark):
     got = kept.collect()
     assert [r.k1 for r in got if r.doc_id is None] == [1]
     assert [r.k1 for r in got if r.doc_id == 7] == [0]
+
+
+def test_short_and_numeric_items_and_long_excerpts_are_found(spark):
+    rnd = random.Random(13)
+    long = words_of(rnd, 80)
+    items = [(1, "Name three primes"), (2, "12 km + 7 km = 19 km, 30 kg"), (3, "Add 3 apples today"), (4, long), (5, "?!"), (6, "12 km + 7 km = 19 km, 31 kg")]
+    docs = [(1, "We ask: Name three primes and go on"), (2, "so 12 km + 7 km = 19 km, 30 kg is it"), (3, "Please add 5 apples today again"), (4, words_of(rnd, 30) + " " + " ".join(long.split()[10:35]) + " " + words_of(rnd, 30)), (5, words_of(rnd, 50)), (6, "Name four primes"), (7, "?!"), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed) for r in rows) == [(1, 1, False), (2, 2, False), (3, 3, True), (4, 4, False)]
