@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,11 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, used: Iterable[DataFrame] = ()) -> DataFrame:
     """Materialise and cut lineage: a table in the shared checkpoint folder, written once and read again.
 
-    Parquet takes a fraction of the room of a checkpoint, and its sizes help later joins. The tables of an
-    application lie in one folder, which goes when the driver ends.
+    Parquet takes a fraction of the room of a checkpoint, and its sizes help later joins. used: earlier results of
+    cut() that nothing reads after this; their files go. The other tables of an application go when the driver ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -49,8 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)
     folder = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    drop(*used)
+    made = spark.read.schema(df.schema).parquet(folder)
+    made.cut_folder = folder
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of results of cut() that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.cut_folder)
 
 
 def row_key(*cols: str) -> list[Column]:

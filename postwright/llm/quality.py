@@ -8,20 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import cut, row_key, table
-
-ORDER, BITS = 5, 8
-#: A table of trusted ids of at most so many rows is broadcast, a larger one joined by shuffle.
-BROADCAST_IDS = 2_000_000
-#: A model of at most so many rows (16 bytes each) is sent to the workers; for a larger one texts go to the model's
-#: shards by joins.
-BROADCAST_MODEL = 3_000_000
-HELD = 4_000_000
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import cut, drop, row_key, table
+
+#: An n-gram is a long: BITS bits a symbol, the last one lowest; above them the model (from MODEL_AT on) and the
+#: order (from ORDER_AT on).
+ORDER, BITS, MODEL_AT, ORDER_AT = 5, 8, 40, 48
+SYMBOLS_MASK = (1 << MODEL_AT) - 1
+#: Tables of keys, and of languages, of at most so many rows are broadcast, larger ones joined by shuffle.
+BROADCAST_KEYS, BROADCAST_LANGS = 500_000, 20_000
+#: About so many characters are scored by one task.
+BUCKET_CHARS = 16_000_000
+HELD, SLICE = 4_000_000, 1 << 21
 #: What a verdict depends on.
 ROW = ("doc_id", "text", "lang")
-#: Trusted texts are scored by models that leave out their part of so many.
-FOLDS = 5
+#: Texts are parted by hash, and scored by the model that leaves out their own part.
+FOLDS = 2
 
 
 def symbols() -> np.ndarray:
@@ -31,240 +34,284 @@ def symbols() -> np.ndarray:
     out[:32], out[32:127] = 1, np.arange(3, 98)
     out[0xC0:0x100] = np.arange(97, 161)
     out[48:58], out[10] = 2, 160
-    return out.astype(np.int64)
+    return out.astype(np.uint8)
 
 
 SYMBOLS = symbols()
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of all characters of the texts, each with ORDER - 1 starts before it, and each text's length."""
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts in a row, a byte each, and each text's length."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    joined = np.frombuffer(("\0" * (ORDER - 1)).join(["", *[t.replace("\0", " ") for t in texts]]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = np.where(joined == 0, 0, SYMBOLS[joined & 0xFFFF])
-    packed = np.zeros(len(s), dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(points == 0, np.uint8(3), SYMBOLS[points & 0xFFFF]), sizes
+
+
+def grams_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The n-gram that ends at each symbol; before the first of a text stand starts."""
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams = np.zeros(len(codes), dtype=np.int64)
     for back in range(ORDER):
-        packed[back:] |= s[: len(s) - back] << (BITS * back)
-    return packed[joined != 0], sizes
+        grams[back:] |= np.where(place[back:] >= back, codes[: len(codes) - back].astype(np.int64) << (BITS * back), 0)
+    return grams
 
 
-def _slices(texts: list[str], most: int = 1 << 21):
+def _slices(sizes: np.ndarray, most: int = SLICE):
+    """(first, last) of runs of texts that hold about `most` symbols."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
+    for i, n in enumerate(sizes.tolist()):
+        held += n
         if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def _count_batches(batches):
-    keys, counts, held = [], [], 0
+def _column(batch, name: str):
+    return batch.column(batch.schema.get_field_index(name))
 
-    def merged():
-        k, where = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
+def _gram_slices(batch, tag: str):
+    """Arrays of the n-grams of some texts of the batch, each marked with its text's tag."""
+    texts, tags = [t or "" for t in _column(batch, "text").to_pylist()], _column(batch, tag).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in _slices(np.array([len(t) for t in texts], dtype=np.int64)):
+        codes, sizes = symbols_of(texts[a:b])
+        yield grams_of(codes, sizes) | np.repeat(tags[a:b], sizes) << MODEL_AT
+
+
+def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    k, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def _count_batches(batches):
+    """(x, c): the n-grams of each fold with their counts, merged as far as memory allows."""
+    keys, counts, held = [], [], 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in _slices(texts):
-            grams, sizes = grams_of(texts[a:b])
-            k, n = np.unique(grams | np.repeat(folds[a:b], sizes) << (BITS * ORDER), return_counts=True)
+        for grams in _gram_slices(batch, "fold"):
+            k, n = np.unique(grams, return_counts=True)
             keys.append(k)
             counts.append(n)
             held += len(k)
             if held > HELD:
-                k, n = merged()
+                k, n = _merged(keys, counts)
                 keys, counts, held = [k], [n], len(k)
                 if held > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["g", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["x", "c"])
                     keys, counts, held = [], [], 0
     if keys:
-        k, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["g", "c"])
-
-
-def discounts(counts: DataFrame, models: int) -> list[list[float]]:
-    """D1, D2, D3+ of each model from its numbers of n-grams with counts 1 to 4 (Chen and Goodman); 0.5, 1, 1.5 where undefined."""
-    found = {n.m: n for n in counts.groupBy("m").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()}
-    out = []
-    for m in range(models):
-        n = found.get(m)
-        if n is None or not (n.n1 and n.n2):
-            out.append([0.5, 1.0, 1.5])
-            continue
-        y = n.n1 / (n.n1 + 2 * n.n2)
-        d = [1 - 2 * y * n.n2 / n.n1, 2 - 3 * y * n.n3 / n.n2, 3 - 4 * y * n.n4 / n.n3 if n.n3 else 1.5]
-        out.append([min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)])
-    return out
+        k, n = _merged(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["x", "c"])
 
 
 def fold_of(text: str, folds: int) -> Column:
     """The part that a text belongs to, by its hash: copies of a text are held out together."""
-    return F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
+
+
+def _key(x: str, order: str) -> str:
+    """SQL for the key of the last `order` symbols of n-gram x: they, its model and the order."""
+    return f"({x} & (shiftleft(1L, cast({order} * {BITS} AS int)) - 1)) | ({x} & {7 << MODEL_AT}) | shiftleft(cast({order} AS long), {ORDER_AT})"
+
+
+def _context(key: str) -> str:
+    """SQL for a key without its last symbol."""
+    return f"shiftright({key} & {SYMBOLS_MASK}, {BITS}) | ({key} & {~SYMBOLS_MASK})"
+
+
+def count_orders(trusted: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(key, c): the n-grams of all orders in each model; model m leaves out the texts of fold m.
+
+    The highest order counts occurrences, a lower one in how many contexts an n-gram was seen.
+    """
+    texts = trusted.filter("text <> ''").select("text", fold_of("text", folds).alias("fold"))
+    counts = texts.mapInArrow(_count_batches, "x bigint, c bigint").groupBy("x").agg(F.sum("c").alias("c"))
+    others = F.expr(f"explode(filter(sequence(0L, {folds - 1}L), m -> m <> shiftright(x, {MODEL_AT})))")
+    counts = counts.select("x", "c", others.alias("m")).groupBy(F.expr(f"(x & {SYMBOLS_MASK}) | shiftleft(m, {MODEL_AT})").alias("x")).agg(F.sum("c").alias("c"))
+    counts = cut(counts)
+    longer = counts.select(F.expr(f"explode(transform(sequence(1, {ORDER - 1}), k -> named_struct('k', k, 'x', {_key('x', '(k + 1)')})))").alias("y")).distinct()
+    lower = longer.groupBy(F.expr(_key("y.x", "y.k")).alias("key")).agg(F.count("*").alias("c"))
+    return cut(counts.select(F.expr(_key("x", str(ORDER))).alias("key"), "c").unionByName(lower), used=[counts])
+
+
+def discounts(orders: DataFrame) -> Column:
+    """array(D1, D2, D3+) of a key's order and model, from how many n-grams have counts 1 to 4 (Chen and Goodman)."""
+    out = F.array(*[F.lit(x) for x in (0.5, 1.0, 1.5)])
+    kind = F.expr(f"shiftright(key, {MODEL_AT})")
+    for n in orders.filter("c < 5").groupBy(kind.alias("kind")).agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect():  # ORDER * folds rows
+        if n.n1 and n.n2:
+            y = n.n1 / (n.n1 + 2 * n.n2)
+            d = [1 - 2 * y * n.n2 / n.n1, 2 - 3 * y * n.n3 / n.n2, 3 - 4 * y * n.n4 / n.n3 if n.n3 else 1.5]
+            out = F.when(kind == n.kind, F.array(*[F.lit(min(max(x, 0.05), i + 0.95)) for i, x in enumerate(d)])).otherwise(out)
+    return out
 
 
-def train(trusted: DataFrame, folds: int = 0) -> DataFrame:
-    """(m, ord, ctx, g, v): v is log2 p(g) of each seen n-gram, or with ctx the log2 weight of a context's back-off.
+def log_probabilities(grams: DataFrame, orders: DataFrame) -> DataFrame:
+    """(x, lp): log2 p of the last symbol of each distinct n-gram x, given the others.
 
-    Model m = folds is that of all texts, each m below leaves out the texts of fold m. Counts of the highest order
-    are those of the text; a lower order counts in how many contexts an n-gram was seen. Texts are counted once, by
-    fold; counts are sharded by n-gram, and meet their contexts and suffixes by joins.
+    p = max(c - D, 0) / total + off / total * p of the n-gram without its first symbol, order by order down to a
+    uniform p. All orders meet their counts in one join, and the sums of their contexts in another.
     """
-    whole = (1 << (BITS * ORDER)) - 1
-    texts = trusted.filter("text <> ''").select("text", (fold_of("text", folds) if folds else F.lit(1)).alias("fold"))
-    parted = texts.mapInArrow(_count_batches, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    parted = parted.select(F.col("g").bitwiseAND(F.lit(whole)).alias("g"), F.shiftright("g", BITS * ORDER).cast("int").alias("fold"), "c")
-    parted = parted.select("g", "c", F.explode(F.expr(f"filter(sequence(0, {folds}), m -> m <> fold)")).alias("m"))
-    counts = cut(parted.groupBy("m", "g").agg(F.sum("c").alias("c")))
-    orders = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        mask = (1 << (BITS * k)) - 1
-        orders[k] = orders[k + 1].groupBy("m", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
-    parts, lower = [], None
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = (F.element_at(F.array(*[F.lit(x) for x in d]), F.col("m") + 1) for d in zip(*discounts(orders[k], folds + 1), strict=True))
-        df = orders[k].withColumn("h", F.shiftright("g", BITS)).withColumn("s", F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
-        df = df.withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        ctx = df.groupBy("m", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
-        df = df.join(ctx, ["m", "h"])
-        below = F.lit(1.0 / (1 << BITS))
-        if lower is not None:
-            df = df.join(lower, ["m", "s"])
-            below = F.col("pl")
-        df = df.select("m", "g", ((F.col("c") - F.col("d") + F.col("off") * below) / F.col("total")).alias("p"))
-        df = cut(df)
-        lower = df.select("m", F.col("g").alias("s"), F.col("p").alias("pl"))
-        parts.append(df.select("m", F.lit(k).alias("ord"), F.lit(False).alias("ctx"), "g", F.log2("p").alias("v")))
-        parts.append(ctx.select("m", F.lit(k).alias("ord"), F.lit(True).alias("ctx"), F.col("h").alias("g"), F.log2(F.col("off") / F.col("total")).alias("v")))
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    return cut(model)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return (keys[at] == wanted, values[at]) if len(keys) else (np.zeros(len(wanted), bool), np.zeros(len(wanted)))
-
-
-def _score_batches(model):
+    kept = F.get("d", F.least("c", F.lit(3)) - 1)
+    counted = orders.withColumn("d", discounts(orders)).select("key", F.expr(_context("key")).alias("h"), kept.alias("off"), (F.col("c") - kept).alias("more"), "c")
+    sums = counted.groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("off"))
+    wanted = grams.select("x", F.expr(f"explode(transform(sequence(1, {ORDER}), k -> {_key('x', 'k')}))").alias("key"))
+    parts = wanted.select("key").distinct().join(counted.select("key", "more"), "key", "left").withColumn("h", F.expr(_context("key")))
+    parts = parts.join(sums, "h", "left").select("key", (F.coalesce("more", F.lit(0.0)) / F.col("total")).alias("a"), (F.col("off") / F.col("total")).alias("b"))
+    levels = F.array_sort(F.collect_list(F.struct("key", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(1.0)).alias("b"))))
+    folded = F.aggregate(levels, F.lit(1.0 / (1 << BITS)), lambda p, y: y.a + y.b * p)
+    return wanted.join(parts, "key").groupBy("x").agg(F.log2(folded).alias("lp"))
+
+
+def _packed(buckets: int, names: list[str]):
+    """Rows (bucket, codes, rows): the symbols of a batch's texts of one bucket, and lists of their columns."""
+
     def run(batches):
-        tables = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            total, sizes = np.zeros(len(texts)), np.array([len(t) for t in texts], dtype=np.int64)
-            for a, b in _slices(texts):
-                grams, n = grams_of(texts[a:b])
-                unique, where = np.unique(grams, return_inverse=True)
-                logp, live, left = np.zeros(len(unique)), np.arange(len(unique)), unique
-                for k in range(ORDER, 0, -1):
-                    seen, v = _lookup(*tables[k, False], left)
-                    logp[live[seen]] += v[seen]
-                    live, left = live[~seen], left[~seen]
-                    known, w = _lookup(*tables[k, True], left >> BITS)
-                    logp[live] += np.where(known, w, 0.0)
-                    left = left & ((1 << (BITS * (k - 1))) - 1)
-                logp[live] -= BITS
-                total[a:b] = np.bincount(np.repeat(np.arange(b - a), n), weights=logp[where], minlength=b - a)
-            rest = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(total), pa.array(sizes)], [*[batch.schema.field(i).name for i in rest], "logp", "chars"])
+            texts = [t or "" for t in _column(batch, "text").to_pylist()]
+            r1 = _column(batch, "r1").to_numpy(zero_copy_only=False)
+            buckets_of = (r1.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            for b in np.unique(buckets_of):
+                at = np.flatnonzero(buckets_of == b)
+                codes, sizes = symbols_of([texts[i] for i in at])
+                ends = pa.array([0, len(at)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, _column(batch, n).take(pa.array(at))) for n in names]
+                data = pa.compress(codes.tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(b)], pa.int64()), pa.array([data], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(sizes)), *lists], ["bucket", "codes", "sizes", *names]
+                )
 
     return run
 
 
-def _gram_rows(batches):
+def _unpacked(table):
+    """(sizes, codes, row) of each packed row."""
+    for i in range(table.num_rows):
+        sizes = np.array(table.column("sizes")[i].as_py(), dtype=np.int64)
+        codes = pa.decompress(table.column("codes")[i].as_py(), decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True) if sizes.sum() else b""
+        yield sizes, np.frombuffer(codes, dtype=np.uint8), i
+
+
+def _marked(sizes: np.ndarray, codes: np.ndarray, folds: np.ndarray):
+    """The n-grams of runs of texts, marked with their fold, and the texts' range."""
+    ends = np.r_[0, np.cumsum(sizes)]
+    for a, b in _slices(sizes):
+        yield a, b, grams_of(codes[ends[a] : ends[b]], sizes[a:b]) | np.repeat(folds[a:b], sizes[a:b]) << MODEL_AT
+
+
+def _needed(batches):
+    """(bucket, x): the distinct n-grams of each bucket, but for repeats where a bucket's are too many to hold."""
+    held: dict[int, list] = {}
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        k1, k2 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-        for a, b in _slices(texts):
-            grams, n = grams_of(texts[a:b])
-            doc = np.repeat(np.arange(b - a), n)
-            order = np.lexsort((grams, doc))
-            grams, doc = grams[order], doc[order]
-            at = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])][: len(grams)])
-            yield pa.RecordBatch.from_arrays([pa.array(k1[a:b][doc[at]]), pa.array(k2[a:b][doc[at]]), pa.array(grams[at]), pa.array(np.diff(np.r_[at, len(grams)]))], ["k1", "k2", "g", "n"])
-
-
-def score_by_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(k1, k2, logp, chars) of distinct texts: their n-grams meet the model's shards order by order."""
-    left = docs.select("text", "k1", "k2").dropDuplicates(["k1", "k2"]).mapInArrow(_gram_rows, "k1 bigint, k2 bigint, g bigint, n bigint").withColumn("acc", F.lit(0.0))
-    found = None
-    for k in range(ORDER, 0, -1):
-        grams = model.filter(f"ord = {k} AND NOT ctx").select("g", "v")
-        ctxs = model.filter(f"ord = {k} AND ctx").select(F.col("g").alias("h"), F.col("v").alias("w"))
-        met = left.join(grams, "g", "left")
-        hit = met.filter("v IS NOT NULL").select("k1", "k2", "n", (F.col("acc") + F.col("v")).alias("lp"))
-        found = hit if found is None else found.unionByName(hit)
-        miss = met.filter("v IS NULL").withColumn("h", F.shiftright("g", BITS)).join(ctxs, "h", "left")
-        left = cut(miss.select("k1", "k2", F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("g"), "n", (F.col("acc") + F.coalesce("w", F.lit(0.0))).alias("acc")))
-    found = found.unionByName(left.select("k1", "k2", "n", (F.col("acc") - BITS).alias("lp")))
-    return found.groupBy("k1", "k2").agg(F.sum(F.col("n") * F.col("lp")).alias("logp"), F.sum("n").alias("chars"))
-
-
-def score(docs: DataFrame, model: DataFrame, broadcast_model: int = BROADCAST_MODEL) -> DataFrame:
-    """docs without text, with logp (log2 of the text's probability) and chars (its length)."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["logp double", "chars bigint"])
-    if model.count() > broadcast_model:
-        keyed = docs.withColumns({c: e for c, e in zip(("k1", "k2"), row_key("text"), strict=True)})
-        scored = score_by_joins(keyed, model)
-        out = keyed.drop("text").join(scored, ["k1", "k2"], "left")
-        return out.select(*[f.name for f in rest], F.coalesce("logp", F.lit(0.0)).alias("logp"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
-    rows = model.toArrow()
-    o, c, g, v = (rows.column(n).to_numpy() for n in ("ord", "ctx", "g", "v"))
-    tables = {}
-    for k in range(1, ORDER + 1):
-        for ctx in (False, True):
-            at = np.flatnonzero((o == k) & (c == ctx))
-            at = at[np.argsort(g[at])]
-            tables[k, ctx] = (g[at], v[at])
-    return docs.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(tables)), schema)
-
-
-def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, broadcast_model: int = BROADCAST_MODEL, folds: int = FOLDS) -> DataFrame:
+        rows = pa.Table.from_batches([batch])
+        for sizes, codes, i in _unpacked(rows):
+            own = held.setdefault(rows.column("bucket")[i].as_py(), [])
+            for _, _, grams in _marked(sizes, codes, np.array(rows.column("fold")[i].as_py(), dtype=np.int64)):
+                own.append(np.unique(grams))
+                if sum(map(len, own)) > HELD:
+                    own[:] = [np.unique(np.concatenate(own))]
+    for bucket, own in held.items():
+        x = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+        for start in range(0, len(x), SLICE):
+            part = x[start : start + SLICE]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), pa.array(part)], ["bucket", "x"])
+
+
+def _summed(names: list[str], types: list):
+    def run(left, right):
+        x, lp = (right.column(c).to_numpy() for c in ("x", "lp"))
+        order = np.argsort(x)
+        x, lp, out = x[order], lp[order], []
+        for sizes, codes, i in _unpacked(left):
+            total = np.zeros(len(sizes))
+            for a, b, grams in _marked(sizes, codes, np.array(left.column("fold")[i].as_py(), dtype=np.int64)):
+                if len(grams):
+                    where = np.repeat(np.arange(b - a), sizes[a:b])
+                    total[a:b] = np.bincount(where, weights=lp[np.searchsorted(x, grams)], minlength=b - a)
+            columns = [left.column(n)[i].values.cast(t) for n, t in zip(names, types, strict=True)]
+            out.append(pa.Table.from_arrays([*columns, pa.array(total), pa.array(sizes)], [*names, "logp", "chars"]))
+        empty = pa.schema([*zip(names, types, strict=True), ("logp", pa.float64()), ("chars", pa.int64())]).empty_table()
+        return pa.concat_tables(out) if out else empty
+
+    return run
+
+
+def score(docs: DataFrame, orders: DataFrame, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """docs (text, r1, and others) without text, with logp (log2 of the text's probability) and chars (its length).
+
+    Texts are dealt to buckets of about bucket_chars characters by the hash r1. A bucket asks for the probabilities
+    of its distinct n-grams, which the model's shards send, and sums them up for each text: neither texts nor a
+    model ever lie whole in one place, and the rows exchanged grow with the texts.
+    """
+    spark = docs.sparkSession
+    docs = docs.withColumn("fold", fold_of("text", folds))
+    names = [c for c in docs.columns if c != "text"]
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_chars))
+    grams = cut(docs.select("text", "fold").mapInArrow(_distinct_grams, "x bigint").distinct())
+    lps = cut(log_probabilities(grams, orders), used=[grams])
+    schema = "bucket bigint, codes binary, sizes array<bigint>, " + ", ".join(f"`{n}` array<{kinds[n].simpleString()}>" for n in names)
+    packed = docs.mapInArrow(_packed(buckets, names), schema).repartition(buckets, "bucket")
+    asked = packed.mapInArrow(_needed, "bucket bigint, x bigint").join(lps, "x")
+    out = ", ".join([f"`{n}` {kinds[n].simpleString()}" for n in names] + ["logp double", "chars bigint"])
+    types = [to_arrow_type(kinds[n]) for n in names]
+    found = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_summed(names, types), out)
+    return cut(found.drop("fold"), used=[lps])
+
+
+def _distinct_grams(batches):
+    """(x): the n-grams of the texts, distinct as far as memory allows."""
+    own, held = [], 0
+    for batch in batches:
+        for grams in _gram_slices(batch, "fold"):
+            own.append(np.unique(grams))
+            held += len(own[-1])
+            if held > HELD:
+                x = np.unique(np.concatenate(own))
+                own, held = [x], len(x)
+                if held > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x)], ["x"])
+                    own, held = [], 0
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], ["x"])
+
+
+def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, lang, perplexity (per character), deviation, low, high, keep: a row for each row of docs.
 
     trusted_ids (doc_id) names the rows whose texts train the model; all of them are counted, and every row is
-    scored on its whole text. Trusted texts and their copies are scored by a model without their fold, so their
-    scores are like those of unseen texts. A text's mean log2 p is compared with the mean of its language's trusted
-    texts (the others, where it is one of them); times sqrt(min(chars, most_chars)) the difference spreads alike at
-    all lengths. keep: the deviation lies within the language's quantiles (quantile, 1 - quantile) of trusted
-    texts. Fewer than 1 / quantile texts don't show such quantiles: then the ends reach as far as those of a normal
-    distribution, and as those of all languages' deviations from their own means. Languages without trusted text
-    are compared with the mean of all; a null language is one of its own. Both ends count: symbols and shouting are
-    unlikely, and repetition strays further than its length allows. Null and empty texts have a null perplexity and
-    aren't kept. Without two trusted texts, all others are kept. Repeated rows and null ids are scored like others.
-    Other columns aren't read.
+    scored on its whole text. Every text, trusted or not, is scored by the model without its fold (by hash of the
+    text), so trusted texts score like unseen ones, and copies of a trusted text like it. A text's mean log2 p is
+    compared with the mean of its language's trusted texts (the others, where it is one of them); times
+    sqrt(min(chars, most_chars)) the difference spreads alike at all lengths. keep: the deviation lies within the
+    language's quantiles (quantile, 1 - quantile) of trusted texts. Fewer than 1 / quantile texts don't show such
+    quantiles: then the ends reach as far as those of a normal distribution, and as those of all languages'
+    deviations from their own means. Languages without trusted text are compared with the mean of all; a null
+    language is one of its own. Both ends count: symbols and shouting are unlikely, and repetition strays further
+    than its length allows. Null and empty texts have a null perplexity and aren't kept. Without two trusted texts,
+    all others are kept. Repeated rows and null ids are scored like others. Other columns aren't read.
     """
-    return _judge(docs, trusted_ids, quantile, most_chars, broadcast_model, folds).drop("r1", "r2")
+    return _judge(docs, trusted_ids, quantile, most_chars, folds, bucket_chars).drop("r1", "r2")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, broadcast_model: int = BROADCAST_MODEL, folds: int = FOLDS) -> DataFrame:
+def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """judge_quality() with r1, r2: row_key() of doc_id, text and lang. Rows equal in these have one verdict."""
-    ids = trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _small(cut(trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct()).withColumn("trusted", F.lit(True)), BROADCAST_KEYS)
     df = docs.select("doc_id", "lang", "text")
-    trusted = df.join(ids, F.col("doc_id") == F.col("tid"), "left_semi")
-    model = train(trusted, folds)
-    seen = cut(trusted.filter("text <> ''").select(*row_key("text")).distinct().select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.lit(True).alias("seen")))
-    if seen.count() <= BROADCAST_IDS:
-        seen = F.broadcast(seen)
-    t1, t2 = row_key("text")
-    df = df.withColumns({"t1": t1, "t2": t2}).join(seen, (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")), "left")
+    orders = count_orders(df.join(ids, F.col("doc_id") == F.col("tid"), "left_semi"), folds)
     r1, r2 = row_key(*ROW)
-    df = df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2"), F.when(F.col("seen"), fold_of("text", folds)).otherwise(folds).alias("m"))
-    scored = None
-    for m in range(folds + 1):
-        part = cut(score(df.filter(F.col("m") == m).drop("m"), model.filter(F.col("m") == m), broadcast_model))
-        scored = part if scored is None else scored.unionByName(part)
+    scored = score(df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2")), orders, folds, bucket_chars)
+    drop(orders)
     scored = scored.join(ids, F.col("doc_id") == F.col("tid"), "left").drop("tid")
     good = scored.filter("trusted AND chars > 0").select("lang", "logp", "chars")
     sums = [F.sum("logp").alias("lp"), F.sum("chars").alias("ch")]
-    langs = F.broadcast(good.groupBy(F.col("lang").alias("ml")).agg(*sums))
+    langs = _small(cut(good.groupBy(F.col("lang").alias("ml")).agg(*sums)), BROADCAST_LANGS)
     scale = F.sqrt(F.least("chars", F.lit(most_chars)))
     others = (F.col("lp") - F.col("logp")) / F.nullif(F.col("ch") - F.col("chars"), F.lit(0))
     dev = ((F.col("logp") / F.col("chars") - others) * scale).alias("dev")
@@ -277,7 +324,7 @@ def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, mos
     pool = F.broadcast(own.agg(*spread).select(*ends("a0", "a1")))
     stats = own.groupBy("lang").agg(*spread).select("lang", few.alias("few"), *ends("q0", "q1")).crossJoin(pool)
     stats = stats.select(F.col("lang").alias("sl"), F.when(F.col("few"), F.least("q0", "a0")).otherwise(F.col("q0")).alias("q0"), F.when(F.col("few"), F.greatest("q1", "a1")).otherwise(F.col("q1")).alias("q1"))
-    stats = F.broadcast(stats.join(langs, F.col("sl").eqNullSafe(F.col("ml"))).select("sl", (F.col("lp") / F.col("ch")).alias("mean"), "q0", "q1"))
+    stats = _small(stats.join(langs, F.col("sl").eqNullSafe(F.col("ml"))).select("sl", (F.col("lp") / F.col("ch")).alias("mean"), "q0", "q1"), BROADCAST_LANGS)
     total = F.broadcast(good.agg(*sums))
     whole = good.crossJoin(total).select(dev).agg(*spread).select(*ends("w0", "w1")).crossJoin(total.select((F.col("lp") / F.col("ch")).alias("mean0")))
     df = scored.join(stats, F.col("lang").eqNullSafe(F.col("sl")), "left").crossJoin(F.broadcast(whole))
@@ -302,7 +349,7 @@ def trusted_documents(spark, sf_dir) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The rows of docs that judge_quality() keeps, each by its own verdict; all columns, whatever their names."""
-    bad = _judge(docs, trusted_ids, **options).filter("NOT keep").select(F.col("r1").alias("b1"), F.col("r2").alias("b2")).distinct()
+    bad = _small(cut(_judge(docs, trusted_ids, **options).filter("NOT keep").select(F.col("r1").alias("b1"), F.col("r2").alias("b2")).distinct()), BROADCAST_KEYS)
     key = docs.select(F.struct("*").alias("row"), *ROW).select("row", *row_key(*ROW))
     return key.join(bad, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")), "left_anti").select("row.*")
 
