@@ -57,12 +57,35 @@ def cut(df: DataFrame, used: Iterable[DataFrame] = ()) -> DataFrame:
     return made
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, else joined by shuffle. It is counted: cut() it before."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of results of cut() that nothing reads any more."""
     for df in tables:
         _remove(df.sparkSession, df.cut_folder)
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, share: float = 1 / 2000) -> DataFrame:
+    """left joined with right, where no task gets all rows of one key.
+
+    Keys with more than `share` of left's rows, of which there are fewer than 1 / share, are split: left's rows go
+    to parts by hash, and right's are copied to each part. n names a column of right with the number of left's rows
+    of a key (right then has a row for each); else the rows of `counted` (None: left) are counted. What is counted is
+    read twice: cut() it before.
+    """
+    counts = right.select(*on, F.col(n).alias("n")) if n else (counted or left).groupBy(*on).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(1.0, total * share)
+    hot = F.broadcast(counts.filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    left = left.withColumn("salt", F.xxhash64(*left.columns)).join(hot, on, "left").withColumn("salt", F.pmod("salt", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = right.join(hot, on, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    return left.join(right, [*on, "salt"]).select(*columns)
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes of the columns, never null: equal rows get equal keys, whatever their ids."""
     return [
@@ -71,21 +94,28 @@ def row_key(*cols: str) -> list[Column]:
     ]
 
 
-def spans_of(hits: str, gaps: str) -> Column:
+def bound(value: str, name: str, body: str) -> str:
+    """SQL for body with name standing for value, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def spans_of(hits: str, gaps: str, chunk: int = 512) -> Column:
     """array<struct<s,e,h,g>> of the hits of a pattern from its matches and the pieces between them.
 
     hits is regexp_extract_all(text, p, 0) and gaps split(text, p, -1): the i-th hit starts after i + 1 gaps and
-    i hits. Offsets count code points, ends are exclusive; g is the end of the gap before the hit.
+    i hits. Offsets count code points, ends are exclusive; g is the whole gap before the hit. Sums run within
+    chunks of hits, and over chunks, so that no array is copied for each hit.
     """
-    return F.expr(f"""aggregate(
-        zip_with(slice({gaps}, 1, size({hits})), {hits}, (a, b) ->
-            named_struct('g', char_length(a), 'n', char_length(b), 'h', b, 'left', right(a, 80))),
-        cast(named_struct('p', 0, 'o', array())
-             as struct<p: int, o: array<struct<s: int, e: int, h: string, g: string>>>),
-        (acc, x) -> named_struct(
-            'p', acc.p + x.g + x.n,
-            'o', array_append(acc.o, named_struct('s', acc.p + x.g, 'e', acc.p + x.g + x.n, 'h', x.h, 'g', x.left))),
-        acc -> acc.o)""")
+    parts = f"zip_with(slice({gaps}, 1, size({hits})), {hits}, (a, b) -> named_struct('a', char_length(a), 'n', char_length(b), 'h', b, 'g', a))"
+    chunks = f"transform(sequence(0, (size(parts) - 1) div {chunk}), i -> slice(parts, i * {chunk} + 1, {chunk}))"
+    starts = """aggregate(chunks, named_struct('p', 0, 'o', cast(array() as array<int>)),
+        (acc, c) -> named_struct('p', acc.p + aggregate(c, 0, (t, x) -> t + x.a + x.n), 'o', array_append(acc.o, acc.p)), acc -> acc.o)"""
+    spans = f"""flatten(zip_with(chunks, {starts}, (c, p) -> aggregate(c,
+        named_struct('p', p, 'o', cast(array() as array<struct<s: int, e: int, h: string, g: string>>)),
+        (acc, x) -> named_struct('p', acc.p + x.a + x.n, 'o', array_append(acc.o, named_struct('s', acc.p + x.a, 'e', acc.p + x.a + x.n, 'h', x.h, 'g', x.g))),
+        acc -> acc.o)))"""
+    none = "cast(array() as array<struct<s: int, e: int, h: string, g: string>>)"
+    return F.expr(f"if(size({hits}) > 0, {bound(parts, 'parts', bound(chunks, 'chunks', spans))}, {none})")
 
 
 def find_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:

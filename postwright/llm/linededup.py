@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, row_key, table
+from .common import cut, drop, join_salted, row_key, table
 
 #: Suffixes of one range of ranks, that one task sweeps at a time.
 CHUNK = 50_000
@@ -22,13 +21,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     base = docs.filter("text IS NOT NULL").select(*row_key("doc_id", "text"), "doc_id", F.posexplode(F.transform(lines, lambda x: F.xxhash64(x))).alias("pos", "lid"))
-    base = base.withColumn("pos", F.col("pos") + 1)
-    # equal rows give equal lines: counted once each, before the lines that occur once go
-    often = base.groupBy("lid", "k1", "k2", "pos").count().groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1").select("lid")
-    base = base.join(often, "lid").dropDuplicates(["k1", "k2", "pos"])
+    # equal rows give equal lines: counted once each
+    base = cut(base.withColumn("pos", F.col("pos") + 1).dropDuplicates(["k1", "k2", "pos"]))
+    counts = cut(base.groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = join_salted(base, counts, ["lid"], "n").drop("n")
     doc = Window.partitionBy("k1", "k2")
-    island = base.withColumn("island", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
-    return island.withColumn("run", F.max("pos").over(Window.partitionBy("k1", "k2", "island")) - F.col("pos") + 1).drop("island")
+    island = often.withColumn("island", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
+    return cut(island.withColumn("run", F.max("pos").over(Window.partitionBy("k1", "k2", "island")) - F.col("pos") + 1).drop("island"), used=[base, counts])
 
 
 def start_ranks(counts: DataFrame, keys: list[str], order: str, bucket: Column) -> DataFrame:
@@ -52,8 +51,8 @@ def suffix_ranks(lines: DataFrame, most_rounds: int = 40) -> DataFrame:
     suffix ends where its run of repeated lines does; what is equal up to that end stays tied. Only suffixes
     that are still tied and go on are refined: by the pair of their rank and that of the suffix 2**j lines on.
     """
-    first = start_ranks(lines.groupBy("lid").agg(F.count("*").alias("c")), [], "lid", F.shiftright("lid", 50))
-    state = cut(lines.join(first.select("lid", "c", "before"), "lid").select("k1", "k2", "doc_id", "pos", "run", F.array("before").alias("ranks"), "c"))
+    first = cut(start_ranks(lines.groupBy("lid").agg(F.count("*").alias("c")), [], "lid", F.shiftright("lid", 50)))
+    state = cut(join_salted(lines, first.select("lid", "c", "before"), ["lid"], "c").select("k1", "k2", "doc_id", "pos", "run", F.array("before").alias("ranks"), "c"))
     total = state.count()
     for j in range(most_rounds):
         active = state.filter(f"c > 1 AND run >= {1 << j}")
@@ -64,10 +63,10 @@ def suffix_ranks(lines: DataFrame, most_rounds: int = 40) -> DataFrame:
         active = active.withColumn("r", r).join(ahead, ["k1", "k2", "pos"], "left").withColumn("r2", F.when(F.col("run") > (1 << j), F.col("r2")).otherwise(F.lit(-1)))
         active = cut(active)
         pairs = active.groupBy("r", "r2").agg(F.count("*").alias("c"))
-        pairs = start_ranks(pairs, ["r"], "r2", F.floor(F.col("r2") * 512 / total))
-        refined = active.drop("c").join(pairs, ["r", "r2"]).select("k1", "k2", "doc_id", "pos", "run", F.array_append("ranks", F.col("r") + F.col("before")).alias("ranks"), "c")
+        pairs = cut(start_ranks(pairs, ["r"], "r2", F.floor(F.col("r2") * 512 / total)))
+        refined = join_salted(active.drop("c"), pairs, ["r", "r2"], "c").select("k1", "k2", "doc_id", "pos", "run", F.array_append("ranks", F.col("r") + F.col("before")).alias("ranks"), "c")
         rest = state.filter(f"NOT (c > 1 AND run >= {1 << j})").withColumn("ranks", F.array_append("ranks", r))
-        state = cut(refined.unionByName(rest))
+        state = cut(refined.unionByName(rest), used=[state, active, pairs])
     raise RuntimeError("a run of repeated lines is too long")
 
 
@@ -97,7 +96,7 @@ def neighbour_lcp(state: DataFrame) -> DataFrame:
     left = pairs.select(F.col("next").alias("r"), F.col("off").alias("left"))
     right = pairs.select("r", F.col("off").alias("right"))
     out = reps.join(left, "r", "left").join(right, "r", "left")
-    return out.select("r", "r0", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), "w.none", "w.doc_id", "w.k1", "w.k2", "w.pos", "run")
+    return out.select("r", "r0", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), "w.none", F.coalesce("w.doc_id", F.lit(0)).cast("long").alias("doc_id"), "w.k1", "w.k2", "w.pos", "run")
 
 
 def capped(stack: list, most: int) -> list:
@@ -126,7 +125,7 @@ def sweep(keys: list, shared: list, stack: list) -> list:
 
 def _rows(pdf: pd.DataFrame, forward: bool):
     pdf = pdf.sort_values("r", ascending=forward)
-    ids = [(n, 0 if n else int(d), a, b, p) for n, d, a, b, p in zip(pdf["none"], pdf["doc_id"].fillna(0), pdf["k1"], pdf["k2"], pdf["pos"], strict=True)]
+    ids = [(n, int(d), a, b, p) for n, d, a, b, p in zip(pdf["none"], pdf["doc_id"], pdf["k1"], pdf["k2"], pdf["pos"], strict=True)]
     return pdf, ids, pdf["left" if forward else "right"].tolist()
 
 
@@ -191,11 +190,13 @@ def longest_earlier(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def earlier_runs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(k1, k2, pos, lines): from line pos on, so many lines occur in the same order at an earlier place."""
-    state = suffix_ranks(cut(repeated_lines(docs)))
+    lines = repeated_lines(docs)
+    state = suffix_ranks(lines)
+    drop(lines)
     reps = neighbour_lcp(state)
     firsts = longest_earlier(reps, chunk)
     rest = state.join(firsts.select("k1", "k2", "pos"), ["k1", "k2", "pos"], "left_anti").select("k1", "k2", "pos", F.col("run").cast("int").alias("lines"))
-    return cut(rest.unionByName(firsts.select("k1", "k2", "pos", F.col("earlier").alias("lines"))).filter("lines > 0"))
+    return cut(rest.unionByName(firsts.select("k1", "k2", "pos", F.col("earlier").alias("lines"))).filter("lines > 0"), used=[state])
 
 
 def without_runs(text: str, runs: list, least_words: int) -> tuple[str, list]:
@@ -220,27 +221,28 @@ def without_runs(text: str, runs: list, least_words: int) -> tuple[str, list]:
 def dedup_lines(docs: DataFrame, least_words: int = 50, chunk: int = CHUNK) -> DataFrame:
     """Every row of docs, its text without later copies of line runs, and `removed`: the numbers of lines deleted.
 
-    A run counts if it holds least_words words or more and occurs, in the same order, at an earlier place: a
-    smaller doc_id (null last), or further up in the same text. Lines are compared without blanks at their ends;
+    A run counts if it holds least_words words or more (50: a paragraph; shorter runs are headings, greetings and
+    the like, which texts share by rights) and occurs, in the same order, at an earlier place: a smaller doc_id
+    (null last), or further up in the same text. Lines are compared without blanks at their ends;
     blank lines don't interrupt a run and go with it. The first occurrence stays. Every repeat is found, however
     long or frequent. Rows that are equal in id and text count as one document and keep the same lines. Null
-    texts stay null, empty ones empty. A column named removed is replaced.
+    texts stay null, empty ones empty; an empty table gives an empty result. All other columns keep their values
+    and may have any name; a column named removed is replaced.
     """
     kept = [c for c in docs.columns if c != "removed"]
     runs = earlier_runs(docs.select("doc_id", "text"), chunk).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lines")).alias("runs"))
     keyed = docs.select(F.struct(*kept).alias("row"), *row_key("doc_id", "text"))
     met = keyed.join(runs, ["k1", "k2"], "left")
     same = met.filter("runs IS NULL").select("row.*", F.array().cast("array<int>").alias("removed"))
-    inner = docs.select(*kept).schema
 
-    def rebuild(batches):
-        for pdf in batches:
-            made = [without_runs(r["text"], [(x["pos"], x["lines"]) for x in runs], least_words) for r, runs in zip(pdf["row"], pdf["runs"], strict=True)]
-            yield pd.DataFrame({"row": pdf["row"], "new_text": [m[0] for m in made], "removed": [m[1] for m in made]})
+    # only texts and runs go to Python: the other columns pass by untouched
+    @F.pandas_udf("text string, removed array<int>")
+    def rebuilt(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        made = [without_runs(t, [(x["pos"], x["lines"]) for x in found], least_words) for t, found in zip(text, runs, strict=True)]
+        return pd.DataFrame({"text": [m[0] for m in made], "removed": [m[1] for m in made]})
 
-    schema = T.StructType([T.StructField("row", inner), T.StructField("new_text", T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
-    changed = met.filter("runs IS NOT NULL").select("row", "runs").mapInPandas(rebuild, schema)
-    changed = changed.select(*[F.col("new_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], "removed")
+    changed = met.filter("runs IS NOT NULL").select("row", rebuilt("row.text", "runs").alias("made"))
+    changed = changed.select(*[F.col("made.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], "made.removed")
     return same.unionByName(changed)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, join_salted, small, table
 from .components import connected_components
 
 #: A list of at most so many candidate texts is broadcast, a longer one joined by shuffle.
@@ -124,78 +124,98 @@ def with_shingles(docs: DataFrame, shingle: int, distinct: bool) -> DataFrame:
     return df.select("doc_id", "node", (F.array_distinct(made) if distinct else made).alias("shingles"))
 
 
-def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, weighting: str = "presence") -> tuple[DataFrame, DataFrame]:
+def _occurrences(batches):
+    """(node, shingles): a bag of shingles as a set, in which the second, third, ... of a kind have ids of their own.
+
+    The Jaccard similarity of these sets is the weighted one of the bags.
+    """
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("shingles"))
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        el, docs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(lists)), np.diff(offsets))
+        order = np.lexsort((el, docs))
+        el, docs = el[order], docs[order]
+        new = np.flatnonzero(np.r_[True, (el[1:] != el[:-1]) | (docs[1:] != docs[:-1])][: len(el)])
+        nth = np.arange(len(el)) - np.repeat(new, np.diff(np.r_[new, len(el)]))
+        el = np.where(nth > 0, mixed(el + nth.astype(np.uint64) * GOLDEN), el)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(el.view(np.int64)))], ["node", "shingles"])
+
+
+def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of all rows, and (node, comp) of the nodes that are linked.
 
-    Exact copies are one node. Nodes that share a band are candidates; the exact similarity of their shingle sets
-    (weighting="count": bags) decides. In each bucket, first every node is checked against the most central one,
-    whose buckets are the largest, and what holds is joined to components. Then, in buckets whose nodes are of
+    Exact copies are one node. Nodes that share a band are candidates; the exact weighted Jaccard similarity of
+    their bags of shingles (weighting="presence": of the sets) decides. In each bucket, first every node is checked
+    against the most central one, whose buckets are the largest, and what holds is joined to components. Then, in buckets whose nodes are of
     several components, the pairs across components are checked too, but for those that can't reach the threshold
     because too many of their shingles occur in no other text there. So no link between components is lost, and a
     bucket of many near copies doesn't emit its pairs. At 0.8 a pair shares no band once in 20,000.
     """
     counted = weighting == "count"
-    sketches = with_shingles(docs, shingle, not counted).mapInArrow(_band_batches(bands, rows, counted), "doc_id bigint, node binary, bands array<bigint>")
-    sketches = cut(sketches)
-    members = sketches.select("doc_id", "node")
-    nodes = sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
+    sketches = cut(with_shingles(docs, shingle, not counted).mapInArrow(_band_batches(bands, rows, counted), "doc_id bigint, node binary, bands array<bigint>"))
+    members = cut(sketches.select("doc_id", "node"))
+    nodes = cut(sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")), used=[sketches])
     places = nodes.select("node", F.explode("x.bands").alias("bucket"))
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cut(places.join(sizes, "bucket").select("bucket", "node", "n"))
+    sizes = cut(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    crowded = cut(join_salted(places, sizes, ["bucket"], "n").select("bucket", "node", "n"), used=[sizes])
     # the middle of a group meets more of it than others do, so it is in larger buckets
     weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x")).select("bucket", F.col("x.node").alias("hub"))
-    shared = cut(crowded.join(hubs, "bucket").select("bucket", "node", "hub"))
-    wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"))
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = cut(with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles"))
+    hubs = cut(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x"), F.count("*").alias("n")).select("bucket", F.col("x.node").alias("hub"), "n"))
+    shared = cut(join_salted(crowded, hubs, ["bucket"], "n").select("bucket", "node", "hub"), used=[crowded, hubs])
+    wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"), used=[nodes])
+    named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(small(wanted, BROADCAST_NODES), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    # of repeated rows one is enough
+    texts = with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles").dropDuplicates(["node"])
+    texts = cut(texts.mapInArrow(_occurrences, "node binary, shingles array<bigint>") if counted else texts)
 
     def checked(pairs: DataFrame) -> DataFrame:
         one, two = texts.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), texts.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        df = pairs.join(one, "a").join(two, "b")
-        if counted:
-            both = F.expr("""aggregate(array_intersect(sa, sb), 0L, (t, s) ->
-                t + least(size(filter(sa, x -> x = s)), size(filter(sb, x -> x = s))))""")
-        else:
-            both = F.size(F.array_intersect("sa", "sb"))
+        df = join_salted(join_salted(pairs, one, ["a"]), two, ["b"], counted=pairs)
         # 1e-9 keeps pairs at the very threshold
-        df = df.withColumn("both", both).withColumn("linked", F.expr(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)"))
+        df = df.withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("linked", F.expr(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)"))
         return df.select("a", "b", "both", "linked").distinct()
 
-    first = shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    first = cut(shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     to_hubs = cut(checked(first))
     links = to_hubs.filter("linked").select("a", "b")
-    comps = cut(connected_components(links))
-    named = cut(shared.join(comps, "node", "left").select("bucket", "node", "hub", F.coalesce("comp", "node").alias("comp")))
+    comps = connected_components(links)
+    named = cut(shared.join(comps, "node", "left").select("bucket", "node", "hub", F.coalesce("comp", "node").alias("comp")), used=[shared])
     groups = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
-    mixed_up = cut(named.join(several, "bucket"))
+    several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "main", "n")
+    several = cut(several)
+    mixed_up = cut(join_salted(named, several, ["bucket"], "n").drop("n"), used=[named, several])
     # shingles that no other text of these buckets has can't be shared: they bound the similarity of every pair
     alive = texts.join(mixed_up.select("node").distinct(), "node", "left_semi")
     own = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     alive = alive.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("both"))
     alive = alive.filter(f"both >= ({threshold} - 1e-9) * size")
-    mixed_up = mixed_up.join(alive, "node").withColumn("a", F.least("hub", "node")).withColumn("b", F.greatest("hub", "node"))
-    mixed_up = mixed_up.join(to_hubs.select("a", "b", F.col("both").alias("met")), ["a", "b"], "left").drop("a", "b")
+    pairs = mixed_up.join(alive, "node").withColumn("a", F.least("hub", "node")).withColumn("b", F.greatest("hub", "node"))
+    pairs = pairs.join(to_hubs.select("a", "b", F.col("both").alias("met")), ["a", "b"], "left").drop("a", "b")
     # shingles that the hub has too, and others that aren't the text's own: a pair shares no more than the lesser of each
-    mixed_up = cut(mixed_up.withColumn("with_hub", F.when(F.col("node") == F.col("hub"), F.col("size")).otherwise(F.coalesce("met", "both"))))
-    others = mixed_up.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"), F.col("with_hub").alias("hx"))
+    pairs = cut(pairs.withColumn("with_hub", F.when(F.col("node") == F.col("hub"), F.col("size")).otherwise(F.coalesce("met", "both"))), used=[mixed_up])
+    others = cut(pairs.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"), F.col("with_hub").alias("hx")))
     most = "least(bx, both, least(hx, with_hub) + least(greatest(bx - hx, 0), greatest(both - with_hub, 0)))"
     bound = f"{most} >= ({threshold} - 1e-9) * (zx + size - {most})"
     rest = (
-        others.join(mixed_up.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both", "with_hub"), "bucket")
+        join_salted(pairs.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both", "with_hub"), others, ["bucket"])
         .filter(f"cx <> cy AND (cy = main OR x < y) AND {bound}")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = cut(checked(rest).filter("linked").select("a", "b"))
+    rest = cut(rest, used=[pairs, others])
+    more = cut(checked(rest).filter("linked").select("a", "b"), used=[rest, texts, first])
     if more.isEmpty():
+        drop(to_hubs, more)
         return members, comps
-    return members, cut(connected_components(links.unionByName(more)))
+    return members, connected_components(links.unionByName(more))
+
+
+def _with_classes(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with comp; a node with very many exact copies doesn't go to one task."""
+    copies = cut(members.groupBy("node").agg(F.count("*").alias("n")).join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")))
+    return join_salted(members, copies, ["node"], "n").drop("n")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -208,9 +228,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     members, comps = link_documents(docs, **options)
     blank = F.col("node") == F.unhex(F.md5(F.lit("")))
-    full = members.filter(~blank).join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
-    classes = full.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = full.join(classes, "comp").select("doc_id", "class_id", "class_size")
+    full = cut(_with_classes(members.filter(~blank), comps).select("doc_id", "comp"))
+    classes = cut(full.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    out = join_salted(full, classes, ["comp"], "class_size").select("doc_id", "class_id", "class_size")
     return out.unionByName(members.filter(blank).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
@@ -221,12 +241,13 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     members, comps = link_documents(docs, **options)
     blank = F.unhex(F.md5(F.lit("")))
-    full = members.filter(F.col("node") != blank).join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
+    full = cut(_with_classes(members.filter(F.col("node") != blank), comps))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node"))
     kept = full.groupBy("comp").agg(one.alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.node").alias("kept_node"))
     copies = full.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
     kept = kept.join(copies, (F.col("kept_node") == F.col("node")) & F.col("kept_id").eqNullSafe(F.col("doc_id")))
     kept = cut(kept.select("kept_id", "kept_node", "copies"))
+    kept = small(kept, BROADCAST_NODES)
     named = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(normal_text())).alias("node"))
     found = named.join(kept, (F.col("node") == F.col("kept_node")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
     single = found.filter("copies = 1").select("row.*")

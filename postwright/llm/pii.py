@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, find_spans, row_key, table
+from .common import bound, cut, find_spans, join_salted, row_key, small, table
 
 #: Possessive forms of the fixed patterns. A try inside a run of local-part characters or digits can only repeat
 #: the failure at the run's start, so it is skipped unless the last match ended there: time stays linear.
@@ -14,11 +14,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    "token": r"(?<![^\s,;:=\"'<>(){}\[\]|])[^\s,;:=\"'<>(){}\[\]|0-9@]*+[0-9@][^\s,;:=\"'<>(){}\[\]|]*+",
 }
 KINDS = ["email", "ip", "card", "phone"]
-#: What a text must hold for a pattern to have a match that counts; cheap to test.
-HINTS = {"email": "@", "phone": "+"}
+#: Base spans are listed by parts of a text of so many characters, in which tokens look up what they overlap.
+PART = 1024
+#: Patterns that are kept of at most so many rows are broadcast.
+BROADCAST_PATTERNS = 200_000
 
 
 def keeps(kind: str) -> str:
@@ -37,23 +39,26 @@ def keeps(kind: str) -> str:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with `base`: array<struct<ord, start, end, kind, text>> and `cand`: the tokens with a digit or an @, each
-    with the two words on its left and, for a seed, the base span's text that it is part of."""
-    kept = [F.col(c) for c in docs.columns if c not in {"pii__text", "base", "cand", *PATTERNS}]
-    df = docs.select(F.struct(*kept).alias("pii__row"), F.coalesce(F.col("text"), F.lit("")).alias("pii__text"))
-    df = find_spans(df, "pii__text", PATTERNS).drop("pii__text")
+    """docs (row, k1, k2, text) without text, with `base`: array<struct<ord, start, end, kind, text>> and `cand`: the
+    tokens with a digit or an @, each with the two words on its left and, for a seed, the base span's text that it
+    is part of.
+
+    Tokens end at white space and at , ; : = | quotes and brackets, so that those of JSON, CSV and key=value lines
+    count one by one. The words on the left are the last two runs of letters since the token before, however far.
+    """
+    df = find_spans(docs, "text", PATTERNS).drop("text")
     for i, k in enumerate(KINDS):
         df = df.withColumn(k, F.expr(f"transform(filter({k}, x -> {keeps(k)}), x -> named_struct('ord', {i}, 'start', x.s, 'end', x.e, 'kind', '{k}', 'text', x.h))"))
-    df = df.select("pii__row", "token", F.array_sort(F.concat(*KINDS)).alias("base"))
-    left = r"lower(regexp_extract(x.g, '(?:(\\S+)\\s+)?(\\S+)\\s+$', {0}))"
-    df = df.withColumn(
-        "cand",
-        F.expr(f"""transform(filter(token, x -> char_length(x.h) <= 128), x -> named_struct('start', x.s, 'end', x.e, 'text', x.h,
-            'l1', regexp_replace({left.format(2)}, '[^\\\\p{{L}}]', ''), 'l2', regexp_replace({left.format(1)}, '[^\\\\p{{L}}]', ''),
-            'seed', exists(base, b -> b.start < x.e AND x.s < b.end),
-            'entity', get(filter(base, b -> b.start < x.e AND x.s < b.end), 0).text))"""),
-    )
-    return df.select("pii__row.*", "base", "cand")
+    df = df.select("row", "k1", "k2", "token", F.array_sort(F.concat(*KINDS)).alias("base"))
+    near = r"""lower(reverse(regexp_extract(reverse(x.g), '^[^\\p{L}]*+(\\p{L}++)(?:[^\\p{L}]++(\\p{L}++))?', %d)))"""
+    over = "b -> b.start < x.e AND x.s < b.end"
+    cand = f"""transform(token, x -> {bound(f'get(filter(get(parts, x.s div {PART}), {over}), 0)', 'hit', f"""
+        named_struct('start', x.s, 'end', x.e, 'text', x.h, 'l1', {near % 1}, 'l2', {near % 2}, 'seed', hit IS NOT NULL, 'entity', hit.text)""")})"""
+    # a span is listed under each part of the text that tokens overlapping it may start in
+    longest = "array_max(transform(token, x -> x.e - x.s))"
+    parts = f"""transform(sequence(0, element_at(token, -1).s div {PART}), i -> filter(base, b -> b.start < (i + 1) * {PART} + {longest} AND b.end > i * {PART}))"""
+    df = df.withColumn("cand", F.expr(f"if(size(token) > 0, {bound(parts, 'parts', cand)}, array())"))
+    return df.select("row", "k1", "k2", "base", "cand")
 
 
 def learn_contexts(cands: DataFrame, rounds: int = 3, smoothing: float = 2.0, least_seeds: int = 3) -> DataFrame:
@@ -72,22 +77,23 @@ def learn_contexts(cands: DataFrame, rounds: int = 3, smoothing: float = 2.0, le
         .agg(F.max("seed").alias("seed"))
     )
     edges = cut(edges)
-    conf = edges.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("conf"))
+    conf = edges.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("conf"), F.count("*").alias("pairs"))
+    conf = cut(conf)
     for r in range(rounds):
-        scored = edges.join(conf, "inst")
+        scored = join_salted(edges, conf, ["inst"], "pairs").drop("pairs")
         patterns = (
             scored.groupBy("pattern")
             .agg(F.sum("conf").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
             .select("pattern", F.when(F.col("seeds") >= least_seeds, F.col("sum") / (F.col("n") + smoothing)).otherwise(0.0).alias("score"), "seeds", "n")
         )
         if r < rounds - 1:
-            conf = (
-                edges.join(patterns, "pattern")
+            patterns = cut(patterns)
+            conf = cut(
+                join_salted(edges, patterns.select("pattern", "score", "n"), ["pattern"], "n")
                 .groupBy("inst")
-                .agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("score", F.lit(0.999999)))).alias("log_miss"))
-                .select("inst", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_miss")).alias("conf"))
+                .agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("score", F.lit(0.999999)))).alias("log_miss"), F.count("*").alias("pairs"))
+                .select("inst", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_miss")).alias("conf"), "pairs")
             )
-            conf = cut(conf)
     return patterns
 
 
@@ -97,15 +103,19 @@ def scan_pii(docs: DataFrame, least_score: float = 0.8, rounds: int = 3, smoothi
     Base kinds email, ip, card and phone come first, in this order, then kind context: tokens with 5 or more
     letters or digits, at least one a digit, not seen by a base pattern, after a context whose score reaches
     `least_score` (see learn_contexts). Within a kind, spans are ordered by start. Null text counts as empty;
-    repeated rows and null ids are kept; an empty table gives an empty result. Columns named pii, base or cand
-    are replaced. Texts are read once; later steps carry only spans and tokens.
+    repeated rows and null ids are kept; an empty table gives an empty result. A column named pii is replaced, others
+    may have any name. Texts are read once, at a cost linear in their length; later steps carry spans and tokens.
     """
-    kept = [c for c in docs.columns if c not in {"pii", "base", "cand", "text", "k1", "k2"}]
-    df = base_spans(docs.select(*kept, "text", *row_key(*kept, "text"))).drop("text")
-    df = cut(df)
-    trimmed = F.regexp_replace("c.text", r"^[^\p{L}0-9@+]+|[^\p{L}0-9]+$", "")
-    cands = df.select("k1", "k2", F.explode("cand").alias("c")).select("k1", "k2", "c.start", "c.end", "c.text", "c.seed", "c.l1", "c.l2", F.lower(F.coalesce("c.entity", trimmed)).alias("inst"))
+    kept = [c for c in docs.columns if c not in {"pii", "text"}]
+    df = cut(base_spans(docs.select(F.struct(*kept).alias("row"), F.coalesce("text", F.lit("")).alias("text"), *row_key(*kept, "text"))))
+    tail = F.regexp_replace("c.text", r"^[^\p{L}0-9@+]++", "")
+    core = F.regexp_replace(tail, r"[^\p{L}0-9]+$", "")
+    start = F.col("c.start") + F.length("c.text") - F.length(tail)
+    cands = df.select("k1", "k2", F.explode("cand").alias("c")).select(
+        "k1", "k2", start.alias("start"), (start + F.length(core)).alias("end"), core.alias("text"), "c.seed", "c.l1", "c.l2", F.lower(F.coalesce("c.entity", core)).alias("inst")
+    )
     patterns = learn_contexts(cands, rounds, smoothing, least_seeds).filter(F.col("score") >= least_score).select("pattern")
+    patterns = small(cut(patterns), BROADCAST_PATTERNS)
     fresh = cands.filter("NOT seed AND l1 <> ''").filter(F.length(F.regexp_replace("inst", r"[^\p{L}0-9]", "")) >= 5).filter(F.col("inst").rlike("[0-9]"))
     found = (
         fresh.select("*", F.explode(F.array_distinct(F.array(F.col("l1"), F.concat_ws(" ", "l2", "l1")))).alias("pattern"))
@@ -114,7 +124,7 @@ def scan_pii(docs: DataFrame, least_score: float = 0.8, rounds: int = 3, smoothi
         .agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("ord"), "start", "end", F.lit("context").alias("kind"), "text")).alias("more"))
     )
     out = df.drop("cand").join(found, ["k1", "k2"], "left")
-    return out.select(*[c for c in kept], F.array_sort(F.concat("base", F.coalesce("more", F.expr("filter(base, x -> false)")))).alias("pii"))
+    return out.select("row.*", F.array_sort(F.concat("base", F.coalesce("more", F.expr("filter(base, x -> false)")))).alias("pii"))
 
 
 def joined(where: str = "true") -> Column:

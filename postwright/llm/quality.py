@@ -5,12 +5,13 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, drop, row_key, table
+from .common import cut, drop, row_key, small, table
 
 #: An n-gram is a long: BITS bits a symbol, the last one lowest; above them the model (from MODEL_AT on) and the
 #: order (from ORDER_AT on).
@@ -19,7 +20,7 @@ SYMBOLS_MASK = (1 << MODEL_AT) - 1
 #: Tables of keys, and of languages, of at most so many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_KEYS, BROADCAST_LANGS = 500_000, 20_000
 #: About so many characters are scored by one task.
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 32_000_000
 HELD, SLICE = 4_000_000, 1 << 21
 #: What a verdict depends on.
 ROW = ("doc_id", "text", "lang")
@@ -49,10 +50,14 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The n-gram that ends at each symbol; before the first of a text stand starts."""
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grams = np.zeros(len(codes), dtype=np.int64)
-    for back in range(ORDER):
-        grams[back:] |= np.where(place[back:] >= back, codes[: len(codes) - back].astype(np.int64) << (BITS * back), 0)
+    wide = codes.astype(np.int64)
+    grams = wide.copy()
+    for back in range(1, ORDER):
+        grams[back:] |= wide[:-back] << (BITS * back)
+    firsts = np.cumsum(sizes) - sizes
+    for j in range(ORDER - 1):
+        at = firsts[sizes > j] + j
+        grams[at] &= (1 << (BITS * (j + 1))) - 1
     return grams
 
 
@@ -72,42 +77,53 @@ def _column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _gram_slices(batch, tag: str):
-    """Arrays of the n-grams of some texts of the batch, each marked with its text's tag."""
-    texts, tags = [t or "" for t in _column(batch, "text").to_pylist()], _column(batch, tag).to_numpy(zero_copy_only=False).astype(np.int64)
-    for a, b in _slices(np.array([len(t) for t in texts], dtype=np.int64)):
-        codes, sizes = symbols_of(texts[a:b])
-        yield grams_of(codes, sizes) | np.repeat(tags[a:b], sizes) << MODEL_AT
+def fold_of(text: str, folds: int) -> Column:
+    """The part that a text belongs to, by its hash: copies of a text are held out together."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
 
 
-def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    k, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+def _gathered(folds: int):
+    """(x, c0, c1, ...): the n-grams of all texts, with their counts in the trusted texts of each fold."""
+    names = ["x", *[f"c{f}" for f in range(folds)]]
 
+    def merged(keys: list, counts: list):
+        codes, x = pd.factorize(np.concatenate(keys))
+        c = np.concatenate(counts, axis=1)
+        return x, np.stack([np.bincount(codes, weights=row, minlength=len(x)).astype(np.int64) for row in c])
+
+    def rows(x, counts):
+        order = np.argsort(x)  # runs of near keys take less room in a shuffle
+        return pa.RecordBatch.from_arrays([pa.array(x[order]), *[pa.array(c[order].astype(np.int32)) for c in counts]], names)
+
+    def run(batches):
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            texts = [t or "" for t in _column(batch, "text").to_pylist()]
+            group = np.where(_column(batch, "trusted").to_numpy(zero_copy_only=False), _column(batch, "fold").to_numpy(zero_copy_only=False), folds)
+            for a, b in _slices(np.array([len(t) for t in texts], dtype=np.int64)):
+                codes, sizes = symbols_of(texts[a:b])
+                at, x = pd.factorize(grams_of(codes, sizes))
+                of = np.repeat(group[a:b], sizes)
+                keys.append(x)
+                counts.append(np.stack([np.bincount(at[of == f], minlength=len(x)) for f in range(folds)]))
+                held += len(x)
+                if held > HELD:
+                    x, c = merged(keys, counts)
+                    keys, counts, held = [x], [c], len(x)
+                    if held > HELD // 2:
+                        yield rows(x, c)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield rows(*merged(keys, counts))
 
-def _count_batches(batches):
-    """(x, c): the n-grams of each fold with their counts, merged as far as memory allows."""
-    keys, counts, held = [], [], 0
-    for batch in batches:
-        for grams in _gram_slices(batch, "fold"):
-            k, n = np.unique(grams, return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > HELD:
-                k, n = _merged(keys, counts)
-                keys, counts, held = [k], [n], len(k)
-                if held > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["x", "c"])
-                    keys, counts, held = [], [], 0
-    if keys:
-        k, n = _merged(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["x", "c"])
+    return run
 
 
-def fold_of(text: str, folds: int) -> Column:
-    """The part that a text belongs to, by its hash: copies of a text are held out together."""
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
+def gather_grams(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(x, c0, c1, ...): each n-gram of docs (text, trusted, fold) once, with its counts in the trusted texts by fold."""
+    names = [f"c{f}" for f in range(folds)]
+    found = docs.select("text", "trusted", "fold").mapInArrow(_gathered(folds), "x bigint, " + ", ".join(f"{c} int" for c in names))
+    return cut(found.groupBy("x").agg(*[F.sum(c).alias(c) for c in names]))
 
 
 def _key(x: str, order: str) -> str:
@@ -120,19 +136,16 @@ def _context(key: str) -> str:
     return f"shiftright({key} & {SYMBOLS_MASK}, {BITS}) | ({key} & {~SYMBOLS_MASK})"
 
 
-def count_orders(trusted: DataFrame, folds: int = FOLDS) -> DataFrame:
+def count_orders(grams: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(key, c): the n-grams of all orders in each model; model m leaves out the texts of fold m.
 
     The highest order counts occurrences, a lower one in how many contexts an n-gram was seen.
     """
-    texts = trusted.filter("text <> ''").select("text", fold_of("text", folds).alias("fold"))
-    counts = texts.mapInArrow(_count_batches, "x bigint, c bigint").groupBy("x").agg(F.sum("c").alias("c"))
-    others = F.expr(f"explode(filter(sequence(0L, {folds - 1}L), m -> m <> shiftright(x, {MODEL_AT})))")
-    counts = counts.select("x", "c", others.alias("m")).groupBy(F.expr(f"(x & {SYMBOLS_MASK}) | shiftleft(m, {MODEL_AT})").alias("x")).agg(F.sum("c").alias("c"))
-    counts = cut(counts)
-    longer = counts.select(F.expr(f"explode(transform(sequence(1, {ORDER - 1}), k -> named_struct('k', k, 'x', {_key('x', '(k + 1)')})))").alias("y")).distinct()
+    models = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), sum((F.col(f"c{f}") for f in range(folds) if f != m), F.lit(0).cast("long")).alias("c")) for m in range(folds)])
+    top = grams.select("x", F.explode(models).alias("y")).filter("y.c > 0").select(F.expr(f"x | shiftleft(y.m, {MODEL_AT})").alias("x"), "y.c")
+    longer = top.select(F.expr(f"explode(transform(sequence(1, {ORDER - 1}), k -> named_struct('k', k, 'x', {_key('x', '(k + 1)')})))").alias("y")).distinct()
     lower = longer.groupBy(F.expr(_key("y.x", "y.k")).alias("key")).agg(F.count("*").alias("c"))
-    return cut(counts.select(F.expr(_key("x", str(ORDER))).alias("key"), "c").unionByName(lower), used=[counts])
+    return cut(top.select(F.expr(_key("x", str(ORDER))).alias("key"), "c").unionByName(lower))
 
 
 def discounts(orders: DataFrame) -> Column:
@@ -147,135 +160,123 @@ def discounts(orders: DataFrame) -> Column:
     return out
 
 
-def log_probabilities(grams: DataFrame, orders: DataFrame) -> DataFrame:
-    """(x, lp): log2 p of the last symbol of each distinct n-gram x, given the others.
+def log_probabilities(grams: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(x, lp): for each n-gram of gather_grams() and each model, log2 p of its last symbol, given the others.
 
     p = max(c - D, 0) / total + off / total * p of the n-gram without its first symbol, order by order down to a
-    uniform p. All orders meet their counts in one join, and the sums of their contexts in another.
+    uniform p. All orders meet their counts in one join, and the sums of their contexts in another; then each order
+    meets the one below.
     """
+    orders = count_orders(grams, folds)
     kept = F.get("d", F.least("c", F.lit(3)) - 1)
     counted = orders.withColumn("d", discounts(orders)).select("key", F.expr(_context("key")).alias("h"), kept.alias("off"), (F.col("c") - kept).alias("more"), "c")
     sums = counted.groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("off"))
-    wanted = grams.select("x", F.expr(f"explode(transform(sequence(1, {ORDER}), k -> {_key('x', 'k')}))").alias("key"))
-    parts = wanted.select("key").distinct().join(counted.select("key", "more"), "key", "left").withColumn("h", F.expr(_context("key")))
-    parts = parts.join(sums, "h", "left").select("key", (F.coalesce("more", F.lit(0.0)) / F.col("total")).alias("a"), (F.col("off") / F.col("total")).alias("b"))
-    levels = F.array_sort(F.collect_list(F.struct("key", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(1.0)).alias("b"))))
-    folded = F.aggregate(levels, F.lit(1.0 / (1 << BITS)), lambda p, y: y.a + y.b * p)
-    return wanted.join(parts, "key").groupBy("x").agg(F.log2(folded).alias("lp"))
-
-
-def _packed(buckets: int, names: list[str]):
-    """Rows (bucket, codes, rows): the symbols of a batch's texts of one bucket, and lists of their columns."""
+    models = F.expr(f"explode(transform(sequence(0L, {folds - 1}L), m -> x | shiftleft(m, {MODEL_AT})))")
+    wanted = grams.select(models.alias("x")).select(F.expr(f"explode(transform(sequence(1, {ORDER}), k -> {_key('x', 'k')}))").alias("key")).distinct()
+    parts = wanted.join(counted.select("key", "more"), "key", "left").withColumn("h", F.expr(_context("key"))).join(sums, "h", "left")
+    order = F.expr(f"shiftright(key, {ORDER_AT})")
+    a, b = F.coalesce(F.coalesce("more", F.lit(0.0)) / F.col("total"), F.lit(0.0)), F.coalesce(F.col("off") / F.col("total"), F.lit(1.0))
+    parts = cut(parts.select(order.alias("ord"), "key", a.alias("a"), b.alias("b")), used=[orders])
+    below = parts.filter("ord = 1").select("key", (F.col("a") + F.col("b") / (1 << BITS)).alias("p"))
+    for k in range(2, ORDER + 1):
+        own = parts.filter(f"ord = {k}").withColumn("s", F.expr(_key("key", str(k - 1))))
+        below = own.join(below.select(F.col("key").alias("s"), "p"), "s").select("key", (F.col("a") + F.col("b") * F.col("p")).alias("p"))
+    return cut(below.select(F.expr(f"key & {(1 << ORDER_AT) - 1}").alias("x"), F.log2("p").alias("lp")), used=[parts])
+
+
+def _packed(buckets: int, folds: int, names: list[str]):
+    """Rows (bucket, codes, rows): the symbols of a batch's texts of one bucket, and lists of their columns.
+
+    A bucket holds texts of one fold, so that it asks one model.
+    """
 
     def run(batches):
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             texts = [t or "" for t in _column(batch, "text").to_pylist()]
-            r1 = _column(batch, "r1").to_numpy(zero_copy_only=False)
-            buckets_of = (r1.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-            for b in np.unique(buckets_of):
-                at = np.flatnonzero(buckets_of == b)
+            part = (_column(batch, "r1").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(20)) % np.uint64(max(1, buckets // folds))
+            bucket = part.astype(np.int64) * folds + _column(batch, "fold").to_numpy(zero_copy_only=False)
+            for b in np.unique(bucket):
+                at = np.flatnonzero(bucket == b)
                 codes, sizes = symbols_of([texts[i] for i in at])
                 ends = pa.array([0, len(at)], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, _column(batch, n).take(pa.array(at))) for n in names]
-                data = pa.compress(codes.tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(b)], pa.int64()), pa.array([data], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(sizes)), *lists], ["bucket", "codes", "sizes", *names]
-                )
+                columns = [pa.array([int(b)], pa.int64()), pa.array([codec.compress(codes.tobytes(), asbytes=True)], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(sizes)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "codes", "sizes", *names])
 
     return run
 
 
-def _unpacked(table):
-    """(sizes, codes, row) of each packed row."""
+def _gram_runs(table, folds: int):
+    """(row, first, last, n-grams, sizes): runs of the texts of each packed row; n-grams are marked with their model."""
+    codec = pa.Codec("zstd")
     for i in range(table.num_rows):
         sizes = np.array(table.column("sizes")[i].as_py(), dtype=np.int64)
-        codes = pa.decompress(table.column("codes")[i].as_py(), decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True) if sizes.sum() else b""
-        yield sizes, np.frombuffer(codes, dtype=np.uint8), i
-
-
-def _marked(sizes: np.ndarray, codes: np.ndarray, folds: np.ndarray):
-    """The n-grams of runs of texts, marked with their fold, and the texts' range."""
-    ends = np.r_[0, np.cumsum(sizes)]
-    for a, b in _slices(sizes):
-        yield a, b, grams_of(codes[ends[a] : ends[b]], sizes[a:b]) | np.repeat(folds[a:b], sizes[a:b]) << MODEL_AT
-
-
-def _needed(batches):
-    """(bucket, x): the distinct n-grams of each bucket, but for repeats where a bucket's are too many to hold."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        for sizes, codes, i in _unpacked(rows):
-            own = held.setdefault(rows.column("bucket")[i].as_py(), [])
-            for _, _, grams in _marked(sizes, codes, np.array(rows.column("fold")[i].as_py(), dtype=np.int64)):
-                own.append(np.unique(grams))
+        data = codec.decompress(table.column("codes")[i].as_py(), decompressed_size=int(sizes.sum()), asbytes=True) if sizes.sum() else b""
+        codes, ends, model = np.frombuffer(data, dtype=np.uint8), np.r_[0, np.cumsum(sizes)], table.column("bucket")[i].as_py() % folds
+        for a, b in _slices(sizes):
+            yield i, a, b, grams_of(codes[ends[a] : ends[b]], sizes[a:b]) | model << MODEL_AT, sizes
+
+
+def _needed(folds: int):
+    """(bucket, x): the distinct n-grams of each bucket."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for i, _, _, grams, _ in _gram_runs(rows, folds):
+                own = held.setdefault(rows.column("bucket")[i].as_py(), [])
+                own.append(pd.unique(grams))
                 if sum(map(len, own)) > HELD:
-                    own[:] = [np.unique(np.concatenate(own))]
-    for bucket, own in held.items():
-        x = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-        for start in range(0, len(x), SLICE):
-            part = x[start : start + SLICE]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), pa.array(part)], ["bucket", "x"])
+                    own[:] = [pd.unique(np.concatenate(own))]
+        for bucket, own in held.items():
+            x = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+            for start in range(0, len(x), SLICE):
+                part = x[start : start + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), pa.array(part)], ["bucket", "x"])
+
+    return run
 
 
-def _summed(names: list[str], types: list):
+def _summed(names: list[str], types: list, folds: int):
     def run(left, right):
         x, lp = (right.column(c).to_numpy() for c in ("x", "lp"))
         order = np.argsort(x)
-        x, lp, out = x[order], lp[order], []
-        for sizes, codes, i in _unpacked(left):
-            total = np.zeros(len(sizes))
-            for a, b, grams in _marked(sizes, codes, np.array(left.column("fold")[i].as_py(), dtype=np.int64)):
-                if len(grams):
-                    where = np.repeat(np.arange(b - a), sizes[a:b])
-                    total[a:b] = np.bincount(where, weights=lp[np.searchsorted(x, grams)], minlength=b - a)
-            columns = [left.column(n)[i].values.cast(t) for n, t in zip(names, types, strict=True)]
-            out.append(pa.Table.from_arrays([*columns, pa.array(total), pa.array(sizes)], [*names, "logp", "chars"]))
-        empty = pa.schema([*zip(names, types, strict=True), ("logp", pa.float64()), ("chars", pa.int64())]).empty_table()
-        return pa.concat_tables(out) if out else empty
+        x, lp = x[order], lp[order]
+        totals = [np.zeros(len(sizes)) for sizes in left.column("sizes").to_pylist()]
+        for i, a, b, grams, sizes in _gram_runs(left, folds):
+            if len(grams):
+                at, distinct = pd.factorize(grams)
+                totals[i][a:b] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), weights=lp[np.searchsorted(x, distinct)][at], minlength=b - a)
+        columns = [pa.concat_arrays([v.values for v in left.column(n)]).cast(t) if left.num_rows else pa.array([], t) for n, t in zip(names, types, strict=True)]
+        sizes = [n for v in left.column("sizes").to_pylist() for n in v]
+        total = np.concatenate(totals) if totals else np.zeros(0)
+        return pa.Table.from_arrays([*columns, pa.array(total), pa.array(sizes, pa.int64())], [*names, "logp", "chars"])
 
     return run
 
 
-def score(docs: DataFrame, orders: DataFrame, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """docs (text, r1, and others) without text, with logp (log2 of the text's probability) and chars (its length).
+def score(docs: DataFrame, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """docs (text, trusted, fold, r1, ...) without text, with logp (log2 of the text's probability) and chars (its length).
 
     Texts are dealt to buckets of about bucket_chars characters by the hash r1. A bucket asks for the probabilities
     of its distinct n-grams, which the model's shards send, and sums them up for each text: neither texts nor a
     model ever lie whole in one place, and the rows exchanged grow with the texts.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("fold", fold_of("text", folds))
     names = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType for f in docs.schema.fields}
+    grams = gather_grams(docs, folds)
+    lps = log_probabilities(grams, folds)
+    drop(grams)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_chars))
-    grams = cut(docs.select("text", "fold").mapInArrow(_distinct_grams, "x bigint").distinct())
-    lps = cut(log_probabilities(grams, orders), used=[grams])
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_chars))
     schema = "bucket bigint, codes binary, sizes array<bigint>, " + ", ".join(f"`{n}` array<{kinds[n].simpleString()}>" for n in names)
-    packed = docs.mapInArrow(_packed(buckets, names), schema).repartition(buckets, "bucket")
-    asked = packed.mapInArrow(_needed, "bucket bigint, x bigint").join(lps, "x")
+    packed = docs.mapInArrow(_packed(buckets, folds, names), schema).repartition(buckets, "bucket")
+    asked = packed.mapInArrow(_needed(folds), "bucket bigint, x bigint").join(lps, "x")
     out = ", ".join([f"`{n}` {kinds[n].simpleString()}" for n in names] + ["logp double", "chars bigint"])
-    types = [to_arrow_type(kinds[n]) for n in names]
-    found = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_summed(names, types), out)
-    return cut(found.drop("fold"), used=[lps])
-
-
-def _distinct_grams(batches):
-    """(x): the n-grams of the texts, distinct as far as memory allows."""
-    own, held = [], 0
-    for batch in batches:
-        for grams in _gram_slices(batch, "fold"):
-            own.append(np.unique(grams))
-            held += len(own[-1])
-            if held > HELD:
-                x = np.unique(np.concatenate(own))
-                own, held = [x], len(x)
-                if held > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x)], ["x"])
-                    own, held = [], 0
-    if own:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], ["x"])
+    found = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_summed(names, [to_arrow_type(kinds[n]) for n in names], folds), out)
+    return cut(found, used=[lps])
 
 
 def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -296,22 +297,16 @@ def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.0
     return _judge(docs, trusted_ids, quantile, most_chars, folds, bucket_chars).drop("r1", "r2")
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, most_chars: int = 4096, folds: int = FOLDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """judge_quality() with r1, r2: row_key() of doc_id, text and lang. Rows equal in these have one verdict."""
-    ids = _small(cut(trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct()).withColumn("trusted", F.lit(True)), BROADCAST_KEYS)
-    df = docs.select("doc_id", "lang", "text")
-    orders = count_orders(df.join(ids, F.col("doc_id") == F.col("tid"), "left_semi"), folds)
+    ids = small(cut(trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct()).withColumn("trusted", F.lit(True)), BROADCAST_KEYS)
+    df = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("tid"), "left")
     r1, r2 = row_key(*ROW)
-    scored = score(df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2")), orders, folds, bucket_chars)
-    drop(orders)
-    scored = scored.join(ids, F.col("doc_id") == F.col("tid"), "left").drop("tid")
+    df = df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold_of("text", folds).alias("fold"))
+    scored = score(df, folds, bucket_chars)
     good = scored.filter("trusted AND chars > 0").select("lang", "logp", "chars")
     sums = [F.sum("logp").alias("lp"), F.sum("chars").alias("ch")]
-    langs = _small(cut(good.groupBy(F.col("lang").alias("ml")).agg(*sums)), BROADCAST_LANGS)
+    langs = small(cut(good.groupBy(F.col("lang").alias("ml")).agg(*sums)), BROADCAST_LANGS)
     scale = F.sqrt(F.least("chars", F.lit(most_chars)))
     others = (F.col("lp") - F.col("logp")) / F.nullif(F.col("ch") - F.col("chars"), F.lit(0))
     dev = ((F.col("logp") / F.col("chars") - others) * scale).alias("dev")
@@ -324,7 +319,7 @@ def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, mos
     pool = F.broadcast(own.agg(*spread).select(*ends("a0", "a1")))
     stats = own.groupBy("lang").agg(*spread).select("lang", few.alias("few"), *ends("q0", "q1")).crossJoin(pool)
     stats = stats.select(F.col("lang").alias("sl"), F.when(F.col("few"), F.least("q0", "a0")).otherwise(F.col("q0")).alias("q0"), F.when(F.col("few"), F.greatest("q1", "a1")).otherwise(F.col("q1")).alias("q1"))
-    stats = _small(stats.join(langs, F.col("sl").eqNullSafe(F.col("ml"))).select("sl", (F.col("lp") / F.col("ch")).alias("mean"), "q0", "q1"), BROADCAST_LANGS)
+    stats = small(stats.join(langs, F.col("sl").eqNullSafe(F.col("ml"))).select("sl", (F.col("lp") / F.col("ch")).alias("mean"), "q0", "q1"), BROADCAST_LANGS)
     total = F.broadcast(good.agg(*sums))
     whole = good.crossJoin(total).select(dev).agg(*spread).select(*ends("w0", "w1")).crossJoin(total.select((F.col("lp") / F.col("ch")).alias("mean0")))
     df = scored.join(stats, F.col("lang").eqNullSafe(F.col("sl")), "left").crossJoin(F.broadcast(whole))
@@ -349,7 +344,7 @@ def trusted_documents(spark, sf_dir) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The rows of docs that judge_quality() keeps, each by its own verdict; all columns, whatever their names."""
-    bad = _small(cut(_judge(docs, trusted_ids, **options).filter("NOT keep").select(F.col("r1").alias("b1"), F.col("r2").alias("b2")).distinct()), BROADCAST_KEYS)
+    bad = small(cut(_judge(docs, trusted_ids, **options).filter("NOT keep").select(F.col("r1").alias("b1"), F.col("r2").alias("b2")).distinct()), BROADCAST_KEYS)
     key = docs.select(F.struct("*").alias("row"), *ROW).select("row", *row_key(*ROW))
     return key.join(bad, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")), "left_anti").select("row.*")
 

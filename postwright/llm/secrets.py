@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, table
+from .common import bound, find_spans, table
 
 #: Fixed patterns. hex and access carry their least length: a maximal run is kept or dropped whole either way.
 PATTERNS = {
@@ -27,26 +29,23 @@ WINDOW = 20
 def entropy_stretch(candidate: str, window: int, threshold: str) -> str:
     """SQL for struct<first, last>: from the first to the last window of the candidate with enough entropy.
 
-    The counts of the window's characters are kept while it slides: each character that leaves or enters changes
-    one count c and sum(c log2 c) by one difference; entropy is log2(window) - that sum / window.
+    The counts of the window's characters are kept while it slides: the character that enters and the one that
+    leaves change one count c each, and sum(c log2 c) by one difference each; entropy is log2(window) - that sum /
+    window. Terms c log2 c are whole billionths, so sums don't drift. The characters' numbers are looked up once.
     """
-    xlogx = lambda c: f"if({c} > 1, {c} * log2({c}), 0D)"
-    at = f"instr('{ALPHABET}', e.ch) - 1"
-    count = f"element_at(a.cnt, {at} + 1)"
-    summed = f"a.s + {xlogx(f'({count} + e.d)')} - {xlogx(count)}"
-    hot = f"e.d = 1 AND e.p >= {window} AND log2({window}) - ({summed}) / {window} >= {threshold}"
-    events = f"""flatten(transform(split({candidate}, ''), (ch, i) -> if(i >= {window},
-        array(named_struct('d', -1, 'p', i + 1, 'ch', element_at(split({candidate}, ''), i - {window} + 1)),
-              named_struct('d', 1, 'p', i + 1, 'ch', ch)),
-        array(named_struct('d', 1, 'p', i + 1, 'ch', ch)))))"""
-    return f"""aggregate({events},
-        named_struct('cnt', array_repeat(0, {len(ALPHABET)}), 's', 0D, 'first', cast(null as int), 'last', cast(null as int)),
-        (a, e) -> named_struct(
-            'cnt', transform(a.cnt, (v, j) -> if(j = {at}, v + e.d, v)),
-            's', {summed},
-            'first', if({hot}, coalesce(a.first, e.p - {window}), a.first),
-            'last', if({hot}, e.p, a.last)),
+    term = f"get(array({', '.join(f'{round(c * math.log2(c) * 1e9) if c else 0}L' for c in range(window + 2))}), {{}})"
+    held, left = "get(a.cnt, e.i)", "(get(a.cnt, e.o) + if(e.i = e.o, 1, 0))"
+    entered = f"a.s + {term.format(f'{held} + 1')} - {term.format(held)}"
+    moved = f"if(e.o < 0, {entered}, {entered} + {term.format(f'{left} - 1')} - {term.format(left)})"
+    hot = f"e.p >= {window} AND log2({window}) - mv.s / {window}e9D >= {threshold} - 1e-9"
+    events = f"transform(ids, (c, i) -> named_struct('i', c, 'o', if(i >= {window}, get(ids, i - {window}), -1), 'p', i + 1))"
+    step = f"""named_struct('cnt', transform(a.cnt, (v, j) -> v + if(j = e.i, 1, 0) - if(j = e.o, 1, 0)), 's', mv.s,
+        'first', if({hot}, coalesce(a.first, e.p - {window}), a.first), 'last', if({hot}, e.p, a.last))"""
+    made = f"""aggregate({events},
+        named_struct('cnt', array_repeat(0, {len(ALPHABET)}), 's', 0L, 'first', cast(null as int), 'last', cast(null as int)),
+        (a, e) -> {bound(f"named_struct('s', {moved})", 'mv', step)},
         a -> named_struct('first', a.first, 'last', a.last))"""
+    return bound(f"transform(split({candidate}, ''), ch -> instr('{ALPHABET}', ch) - 1)", "ids", made)
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: str = ALLOWED) -> DataFrame:
@@ -55,8 +54,8 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, fl
     Base kinds are assign, access and hex. Kind entropy: candidates of 20 or more token characters that hold a
     digit or mixed case and match no allow-list pattern; the stretch whose windows reach the threshold of the
     candidate's class (hex, alnum, base64) is a span. Spans of different kinds may overlap. Null text counts as
-    empty and gives an empty array; repeated rows stay; other columns pass through, except that a column named
-    secrets is replaced. A text's cost is linear in its length, plus the square of its number of spans.
+    empty and gives an empty array; repeated rows stay; an empty table gives an empty result; other columns pass
+    through, except that a column named secrets is replaced. A text's cost is linear in its length.
     """
     t = THRESHOLDS | (thresholds or {})
     reserved = {"secrets", "sc__text", *PATTERNS}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from postwright.llm import pii, secrets
 
@@ -82,8 +83,28 @@ def test_personal_data(spark):
 
 
 def test_contexts_find_what_patterns_miss(spark):
-    texts = [f"please call patient {i} +1 (555) 123-{4000 + i}" for i in range(9)] + ["please call patient X-99-12345 today"]
-    docs = spark.createDataFrame([(i, t.replace(f"patient {i} ", "patient ")) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = {r.doc_id: r.pii for r in pii.scan_pii(docs, least_score=0.6).collect()}
-    assert [x.text for x in rows[9] if x.kind == "context"] == ["X-99-12345"]
+    texts = [f"please call patient +1 (555) 123-{4000 + i}" for i in range(20)]
+    texts += ["please call patient X-99-12345$$$ today", '{"please call patient":"Y-88-54321","note":"' + "z" * 300 + '"}', "please call patient" + " " * 200 + "Q-77-10203040506070809010203040506070809010203040506070809010203040506070809010203040506070809010203040506070809010203040506070809."]
+    texts += ["in room 123456 of it", None, ""]
+    docs = spark.createDataFrame([(i, t, "e", i) for i, t in enumerate(texts)], "doc_id long, text string, email string, k1 int")
+    got = pii.scan_pii(docs)
+    assert got.columns == ["doc_id", "email", "k1", "pii"]
+    rows = {r.doc_id: [x for x in r.pii if x.kind == "context"] for r in got.collect()}
+    assert [[x.text for x in rows[i]] for i in (20, 21, 23, 24, 25)] == [["X-99-12345"], ["Y-88-54321"], [], [], []]
+    assert [len(x.text) for x in rows[22]] == [131]
+    assert all(texts[d][x.start : x.end] == x.text for d, xs in rows.items() for x in xs)
     assert pii.scan_pii(docs.limit(0)).count() == 0
+
+
+def test_long_texts_take_seconds(spark):
+    rnd = random.Random(5)
+    blob = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"n{i} a{i}@b.example" if i % 20 == 0 else f"n{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, blob), (2, many), (3, "Ab1 " * 100_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r.secrets for r in secrets.scan_secrets(docs).collect()}
+    assert [(x.start, x.end) for x in rows[1] if x.kind == "entropy"] == [(0, 1_000_000)]
+    secrets_took = time.perf_counter() - began
+    rows = {r.doc_id: r.pii for r in pii.scan_pii(docs).collect()}
+    assert len(rows[2]) == 10_000
+    assert secrets_took < 60 and time.perf_counter() - began < 150, (secrets_took, time.perf_counter() - began)
