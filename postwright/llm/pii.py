@@ -18,7 +18,7 @@ PATTERNS = {
 }
 KINDS = ["email", "ip", "card", "phone"]
 #: Base spans are listed by parts of a text of so many characters, in which tokens look up what they overlap.
-PART = 1024
+PART = 2048
 #: Patterns that are kept of at most so many rows are broadcast.
 BROADCAST_PATTERNS = 200_000
 
@@ -55,8 +55,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     cand = f"""transform(token, x -> {bound(f'get(filter(get(parts, x.s div {PART}), {over}), 0)', 'hit', f"""
         named_struct('start', x.s, 'end', x.e, 'text', x.h, 'l1', {near % 1}, 'l2', {near % 2}, 'seed', hit IS NOT NULL, 'entity', hit.text)""")})"""
     # a span is listed under each part of the text that tokens overlapping it may start in
-    longest = "array_max(transform(token, x -> x.e - x.s))"
-    parts = f"""transform(sequence(0, element_at(token, -1).s div {PART}), i -> filter(base, b -> b.start < (i + 1) * {PART} + {longest} AND b.end > i * {PART}))"""
+    listed = f"transform(sequence(0, element_at(token, -1).s div {PART}), i -> filter(base, b -> b.start < (i + 1) * {PART} + longest AND b.end > i * {PART}))"
+    parts = bound("array_max(transform(token, x -> x.e - x.s))", "longest", listed)
     df = df.withColumn("cand", F.expr(f"if(size(token) > 0, {bound(parts, 'parts', cand)}, array())"))
     return df.select("row", "k1", "k2", "base", "cand")
 

@@ -29,23 +29,28 @@ WINDOW = 20
 def entropy_stretch(candidate: str, window: int, threshold: str) -> str:
     """SQL for struct<first, last>: from the first to the last window of the candidate with enough entropy.
 
-    The counts of the window's characters are kept while it slides: the character that enters and the one that
-    leaves change one count c each, and sum(c log2 c) by one difference each; entropy is log2(window) - that sum /
-    window. Terms c log2 c are whole billionths, so sums don't drift. The characters' numbers are looked up once.
+    The counts of the window's characters are kept while it slides, five bits each, twelve to a long (n0, n1, ...):
+    the character that enters and the one that leaves change one count c each, and sum(c log2 c) by one difference
+    each; entropy is log2(window) - that sum / window. Terms c log2 c are whole billionths, so sums don't drift.
     """
+    if window > 31:
+        raise ValueError("a window holds at most 31 characters")
+    longs = range(-(-len(ALPHABET) // 12))
     term = f"get(array({', '.join(f'{round(c * math.log2(c) * 1e9) if c else 0}L' for c in range(window + 2))}), {{}})"
-    held, left = "get(a.cnt, e.i)", "(get(a.cnt, e.o) + if(e.i = e.o, 1, 0))"
-    entered = f"a.s + {term.format(f'{held} + 1')} - {term.format(held)}"
-    moved = f"if(e.o < 0, {entered}, {entered} + {term.format(f'{left} - 1')} - {term.format(left)})"
-    hot = f"e.p >= {window} AND log2({window}) - mv.s / {window}e9D >= {threshold} - 1e-9"
-    events = f"transform(ids, (c, i) -> named_struct('i', c, 'o', if(i >= {window}, get(ids, i - {window}), -1), 'p', i + 1))"
-    step = f"""named_struct('cnt', transform(a.cnt, (v, j) -> v + if(j = e.i, 1, 0) - if(j = e.o, 1, 0)), 's', mv.s,
-        'first', if({hot}, coalesce(a.first, e.p - {window}), a.first), 'last', if({hot}, e.p, a.last))"""
-    made = f"""aggregate({events},
-        named_struct('cnt', array_repeat(0, {len(ALPHABET)}), 's', 0L, 'first', cast(null as int), 'last', cast(null as int)),
-        (a, e) -> {bound(f"named_struct('s', {moved})", 'mv', step)},
+    count = lambda at, by: f"cast(shiftright(get(array({', '.join(f'a.n{k}' for k in longs)}), {at}), {by}) & 31 AS int)"
+    counts = f"named_struct('i', {count('e.w', 'e.h')}, 'o', if(e.v < 0, 0, {count('e.v', 'e.g')} + if(e.w = e.v AND e.h = e.g, 1, 0)))"
+    moved = f"a.s + {term.format('n.i + 1')} - {term.format('n.i')} + if(e.v < 0, 0L, {term.format('n.o - 1')} - {term.format('n.o')})"
+    hot = f"e.p >= {window} AND log2({window}) - mv.s / {window}e9D >= bits - 1e-9"
+    kept = ", ".join(f"'n{k}', a.n{k} + if(e.w = {k}, shiftleft(1L, e.h), 0L) - if(e.v = {k}, shiftleft(1L, e.g), 0L)" for k in longs)
+    step = f"named_struct({kept}, 's', mv.s, 'first', if({hot}, coalesce(a.first, e.p - {window}), a.first), 'last', if({hot}, e.p, a.last))"
+    gone = f"get(ids, i - {window})"
+    events = f"""transform(ids, (c, i) -> named_struct('w', cast(c div 12 AS int), 'h', cast(5 * (c % 12) AS int),
+        'v', if(i < {window}, -1, cast({gone} div 12 AS int)), 'g', if(i < {window}, 0, cast(5 * ({gone} % 12) AS int)), 'p', i + 1))"""
+    none = ", ".join(f"'n{k}', 0L" for k in longs)
+    made = f"""aggregate({events}, named_struct({none}, 's', 0L, 'first', cast(null as int), 'last', cast(null as int)),
+        (a, e) -> {bound(counts, 'n', bound(f"named_struct('s', {moved})", 'mv', step))},
         a -> named_struct('first', a.first, 'last', a.last))"""
-    return bound(f"transform(split({candidate}, ''), ch -> instr('{ALPHABET}', ch) - 1)", "ids", made)
+    return bound(threshold, "bits", bound(f"transform(split({candidate}, ''), ch -> instr('{ALPHABET}', ch) - 1)", "ids", made))
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: str = ALLOWED) -> DataFrame:
