@@ -162,7 +162,7 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
     hubs = cut(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x"), F.count("*").alias("n")).select("bucket", F.col("x.node").alias("hub"), "n"))
-    shared = cut(join_salted(crowded, hubs, ["bucket"], "n").select("bucket", "node", "hub"), used=[crowded, hubs])
+    shared = cut(join_salted(crowded.drop("n"), hubs, ["bucket"], "n").select("bucket", "node", "hub"), used=[crowded, hubs])
     wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"), used=[nodes])
     named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(small(wanted, BROADCAST_NODES), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     # of repeated rows one is enough
