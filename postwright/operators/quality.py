@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_temp_id, identifiers, without_identifiers, words
 from ..schemas import CATEGORIES, INTENTS, LENGTHS, NOISES, STATUSES, TERMINAL, TIERS, TONES
+from .sampling import uniform
 
 # Fixed values of the rules.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -217,7 +218,7 @@ def tier_findings(tier: Column, text: Column, seed_text: Column, candidates: Col
 
 def review_queue(units: DataFrame, seed: int = 0, percent: int = 10) -> DataFrame:
     """Q10. All flagged units first, then a hashed share of passed ones; no failed ones. priority 0 or 1."""
-    picked = F.pmod(F.xxhash64(F.col("unit_id"), F.lit(seed)), F.lit(100)) < percent
+    picked = uniform("unit_id", "review", seed) < percent / 100
     df = units.withColumn("priority", F.when(F.col("verdict") == "flag", 0).when((F.col("verdict") == "pass") & picked, 1))
     return df.filter("priority IS NOT NULL")
 
@@ -264,7 +265,7 @@ def resolve_ids(scenarios: DataFrame, tickets: DataFrame, conversations: DataFra
 def blind_candidates(queries: DataFrame, tickets: DataFrame, seed: int = 0) -> DataFrame:
     """J16. (query_id, label, ticket_id): the customer's open tickets in hashed order, lettered A, B, ..., Z, AA."""
     live = tickets.filter("status NOT IN ('RESOLVED', 'CLOSED')").select(F.col("id").alias("ticket_id"), "customer_id")
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64("query_id", "ticket_id", F.lit(seed)), "ticket_id")
+    order = Window.partitionBy("query_id").orderBy(uniform(F.concat_ws("/", "query_id", "ticket_id"), "blind", seed), "ticket_id")
     df = queries.select("query_id", "customer_id").join(live, "customer_id").withColumn("n", F.row_number().over(order) - 1)
     letter = lambda x: F.char(F.lit(65) + x)
     label = F.when(F.col("n") < 26, letter(F.col("n"))).otherwise(F.concat(letter(F.floor((F.col("n") - 26) / 26) % 26), letter(F.col("n") % 26)))

@@ -7,12 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, l2_normalize
+from ..functions.scalars import l2_normalize
 from .filters import is_embeddable
 
 KEYWORD_TOP, VECTOR_TOP, FUSED_TOP, RRF_K = 50, 100, 100, 60
-#: A query matrix of at most so many rows goes to every task; larger ones are joined in blocks.
-BROADCAST_QUERIES = 5_000
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -30,11 +28,12 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     """
     docs = documents.select("interaction_id", "customer_id", "lexemes").withColumn("len", F.size("lexemes"))
     stats = docs.groupBy("customer_id").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    postings = docs.select("customer_id", "interaction_id", "len", F.explode("lexemes").alias("lex"))
     asked = queries.select("query_id", "customer_id", "lexemes", F.size("lexemes").alias("terms")).filter("terms > 0")
     lexes = asked.select("query_id", "customer_id", "terms", F.explode("lexemes").alias("lex"))
     wanted = lexes.select("customer_id", "lex").distinct()
-    df = postings.join(wanted, ["customer_id", "lex"], "left_semi").groupBy("customer_id", "lex").agg(F.count("*").alias("df"))
+    # of the postings only those of asked lexemes go on
+    postings = docs.select("customer_id", "interaction_id", "len", F.explode("lexemes").alias("lex")).join(wanted, ["customer_id", "lex"], "left_semi")
+    df = postings.groupBy("customer_id", "lex").agg(F.count("*").alias("df"))
     weighed = lexes.join(df, ["customer_id", "lex"], "left").join(stats, "customer_id")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -54,65 +53,57 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     return top_n(scored, ["query_id"], [F.desc(F.round("score", 9)), "interaction_id"], n)
 
 
-def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP, exclude_self: bool = False, block_rows: int = 20_000) -> DataFrame:
-    """J10. (query_id, interaction_id, score, rank) by exact cosine within a customer.
+def _best_of_block(n: int, exclude_self: bool):
+    """Each query's best n rows of a block, from one product of two matrices."""
 
-    queries (query_id, customer_id, embedding), documents (interaction_id, customer_id, embedding). Vectors are
-    normalised once. A customer's documents are split into blocks of about block_rows; each block gives its own
-    top n of every query and these are ranked again, which is exact and keeps a large customer out of one task.
-    """
-    docs = documents.filter("embedding IS NOT NULL").select("interaction_id", "customer_id", l2_normalize("embedding").alias("dv")).filter("dv IS NOT NULL")
-    blocks = docs.groupBy("customer_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    asked = queries.filter("embedding IS NOT NULL").select("query_id", "customer_id", l2_normalize("embedding").alias("qv")).filter("qv IS NOT NULL")
-    asked = asked.join(blocks, "customer_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    docs = docs.join(blocks, "customer_id").withColumn("block", F.pmod(F.xxhash64("interaction_id"), "blocks").cast("int")).drop("blocks")
-    pairs = asked.join(docs, ["customer_id", "block"])
-    if exclude_self:
-        pairs = pairs.filter("query_id <> interaction_id")
-    scored = pairs.select("query_id", "block", "interaction_id", dot("qv", "dv").alias("score"))
-    order = [F.desc(F.round("score", 9)), "interaction_id"]
-    local = top_n(scored, ["query_id", "block"], order, n, "block_rank")
-    return top_n(local, ["query_id"], order, n).select("query_id", "interaction_id", "score", "rank")
-
-
-def vector_search_global(queries: DataFrame, documents: DataFrame, n: int = 10, exclude_self: bool = False) -> DataFrame:
-    """J11. As vector_search() over all documents, whatever their customer.
-
-    A query set within BROADCAST_QUERIES is sent as one matrix, and each partition of documents gives its top n; a
-    larger one meets the documents block by block.
-    """
-    asked = queries.filter("embedding IS NOT NULL").select("query_id", l2_normalize("embedding").alias("qv")).filter("qv IS NOT NULL")
-    if asked.count() > BROADCAST_QUERIES:
-        every = F.lit(0)
-        return vector_search(queries.withColumn("customer_id", every), documents.withColumn("customer_id", every), n, exclude_self)
-    small = asked.toPandas()
-    ids = small["query_id"].to_numpy()
-    matrix = np.stack(small["qv"].to_numpy()) if len(small) else np.zeros((0, 1))
-    given = documents.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best(batches):
-        ids, q = given.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            d = np.stack(pdf["dv"].to_numpy())
-            score = np.round(q @ d.T, 9)
-            names = pdf["interaction_id"].to_numpy()
+    def run(key, queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        q_ids, d_ids = queries["query_id"].to_numpy(), docs["interaction_id"].to_numpy()
+        by_id = np.argsort(d_ids, kind="stable")
+        d_ids = d_ids[by_id]
+        found = {"query_id": q_ids[:0], "interaction_id": d_ids[:0], "score": np.zeros(0)}
+        if len(q_ids) and len(d_ids):
+            score = np.round(np.stack(queries["qv"].to_numpy()) @ np.stack(docs["dv"].to_numpy())[by_id].T, 9)
             if exclude_self:
-                score[ids[:, None] == names[None, :]] = -np.inf
-            order = np.argsort(names, kind="stable")
-            score, names = score[:, order], names[order]
+                score[q_ids[:, None] == d_ids[None, :]] = -np.inf
             at = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(len(ids)), at.shape[1])
-            out = pd.DataFrame({"query_id": ids[rows], "interaction_id": names[at.ravel()], "score": score[rows, at.ravel()]})
-            yield out[np.isfinite(out["score"])]
+            rows = np.repeat(np.arange(len(q_ids)), at.shape[1])
+            best = score[rows, at.ravel()]
+            there = np.isfinite(best)
+            found = {"query_id": q_ids[rows[there]], "interaction_id": d_ids[at.ravel()[there]], "score": best[there]}
+        return pd.DataFrame(found)
+
+    return run
+
 
+def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP, exclude_self: bool = False, block_rows: int = 20_000, block_queries: int = 500) -> DataFrame:
+    """J10. (query_id, interaction_id, score, rank) by exact cosine within a customer; scores to nine decimals.
+
+    queries (query_id, customer_id, embedding), documents (interaction_id, customer_id, embedding); ids aren't null.
+    Vectors are normalised once. A customer's documents are split into blocks of about block_rows, and queries into
+    parts of about block_queries; each pair of them is one product of matrices, which gives its own top n of every
+    query, and these are ranked again. That is exact, emits no pair rows, and keeps a large customer out of one task.
+    """
+    docs = documents.filter("embedding IS NOT NULL AND interaction_id IS NOT NULL").select("interaction_id", "customer_id", l2_normalize("embedding").alias("dv")).filter("dv IS NOT NULL")
+    asked = queries.filter("embedding IS NOT NULL AND query_id IS NOT NULL").select("query_id", "customer_id", l2_normalize("embedding").alias("qv")).filter("qv IS NOT NULL")
+    blocks = docs.groupBy("customer_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    parts = asked.groupBy("customer_id").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("parts"))
+    grid = blocks.join(parts, "customer_id")
+    spread = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asked = asked.join(grid, "customer_id").select("query_id", F.col("customer_id").alias("scope"), "qv", spread("query_id", F.col("parts")).alias("part"), each("blocks").alias("block"))
+    docs = docs.join(grid, "customer_id").select("interaction_id", F.col("customer_id").alias("scope"), "dv", spread("interaction_id", F.col("blocks")).alias("block"), each("parts").alias("part"))
     kinds = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["interaction_id"]
-    docs = documents.filter("embedding IS NOT NULL").select("interaction_id", l2_normalize("embedding").alias("dv")).filter("dv IS NOT NULL")
-    local = docs.mapInPandas(best, f"query_id {kinds[0]}, interaction_id {kinds[1]}, score double")
+    keys = ["scope", "block", "part"]
+    local = asked.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInPandas(_best_of_block(n, exclude_self), f"query_id {kinds[0]}, interaction_id {kinds[1]}, score double")
     return top_n(local, ["query_id"], [F.desc("score"), "interaction_id"], n)
 
 
+def vector_search_global(queries: DataFrame, documents: DataFrame, n: int = 10, exclude_self: bool = False, **blocks) -> DataFrame:
+    """J11. As vector_search() over all documents, whatever their customer."""
+    every = F.lit(0)
+    return vector_search(queries.withColumn("customer_id", every), documents.withColumn("customer_id", every), n, exclude_self, **blocks)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = RRF_K, n: int = FUSED_TOP) -> DataFrame:
     """J12. Reciprocal ranks of both lists: (query_id, interaction_id, fused, keyword_score, vector_score, rank).
 

@@ -68,10 +68,19 @@ def t4_remove_signature(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", text.remove_signature("body").alias("kept"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN instr(lower(text), 'license') > 0 THEN left(text, instr(lower(text), 'license') - 1) ELSE text END AS kept FROM documents""")
-def t5_cut_at_marker(spark, sf_dir):
-    docs = V.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.when(F.instr(F.lower("text"), "license") > 0, F.left(F.col("text"), F.instr(F.lower("text"), "license") - 1)).otherwise(F.col("text")).alias("kept"))
+#: Each marker behind two thirds of the texts, in mixed case, one before another or alone.
+MARKED = (
+    "text || CASE doc_id % 6 WHEN 1 THEN chr(10) || 'THIS Email and any files transmitted with it are confidential and so on' WHEN 2 THEN ' This message contains Confidential information. Please consider the environment before printing' "
+    "WHEN 3 THEN chr(10) || 'Please consider the ENVIRONMENT before printing this. This message contains confidential information.' WHEN 4 THEN ' this email and any files are yours' ELSE '' END"
+)
+_cut = lambda marker, c: f"CASE WHEN contains(lower({c}), '{marker}') THEN left({c}, instr(lower({c}), '{marker}') - 1) ELSE {c} END"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {MARKED} AS t FROM documents), b AS (SELECT doc_id, {_cut('this email and any files transmitted with it are confidential', 't')} AS t FROM a),
+    c AS (SELECT doc_id, {_cut('this message contains confidential information', 't')} AS t FROM b) SELECT doc_id, {_cut('please consider the environment before printing', 't')} AS kept FROM c""")
+def t5_remove_disclaimers(spark, sf_dir):
+    docs = V.read(spark, sf_dir, "documents").selectExpr("doc_id", f"{MARKED} AS t")
+    return docs.select("doc_id", text.remove_disclaimers("t").alias("kept"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'x ', '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS kept FROM documents""")
@@ -307,28 +316,32 @@ def j11_vector_search_global(spark, sf_dir):
     return retrieval.vector_search_global(q, d, exclude_self=True).select("query_id", "interaction_id", r6(F.round("score", 9)).alias("score"), "rank")
 
 
-QWORDS = f"(SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS scope, (list_sort({_lex('text')}))[1:2] AS lexemes FROM benchmark)"
-DWORDS = f"(SELECT doc_id AS interaction_id, source AS scope, {_lex('text')} AS lexemes FROM documents)"
-KEYWORD = f"""q AS {QWORDS}, d AS {DWORDS}, st AS (SELECT scope, count(*) AS docs, avg(len(lexemes)) AS avg_len FROM d GROUP BY scope),
-    post AS (SELECT interaction_id, scope, len(lexemes) AS n, unnest(lexemes) AS lex FROM d), df AS (SELECT scope, lex, count(*) AS df FROM post GROUP BY scope, lex), ql AS (SELECT query_id, scope, len(lexemes) AS terms, unnest(lexemes) AS lex FROM q),
+def keyword_sql(scope_of_item: str, scope_of_document: str) -> str:
+    """BM25 of all lexemes of every benchmark item against every document of its scope."""
+    return f"""q AS (SELECT item_id AS query_id, {scope_of_item} AS scope, {_lex('text')} AS lexemes FROM benchmark), d AS (SELECT doc_id AS interaction_id, {scope_of_document} AS scope, {_lex('text')} AS lexemes FROM documents),
+    st AS (SELECT scope, count(*) AS docs, avg(len(lexemes)) AS avg_len FROM d GROUP BY scope), post AS (SELECT interaction_id, scope, len(lexemes) AS n, unnest(lexemes) AS lex FROM d),
+    df AS (SELECT scope, lex, count(*) AS df FROM post GROUP BY scope, lex), ql AS (SELECT query_id, scope, len(lexemes) AS terms, unnest(lexemes) AS lex FROM q),
     h AS (SELECT ql.query_id, post.interaction_id, count(*) AS hit, first(ql.terms) AS terms, sum(ln(1 + (st.docs - df.df + 0.5) / (df.df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * post.n / st.avg_len))) AS score
           FROM ql JOIN post ON post.scope = ql.scope AND post.lex = ql.lex JOIN df ON df.scope = ql.scope AND df.lex = ql.lex JOIN st ON st.scope = ql.scope GROUP BY ql.query_id, post.interaction_id)"""
 
 
-def keyword_tables(spark, sf_dir):
-    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("customer_id"), F.slice(F.array_sort(text.lexemes("text", stemmed=False)), 1, 2).alias("lexemes"))
-    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), F.col("source").alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
+SOURCE_OF_ITEM = "'src' || CAST(item_id % 20 AS STRING)"
+
+
+def keyword_tables(spark, sf_dir, scope_of_item: str, scope_of_document: str):
+    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(scope_of_item).alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
+    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), F.expr(scope_of_document).alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
     return q, d
 
 
-@query(f"WITH {KEYWORD} SELECT query_id, interaction_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, interaction_id) AS rank FROM h WHERE hit = terms QUALIFY rank <= 50")
+@query(f"WITH {keyword_sql('0', '0')} SELECT query_id, interaction_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, interaction_id) AS rank FROM h WHERE hit = terms QUALIFY rank <= 50")
 def j9_keyword_search(spark, sf_dir):
-    return retrieval.keyword_search(*keyword_tables(spark, sf_dir)).select("query_id", "interaction_id", r6("score").alias("score"), "rank")
+    return retrieval.keyword_search(*keyword_tables(spark, sf_dir, "0", "0")).select("query_id", "interaction_id", r6("score").alias("score"), "rank")
 
 
-@query(f"WITH {KEYWORD} SELECT query_id, interaction_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, interaction_id) AS rank FROM h QUALIFY rank <= 50")
+@query(f"WITH {keyword_sql(SOURCE_OF_ITEM, 'source')} SELECT query_id, interaction_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, interaction_id) AS rank FROM h QUALIFY rank <= 50")
 def j9_keyword_search_any(spark, sf_dir):
-    return retrieval.keyword_search(*keyword_tables(spark, sf_dir), match="any").select("query_id", "interaction_id", r6("score").alias("score"), "rank")
+    return retrieval.keyword_search(*keyword_tables(spark, sf_dir, SOURCE_OF_ITEM, "source"), match="any").select("query_id", "interaction_id", r6("score").alias("score"), "rank")
 
 
 #: A keyword list made of the vectors' labels: the same scope, ids in hashed order.
@@ -391,7 +404,7 @@ def conversation_tables(spark, sf_dir):
     customers = tickets.select("customer_id").distinct().select(F.col("customer_id").alias("id"), F.concat(F.lit("Clinic "), F.col("customer_id").cast("string")).alias("name"), F.concat(F.lit("billing"), F.col("customer_id").cast("string"), F.lit("@clinic.example")).alias("inbox_email"))
     last = turns.filter("role = 'user'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("x"))
     mail = last.select(
-        F.col("conv_id").alias("query_id"), F.lit("").alias("subject"), F.array_join(F.slice(text.lexemes("x.text", stemmed=False), 1, 3), " ").alias("body"), F.concat(F.lit("Billing"), (F.col("conv_id") % 11).cast("string"), F.lit("@clinic.example")).alias("sender_email"),
+        F.col("conv_id").alias("query_id"), F.lit("").alias("subject"), F.col("x.text").alias("body"), F.concat(F.lit("Billing"), (F.col("conv_id") % 11).cast("string"), F.lit("@clinic.example")).alias("sender_email"),
         F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("conversation_id"), F.lit(None).cast("string").alias("in_reply_to"), F.array().cast("array<string>").alias("reference_message_ids"),
     )
     return mail, customers, tickets, rows
@@ -521,10 +534,10 @@ def a15_validate_pairs(spark, sf_dir):
 
 
 @query(f"""WITH x AS (SELECT 'reranking' AS stage, elapsed_s * 10 AS ms FROM {EV} AS e UNION ALL SELECT 'fusion', elapsed_s FROM {EV} AS e WHERE event_id % 3 <> 0)
-    SELECT stage, count(*) AS n, round(avg(ms), 5) AS mean_ms, max(ms) >= quantile_disc(ms, 0.95) AS ordered FROM x GROUP BY stage""")
+    SELECT stage, count(*) AS n, round(avg(ms), 5) AS mean_ms, round(quantile_disc(ms, 0.5), 5) AS p50_ms, round(quantile_disc(ms, 0.95), 5) AS p95_ms FROM x GROUP BY stage""")
 def a16_stage_timings(spark, sf_dir):
-    t = evaluation.stage_timings(results(spark, sf_dir)).filter("stage <> 'total'")
-    return t.select("stage", "n", F.round("mean_ms", 5).alias("mean_ms"), (F.col("p95_ms") >= F.col("p50_ms")).alias("ordered"))
+    t = evaluation.stage_timings(results(spark, sf_dir), 1_000_000).filter("stage <> 'total'")
+    return t.select("stage", "n", *[F.round(c, 5).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms")])
 
 
 # Audit
@@ -575,9 +588,13 @@ def a22_coverage_matrix(spark, sf_dir):
 _cats = ", ".join(f"'{c}'" for c in sorted(CATEGORIES))
 
 
-@query(f"SELECT customer_id, array_to_string(list_filter([{_cats}], lambda x: NOT list_contains(have, x)), ',') AS missing FROM (SELECT customer_id, list(DISTINCT category) AS have FROM {T} AS t GROUP BY customer_id) AS x WHERE len(have) < {len(CATEGORIES)}")
+SPARSE = f"(SELECT customer_id, {V._case('id % 11', CATEGORIES)} AS category FROM {B} AS b)"
+
+
+@query(f"SELECT customer_id, array_to_string(list_filter([{_cats}], lambda x: NOT list_contains(have, x)), ',') AS missing FROM (SELECT customer_id, coalesce(list(DISTINCT category) FILTER (WHERE category IS NOT NULL), []) AS have FROM {SPARSE} AS t GROUP BY customer_id) AS x WHERE len(have) < {len(CATEGORIES)}")
 def a23_missing_categories(spark, sf_dir):
-    return audit.missing_categories(V.tickets(spark, sf_dir), CATEGORIES).select("customer_id", F.array_join("missing", ",").alias("missing"))
+    t = V.view(spark, sf_dir, V.BIG_TICKETS).selectExpr("customer_id", f"{V._case('id % 11', CATEGORIES)} AS category")
+    return audit.missing_categories(t, CATEGORIES).select("customer_id", F.array_join("missing", ",").alias("missing"))
 
 
 TARGETS = [("category", c, w) for c, w in zip(CATEGORIES, (0.3, 0.2, 0.2, 0.1, 0.1, 0.1), strict=True)]
@@ -649,7 +666,17 @@ def q2_check_tickets(spark, sf_dir):
     return quality.check_tickets(tick, given).select("temp_id", F.array_join(F.transform("findings", lambda x: x.check), ",").alias("checks"))
 
 
-@query()
+_times = lambda n, what: f"nullif(array_to_string(list_transform(range({n}), lambda x: '{what}'), ','), '')"
+
+
+@query(f"""WITH {QT}, m AS (SELECT conv_id, turn, role = 'user' AS client, coalesce(text, '') AS body, (turn * 7 + conv_id) % 5 AS day FROM conversations),
+    w AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, lag(client) OVER o AS p, lag(client, 2) OVER o AS pp, lag(day) OVER o AS prev FROM m WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    c AS (SELECT conv_id, arg_min(client, turn) AS first_client, min(turn) AS first_turn, arg_max(client, turn) AS last_client, arg_max(day, turn) AS last_day, string_agg(body, ' ' ORDER BY turn) AS said,
+          count(*) FILTER (WHERE turn % 5 = 4) AS odd, count(*) FILTER (WHERE day < prev) AS back, count(*) FILTER (WHERE n > 3 AND client = p AND client = pp) AS run FROM w GROUP BY conv_id),
+    f AS (SELECT CAST(conv_id AS STRING) AS ticket_temp_id, concat_ws(',', CASE WHEN NOT first_client THEN 'fail:message_1_structure' END, CASE WHEN first_turn <> 0 THEN 'fail:message_1_structure' END, CASE WHEN status = 'CLOSED' AND last_client THEN 'flag:closed_ticket_resolution_shape' END,
+          CASE WHEN status = 'CLOSED' AND created + last_day > closed THEN 'fail:closed_ticket_resolution_shape' END, CASE WHEN NOT contains(said, claim) THEN 'fail:grounding_facts_echoed' END,
+          {_times('odd', 'fail:enum_valid')}, {_times('back', 'fail:day_offsets_non_decreasing')}, {_times('run', 'flag:sender_alternation_degeneracy')}) AS checks FROM c LEFT JOIN t ON t.id = c.conv_id)
+    SELECT ticket_temp_id, checks, CASE WHEN contains(checks, 'fail:') THEN 'fail' WHEN contains(checks, 'flag:') THEN 'flag' ELSE 'pass' END AS verdict FROM f""")
 def q3_w9_check_conversations(spark, sf_dir):
     conv, tick, _ = qa_tables(spark, sf_dir)
     df = quality.check_conversations(conv, tick.withColumn("production_fields", F.col("production_fields")))
@@ -666,7 +693,7 @@ def q1_w10_check_customers(spark, sf_dir):
     return quality.check_customers(df).select("temp_id", F.array_join(F.array_sort(F.transform("findings", lambda x: x.check)), ",").alias("checks"))
 
 
-EMAIL_TEXT = "CASE doc_id % 6 WHEN 0 THEN left(text, 6) WHEN 1 THEN text || ' Payment Posting and hard_semantic' WHEN 2 THEN text || ' as an AI I cannot' WHEN 3 THEN text || ' see tkt_12_3 ground truth' ELSE text END"
+EMAIL_TEXT = "CASE doc_id % 6 WHEN 1 THEN text || ' Payment Posting and hard_semantic' WHEN 2 THEN text || ' as an AI I cannot' WHEN 3 THEN text || ' see tkt_12_3 ground truth' ELSE text END"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {EMAIL_TEXT} AS t FROM documents), l AS (SELECT doc_id, t, lower(t) AS low FROM d)
@@ -682,10 +709,10 @@ def q4_query_findings(spark, sf_dir):
 _marks = " + ".join(f"contains(p, '{_esc(m)}')::INT" for m in quality.NOISE_MARKERS)
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 120) || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(left(text, 300), '.', '') ELSE text END AS t FROM documents), x AS (SELECT doc_id, t, ' ' || lower(regexp_replace(t, '\\b[A-Za-z]{{2,6}}-[A-Za-z0-9-]+\\b', ' ', 'g')) || ' ' AS p, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS n FROM d),
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(text, '.', '') ELSE text END AS t FROM documents), x AS (SELECT doc_id, t, ' ' || lower(regexp_replace(t, '\\b[A-Za-z]{{2,6}}-[A-Za-z0-9-]+\\b', ' ', 'g')) || ' ' AS p, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS n FROM d),
     y AS (SELECT *, {_marks} AS marks FROM x) SELECT doc_id, CASE WHEN n <= 40 THEN 'short' WHEN n > 120 THEN 'long' ELSE 'medium' END AS length, CASE WHEN marks >= 5 OR (NOT regexp_matches(t, '[.!?]') AND n > 15) THEN 'heavy' WHEN marks >= 1 THEN 'mild' ELSE 'clean' END AS noise FROM y""")
 def q5_style(spark, sf_dir):
-    df = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN left(text, 120) || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(left(text, 300), '.', '') ELSE text END AS t")
+    df = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(text, '.', '') ELSE text END AS t")
     return df.select("doc_id", quality.length_bucket(F.col("t")).alias("length"), quality.noise_level(F.col("t")).alias("noise"))
 
 
@@ -718,13 +745,23 @@ def q7_j17_distractors(spark, sf_dir):
     return quality.distractor_findings(p, V.view(spark, sf_dir, V.BIG_TICKETS)).select("query_id", F.array_join(F.transform("findings", lambda x: x.check), ",").alias("checks"))
 
 
-@query()
+_ids = lambda c: f"list_distinct(regexp_extract_all({c}, '\\b[A-Za-z]{{2,6}}-[A-Za-z0-9-]+\\b'))"
+_words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS t, text || ' CLM-9' AS seed, ['easy', 'hard_semantic', 'moderate_paraphrase', 'same_customer_disambiguation'][doc_id % 4 + 1] AS tier FROM documents),
+    x AS (SELECT doc_id, tier, len(list_intersect({_ids('t')}, {_ids('seed')})) AS same, len({_ids('t')}) AS own, len(list_intersect({_words('t')}, {_words('seed')})) / nullif(len(list_distinct(list_concat({_words('t')}, {_words('seed')}))), 0) AS overlap FROM d)
+    SELECT doc_id, CASE WHEN tier = 'easy' AND same = 0 THEN 'easy_has_identifier' WHEN tier = 'hard_semantic' AND own > 0 THEN 'hard_semantic_has_none' WHEN tier = 'moderate_paraphrase' AND overlap > 0.5 THEN 'paraphrase_overlap'
+    WHEN tier = 'same_customer_disambiguation' THEN 'disambiguation_candidates' ELSE '' END AS checks FROM x""")
 def q9_tier_findings(spark, sf_dir):
     df = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "text", "text || ' CLM-9' AS seed", "element_at(array('easy', 'hard_semantic', 'moderate_paraphrase', 'same_customer_disambiguation'), cast(doc_id % 4 + 1 as int)) AS tier")
     return df.select("doc_id", F.array_join(F.transform(quality.tier_findings(F.col("tier"), F.col("text"), F.col("seed"), F.lit(1)), lambda x: x.check), ",").alias("checks"))
 
 
-@query()
+_share = lambda key, dimension: f"CAST(('0x' || substr(md5(CAST({key} AS STRING) || '|{dimension}|0'), 1, 13)) AS UBIGINT) / 4503599627370496.0"
+
+
+@query(f"SELECT unit_id, verdict, CASE verdict WHEN 'flag' THEN 0 ELSE 1 END AS priority FROM {U} AS u WHERE verdict = 'flag' OR (verdict = 'pass' AND {_share('unit_id', 'review')} < 0.1)")
 def q10_review_queue(spark, sf_dir):
     return quality.review_queue(V.view(spark, sf_dir, V.UNITS)).select("unit_id", "verdict", "priority")
 
@@ -751,12 +788,22 @@ def j15_resolve_ids(spark, sf_dir):
     return quality.resolve_ids(s, tick, conv, cust)[1].select("temp_id", "target_id", F.array_join(F.transform("distractor_ids", lambda x: x.cast("string")), ",").alias("distractors"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT c_custkey AS query_id, b.id AS ticket_id, row_number() OVER (PARTITION BY c_custkey ORDER BY {_share("(c_custkey || '/' || b.id)", 'blind')}, b.id) - 1 AS n FROM customer JOIN {B} AS b ON b.customer_id = c_custkey WHERE b.status NOT IN {TERMINAL})
+    SELECT query_id, CASE WHEN n < 26 THEN chr(CAST(65 + n AS INT)) ELSE chr(CAST(65 + (n - 26) // 26 % 26 AS INT)) || chr(CAST(65 + n % 26 AS INT)) END AS label, ticket_id FROM x""")
 def j16_blind_candidates(spark, sf_dir):
     q = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("customer_id"))
     return quality.blind_candidates(q, V.view(spark, sf_dir, V.BIG_TICKETS))
 
 
+@query(f"""WITH x AS (SELECT c_custkey AS query_id, b.id AS ticket_id, row_number() OVER (PARTITION BY c_custkey ORDER BY {_share("(c_custkey || '/' || b.id)", 'blind')}, b.id) - 1 AS n FROM customer JOIN {B} AS b ON b.customer_id = c_custkey WHERE b.status NOT IN {TERMINAL})
+    SELECT c_custkey AS query_id, x.ticket_id FROM customer LEFT JOIN x ON x.query_id = c_custkey AND x.n = c_custkey % 5""")
+def j16_judged_tickets(spark, sf_dir):
+    """Customer n's judge names letter n % 5."""
+    q = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("customer_id"))
+    judged = q.select("query_id", F.char(65 + F.col("query_id") % 5).alias("matched_label"))
+    return quality.judged_tickets(judged, quality.blind_candidates(q, V.view(spark, sf_dir, V.BIG_TICKETS))).select("query_id", "ticket_id")
+
+
 # Sampling
 
 _u = lambda k, d: f"CAST(('0x' || substr(md5(CAST({k} AS STRING) || '|{d}|0'), 1, 13)) AS UBIGINT) / 4503599627370496.0"

@@ -45,10 +45,14 @@ EVAL_QUERIES = (
     "key string, sender_email string, subject string, body string, conversation_id string, in_reply_to string, expected_ticket_keys array<string>, "
     "difficulty string, ambiguity_type string, category string, note string"
 )
-_RESULT = "actual_ticket_key string, correct boolean, recall20 boolean, recall3 boolean, path string, confidence double, explanation string, elapsed_s double"
-_KEYED = "key string, category string, difficulty string, ambiguity_type string, expected_ticket_keys array<string>"
-EVAL_RESULT = f"{_KEYED}, {_RESULT}, timings_ms map<string,double>, total_time_ms double"
-REPEAT_FILE = f"queries array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _KEYED.split(', '))}, runs: array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _RESULT.split(', '))}>>>>"
+EVAL_RESULT = (
+    "key string, category string, difficulty string, ambiguity_type string, expected_ticket_keys array<string>, actual_ticket_key string, correct boolean, recall20 boolean, recall3 boolean, "
+    "path string, confidence double, explanation string, elapsed_s double, timings_ms map<string,double>, total_time_ms double"
+)
+REPEAT_FILE = (
+    "queries array<struct<key: string, category: string, difficulty: string, ambiguity_type: string, expected_ticket_keys: array<string>, runs: array<struct<actual_ticket_key: string, "
+    "correct: boolean, recall20: boolean, recall3: boolean, path: string, confidence: double, explanation: string, elapsed_s: double>>>>"
+)
 UNITS = "unit_id string, stage string, status string, batch_id string, retry_count int, raw_result string, qa_verdict string, updated_at string"
 TARGETS = "dimension string, value string, target double"
 QA_CUSTOMER = (

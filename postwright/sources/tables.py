@@ -44,6 +44,14 @@ def load_fixture(customers: DataFrame, tickets: DataFrame, threads: DataFrame, n
     return {"customers": cust.drop("key"), "tickets": tick.drop("key", "inbox_email"), "interactions": rows}
 
 
+def union_corpora(*corpora: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """U5. The tables of several corpora as one; ids come from each one's namespace, and a row with a known id is one row."""
+    out = dict(corpora[0])
+    for more in corpora[1:]:
+        out = {name: upsert(df, more[name]) if name in more else df for name, df in out.items()} | {n: d for n, d in more.items() if n not in out}
+    return out
+
+
 def upsert(target: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """S3. target with the rows of updates in place of those with the same key; repeatable.
 

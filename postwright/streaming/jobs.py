@@ -33,10 +33,15 @@ def incremental_index(source: DataFrame, target: str, checkpoint: str, model: st
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of each id that incremental_index() wrote."""
+    """The newest version of each id that incremental_index() wrote.
+
+    Of several in one micro-batch the one created last counts, then the one with the greater hash.
+    """
     df = spark.read.parquet(target)
-    rest = F.struct("batch", *[c for c in df.columns if c not in ("id", "batch")])
-    return df.groupBy("id").agg(F.max_by(rest, "batch").alias("x")).select("id", "x.*").drop("batch")
+    names = [c for c in df.columns if c not in ("id", "batch")]
+    when = [F.col(c) for c in ("created_at",) if c in names]
+    age = F.struct("batch", *when, F.xxhash64(*[c for c, kind in df.dtypes if c in names and not kind.startswith("map")]))
+    return df.groupBy("id").agg(F.max_by(F.struct(*names), age).alias("x")).select("id", "x.*")
 
 
 def route_mail(source: DataFrame, tables: Callable[[SparkSession], dict[str, DataFrame]], target: str, checkpoint: str):
