@@ -291,7 +291,7 @@ def judge_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.0
     quantiles: then the ends reach as far as those of a normal distribution, and as those of all languages'
     deviations from their own means. Languages without trusted text are compared with the mean of all; a null
     language is one of its own. Both ends count: symbols and shouting are unlikely, and repetition strays further
-    than its length allows. Null and empty texts have a null perplexity and aren't kept. Without two trusted texts,
+    than its length allows. Null, empty and blank texts have a null perplexity and aren't kept. Without two trusted texts,
     all others are kept. Repeated rows and null ids are scored like others. Other columns aren't read.
     """
     return _judge(docs, trusted_ids, quantile, most_chars, folds, bucket_chars).drop("r1", "r2")
@@ -302,7 +302,9 @@ def _judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.001, mos
     ids = small(cut(trusted_ids.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct()).withColumn("trusted", F.lit(True)), BROADCAST_KEYS)
     df = docs.select("doc_id", "lang", "text").join(ids, F.col("doc_id") == F.col("tid"), "left")
     r1, r2 = row_key(*ROW)
-    df = df.select("doc_id", "lang", "text", r1.alias("r1"), r2.alias("r2"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold_of("text", folds).alias("fold"))
+    # blank texts say nothing, like empty ones
+    said = F.when(F.col("text").rlike(r"\S"), F.col("text")).alias("text")
+    df = df.select("doc_id", "lang", said, r1.alias("r1"), r2.alias("r2"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold_of("text", folds).alias("fold"))
     scored = score(df, folds, bucket_chars)
     good = scored.filter("trusted AND chars > 0").select("lang", "logp", "chars")
     sums = [F.sum("logp").alias("lp"), F.sum("chars").alias("ch")]
