@@ -710,10 +710,13 @@ _marks = " + ".join(f"contains(p, '{_esc(m)}')::INT" for m in quality.NOISE_MARK
 
 
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(text, '.', '') ELSE text END AS t FROM documents), x AS (SELECT doc_id, t, ' ' || lower(regexp_replace(t, '\\b[A-Za-z]{{2,6}}-[A-Za-z0-9-]+\\b', ' ', 'g')) || ' ' AS p, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS n FROM d),
-    y AS (SELECT *, {_marks} AS marks FROM x) SELECT doc_id, CASE WHEN n <= 40 THEN 'short' WHEN n > 120 THEN 'long' ELSE 'medium' END AS length, CASE WHEN marks >= 5 OR (NOT regexp_matches(t, '[.!?]') AND n > 15) THEN 'heavy' WHEN marks >= 1 THEN 'mild' ELSE 'clean' END AS noise FROM y""")
+    y AS (SELECT *, {_marks} AS marks FROM x), z AS (SELECT doc_id, CASE WHEN n <= 40 THEN 'short' WHEN n > 120 THEN 'long' ELSE 'medium' END AS length, CASE WHEN marks >= 5 OR (NOT regexp_matches(t, '[.!?]') AND n > 15) THEN 'heavy' WHEN marks >= 1 THEN 'mild' ELSE 'clean' END AS noise FROM y)
+    SELECT *, concat_ws(',', CASE WHEN length <> CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE 'long' END THEN 'length_bucket_conformance' END, CASE WHEN noise <> CASE WHEN doc_id % 5 = 0 THEN 'heavy' ELSE 'clean' END THEN 'noise_level_conformance' END) AS checks FROM z""")
 def q5_style(spark, sf_dir):
     df = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text || ' pls CLM-12 asap' WHEN doc_id % 3 = 1 THEN replace(text, '.', '') ELSE text END AS t")
-    return df.select("doc_id", quality.length_bucket(F.col("t")).alias("length"), quality.noise_level(F.col("t")).alias("noise"))
+    length, noise = F.when(F.col("doc_id") % 2 == 0, "short").otherwise("long"), F.when(F.col("doc_id") % 5 == 0, "heavy").otherwise("clean")
+    found = F.array_join(F.transform(quality.style_findings(F.col("t"), length, noise), lambda x: x.check), ",")
+    return df.select("doc_id", quality.length_bucket(F.col("t")).alias("length"), quality.noise_level(F.col("t")).alias("noise"), found.alias("checks"))
 
 
 LABELS = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality END AS intended, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE toxic END AS judged, CASE WHEN doc_id % 3 = 0 THEN 'hard_negative' ELSE 'easy' END AS tier, CASE WHEN doc_id % 4 = 0 THEN 'easy' ELSE 'hard_negative' END AS judged_tier, toxic = 1 AS should_match FROM labels)"

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from postwright.operators import evaluation, quality, ranking, retrieval, routing, sampling
+from postwright.operators import audit, evaluation, quality, ranking, retrieval, routing, sampling
 from postwright.sources.tables import load_fixture, upsert
 
 T0 = dt.datetime(2024, 1, 1)
@@ -117,3 +117,11 @@ def test_draws_depend_on_the_seed_alone(spark):
     df = spark.range(2000).withColumn("v", sampling.weighted_value("id", "d", {"a": 0.7, "b": 0.3}))
     n = df.filter("v = 'a'").count()
     assert 1300 < n < 1500 and n == df.repartition(7).filter("v = 'a'").count()
+
+
+def test_ranks_and_weight_sums(spark):
+    hits = spark.createDataFrame([("q", 5, 2.0), ("q", 6, 3.0), ("r", 5, 1.0)], "query_id string, interaction_id long, score double")
+    top = retrieval.top_n(hits, ["query_id"], [F.desc("score"), "interaction_id"], 1)
+    assert sorted((r.query_id, r.interaction_id, r["rank"]) for r in top.collect()) == [("q", 6, 1), ("r", 5, 1)]
+    targets = spark.createDataFrame([("category", "a", 0.6), ("category", "b", 0.4), ("tier", "x", 0.5)], "dimension string, value string, target double")
+    assert {r.dimension: r.ok for r in audit.weights_sum_to_one(targets).collect()} == {"category": True, "tier": False}
