@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, table
+from .common import cut, join_salted, row_key, table
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: The model's size: features of the lexicon, by |z|; and the most log-odds of one word.
-MOST_FEATURES, MOST_SCORE = 20_000, 8.0
+#: A lexicon of at most so many features is sent to the workers; words meet a larger one by joins.
+BROADCAST_FEATURES = 100_000
+#: The most log-odds of one word.
+MOST_SCORE = 8.0
 BINS, BIN = 400, 0.25
 #: Tables of labels of at most so many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -25,13 +27,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0, least_count: int = 5) -> list[tuple[str, float]]:
-    """(feature, score) of words and word beginnings that toxic texts favour, from (doc_id, text, toxic).
+def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0, least_count: int = 5) -> DataFrame:
+    """(f, score) of words and word beginnings that toxic texts favour, from (doc_id, text, toxic).
 
     Counts are of distinct words per text, each distinct text once, so neither repetition nor copies count more.
     Log-odds have a Dirichlet prior: one count of each feature and `prior` counts spread as in all texts; z is
-    the log-odds over its standard error. A feature's score is its log-odds less one standard error. The
-    counts cover all rows; only the lexicon, of at most MOST_FEATURES rows, comes to the driver.
+    the log-odds over its standard error. A feature's score is its log-odds less one standard error.
     """
     df = texts.select("doc_id", "text", "toxic", *row_key("text"))
     one = df.groupBy("k1", "k2").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -45,13 +46,13 @@ def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0,
     feats = cut(feats.filter(f"t + c >= {least_count} OR f = ''"))
     totals = feats.filter("f = ''").first()
     if not totals or not totals.t or not totals.c:
-        return []
+        return feats.select("f", F.lit(0.0).alias("score")).limit(0)
     a = 1 + F.lit(prior) * (F.col("t") + F.col("c")) / float(totals.t + totals.c)
     odds = lambda n, all_n: F.log((n + a) / (float(all_n) + prior + 1))
     delta = odds(F.col("t"), totals.t) - odds(F.col("c"), totals.c)
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    found = feats.filter("f <> ''").select("f", delta.alias("d"), error.alias("e")).filter(f"d >= {least_z} * e").orderBy((F.col("d") / F.col("e")).desc(), "f").limit(MOST_FEATURES)
-    return [(r.f, min(r.d - r.e, MOST_SCORE)) for r in found.collect()]
+    found = feats.filter("f <> ''").select("f", delta.alias("d"), error.alias("e")).filter(f"d >= {least_z} * e")
+    return cut(found.select("f", F.least(F.col("d") - F.col("e"), F.lit(MOST_SCORE)).alias("score")), used=[feats])
 
 
 def maximal_segments(places: list[int], scores: list[float], penalty: float) -> list[tuple[int, int, float]]:
@@ -105,6 +106,60 @@ def _segment_batches(lexicon, penalty):
     return run
 
 
+def _joined_batches(penalty):
+    def run(batches):
+        for batch in batches:
+            hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
+            segs = [[{"first": a, "last": b, "score": s} for a, b, s in maximal_segments([h["pos"] for h in x], [h["score"] for h in x], penalty)] for x in hits]
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
+            names = ["doc_id", "words"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(segs, kind)], [*names, "segments"])
+
+    return run
+
+
+SEGMENTS = "doc_id bigint, words bigint, segments array<struct<first:int,last:int,score:double>>"
+
+
+def find_segments(docs: DataFrame, lexicon: DataFrame, penalty: float, broadcast_features: int = BROADCAST_FEATURES) -> DataFrame:
+    """(doc_id, words, segments) of every text. A lexicon beyond the bound is joined to the distinct words, and these
+    to the words of the texts; only what was hit is scanned."""
+    if lexicon.count() <= broadcast_features:
+        rows = [(r.f, r.score) for r in lexicon.collect()]
+        return cut(docs.mapInArrow(_segment_batches(rows, penalty), SEGMENTS))
+    # letters as in WORD
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
+    keyed = docs.select("doc_id", "text", *row_key("text"))
+    tokens = cut(keyed.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode(words).alias("pos", "w")))
+    counts = tokens.groupBy("w").agg(F.count("*").alias("n"))
+    features = F.array_compact(F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in PREFIXES]))
+    scored = counts.select("w", "n", F.explode(features).alias("f")).join(lexicon, "f").groupBy("w").agg(F.first("n").alias("n"), F.max("score").alias("score"))
+    hits = join_salted(tokens, cut(scored), ["w"], "n").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("hits"))
+    none = F.array().cast("array<struct<pos:int,score:double>>")
+    met = keyed.select("doc_id", "k1", "k2", F.size(words).cast("long").alias("words")).join(hits, ["k1", "k2"], "left").select("doc_id", "words", F.coalesce("hits", none).alias("hits"))
+    return cut(met.mapInArrow(_joined_batches(penalty), SEGMENTS), used=[tokens])
+
+
+def fit_tail(clean: DataFrame) -> tuple[float, float]:
+    """K, rate of the number K * words * exp(-rate * s) of segments of score s or more in clean texts.
+
+    Peaks over a threshold: the excess over the upper quartile of the texts' greatest scores is taken as exponential.
+    With fewer than ten segments above it, all segments count.
+    """
+    scores = F.col("segments.score")
+    over = clean.agg(F.percentile_approx(F.array_max(scores), 0.75, 10_000).alias("u"), F.min(F.array_min(scores)).alias("least"), F.sum("words").alias("words")).first()
+    n = 0
+    for u in (over.u, over.least):
+        if u is not None and n <= 10:
+            beyond = F.filter(scores, lambda x: x > F.lit(float(u)))
+            t = clean.agg(F.sum(F.size(beyond)).alias("n"), F.sum(F.aggregate(beyond, F.lit(0.0), lambda a, x: a + x - F.lit(float(u)))).alias("excess")).first()
+            n, excess, at = t.n or 0, t.excess or 0.0, float(u)
+    if n <= 10:
+        return max(n, 0.5) / max(over.words or 0, 1), 1.0
+    rate = n / max(excess, 0.05 * n)
+    return n * math.exp(min(rate * at, 50.0)) / max(over.words or 0, 1), rate
+
+
 def fit_logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """a, b of 1 / (1 + exp(-(a + b x))) for counts of both labels at each x; a little ridge keeps it finite."""
     a, b, n = math.log((pos.sum() + 1) / (neg.sum() + 1)), 0.0, pos + neg
@@ -119,13 +174,13 @@ def fit_logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int =
     return a, b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1, broadcast_features: int = BROADCAST_FEATURES) -> DataFrame:
     """(doc_id, held_out, words, passages, evidence, score, predicted): a row for each row of docs.
 
     Labels (doc_id, toxic) are learnt from where held_out() is false. Words score the largest entry of the
     learnt lexicon that fits them, others cost `penalty`; every maximal segment is found in one scan of the whole
     text. In clean training texts, a segment of score s or more occurs about K * words * exp(-rate * s) times;
-    K and rate are fitted to the tail of their segments. passages: array<struct<first, last, score, surprise>>,
+    K and rate are fitted to the tail of their segments (see fit_tail). passages: array<struct<first, last, score, surprise>>,
     the segments with surprise = rate * s - ln(K * words) above 0; evidence is the sum of surprises; a logistic
     curve over binned evidence of training texts gives score, and predicted is 1 from 0.5 on.
 
@@ -138,15 +193,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1) ->
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     lexicon = learn_lexicon(df.join(marks, F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic").filter("text IS NOT NULL"))
-    found = cut(df.mapInArrow(_segment_batches(lexicon, penalty), "doc_id bigint, words bigint, segments array<struct<first:int,last:int,score:double>>"))
+    found = find_segments(df, lexicon, penalty, broadcast_features)
     train = found.join(marks, F.col("doc_id") == F.col("lid")).select("words", "segments", "toxic")
-    clean = train.filter("toxic = 0")
-    scores = F.col("segments.score")
-    per_text = clean.select("words", F.size(scores).alias("n"), F.aggregate(scores, F.lit(0.0), lambda t, x: t + x).alias("sum"), F.array_min(scores).alias("least"))
-    tail = per_text.agg(F.sum("n").alias("n"), (F.sum("sum") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.min("least").alias("least"), F.sum("words").alias("words")).first()
-    found_n, words = tail.n or 0, tail.words or 0
-    rate = 1 / max(tail.mean - tail.least, 0.05) if found_n > 10 else 1.0
-    big_k = max(found_n, 0.5) * math.exp(min(rate * (tail.least or 0.0), 50.0)) / max(words, 1)
+    big_k, rate = fit_tail(train.filter("toxic = 0"))
     surprise = F.expr(f"""filter(transform(segments, x -> named_struct('first', x.first, 'last', x.last, 'score', x.score,
         'surprise', {rate}D * x.score - ln({big_k!r}D * greatest(words, 1)))), x -> x.surprise > 0)""")
     evidence = F.aggregate("passages", F.lit(0.0), lambda t, x: t + x.surprise)

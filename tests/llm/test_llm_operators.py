@@ -243,3 +243,5 @@ def test_toxicity_learns_from_the_allowed_rows_only(spark):
     assert len(rows) == 602 and all(0 <= r.score <= 1 for r in rows)
     test = [r for r in rows if r.held_out and r.doc_id is not None and r.doc_id < 600]
     assert test and sum(r.predicted == int(r.doc_id % 5 == 0) for r in test) >= 0.98 * len(test)
+    joined = toxicity.score_toxicity(df, lab, broadcast_features=0).collect()
+    assert sorted((str(r.doc_id), r.words, r.predicted, [tuple(p)[:2] for p in r.passages]) for r in joined) == sorted((str(r.doc_id), r.words, r.predicted, [tuple(p)[:2] for p in r.passages]) for r in rows)
