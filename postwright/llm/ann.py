@@ -70,36 +70,31 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, least: in
 
 
 def best_of_block(queries: pd.DataFrame, entries: pd.DataFrame, top: int) -> pd.DataFrame:
-    """Each query's best entries of one block, by exact cosine. Sums run over dimensions in one order for every
-    pair, so that equal vectors get equal scores."""
-    q, e = np.stack(queries["v"].to_numpy()), np.stack(entries["v"].to_numpy())
+    """Each query's best entries of one block, by exact cosine; equal scores go to the smaller id.
+
+    One product of matrices tells which entries can be among the best; only these get their score, by sums over the
+    dimensions in one order for every pair, so that equal vectors get equal scores. Vectors are scaled by powers of
+    two alone, which doesn't round.
+    """
+    scaled = lambda v: v / np.ldexp(1.0, np.frexp(np.abs(v).max(axis=1))[1])[:, None]
+    q, e = scaled(np.stack(queries["v"].to_numpy())), scaled(np.stack(entries["v"].to_numpy()))
     q_id, e_id = queries["vec_id"].to_numpy(), entries["vec_id"].to_numpy()
-    by_id = np.argsort(e_id, kind="stable")
-    e, e_id = e[by_id], e_id[by_id]
-    qs, es = np.abs(q).max(1, keepdims=True), np.abs(e).max(1, keepdims=True)
-    q, e = q / qs, e / es
-    dot, qn, en = np.zeros((len(q), len(e))), np.zeros(len(q)), np.zeros(len(e))
+    n = min(top, len(e))
+    near = unit(q) @ unit(e).T
+    near[q_id[:, None] == e_id[None, :]] = -np.inf
+    least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
+    rows, columns = np.nonzero((near >= least - 1e-9) & np.isfinite(near))
+    dot, qn, en = np.zeros(len(rows)), np.zeros(len(q)), np.zeros(len(e))
     for d in range(q.shape[1]):
-        dot += q[:, d, None] * e[None, :, d]
+        dot += q[rows, d] * e[columns, d]
         qn += q[:, d] * q[:, d]
         en += e[:, d] * e[:, d]
-    dot /= np.sqrt(qn)[:, None] * np.sqrt(en)[None, :]
-    dot[q_id[:, None] == e_id[None, :]] = -np.inf
-    n = min(top, len(e))
-    best = np.argsort(-dot, axis=1, kind="stable")[:, :n] if len(e) <= 4 * n else _first(dot, n)
-    rows = np.repeat(np.arange(len(q)), best.shape[1])
-    out = pd.DataFrame({"query_id": q_id[rows], "vec_id": e_id[best.ravel()], "score": dot[rows, best.ravel()]})
-    return out[np.isfinite(out["score"])]
-
-
-def _first(dot: np.ndarray, n: int) -> np.ndarray:
-    """Columns of the n largest of each row, ties to the smaller column."""
-    least = -np.partition(-dot, n - 1, axis=1)[:, n - 1 : n]
-    out = np.empty((len(dot), n), dtype=np.int64)
-    for i, row in enumerate(dot):
-        at = np.flatnonzero(row >= least[i])
-        out[i] = at[np.argsort(-row[at], kind="stable")[:n]]
-    return out
+    score = dot / (np.sqrt(qn)[rows] * np.sqrt(en)[columns])
+    order = np.lexsort((e_id[columns], -score, rows))
+    rows, columns, score = rows[order], columns[order], score[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < n
+    return pd.DataFrame({"query_id": q_id[rows[kept]], "vec_id": e_id[columns[kept]], "score": score[kept]})
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = 5, vec_id: str = "vec_id", vector: str = "embedding", centroids: int | None = None, share: float = 0.5, least: int = 2_000, power: float = 0.8, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postwright.llm import ann, common, components, decontaminate, linededup, mixing, neardup, pii, secrets, toxicity, urlfilter
 
 BIG = (1 << 53) + 1
-CLASH = {c: F.lit(7) for c in ("k1", "salt", "n", "parts", "s", "e", "h", "row", "target", "token", "base")}
+CLASH = ("k1", "salt", "n", "parts", "s", "e", "h", "row", "target", "token", "base")
 
 
 def test_salted_join_equals_a_join(spark):
@@ -72,7 +72,7 @@ def test_mixing_narrows_by_quantiles(spark):
 
 def test_spans_of_repeated_rows_under_clashing_names(spark):
     text = "token = abcdef12 mail a@b.example"
-    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string").withColumns(CLASH)
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASH})
     for made, name in ((secrets.scan_secrets(df), "secrets"), (pii.scan_pii(df), "pii")):
         assert set(CLASH) <= set(made.columns)
         assert Counter((r.doc_id, len(r[name])) for r in made.collect()) == Counter({(1, 1): 2, (None, 1): 1, (2, 0): 1})
@@ -80,7 +80,7 @@ def test_spans_of_repeated_rows_under_clashing_names(spark):
 
 
 def test_urls_of_repeated_rows_and_an_empty_table(spark):
-    df = spark.createDataFrame([(1, "http://com/en/x"), (1, "http://com/en/x"), (None, None)], "page_id long, url string").withColumns(CLASH)
+    df = spark.createDataFrame([(1, "http://com/en/x"), (1, "http://com/en/x"), (None, None)], "page_id long, url string").withColumns({c: F.lit(7) for c in CLASH})
     rules = urlfilter.rule_table(spark)
     assert Counter((r.page_id, r.verdict) for r in urlfilter.judge_urls(df, rules).collect()) == Counter({(1, "block"): 2, (None, "allow"): 1})
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
@@ -90,7 +90,7 @@ def test_leaks_in_long_and_repeated_texts_and_empty_tables(spark):
     rnd = random.Random(4)
     item = "Which of the seven old bridges over the river Elbe in the town was built first by the masons?"
     long = " ".join(f"w{rnd.randrange(1000)}" for _ in range(50_000)) + " " + item
-    df = spark.createDataFrame([(1, long), (1, long), (2, item), (3, None)], "doc_id long, text string").withColumns(CLASH)
+    df = spark.createDataFrame([(1, long), (1, long), (2, item), (3, None)], "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASH})
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert Counter(r.doc_id for r in decontaminate.contaminated(df, items).collect()) == Counter({1: 1, 2: 1})
     assert decontaminate.contaminated(df.limit(0), items).count() == 0 and decontaminate.contaminated(df, items.limit(0)).count() == 0
@@ -98,7 +98,7 @@ def test_leaks_in_long_and_repeated_texts_and_empty_tables(spark):
 
 
 def test_toxicity_without_labels_or_texts(spark):
-    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string").withColumns(CLASH)
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASH})
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     for marks in (labels, labels.limit(0)):
         rows = toxicity.score_toxicity(df, marks).collect()
