@@ -68,16 +68,17 @@ def drop(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df.cut_folder)
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, share: float = 1 / 2000) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, total: int | None = None, share: float = 1 / 2000) -> DataFrame:
     """left joined with right, where no task gets all rows of one key.
 
     Keys with more than `share` of left's rows, of which there are fewer than 1 / share, are split: left's rows go
     to parts by hash, and right's are copied to each part. n names a column of right with the number of left's rows
     of a key (right then has a row for each); else the rows of `counted` (None: left) are counted. What is counted is
-    read twice: cut() it before.
+    read twice: cut() it before, or rely on a reused exchange. total: about the number of left's rows, if known.
     """
     counts = right.select(*on, F.col(n).alias("n")) if n else (counted or left).groupBy(*on).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(1.0, total * share)
     hot = F.broadcast(counts.filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("parts")))
     columns = [*left.columns, *[c for c in right.columns if c not in on]]

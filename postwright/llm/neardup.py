@@ -156,13 +156,15 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     members = cut(sketches.select("doc_id", "node"))
     nodes = cut(sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")), used=[sketches])
     places = nodes.select("node", F.explode("x.bands").alias("bucket"))
-    sizes = cut(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    crowded = cut(join_salted(places, sizes, ["bucket"], "n").select("bucket", "node", "n"), used=[sizes])
+    many = bands * nodes.count()
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = cut(join_salted(places, sizes, ["bucket"], "n", total=many).select("bucket", "node", "n"))
     # the middle of a group meets more of it than others do, so it is in larger buckets
     weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
-    hubs = cut(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x"), F.count("*").alias("n")).select("bucket", F.col("x.node").alias("hub"), "n"))
-    shared = cut(join_salted(crowded.drop("n"), hubs, ["bucket"], "n").select("bucket", "node", "hub"), used=[crowded, hubs])
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("x"), F.count("*").alias("n")).select("bucket", F.col("x.node").alias("hub"), "n")
+    many = crowded.count()
+    shared = cut(join_salted(crowded.drop("n"), hubs, ["bucket"], "n", total=many).select("bucket", "node", "hub"), used=[crowded])
     wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"), used=[nodes])
     named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(small(wanted, BROADCAST_NODES), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     # of repeated rows one is enough
@@ -171,7 +173,8 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
 
     def checked(pairs: DataFrame) -> DataFrame:
         one, two = texts.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), texts.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        df = join_salted(join_salted(pairs, one, ["a"]), two, ["b"], counted=pairs)
+        n = pairs.count()
+        df = join_salted(join_salted(pairs, one, ["a"], total=n), two, ["b"], counted=pairs, total=n)
         # 1e-9 keeps pairs at the very threshold
         df = df.withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("linked", F.expr(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)"))
         return df.select("a", "b", "both", "linked").distinct()
@@ -183,8 +186,7 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     named = cut(shared.join(comps, "node", "left").select("bucket", "node", "hub", F.coalesce("comp", "node").alias("comp")), used=[shared])
     groups = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "main", "n")
-    several = cut(several)
-    mixed_up = cut(join_salted(named, several, ["bucket"], "n").drop("n"), used=[named, several])
+    mixed_up = cut(join_salted(named, several, ["bucket"], "n", total=many).drop("n"), used=[named])
     # shingles that no other text of these buckets has can't be shared: they bound the similarity of every pair
     alive = texts.join(mixed_up.select("node").distinct(), "node", "left_semi")
     own = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
@@ -194,17 +196,17 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     pairs = pairs.join(to_hubs.select("a", "b", F.col("both").alias("met")), ["a", "b"], "left").drop("a", "b")
     # shingles that the hub has too, and others that aren't the text's own: a pair shares no more than the lesser of each
     pairs = cut(pairs.withColumn("with_hub", F.when(F.col("node") == F.col("hub"), F.col("size")).otherwise(F.coalesce("met", "both"))), used=[mixed_up])
-    others = cut(pairs.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"), F.col("with_hub").alias("hx")))
+    others = pairs.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("zx"), F.col("both").alias("bx"), F.col("with_hub").alias("hx"))
     most = "least(bx, both, least(hx, with_hub) + least(greatest(bx - hx, 0), greatest(both - with_hub, 0)))"
     bound = f"{most} >= ({threshold} - 1e-9) * (zx + size - {most})"
     rest = (
-        join_salted(pairs.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both", "with_hub"), others, ["bucket"])
+        join_salted(pairs.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), "main", "size", "both", "with_hub"), others, ["bucket"], total=pairs.count())
         .filter(f"cx <> cy AND (cy = main OR x < y) AND {bound}")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    rest = cut(rest, used=[pairs, others])
+    rest = cut(rest, used=[pairs])
     more = cut(checked(rest).filter("linked").select("a", "b"), used=[rest, texts, first])
     if more.isEmpty():
         drop(to_hubs, more)
@@ -214,8 +216,8 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
 
 def _with_classes(members: DataFrame, comps: DataFrame) -> DataFrame:
     """members with comp; a node with very many exact copies doesn't go to one task."""
-    copies = cut(members.groupBy("node").agg(F.count("*").alias("n")).join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")))
-    return join_salted(members, copies, ["node"], "n").drop("n")
+    copies = members.groupBy("node").agg(F.count("*").alias("n")).join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    return join_salted(members, copies, ["node"], "n", total=members.count()).drop("n")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -229,8 +231,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     members, comps = link_documents(docs, **options)
     blank = F.col("node") == F.unhex(F.md5(F.lit("")))
     full = cut(_with_classes(members.filter(~blank), comps).select("doc_id", "comp"))
-    classes = cut(full.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    out = join_salted(full, classes, ["comp"], "class_size").select("doc_id", "class_id", "class_size")
+    classes = full.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    out = join_salted(full, classes, ["comp"], "class_size", total=members.count()).select("doc_id", "class_id", "class_size")
     return out.unionByName(members.filter(blank).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
