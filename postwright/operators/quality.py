@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_temp_id, identifiers, without_identifiers, words
+from ..functions.text import bind, has_temp_id, identifiers, without_identifiers, words
 from ..schemas import CATEGORIES, INTENTS, LENGTHS, NOISES, STATUSES, TERMINAL, TIERS, TONES
 from .sampling import uniform
 
@@ -140,19 +140,23 @@ def check_conversations(conversations: DataFrame, tickets: DataFrame) -> DataFra
 
 def query_findings(text: Column) -> Column:
     """Q4. Of an email text: near-empty, leaked labels, tiers, phrases and ids, refusals."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    n = F.size(F.filter(F.split(F.trim(F.regexp_replace(low, r"\s+", " ")), " "), lambda x: x != ""))
-    leak = lambda lits, what: F.transform(contains_any(low, lits), lambda x: F.struct(F.lit("fail").alias("severity"), F.lit("label_leakage").alias("check"), F.concat(F.lit(f"{what} leaked: "), x).alias("message"))).cast(FINDINGS)
-    named = F.filter(F.array(*[F.lit(c) for c in CATEGORIES]), lambda x: F.contains(low, x) | F.contains(low, F.replace(x, F.lit("_"), F.lit(" "))))
-    cats = F.transform(named, lambda x: F.struct(F.lit("fail").alias("severity"), F.lit("label_leakage").alias("check"), F.concat(F.lit("category leaked: "), x).alias("message"))).cast(FINDINGS)
-    refusal = contains_any(low, REFUSALS)
-    return F.concat(
-        findings(finding(n < 3, "fail", "non_degenerate", "fewer than three words")), cats, leak(TIERS, "tier"), leak(META_PHRASES, "phrase"),
-        findings(
-            finding(has_temp_id(F.coalesce(text, F.lit(""))), "fail", "label_leakage", "a temporary id leaked"),
-            finding(F.size(refusal) > 0, "fail", "broke_character", F.concat(F.lit("refusal: "), F.get(refusal, F.lit(0)))),
-        ),
-    )
+    given = F.coalesce(text, F.lit(""))
+
+    def found(low: Column) -> Column:
+        leaked = lambda what, lits: F.transform(lits, lambda x: F.struct(F.lit("fail").alias("severity"), F.lit("label_leakage").alias("check"), F.concat(F.lit(f"{what} leaked: "), x).alias("message"))).cast(FINDINGS)
+        named = F.filter(F.array(*[F.lit(c) for c in CATEGORIES]), lambda x: F.contains(low, x) | F.contains(low, F.replace(x, F.lit("_"), F.lit(" "))))
+        refusal = contains_any(low, REFUSALS)
+        return F.concat(
+            # three words need two gaps between them
+            findings(finding(~low.rlike(r"\S\s+\S+\s+\S"), "fail", "non_degenerate", "fewer than three words")), leaked("category", named), leaked("tier", contains_any(low, TIERS)), leaked("phrase", contains_any(low, META_PHRASES)),
+            findings(
+                finding(has_temp_id(given), "fail", "label_leakage", "a temporary id leaked"),
+                finding(F.size(refusal) > 0, "fail", "broke_character", F.concat(F.lit("refusal: "), F.get(refusal, F.lit(0)))),
+            ),
+        )
+
+    # every rule reads the lowered text, which is made once
+    return bind(F.lower(given), found)
 
 
 def length_bucket(text: Column) -> Column:
