@@ -91,7 +91,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     fits = tokens.join(hint(rarest), "token").filter("target rlike regex")
     best = F.struct(F.length("rule").alias("n"), "rule", "action")
     won = fits.groupBy("url").agg(F.max(F.when(F.col("site"), best)).alias("site_rule"), F.max(F.when(~F.col("site"), best)).alias("other_rule"))
-    out = url_parts(base.withColumn("url", F.col(url))).drop("rest").join(won, "url", "left")
+    # rows without a URL have no match: keys of their own keep them out of one task
+    spread = F.coalesce(F.col(url), F.xxhash64(*[F.col(c).cast("string") for c in kept]).cast("string"))
+    out = url_parts(base.withColumn("uf__key", spread), url).drop("rest")
+    out = out.join(won.withColumnRenamed("url", "uf__url"), (F.col("uf__key") == F.col("uf__url")) & F.col(url).isNotNull(), "left")
     return out.select(
         *kept,
         "host",
