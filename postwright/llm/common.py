@@ -68,22 +68,27 @@ def drop(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df.cut_folder)
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, total: int | None = None, share: float = 1 / 2000) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, total: int | None = None, share: float = 1 / 500) -> DataFrame:
     """left joined with right, where no task gets all rows of one key.
 
-    Keys with more than `share` of left's rows, of which there are fewer than 1 / share, are split: left's rows go
-    to parts by hash, and right's are copied to each part. n names a column of right with the number of left's rows
-    of a key (right then has a row for each); else the rows of `counted` (None: left) are counted. What is counted is
-    read twice: cut() it before, or rely on a reused exchange. total: about the number of left's rows, if known.
+    Keys with more than `share` of left's rows are split: left's rows go to parts by hash, and right's are copied to
+    each part. There are fewer than 1 / share such keys, whose hashes alone come to the driver; without any, this is
+    a plain join. n names a column of right with the number of left's rows of a key (right then has a row for each);
+    else the rows of `counted` (None: left) are counted. What is counted is read twice: cut() it before, or rely on a
+    reused exchange. total: about the number of left's rows, if known. Keys have one type on both sides.
     """
     counts = right.select(*on, F.col(n).alias("n")) if n else (counted or left).groupBy(*on).agg(F.count("*").alias("n"))
     if total is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(1.0, total * share)
-    hot = F.broadcast(counts.filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    key = F.xxhash64(*on)
+    hot = counts.filter(F.col("n") > most).orderBy(F.desc("n")).limit(int(2 / share)).select(key.alias("key"), "n").collect()
     columns = [*left.columns, *[c for c in right.columns if c not in on]]
-    left = left.withColumn("salt", F.xxhash64(*left.columns)).join(hot, on, "left").withColumn("salt", F.pmod("salt", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = right.join(hot, on, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    if not hot:
+        return left.join(right, on).select(*columns)
+    parts, split = -int(-max(r.n for r in hot) // most), key.isin([r.key for r in hot])
+    left = left.withColumn("salt", F.when(split, F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(0).cast("int"))
+    right = right.withColumn("salt", F.explode(F.when(split, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "salt"]).select(*columns)
 
 
