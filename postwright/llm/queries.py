@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, linededup, mixing, neardup, phrases, pii, quality, secrets, spelling, toxicity, urlfilter
+from . import ann, decontaminate, linededup, mixing, neardup, pagetext, phrases, pii, quality, secrets, spelling, toxicity, urlfilter
 
 QUERIES = {
     "op1_nearest_vectors": ann.op1_nearest_vectors,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_runs": linededup.op9_line_runs,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_main_text": pagetext.op11_main_text,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_phrases": phrases.op13_phrases,
 }
