@@ -7,10 +7,12 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .porter import stemmed
+
 # Tags, classes, sign-offs, banners and disclaimers.
 VOID_TAGS = {"br", "hr", "img", "meta", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 HIDDEN_TAGS = {"script", "style", "blockquote"}
@@ -20,17 +22,21 @@ SIGN_OFFS = (
     r"--|best regards[, ]*|regards[, ]*|sincerely[, ]*|thanks[, ]*|thank you[, ]*|many thanks[, ]*|cheers[, ]*"
     r"|sent from my (?:iphone|ipad|android|mobile device)|get outlook for (?:ios|android)"
 )
-BANNERS = r"-{2,}[^\S\n]*original message[^\S\n]*-{2,}|-{2,}[^\S\n]*forwarded message[^\S\n]*-{2,}|_{5,}|on[^\S\n][^\n]{1,120}[^\S\n]wrote:"
 DISCLAIMERS = [
     "this email and any files transmitted with it are confidential",
     "this message contains confidential information",
     "please consider the environment before printing",
 ]
+#: White space as Python's str.strip() has it, for a class of a pattern; and the same but for the line end.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_GAP = rf"[{BLANKS}&&[^\n]]"
+_AROUND = rf"\A[{BLANKS}]+|[{BLANKS}]+\z"
 #: A marker line cuts only if it starts at this offset or later.
 LEAST_BEFORE_CUT = 40
-_HEAD = rf"(?is)\A(.{{{LEAST_BEFORE_CUT - 1},}}?)\n[^\S\n]*"
-QUOTE_PATTERN = _HEAD + rf"(?:>.*|(?:{BANNERS})[^\S\n]*(?:\n.*)?)\z"
-SIGN_OFF_PATTERN = _HEAD + rf"(?:{SIGN_OFFS})[^\S\n]*(?:\n.*)?\z"
+BANNERS = rf"-{{2,}}{_GAP}*original message{_GAP}*-{{2,}}|-{{2,}}{_GAP}*forwarded message{_GAP}*-{{2,}}|_{{5,}}|on{_GAP}[^\n]{{1,120}}{_GAP}wrote:"
+_HEAD = rf"(?is)\A(.{{{LEAST_BEFORE_CUT - 1},}}?)\n{_GAP}*"
+QUOTE_PATTERN = _HEAD + rf"(?:>.*|(?:{BANNERS}){_GAP}*(?:\n.*)?)\z"
+SIGN_OFF_PATTERN = _HEAD + rf"(?:{SIGN_OFFS}){_GAP}*(?:\n.*)?\z"
 #: English words that carry no topic (a short public stop word list).
 STOP_WORDS = (
     "a an and are as at be been but by can could did do does for from had has have he her his how i if in into is it its me my no not of on or our "
@@ -104,15 +110,15 @@ def cut_pasted_headers(c) -> Column:
 
     def kept(lines: Column) -> Column:
         def starts(i: Column) -> Column:
-            window = F.transform(F.slice(lines, i + 2, 4), lambda x: F.regexp_replace(x, r"^\s+", ""))
+            window = F.transform(F.slice(lines, i + 2, 4), lambda x: F.regexp_replace(x, rf"^[{BLANKS}]+", ""))
             has = lambda p: F.exists(window, lambda x: x.rlike(p))
             offset = F.length(F.array_join(F.slice(lines, 1, i), "\n")) + 1
-            return F.get(lines, i).rlike(r"(?i)^\s*from:\s*\S") & (i > 0) & (offset >= LEAST_BEFORE_CUT) & has(r"(?i)^(sent|date):") & has("(?i)^to:") & has("(?i)^subject:")
+            return F.get(lines, i).rlike(rf"(?i)^[{BLANKS}]*from:[{BLANKS}]*[^{BLANKS}]") & (i > 0) & (offset >= LEAST_BEFORE_CUT) & has(r"(?i)^(sent|date):") & has("(?i)^to:") & has("(?i)^subject:")
 
         at = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), starts)), F.size(lines))
         return F.array_join(F.slice(lines, 1, at), "\n")
 
-    return bind(_col(c), lambda t: F.when(~t.rlike(r"(?im)^\s*from:"), t).otherwise(bind(F.split(t, "\n"), kept)))
+    return bind(_col(c), lambda t: F.when(~t.rlike(rf"(?im)^[{BLANKS}]*from:"), t).otherwise(bind(F.split(t, "\n"), kept)))
 
 
 def strip_quoted_history(c) -> Column:
@@ -141,7 +147,7 @@ def remove_disclaimers(c) -> Column:
 def normalize_whitespace(c) -> Column:
     """T6. Runs of blanks and tabs to one blank, at most one empty line, no white space around."""
     out = F.regexp_replace(F.regexp_replace(_col(c), r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(out, _AROUND, "")
 
 
 def clean_plain(c) -> Column:
@@ -156,13 +162,13 @@ def clean_text(c) -> Column:
 
 def embedding_text(subject, body) -> Column:
     """T8. Subject, an empty line and the clean body; the body alone if the subject is blank."""
-    s = F.regexp_replace(_col(subject), r"\A\s+|\s+\z", "")
+    s = F.regexp_replace(_col(subject), _AROUND, "")
     return F.concat_ws("\n\n", F.nullif(s, F.lit("")), _col(body))
 
 
 def normalize_email(c) -> Column:
-    """T9."""
-    return F.lower(F.trim(_col(c)))
+    """T9. Without white space around, in lower case."""
+    return F.lower(F.regexp_replace(_col(c), _AROUND, ""))
 
 
 def preview(c, chars: int = 200) -> Column:
@@ -174,16 +180,29 @@ def words(c) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def stem(w: Column) -> Column:
-    """A light suffix stripper for English plurals and -ing, -ed forms; not Porter's."""
-    w = F.regexp_replace(F.regexp_replace(w, "(?<=.{3})ies$", "y"), "(?<=.{3}[^su])s$", "")
-    return F.regexp_replace(w, "(?<=.{4})(ing|ed)$", "")
+def lexemes(c) -> Column:
+    """T11. Distinct words in lower case without stop words, not stemmed."""
+    return F.array_distinct(F.filter(words(c), lambda w: ~w.isin(STOP_WORDS)))
+
+
+#: A table of stems of at most so many words is broadcast; a larger one is joined by shuffle.
+BROADCAST_STEMS = 500_000
+
 
+def with_lexemes(df: DataFrame, key: str, c: str, to: str = "lexemes") -> DataFrame:
+    """T11. df with the distinct stemmed lexemes of column c, in the order of their first occurrence.
 
-def lexemes(c, stemmed: bool = True) -> Column:
-    """T11. Distinct words in lower case without stop words, stemmed if asked."""
-    kept = F.filter(words(c), lambda w: ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.transform(kept, stem) if stemmed else kept)
+    Each distinct word of the table is stemmed once, and the stems are joined back to the rows. key names a column that
+    tells the rows apart. Rows with a null key or without words get an empty array. The words are counted to choose the
+    join.
+    """
+    each = df.select(F.col(key).alias("lx__k"), F.posexplode(lexemes(c)).alias("pos", "word")).filter("lx__k IS NOT NULL")
+    stems = stemmed(each.select("word").distinct())
+    stems = F.broadcast(stems) if stems.select("word").count() <= BROADCAST_STEMS else stems
+    back = each.join(stems, "word").groupBy("lx__k").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))
+    back = back.select("lx__k", F.array_distinct(F.transform("x", lambda x: x["stem"])).alias("lx__w"))
+    made = df.drop(to).join(back, F.col(key) == F.col("lx__k"), "left")
+    return made.withColumn(to, F.coalesce("lx__w", F.array().cast("array<string>"))).drop("lx__k", "lx__w")
 
 
 IDENTIFIER = r"\b[A-Za-z]{2,6}-[A-Za-z0-9-]+\b"

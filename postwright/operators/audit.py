@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.scratch import Scratch
+from .components import components
 
 
 def distributions(df: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -100,6 +102,12 @@ def sibling_customers(tickets: DataFrame) -> DataFrame:
     return tickets.filter("status NOT IN ('RESOLVED', 'CLOSED')").groupBy("customer_id", "category").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+def _subject_texts(tickets: DataFrame) -> DataFrame:
+    """(category, w, id, tickets, c0, c1) of each distinct subject of a category: its words, smallest ticket and customers."""
+    rows = tickets.select("category", "customer_id", "id", F.array_sort(F.array_distinct(words("subject"))).alias("w")).filter("size(w) > 0")
+    return rows.groupBy("category", "w").agg(F.min("id").alias("id"), F.count("*").alias("tickets"), F.min("customer_id").alias("c0"), F.max("customer_id").alias("c1"))
+
+
 def lookalike_subjects(tickets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Q12. (a, b, category, similarity, same_customer): pairs of distinct subjects of a category, by word Jaccard.
 
@@ -107,8 +115,7 @@ def lookalike_subjects(tickets: DataFrame, threshold: float = 0.8) -> DataFrame:
     rarest words: of a set of n words, at this threshold two sets share one of the first n - ceil(t n) + 1 in
     order of frequency, which is exact and leaves out the common words.
     """
-    texts = tickets.select("category", "customer_id", "id", F.array_sort(F.array_distinct(words("subject"))).alias("w")).filter("size(w) > 0")
-    texts = texts.groupBy("category", "w").agg(F.min("id").alias("id"), F.count("*").alias("tickets"), F.min("customer_id").alias("c0"), F.max("customer_id").alias("c1"))
+    texts = _subject_texts(tickets)
     df = texts.select("category", F.explode("w").alias("word")).groupBy("category", "word").agg(F.count("*").alias("df"))
     ranked = texts.select("category", "id", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, ["category", "word"])
     place = F.row_number().over(Window.partitionBy("category", "id").orderBy("df", "word"))
@@ -122,3 +129,32 @@ def lookalike_subjects(tickets: DataFrame, threshold: float = 0.8) -> DataFrame:
     both = both.withColumn("similarity", shared / (F.size("wa") + F.size("wb") - shared)).filter(F.col("similarity") >= threshold - 1e-9)
     same = (F.col("ca") == F.col("cb")) & (F.col("ca1") == F.col("cb1")) & (F.col("ca") == F.col("ca1"))
     return both.select("a", "b", "category", "similarity", same.alias("same_customer"))
+
+
+def lookalike_members(tickets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Q12. (id, category, customer_id, subject_id, group_id) of every ticket whose subject has words.
+
+    Subjects of a category that are alike, directly or by way of others, form a group, named by its smallest subject_id
+    (the smallest ticket with that subject). A subject that is like no other is its own group. Null categories are one
+    category of their own here, and pairs between their subjects aren't looked for.
+    """
+    scratch = Scratch(tickets.sparkSession)
+    rows = tickets.select("id", "category", "customer_id", F.array_sort(F.array_distinct(words("subject"))).alias("w")).filter("size(w) > 0")
+    pairs = lookalike_subjects(tickets, threshold).select("a", "b")
+    groups = components(pairs, scratch)
+    texts = rows.groupBy("category", "w").agg(F.min("id").alias("subject_id"))
+    named = texts.join(groups.withColumnRenamed("node", "subject_id"), "subject_id", "left").withColumn("group_id", F.coalesce("component", "subject_id")).drop("component")
+    named = named.withColumnsRenamed({"category": "c", "w": "v"})
+    made = rows.join(named, F.col("category").eqNullSafe(F.col("c")) & (F.col("w") == F.col("v")))
+    return scratch.last(made.select("id", "category", "customer_id", "subject_id", "group_id"))
+
+
+def lookalike_groups(tickets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Q12. (category, group_id, subjects, tickets, customers, kind) of the groups of two tickets or more.
+
+    kind: `one customer, 2-way`, `one customer, 3-way` and so on by the number of tickets, or `several customers`.
+    """
+    members = lookalike_members(tickets, threshold)
+    df = members.groupBy("category", "group_id").agg(F.count_distinct("subject_id").alias("subjects"), F.count("*").alias("tickets"), F.count_distinct("customer_id").alias("customers"))
+    kind = F.when(F.col("customers") > 1, "several customers").otherwise(F.format_string("one customer, %d-way", "tickets"))
+    return df.filter("tickets > 1").withColumn("kind", kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars, text
+from ..functions import porter, scalars, text
 from ..operators import audit, evaluation, filters, listing, quality, ranking, retrieval, routing, sampling
 from ..schemas import CATEGORIES, CATEGORY_LABELS, SENDER_LABELS
 from ..sources.tables import upsert
@@ -36,34 +36,47 @@ def query(sql: str | None = None):
 # Text
 
 TAILS = (
-    "CASE {id} % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Best regards,' || chr(10) || 'Ann' WHEN 2 THEN chr(10) || 'On Mon, Ann wrote:' || chr(10) || '> old text' "
-    "ELSE chr(10) || 'From: a@b.example' || chr(10) || 'Sent: now' || chr(10) || 'To: c@d.example' || chr(10) || 'Subject: x' || chr(10) || 'old' END"
+    "CASE {id} % 8 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Best regards,' || chr(10) || 'Ann' WHEN 2 THEN chr(10) || 'On Mon, Ann wrote:' || chr(10) || '> old text' "
+    "WHEN 3 THEN chr(10) || 'Regards,' || chr(160) || chr(10) || 'Ann' WHEN 4 THEN chr(10) || chr(160) || '> old text' WHEN 5 THEN chr(10) || 'On Mon,' || chr(160) || 'Ann wrote:' || chr(160) || chr(10) || 'old' "
+    "WHEN 6 THEN chr(10) || '-- ' || chr(160) || chr(10) || 'Ann' ELSE chr(10) || chr(160) || 'From: a@b.example' || chr(10) || 'Sent: now' || chr(10) || 'To: c@d.example' || chr(10) || 'Subject: x' || chr(10) || 'old' END"
 )
 BODY = f"(SELECT doc_id, text || {TAILS.format(id='doc_id')} AS body FROM documents)"
 _esc = lambda p: p.replace("'", "''")
-_re2 = lambda p: _esc(p).replace("(?is)", "").replace(r"\A", "^")
+#: White space as the library has it, in RE2's words.
+RE2_BLANKS = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+stripped = lambda c: f"regexp_replace({c}, '^[{RE2_BLANKS}]+|[{RE2_BLANKS}]+$', '', 'g')"
+
+
+def cut_at_line(condition: str) -> str:
+    """SQL that cuts a body before its first line, at offset 40 or later, whose stripped text t fulfils the condition."""
+    return f"""
+WITH b AS (SELECT doc_id, body, string_split(body, chr(10)) AS l FROM {BODY}),
+i AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM b),
+t AS (SELECT doc_id, n, {stripped('l[n]')} AS t, sum(length(l[n]) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(l[n]) - 1 AS at FROM i),
+f AS (SELECT doc_id, min(n) AS n FROM t WHERE at >= 40 AND ({condition}) GROUP BY doc_id)
+SELECT b.doc_id, CASE WHEN f.n IS NULL THEN body ELSE array_to_string(l[:f.n - 1], chr(10)) END AS kept FROM b LEFT JOIN f USING (doc_id)"""
 
 
 def bodies(spark, sf_dir):
     return V.read(spark, sf_dir, "documents").selectExpr("doc_id", f"text || {TAILS.format(id='doc_id')} AS body")
 
 
-@query(f"SELECT doc_id, regexp_replace(body, '{_re2(text.QUOTE_PATTERN)}', '\\1', 'is') AS kept FROM {BODY}")
+@query(cut_at_line(f"starts_with(t, '>') OR regexp_full_match(t, '-{{2,}}[{RE2_BLANKS}]*(original|forwarded) message[{RE2_BLANKS}]*-{{2,}}|_{{5,}}|on[{RE2_BLANKS}].{{1,120}}[{RE2_BLANKS}]wrote:', 'i')"))
 def t2_cut_quotes(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", text.cut_quotes("body").alias("kept"))
 
 
 @query(f"""WITH b AS (SELECT doc_id, body, string_split(body, chr(10)) AS l FROM {BODY}),
     i AS (SELECT doc_id, body, l, unnest(range(1, len(l) + 1)) AS n FROM b),
-    f AS (SELECT doc_id, min(n) AS n FROM i WHERE n > 1 AND regexp_matches(l[n], '^\\s*from:\\s*\\S', 'i') AND length(list_aggregate(l[:n - 1], 'string_agg', chr(10))) + 1 >= 40
-          AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches(ltrim(x), '^(sent|date):', 'i'))) > 0 AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches(ltrim(x), '^to:', 'i'))) > 0
-          AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches(ltrim(x), '^subject:', 'i'))) > 0 GROUP BY doc_id)
+    f AS (SELECT doc_id, min(n) AS n FROM i WHERE n > 1 AND regexp_matches({stripped('l[n]')}, '^from:.*[^{RE2_BLANKS}]', 'i') AND length(list_aggregate(l[:n - 1], 'string_agg', chr(10))) + 1 >= 40
+          AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches({stripped('x')}, '^(sent|date):', 'i'))) > 0 AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches({stripped('x')}, '^to:', 'i'))) > 0
+          AND len(list_filter(l[n + 1:n + 4], lambda x: regexp_matches({stripped('x')}, '^subject:', 'i'))) > 0 GROUP BY doc_id)
     SELECT b.doc_id, CASE WHEN f.n IS NULL THEN body ELSE list_aggregate(l[:f.n - 1], 'string_agg', chr(10)) END AS kept FROM b LEFT JOIN f USING (doc_id)""")
 def t3_cut_pasted_headers(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", text.cut_pasted_headers("body").alias("kept"))
 
 
-@query(f"SELECT doc_id, regexp_replace(body, '{_re2(text.SIGN_OFF_PATTERN)}', '\\1', 'is') AS kept FROM {BODY}")
+@query(cut_at_line("regexp_full_match(t, '--|((best )?regards|sincerely|(many )?thanks|thank you|cheers)[, ]*|sent from my (iphone|ipad|android|mobile device)|get outlook for (ios|android)', 'i')"))
 def t4_remove_signature(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", text.remove_signature("body").alias("kept"))
 
@@ -83,9 +96,10 @@ def t5_remove_disclaimers(spark, sf_dir):
     return docs.select("doc_id", text.remove_disclaimers("t").alias("kept"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'x ', '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS kept FROM documents""")
+@query(f"""SELECT doc_id, {stripped("regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS kept
+    FROM (SELECT doc_id, chr(160) || text || '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'x ' || chr(160) AS body FROM documents) AS d""")
 def t6_normalize_whitespace(spark, sf_dir):
-    docs = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "text || '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'x ' AS body")
+    docs = V.read(spark, sf_dir, "documents").selectExpr("doc_id", "chr(160) || text || '  ' || chr(10) || chr(10) || chr(10) || chr(9) || 'x ' || chr(160) AS body")
     return docs.select("doc_id", text.normalize_whitespace("body").alias("kept"))
 
 
@@ -113,7 +127,7 @@ _lex = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\
 @query(f"SELECT lex, count(*) AS docs FROM (SELECT unnest({_lex('text')}) AS lex FROM documents) AS d GROUP BY lex")
 def t11_lexeme_counts(spark, sf_dir):
     docs = V.read(spark, sf_dir, "documents")
-    return docs.select(F.explode(text.lexemes("text", stemmed=False)).alias("lex")).groupBy("lex").agg(F.count("*").alias("docs"))
+    return docs.select(F.explode(text.lexemes("text")).alias("lex")).groupBy("lex").agg(F.count("*").alias("docs"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(body, '\b[A-Za-z]{2,6}-[A-Za-z0-9-]+\b')) AS n, md5(regexp_replace(body, '\b[A-Za-z]{2,6}-[A-Za-z0-9-]+\b', ' ', 'g')) AS rest, regexp_matches(body, '\b(cust|tkt|q)_\d+(_\d+)?\b') AS temp FROM (SELECT doc_id, replace(text, ' the ', ' CLM-' || CAST(doc_id AS STRING) || ' tkt_1 ') AS body FROM documents) AS d")
@@ -122,6 +136,44 @@ def t12_identifiers(spark, sf_dir):
     return df.select("doc_id", F.size(text.identifiers("body")).cast("long").alias("n"), F.md5(text.without_identifiers("body")).alias("rest"), text.has_temp_id("body").alias("temp"))
 
 
+SHAPE = "list_reduce(list_prepend('', string_split({w}, '')), lambda d, x: d || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') OR (x = 'y' AND right(d, 1) = 'c') THEN 'v' ELSE 'c' END)"
+
+
+def _porter_sql() -> str:
+    """Porter's steps as a chain of tables (word, w, s), for English words of a to z."""
+    measure = lambda s: f"len(regexp_extract_all({s}, 'v+c+'))"
+    bare = lambda n: f"left(w, length(w) - {n})"
+    shape = lambda n: f"left(s, length(w) - {n})"
+    cvc = lambda w, s: f"({s} LIKE '%cvc' AND NOT regexp_matches({w}, '[wxy]$'))"
+    double = "(length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right(s, 1) = 'c')"
+    suffixes = lambda table: "regexp_extract(w, '(" + "|".join(sorted(table, key=len, reverse=True)) + ")$')"
+
+    def mapped(table):
+        return f"CASE WHEN x = '' OR {measure('left(s, length(w) - length(x))')} = 0 THEN w ELSE left(w, length(w) - length(x)) || CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END END"
+
+    steps = [
+        (f"CASE WHEN regexp_matches(w, '(sses|ies)$') THEN {bare(2)} WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN {bare(1)} ELSE w END", "''"),
+        (f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(shape(3))} > 0 THEN {bare(1)} ELSE w END WHEN w LIKE '%ed' AND contains({shape(2)}, 'v') THEN '+' || {bare(2)} WHEN w LIKE '%ing' AND contains({shape(3)}, 'v') THEN '+' || {bare(3)} ELSE w END", "''"),
+        (f"CASE WHEN NOT cut THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN {double} AND NOT regexp_matches(w, '[lsz]$') THEN {bare(1)} WHEN {measure('s')} = 1 AND {cvc('w', 's')} THEN w || 'e' ELSE w END", "''"),
+        (f"CASE WHEN w LIKE '%y' AND contains({shape(1)}, 'v') THEN {bare(1)} || 'i' ELSE w END", "''"),
+        (mapped(porter.STEP_2), suffixes(porter.STEP_2)), (mapped(porter.STEP_3), suffixes(porter.STEP_3)),
+        (f"CASE WHEN x <> '' AND {measure('left(s, length(w) - length(x))')} > 1 AND (x <> 'ion' OR regexp_matches(left(w, length(w) - 3), '[st]$')) THEN left(w, length(w) - length(x)) ELSE w END", suffixes(porter.STEP_4)),
+        (f"CASE WHEN w LIKE '%e' AND ({measure(shape(1))} > 1 OR ({measure(shape(1))} = 1 AND NOT {cvc(bare(1), shape(1))})) THEN {bare(1)} ELSE w END", "''"),
+        (f"CASE WHEN w LIKE '%ll' AND {measure('s')} > 1 THEN {bare(1)} ELSE w END", "''"),
+    ]
+    out = "p0 AS (SELECT word, word AS w, false AS cut FROM v WHERE regexp_full_match(word, '[a-z]{3,}'))"
+    for i, (expression, x) in enumerate(steps):
+        out += f",\n    s{i} AS (SELECT *, {SHAPE.format(w='w')} AS s, {x} AS x FROM p{i}), q{i} AS (SELECT word, {expression} AS w FROM s{i}), p{i + 1} AS (SELECT word, replace(w, '+', '') AS w, starts_with(w, '+') AS cut FROM q{i})"
+    return out + f",\n    stems AS (SELECT word, coalesce(p.w, word) AS stem FROM v LEFT JOIN p{len(steps)} AS p USING (word))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({_lex('text')}) AS word FROM documents), v AS (SELECT DISTINCT word FROM d), {_porter_sql()}
+    SELECT doc_id, count(DISTINCT stem) AS n, md5(string_agg(DISTINCT stem, ' ' ORDER BY stem)) AS stems FROM d JOIN stems USING (word) GROUP BY doc_id""")
+def t11_stemmed_lexemes(spark, sf_dir):
+    docs = text.with_lexemes(V.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").filter("size(lexemes) > 0")
+    return docs.select("doc_id", F.size("lexemes").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("lexemes"), " ")).alias("stems"))
+
+
 # Scalars
 
 
@@ -250,7 +302,7 @@ def s3_upsert(spark, sf_dir):
 
 # Routing
 
-THREADS = f"""e AS (SELECT query_id, min(c.id) AS customer_id, conversation_id, in_reply_to, ref1, ref2 FROM {E} AS e LEFT JOIN {C} AS c ON lower(c.inbox_email) = lower(trim(e.sender_email)) GROUP BY ALL),
+THREADS = f"""e AS (SELECT query_id, min(c.id) AS customer_id, conversation_id, in_reply_to, ref1, ref2 FROM {E} AS e LEFT JOIN {C} AS c ON lower(c.inbox_email) = lower({stripped('e.sender_email')}) GROUP BY ALL),
     live AS (SELECT id FROM {T} AS t WHERE status NOT IN {TERMINAL}), i AS {I},
     conv AS (SELECT conversation_id, arg_max(ticket_id, (created_at, id)) AS ticket_id FROM i WHERE conversation_id <> '' GROUP BY conversation_id),
     x AS (SELECT e.*, CASE WHEN c.ticket_id IN (SELECT id FROM live) THEN c.ticket_id END AS t1, CASE WHEN r.ticket_id IN (SELECT id FROM live) THEN r.ticket_id END AS t2,
@@ -263,7 +315,7 @@ def emails(spark, sf_dir):
     return V.view(spark, sf_dir, V.EMAILS).withColumn("reference_message_ids", F.array("ref1", "ref2")).drop("ref1", "ref2")
 
 
-@query(f"SELECT query_id, min(c.id) AS customer_id FROM {E} AS e LEFT JOIN {C} AS c ON lower(c.inbox_email) = lower(trim(e.sender_email)) GROUP BY query_id")
+@query(f"SELECT query_id, min(c.id) AS customer_id FROM {E} AS e LEFT JOIN {C} AS c ON lower(c.inbox_email) = lower({stripped('e.sender_email')}) GROUP BY query_id")
 def j1_t9_identify_customer(spark, sf_dir):
     return routing.identify_customer(emails(spark, sf_dir), V.customers(spark, sf_dir)).select("query_id", "customer_id")
 
@@ -329,8 +381,8 @@ SOURCE_OF_ITEM = "'src' || CAST(item_id % 20 AS STRING)"
 
 
 def keyword_tables(spark, sf_dir, scope_of_item: str, scope_of_document: str):
-    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(scope_of_item).alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
-    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), F.expr(scope_of_document).alias("customer_id"), text.lexemes("text", stemmed=False).alias("lexemes"))
+    q = V.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(scope_of_item).alias("customer_id"), text.lexemes("text").alias("lexemes"))
+    d = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), F.expr(scope_of_document).alias("customer_id"), text.lexemes("text").alias("lexemes"))
     return q, d
 
 
@@ -403,22 +455,26 @@ def conversation_tables(spark, sf_dir):
     tickets = turns.select("conv_id").distinct().select(F.col("conv_id").alias("id"), (F.col("conv_id") % 10).alias("customer_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("subject"), F.when(F.col("conv_id") % 4 == 0, "CLOSED").otherwise("OPEN").alias("status"))
     customers = tickets.select("customer_id").distinct().select(F.col("customer_id").alias("id"), F.concat(F.lit("Clinic "), F.col("customer_id").cast("string")).alias("name"), F.concat(F.lit("billing"), F.col("customer_id").cast("string"), F.lit("@clinic.example")).alias("inbox_email"))
     last = turns.filter("role = 'user'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("x"))
+    # a mail finds what was there before it, not itself
+    rows = rows.join(last.select(F.col("conv_id").alias("ticket_id"), (F.col("conv_id") * 1000 + F.col("x.turn")).alias("mail_id")), "ticket_id", "left")
+    rows, every = rows.filter("mail_id IS NULL OR id < mail_id").drop("mail_id"), rows.drop("mail_id")
     mail = last.select(
         F.col("conv_id").alias("query_id"), F.lit("").alias("subject"), F.col("x.text").alias("body"), F.concat(F.lit("Billing"), (F.col("conv_id") % 11).cast("string"), F.lit("@clinic.example")).alias("sender_email"),
         F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("conversation_id"), F.lit(None).cast("string").alias("in_reply_to"), F.array().cast("array<string>").alias("reference_message_ids"),
     )
-    return mail, customers, tickets, rows
+    return mail, customers, tickets, rows, every
 
 
 def _recommend(spark, sf_dir, **options):
-    mail, customers, tickets, rows = conversation_tables(spark, sf_dir)
-    ready = rows.withColumn("lexemes", text.lexemes("clean_content")).withColumn("embedding", ranking.hashed_embedding("clean_content"))
+    mail, customers, tickets, rows, _ = conversation_tables(spark, sf_dir)
+    ready = text.with_lexemes(rows, "id", "clean_content").withColumn("embedding", ranking.hashed_embedding("clean_content"))
+    options = {"match": "any"} | options
     return recommend_emails(mail, customers, tickets, ready, F.lit(V.NOW).cast("timestamp"), clean=text.clean_plain, **options)
 
 
 @query()
 def recommend(spark, sf_dir):
-    return _recommend(spark, sf_dir).select("query_id", "path", "customer_id", "recommended_ticket_id", "should_attach", r6("confidence").alias("confidence"), "n_candidates")
+    return _recommend(spark, sf_dir).select("query_id", "path", "customer_id", "recommended_ticket_id", "should_attach", r6("confidence").alias("confidence"), "n_candidates", "ambiguous_inbox")
 
 
 @query()
@@ -430,7 +486,7 @@ def m6_recommend_without_rerank(spark, sf_dir):
     SELECT conv_id AS ticket_id, md5('Ticket ID: ' || CAST(conv_id AS STRING) || ' | Customer: Clinic ' || CAST(conv_id % 10 AS STRING) || ' | Status: ' || status || ' | Subject: Conversation ' || CAST(conv_id AS STRING) || chr(10) ||
     string_agg('--- Interaction (' || CASE role WHEN 'user' THEN 'Customer' WHEN 'assistant' THEN 'Agent' ELSE 'System' END || ') ---' || chr(10) || text, chr(10) ORDER BY turn)) AS context FROM conversations JOIN t USING (conv_id) WHERE text IS NOT NULL GROUP BY conv_id, status""")
 def m3_context_text(spark, sf_dir):
-    _, customers, tickets, rows = conversation_tables(spark, sf_dir)
+    _, customers, tickets, _, rows = conversation_tables(spark, sf_dir)
     names = tickets.withColumnRenamed("id", "ticket_id").join(customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name")), "customer_id").drop("customer_id")
     windows = rows.withColumn("idx", F.row_number().over(Window.partitionBy("ticket_id").orderBy("created_at", "interaction_id"))).withColumn("query_id", F.col("ticket_id"))
     return ranking.context_text(windows, names).select("ticket_id", F.md5("context").alias("context"))
@@ -621,6 +677,38 @@ def q12_lookalike_subjects(spark, sf_dir):
     return audit.lookalike_subjects(V.view(spark, sf_dir, V.BIG_TICKETS), 0.6).withColumn("similarity", r6("similarity"))
 
 
+#: Subjects of three numbers, of which alike ones differ in one.
+CASES = "(SELECT o_orderkey AS id, o_custkey AS customer_id, o_orderpriority AS category, concat('case ', CAST(o_orderkey % 701 AS STRING), ' unit ', CAST(o_custkey % 907 AS STRING), ' desk ', CAST(o_orderkey % 97 AS STRING)) AS subject FROM orders)"
+
+
+@query(rf"""
+WITH RECURSIVE rows AS (
+    SELECT id, category, customer_id, list_sort(list_distinct(regexp_extract_all(lower(subject), '[\p{{L}}\p{{N}}]+'))) AS w FROM {CASES} AS c
+), texts AS (
+    SELECT category, w, min(id) AS sid FROM rows GROUP BY ALL
+), words AS (
+    SELECT category, sid, len(w) AS n, unnest(w) AS word FROM texts
+), shared AS (
+    SELECT a.sid AS a, b.sid AS b, a.n AS na, b.n AS nb, count(*) AS common FROM words a JOIN words b ON a.category = b.category AND a.word = b.word AND a.sid <> b.sid
+    WHERE a.word NOT IN ('case', 'unit', 'desk') GROUP BY ALL
+), pairs AS (
+    SELECT a, b FROM shared JOIN texts x ON x.sid = a JOIN texts y ON y.sid = b
+    WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.7 - 1e-9
+), reach AS (
+    SELECT sid AS node, sid AS least FROM texts
+    UNION SELECT p.b, r.least FROM reach r JOIN pairs p ON p.a = r.node WHERE r.least < p.b
+), named AS (
+    SELECT t.category, t.w, t.sid, min(r.least) AS group_id FROM texts t JOIN reach r ON r.node = t.sid GROUP BY ALL
+)
+SELECT category, group_id, count(DISTINCT sid) AS subjects, count(*) AS tickets, count(DISTINCT customer_id) AS customers,
+    CASE WHEN count(DISTINCT customer_id) > 1 THEN 'several customers' ELSE 'one customer, ' || count(*) || '-way' END AS kind
+FROM rows JOIN named USING (category, w) GROUP BY category, group_id HAVING count(*) > 1
+""")
+def q12_lookalike_groups(spark, sf_dir):
+    orders = V.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS customer_id", "o_orderpriority AS category", CASES[CASES.index("concat(") : CASES.index(" AS subject")] + " AS subject")
+    return audit.lookalike_groups(orders, 0.7)
+
+
 # Quality rules
 
 MSG = "(SELECT conv_id, turn, role, (turn * 7 + conv_id) % 5 AS day FROM conversations)"

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, embedding_text, lexemes
+from ..functions.text import clean_text, embedding_text, normalize_email, with_lexemes
 from ..operators import evaluation, ranking, retrieval, routing
+from ..operators.filters import is_embeddable
+from ..sources.scratch import Scratch
 
 
 def prepare_emails(emails: DataFrame, embed=ranking.hashed_embedding, clean=clean_text) -> DataFrame:
     """Add query_text, lexemes and embedding to (query_id, subject, body, ...)."""
-    df = emails.withColumn("query_text", embedding_text("subject", clean("body")))
-    return df.withColumn("lexemes", lexemes("query_text")).withColumn("embedding", embed(F.col("query_text")))
+    df = emails if "query_text" in emails.columns else emails.withColumn("query_text", embedding_text("subject", clean("body")))
+    return with_lexemes(df, "query_id", "query_text").withColumn("embedding", embed(F.col("query_text")))
 
 
 def rank_tickets(queries: DataFrame, interactions: DataFrame, now: Column, match: str = "all", **options) -> DataFrame:
@@ -22,15 +24,20 @@ def rank_tickets(queries: DataFrame, interactions: DataFrame, now: Column, match
 
 
 def recommend(emails: DataFrame, customers: DataFrame, tickets: DataFrame, interactions: DataFrame, now: Column, scorer=ranking.lexical_overlap, decider=None, embed=ranking.hashed_embedding, clean=clean_text, match: str = "all", rerank: bool = True, top_k: int = 3) -> DataFrame:
-    """(query_id, path, customer_id, recommended_ticket_id, should_attach, confidence, n_candidates) for each email.
+    """(query_id, path, customer_id, recommended_ticket_id, should_attach, confidence, n_candidates, ambiguous_inbox) for each email.
 
     Mail of unknown senders and of live threads is settled by joins; only the rest takes the heavy path. Without
     rerank (M6) the first top_k tickets by final score go to the decision as they stand. interactions needs
-    lexemes and embedding beside its own columns.
+    lexemes and embedding beside its own columns. What several steps read is written once (routed mail, prepared mail,
+    the searched part of the interactions, ranked tickets), so no step is computed twice and each has a short plan.
+    ambiguous_inbox marks mail to an inbox of several customers, which goes to the one with the smallest id.
     """
-    routed = routing.route(emails, customers, interactions, tickets)
-    heavy = prepare_emails(routed.filter("path = 'ai_decision'"), embed, clean)
-    ranked = rank_tickets(heavy, interactions, now, match)
+    scratch = Scratch(emails.sparkSession)
+    routed = scratch.write(routing.route(emails, customers, interactions, tickets))
+    heavy = scratch.write(prepare_emails(scratch.write(routed.filter("path = 'ai_decision'").withColumn("query_text", embedding_text("subject", clean("body")))), embed))
+    asked = heavy.select("customer_id").distinct()
+    searched = scratch.write(interactions.filter(is_embeddable()).join(asked, "customer_id", "left_semi").select("interaction_id", "customer_id", "ticket_id", "created_at", "interaction_type", "lexemes", "embedding"))
+    ranked = scratch.write(rank_tickets(heavy, searched, now, match))
     if not rerank:
         ranked = ranked.filter(F.col("ticket_rank") <= top_k)
     names = tickets.select(F.col("id").alias("ticket_id"), "customer_id", "status", "subject").join(customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name")), "customer_id").drop("customer_id")
@@ -41,9 +48,11 @@ def recommend(emails: DataFrame, customers: DataFrame, tickets: DataFrame, inter
     else:
         inputs = ranking.decision_input(full.withColumn("position", F.col("ticket_rank")), "final_score", "match score")
     decided = ranking.decide(heavy.select("query_id"), inputs, decider)
-    out = routed.join(decided, "query_id", "left")
+    shared = routing.ambiguous_inboxes(customers).select("inbox").withColumn("ambiguous_inbox", F.lit(True))
+    out = routed.join(decided, "query_id", "left").join(shared, normalize_email("sender_email") == F.col("inbox"), "left")
     ticket = routing.recommended_ticket()
-    return out.select("query_id", "path", "customer_id", ticket.alias("recommended_ticket_id"), ticket.isNotNull().alias("should_attach"), F.when(F.col("path") == "ai_decision", F.col("confidence")).alias("confidence"), F.size("candidates").alias("n_candidates"))
+    made = out.select("query_id", "path", "customer_id", ticket.alias("recommended_ticket_id"), ticket.isNotNull().alias("should_attach"), F.when(F.col("path") == "ai_decision", F.col("confidence")).alias("confidence"), F.size("candidates").alias("n_candidates"), F.coalesce("ambiguous_inbox", F.lit(False)).alias("ambiguous_inbox"))
+    return scratch.last(made)
 
 
 def evaluate(results: DataFrame, expected: DataFrame, run: str) -> DataFrame:

@@ -25,7 +25,7 @@ INTERACTIONS = (
 EMAILS = (
     "events",
     {
-        "query_id": "event_id", "sender_email": "' billing' || CAST(user_id + CASE WHEN event_id % 11 = 0 THEN 100000000 ELSE 0 END AS STRING) || '@CLINIC.example '",
+        "query_id": "event_id", "sender_email": "chr(9) || ' billing' || CAST(user_id + CASE WHEN event_id % 11 = 0 THEN 100000000 ELSE 0 END AS STRING) || '@CLINIC.example' || chr(160) || chr(10)",
         "conversation_id": "CASE WHEN event_id % 4 = 0 THEN 'c' || CAST(user_id * 8 + event_id % 8 AS STRING) WHEN event_id % 4 = 1 THEN '' END",
         "in_reply_to": "CASE WHEN event_id % 3 = 0 THEN 'm' || CAST(event_id - 7 AS STRING) END", "ref1": "'m' || CAST(event_id - 11 AS STRING)", "ref2": "'m' || CAST(event_id + 1 AS STRING)",
     },

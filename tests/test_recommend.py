@@ -23,7 +23,7 @@ def tables(spark):
     tickets = spark.createDataFrame([(1, 1, "OPEN", "Denied claim"), (2, 1, "OPEN", "Enrollment"), (3, 1, "CLOSED", "Eligibility"), (4, 2, "OPEN", "Duplicate"), (5, 2, "RESOLVED", "Portal")], "id long, customer_id long, status string, subject string")
     rows = [(i, i, t, 1 if t <= 3 else 2, "customer_email" if i % 2 else "agent_reply", NOW - dt.timedelta(days=20 - 2 * i), f"m{i}", f"c{t}", b) for i, t, b in BODIES]
     df = spark.createDataFrame(rows, "id long, interaction_id long, ticket_id long, customer_id long, interaction_type string, created_at timestamp, message_id string, conversation_id string, clean_content string")
-    return customers, tickets, df.withColumn("lexemes", text.lexemes("clean_content")).withColumn("embedding", ranking.hashed_embedding("clean_content"))
+    return customers, tickets, text.with_lexemes(df, "id", "clean_content").withColumn("embedding", ranking.hashed_embedding("clean_content"))
 
 
 def mail(spark, rows):
@@ -48,7 +48,7 @@ def test_the_four_paths(spark):
 def test_ranked_tickets_against_the_rules(spark):
     _, _, rows = tables(spark)
     queries = [("q1", 1, "was the claim denied"), ("q2", 1, "enrollment form signed"), ("q3", 2, "claim denied"), ("q4", 2, "xyz")]
-    asked = spark.createDataFrame(queries, "query_id string, customer_id long, query_text string").withColumn("lexemes", text.lexemes("query_text")).withColumn("embedding", ranking.hashed_embedding("query_text"))
+    asked = text.with_lexemes(spark.createDataFrame(queries, "query_id string, customer_id long, query_text string"), "query_id", "query_text").withColumn("embedding", ranking.hashed_embedding("query_text"))
     vectors = {r.query_id: (r.lexemes, r.embedding) for r in asked.collect()}
     docs = [r for r in rows.collect()]
     want = {}
