@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html import unescape
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from .html import html_text
 from .porter import stemmed
 
-# Tags, classes, sign-offs, banners and disclaimers.
-VOID_TAGS = {"br", "hr", "img", "meta", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-HIDDEN_TAGS = {"script", "style", "blockquote"}
-QUOTE_CLASSES = ("gmail_quote", "gmail_extra", "yahoo_quoted", "moz-cite-prefix")
-BREAK_TAGS = {"br", "p", "div", "tr", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
+# Sign-offs, banners and disclaimers.
 SIGN_OFFS = (
     r"--|best regards[, ]*|regards[, ]*|sincerely[, ]*|thanks[, ]*|thank you[, ]*|many thanks[, ]*|cheers[, ]*"
     r"|sent from my (?:iphone|ipad|android|mobile device)|get outlook for (?:ios|android)"
@@ -44,51 +35,9 @@ STOP_WORDS = (
 ).split()
 
 
-class _Visible(HTMLParser):
-    """Text outside hidden elements. An element hides all below it; the depth counts every tag that isn't void, so
-    tags without an end keep what follows hidden or shown, as the depth has it."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.out: list[str] = []
-        self.depth, self.hidden_from = 0, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in BREAK_TAGS:
-            self.out.append("\n")
-        if tag not in VOID_TAGS:
-            self.depth += 1
-            quoted = any(k == "class" and v and any(m in v.lower() for m in QUOTE_CLASSES) for k, v in attrs)
-            if self.hidden_from is None and (quoted or tag in HIDDEN_TAGS):
-                self.hidden_from = self.depth
-
-    def handle_endtag(self, tag):
-        if tag not in VOID_TAGS and self.depth:
-            self.depth -= 1
-            if self.hidden_from is not None and self.depth < self.hidden_from:
-                self.hidden_from = None
-
-    def handle_data(self, data):
-        if self.hidden_from is None:
-            self.out.append(data)
-
-
-def visible_text(html: str | None) -> str | None:
-    if html is None or "<" not in html or ">" not in html:
-        return html
-    parser = _Visible()
-    parser.feed(html)
-    return unescape("".join(parser.out))
-
-
-def _strip_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(visible_text)
-
-
 def strip_html(c) -> Column:
     """T1. HTML to text; text without both < and > stays as it is."""
-    return F.pandas_udf(_strip_batches, StringType())(F.col(c) if isinstance(c, str) else c)
+    return bind(_col(c), html_text)
 
 
 def _col(c) -> Column:

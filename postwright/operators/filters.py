@@ -60,11 +60,6 @@ def validate_customers(new: DataFrame, existing: DataFrame) -> DataFrame:
     return df.withColumn("problem", problem).drop("have", "times")
 
 
-def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
-    """W11. One page in a total order."""
-    return df.orderBy(*order).offset(offset).limit(limit)
-
-
 def matching(df: DataFrame, has_embedding: bool | None = None, **equal) -> DataFrame:
     """Optional equality filters; None leaves a column alone."""
     for c, v in equal.items():

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
-from .filters import matching, page
+from .filters import matching
+from .ordering import page
 
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import l2_normalize
+from ..sources.scratch import Scratch
 from .filters import is_embeddable
 
 KEYWORD_TOP, VECTOR_TOP, FUSED_TOP, RRF_K = 50, 100, 100, 60
@@ -23,7 +28,8 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
 
     queries (query_id, customer_id, lexemes) and documents (interaction_id, customer_id, lexemes): arrays of
     distinct lexemes. match="all" needs every lexeme of the query, "any" one. Queries without lexemes have no
-    hits. Postings meet on (customer, lexeme). With "all", only postings of the query's rarest lexeme choose the
+    hits. Postings meet on (customer, lexeme). With "any", impact_hits() leaves out what can't be among a query's first n.
+    With "all", only postings of the query's rarest lexeme choose the
     candidates, and the others are checked on the candidate alone, so common lexemes spread nothing.
     """
     docs = documents.select("interaction_id", "customer_id", "lexemes").withColumn("len", F.size("lexemes"))
@@ -38,8 +44,7 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     if match == "any":
-        hits = weighed.filter("df IS NOT NULL").join(postings, ["customer_id", "lex"])
-        scored = hits.groupBy("query_id", "interaction_id").agg(F.sum(weight).alias("score"))
+        scored = _any_of_the_terms(weighed.filter("df IS NOT NULL").select("query_id", "customer_id", "lex", "avg_len", idf.alias("idf")), postings, docs, n, k1, b)
     else:
         per_query = weighed.groupBy("query_id", "customer_id").agg(
             F.count("df").alias("known"), F.first("terms").alias("terms"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lex")).alias("rare"),
@@ -53,6 +58,72 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     return top_n(scored, ["query_id"], [F.desc(F.round("score", 9)), "interaction_id"], n)
 
 
+#: Documents are put into blocks of lengths within a factor of 2 ** (1 / BLOCKS_PER_DOUBLING).
+BLOCKS_PER_DOUBLING = 4
+_SLACK = 1e-7
+
+
+def _saturation(length: Column, k1: float, b: float) -> Column:
+    """What a lexeme's idf is multiplied by in a document of a length: it falls as the length grows."""
+    return (k1 + 1) / (1 + k1 * (1 - b + b * length / F.col("avg_len")))
+
+
+def _idf_within(terms: str) -> Column:
+    """The sum of idf of those terms that stand in a document's lexemes."""
+    return F.aggregate(F.filter(terms, lambda t: F.array_contains("lexemes", t["lex"])), F.lit(0.0), lambda acc, t: acc + t["idf"])
+
+
+def impact_hits(terms: DataFrame, postings: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(plan, hits) of a search for any term; only hits that a query's first n documents may need.
+
+    terms (query_id, customer_id, lex, avg_len, idf), postings (customer_id, interaction_id, len, lex). A lexeme's
+    postings are ordered by impact, that is by length. First each term's n shortest documents are scored: the n-th best
+    sum is a score that the first n reach (the query's threshold). Terms whose greatest scores together stay below it
+    can't bring a document in by themselves: their postings aren't read. Of the others only blocks of lengths count in
+    which all terms together can reach the threshold. plan (query_id, least, idf of all terms, and the array of terms not
+    read); hits (query_id, interaction_id, customer_id, len, avg_len, part: the score of the terms that are read).
+    """
+    short = [F.asc("len"), F.asc("interaction_id")]
+    heads = postings.withColumn("salt", F.pmod(F.xxhash64("interaction_id"), F.lit(16)))
+    heads = top_n(top_n(heads, ["customer_id", "lex", "salt"], short, n), ["customer_id", "lex"], short, n)
+    seeds = terms.join(heads, ["customer_id", "lex"]).withColumn("w", F.col("idf") * _saturation(F.col("len"), k1, b))
+    reached = top_n(seeds.groupBy("query_id", "interaction_id").agg(F.sum("w").alias("s")), ["query_id"], [F.desc("s")], n).groupBy("query_id").agg(F.min("s").alias("s"), F.count("*").alias("m"))
+    reached = reached.select("query_id", F.when(F.col("m") == n, F.col("s")).otherwise(0.0).alias("least"))
+    first = heads.filter("rank = 1").select("customer_id", "lex", F.col("len").alias("shortest"))
+    bounded = terms.join(first, ["customer_id", "lex"]).withColumn("most", F.col("idf") * _saturation(F.col("shortest"), k1, b)).join(reached, "query_id")
+    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "lex"))
+    bounded = bounded.withColumn("read", upto >= F.col("least") - _SLACK)
+    plan = bounded.groupBy("query_id").agg(
+        F.first("least").alias("least"), F.first("avg_len").alias("avg_len"), F.first("customer_id").alias("customer_id"), F.sum("idf").alias("idf"),
+        F.coalesce(F.sum(F.when(~F.col("read"), F.col("idf"))), F.lit(0.0)).alias("rest_idf"), F.collect_list(F.when(~F.col("read"), F.struct("lex", "idf"))).alias("rest"),
+    )
+    block = F.floor(F.log2(F.col("len")) * BLOCKS_PER_DOUBLING).cast("int")
+    placed = postings.withColumn("block", block)
+    blocks = placed.groupBy("customer_id").agg(F.collect_set("block").alias("blocks"))
+    lowest = F.pow(F.lit(2.0), F.col("block") / BLOCKS_PER_DOUBLING) * (1 - 1e-9)
+    wanted = plan.join(blocks, "customer_id").select("query_id", "idf", "avg_len", "least", F.explode("blocks").alias("block"))
+    wanted = wanted.filter(F.col("idf") * _saturation(lowest, k1, b) >= F.col("least") - _SLACK).select("query_id", F.col("idf").alias("all_idf"), "least", "block")
+    asked = bounded.filter("read").select("query_id", "customer_id", "lex", "idf", "avg_len").join(wanted, "query_id")
+    fits = F.col("all_idf") * _saturation(F.col("len"), k1, b) >= F.col("least") - _SLACK
+    hits = asked.join(placed, ["customer_id", "lex", "block"]).filter(fits)
+    return plan, hits.withColumn("part", F.col("idf") * _saturation(F.col("len"), k1, b))
+
+
+def _any_of_the_terms(terms: DataFrame, postings: DataFrame, docs: DataFrame, n: int, k1: float, b: float) -> DataFrame:
+    """(query_id, interaction_id, score) of documents that may be among a query's first n; terms that weren't read are
+    looked up in those documents that can still reach the threshold. The asked postings and the result are written."""
+    scratch = Scratch(docs.sparkSession)
+    terms, postings = scratch.write(terms), scratch.write(postings)  # each is read several times
+    plan, hits = impact_hits(terms, postings, n, k1, b)
+    plan = scratch.write(plan)
+    found = hits.groupBy("query_id", "interaction_id", "customer_id", "len").agg(F.sum("part").alias("part"))
+    some = found.join(plan.select("query_id", "least", "avg_len", "rest", "rest_idf"), "query_id")
+    some = some.filter(F.col("part") + F.col("rest_idf") * _saturation(F.col("len"), k1, b) >= F.col("least") - _SLACK)
+    whole = some.join(docs.select("interaction_id", "customer_id", "lexemes"), ["interaction_id", "customer_id"])
+    more = _idf_within("rest")
+    return scratch.last(whole.select("query_id", "interaction_id", (F.col("part") + more * _saturation(F.col("len"), k1, b)).alias("score")))
+
+
 def _best_of_block(n: int, exclude_self: bool):
     """Each query's best n rows of a block, from one product of two matrices."""
 
@@ -98,10 +169,68 @@ def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP,
     return top_n(local, ["query_id"], [F.desc("score"), "interaction_id"], n)
 
 
-def vector_search_global(queries: DataFrame, documents: DataFrame, n: int = 10, exclude_self: bool = False, **blocks) -> DataFrame:
-    """J11. As vector_search() over all documents, whatever their customer."""
-    every = F.lit(0)
-    return vector_search(queries.withColumn("customer_id", every), documents.withColumn("customer_id", every), n, exclude_self, **blocks)
+#: Queries that lie in memory at once, and documents of a product.
+CHUNK_QUERIES, CHUNK_DOCUMENTS = 2_000, 4_096
+
+
+def _running_best(ids: list, vectors: list, n: int, exclude_self: bool, fields: list[str]):
+    """Each query's best n documents of a partition: what is kept so far and a batch's products give the next best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.stack([np.asarray(v) for v in vectors])
+        own = pa.array(ids)
+        width = asked.shape[1]
+        best, found = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        kept: pa.Array | None = None  # ids of the documents that some query holds
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), width))
+            for start in range(0, batch.num_rows, CHUNK_DOCUMENTS):
+                part = batch.slice(start, CHUNK_DOCUMENTS)
+                score = np.round(asked @ part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).T, 9)
+                if exclude_self:
+                    same = pc.index_in(part.column(0), own)
+                    at = np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
+                    score[same.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64), at] = -np.inf
+                known = part.column(0) if kept is None else pa.concat_arrays([kept, part.column(0)])
+                place = np.asarray(pc.array_sort_indices(known)).argsort(kind="stable")  # ties go to the smaller id
+                every = np.hstack([best, score])
+                cols = np.hstack([found, np.broadcast_to(np.arange(len(known) - part.num_rows, len(known)), score.shape)])
+                order = np.lexsort((place[cols], -every), axis=1)[:, :n]
+                best, cols = np.take_along_axis(every, order, 1), np.take_along_axis(cols, order, 1)
+                used, again = np.unique(cols, return_inverse=True)
+                kept, found = known.take(pa.array(used)), again.reshape(cols.shape)
+        if kept is not None:
+            row, col = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(row)), kept.take(pa.array(found[row, col])), pa.array(best[row, col])], fields)
+
+    return run
+
+
+def vector_search_global(queries: DataFrame, documents: DataFrame, n: int = 10, exclude_self: bool = False, chunk: int = CHUNK_QUERIES) -> DataFrame:
+    """J11. (query_id, interaction_id, score, rank): the n documents of largest cosine, whatever their customer.
+
+    Exact; ties to the smaller id. The queries' matrix goes to the documents in chunks of at most `chunk` queries (they
+    are counted), so documents are neither shuffled nor copied: each partition keeps a running best n of every query, and
+    only those rows meet, first by parts, then by query. Each chunk reads the documents once.
+    """
+    docs = documents.filter("embedding IS NOT NULL AND interaction_id IS NOT NULL").select("interaction_id", l2_normalize("embedding").alias("dv")).filter("dv IS NOT NULL")
+    asked = queries.filter("embedding IS NOT NULL AND query_id IS NOT NULL").select("query_id", l2_normalize("embedding").alias("qv")).filter("qv IS NOT NULL")
+    kinds = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["interaction_id"]
+    schema = f"query_id {kinds[0]}, interaction_id {kinds[1]}, score double"
+    parts = max(1, -(-asked.count() // chunk))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for part in range(parts):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        by_width: dict[int, list] = {}
+        for r in rows:
+            by_width.setdefault(len(r.qv), []).append(r)
+        for some in by_width.values():
+            best = _running_best([r.query_id for r in some], [r.qv for r in some], n, exclude_self, ["query_id", "interaction_id", "score"])
+            found = found.unionByName(docs.mapInArrow(best, schema))
+    order = [F.desc("score"), "interaction_id"]
+    found = found.withColumn("part", F.spark_partition_id() % 64)
+    found = top_n(found, ["query_id", "part"], order, n, "place").drop("place", "part")
+    return top_n(found, ["query_id"], order, n)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = RRF_K, n: int = FUSED_TOP) -> DataFrame:

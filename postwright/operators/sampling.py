@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import global_rank
+
 
 def uniform(key, dimension: str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the row's key, the dimension and the seed alone (52 bits of an MD5)."""
@@ -26,16 +28,16 @@ def weighted_value(key, dimension: str, weights: dict[str, float], seed: int = 0
 def floor_then_weighted(df: DataFrame, key: str, dimension: str, weights: dict[str, float], floor: int, total: int, seed: int = 0) -> DataFrame:
     """R2. Add the dimension: each value min(floor, max(1, total // values)) times, the rest drawn by weight.
 
-    Which rows are forced is settled by their hashed order, found by ranges of the number first: only as many rows
-    as are needed are ordered in one place.
+    Which rows are forced is settled by their place in hashed order, counted over ranges of that order, so the number
+    of forced rows isn't bounded by what one task can sort. Rows with a null key are never forced.
     """
     values = list(weights)
     need = min(min(floor, max(1, total // max(1, len(values)))) * len(values), total)
     u = uniform(key, f"{dimension}/order", seed)
-    first = df.select(F.col(key).alias("fl__k"), u.alias("fl__u")).orderBy("fl__u", "fl__k").limit(need)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("fl__u", "fl__k")) - 1
+    keyed = df.filter(F.col(key).isNotNull())
+    ranked = global_rank(keyed.select(F.col(key).alias("fl__k"), u.alias("fl__u")), [F.col("fl__u"), F.col("fl__k")], "fl__p").filter(F.col("fl__p") <= need)
     names = F.array(*[F.lit(v) for v in values])
-    forced = first.select("fl__k", F.get(names, (place % len(values)).cast("int")).alias("fl__v"))
+    forced = ranked.select("fl__k", F.get(names, ((F.col("fl__p") - 1) % len(values)).cast("int")).alias("fl__v"))
     df = df.join(forced, F.col(key) == F.col("fl__k"), "left")
     return df.withColumn(dimension, F.coalesce("fl__v", weighted_value(key, dimension, weights, seed))).drop("fl__k", "fl__v")
 

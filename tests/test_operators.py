@@ -125,3 +125,77 @@ def test_ranks_and_weight_sums(spark):
     assert sorted((r.query_id, r.interaction_id, r["rank"]) for r in top.collect()) == [("q", 6, 1), ("r", 5, 1)]
     targets = spark.createDataFrame([("category", "a", 0.6), ("category", "b", 0.4), ("tier", "x", 0.5)], "dimension string, value string, target double")
     assert {r.dimension: r.ok for r in audit.weights_sum_to_one(targets).collect()} == {"category": True, "tier": False}
+
+
+def test_quantiles_are_exact_in_few_rounds(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from postwright.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW", 20)
+    monkeypatch.setattr(ordering, "BUCKETS", 8)
+    rnd = random.Random(3)
+    groups = {"normal": [rnd.gauss(0, 1) for _ in range(700)], "equal": [2.5] * 300, "skew": [float(int(rnd.paretovariate(0.4))) for _ in range(500)], "two": [1.0, 2.0], None: [5.0, -1.0, 5.0], "wide": [-1.7e308, 1.7e308, 0.0] * 20}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("equal", None), ("two", float("nan"))]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k0 string, v double").repartition(4)
+    got = {r.k0: (r.n, r.q0, r.q1, r.q2, r.q3) for r in ordering.quantiles(df, "v", [0.0, 0.5, 0.95, 1.0], ["k0"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g][0] == len(vs)
+        if g != "wide":
+            assert np.allclose(got[g][1:], np.quantile(vs, [0.0, 0.5, 0.95, 1.0]), rtol=1e-12, atol=0)
+    assert got["wide"][1:3] == (-1.7e308, 0.0)
+    one = ordering.quantiles(df.filter("k0 = 'normal'"), "v", [0.25]).first()
+    assert abs(one.q0 - np.quantile(groups["normal"], 0.25)) < 1e-12 and one.n == 700
+    assert ordering.quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_ranks_and_pages_over_ranges(spark):
+    import random
+
+    from postwright.operators import ordering
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, 1, 1, 1, 2, rnd.randrange(50)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(6)
+    order = [F.desc_nulls_last("v"), F.asc("id")]
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    ranked = {r["rank"]: r.id for r in ordering.global_rank(df, order, ranges=7).collect()}
+    assert [ranked[i] for i in range(1, 901)] == want
+    for offset, limit in ((0, 10), (445, 100), (890, 50), (900, 5), (2000, 5)):
+        assert [r.id for r in ordering.page(df, order, limit, offset, ranges=7, most_rows=20).collect()] == want[offset : offset + limit]
+    deep = ordering.page(df, order, 10, 600, ranges=7, most_rows=20)
+    assert "SinglePartition" not in deep._jdf.queryExecution().executedPlan().toString() or "TakeOrdered" in deep._jdf.queryExecution().executedPlan().toString()
+    assert ordering.global_rank(df.limit(0), order).count() == 0
+
+
+def test_lookalike_groups_against_union_find(spark):
+    import random
+
+    from postwright.operators import audit
+    from postwright.operators.components import components
+    from postwright.sources.scratch import Scratch
+
+    rnd = random.Random(6)
+    edges = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(90)] + [(rnd.randrange(20_000, 20_400), rnd.randrange(20_000, 20_400)) for _ in range(190)] + [(5, 5), (None, 3), (7, None), (1, 0)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {x: find(x) for x in parent}
+    tickets = spark.createDataFrame([(1, 1, "a", "Claim 5 of Ann denied again"), (2, 1, "a", "claim 5 of ann DENIED"), (3, 1, "a", "again claim 5 of Ann, denied"), (4, 2, "b", "claim 5 of ann denied"), (5, 2, "b", "portal"), (6, 3, "b", "Portal"), (7, 3, "b", "??"), (8, 4, "a", None)], "id long, customer_id long, category string, subject string")
+    groups = {(r.category, r.group_id): (r.subjects, r.tickets, r.customers, r.kind) for r in audit.lookalike_groups(tickets).collect()}
+    assert groups == {("a", 1): (2, 3, 1, "one customer, 3-way"), ("b", 5): (1, 2, 2, "several customers")}
+    assert audit.lookalike_groups(tickets.limit(0)).count() == 0

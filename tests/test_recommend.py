@@ -108,3 +108,59 @@ def test_model_seams_take_any_batch_function(spark):
     score = ranking.pair_scorer(lambda q, c: [float(len(set(re.findall("[a-z]", a)) & set(re.findall("[a-z]", b)))) for a, b in zip(q, c, strict=True)])
     rows = df.select(embed("q").alias("v"), score("q", "c").alias("s")).collect()
     assert [(list(r.v), r.s) for r in rows] == [([3.0, 1.0], 1.0), ([1.0, 1.0], 0.0)]
+
+
+def test_global_search_keeps_a_running_best(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 5))
+    v[100:130] = v[3]
+    rows = [(i, v[i].tolist()) for i in rng.permutation(300).tolist()] + [(900, None), (901, [0.0] * 5), (903, [1.0, 2.0])]
+    docs = spark.createDataFrame(rows, "interaction_id long, embedding array<double>").repartition(5)
+    asked = docs.filter("interaction_id % 7 = 0 OR interaction_id = 3").withColumnRenamed("interaction_id", "query_id")
+    monkeypatch.setattr(retrieval, "CHUNK_DOCUMENTS", 16)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for own, chunk in ((True, 10), (False, 2000)):
+        df = retrieval.vector_search_global(asked, docs, 6, own, chunk)
+        got = {}
+        for r in df.collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.interaction_id, r.score)
+        for q in {r.query_id for r in asked.collect()} - {903, 901, 900}:
+            best = sorted((-round(float(u[q] @ u[j]), 9), j) for j in range(300) if not (own and j == q))[:6]
+            assert [got[q][k][0] for k in range(1, 7)] == [j for _, j in best]
+        assert got.get(903) == (None if own else {1: (903, 1.0)})
+        # vectors of documents don't go through a shuffle
+        assert not any("dv" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    assert retrieval.vector_search_global(asked.limit(0), docs).count() == 0
+
+
+def test_any_term_reads_few_postings_and_gives_the_same(spark):
+    import random
+
+    rnd = random.Random(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    docs = [(i, i % 3 // 2, sorted({*rnd.sample(common, 9), *rnd.sample(rare, rnd.randrange(1, 60))})) for i in range(3000)]
+    asked = [(q, q % 3 // 2, sorted({*rnd.sample(common, 5), *rnd.sample(rare, 3)})) for q in range(12)] + [(99, 0, []), (98, 0, ["nowhere"]), (97, 5, ["c1"]), (96, 0, ["r1"])]
+    d, q = spark.createDataFrame(docs, "interaction_id long, customer_id long, lexemes array<string>"), spark.createDataFrame(asked, "query_id long, customer_id long, lexemes array<string>")
+    got = {}
+    for r in retrieval.keyword_search(q, d, match="any", n=10).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.interaction_id, round(r.score, 6))
+    own = {c: [x for x in docs if x[1] == c] for c in (0, 1)}
+    emitted = 0
+    for query, c, words in asked:
+        if c == 5:
+            continue
+        length, n = sum(len(x[2]) for x in own[c]) / len(own[c]), len(own[c])
+        idf = {w: math.log(1 + (n - m + 0.5) / (m + 0.5)) for w in words for m in [sum(w in x[2] for x in own[c])] if m}
+        scored = [(sum(idf[w] for w in words if w in x[2]) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x[2]) / length)), x[0]) for x in own[c] if any(w in idf and w in x[2] for w in words)]
+        emitted += sum(w in x[2] for x in own[c] for w in idf)
+        best = sorted(scored, key=lambda x: (-round(x[0], 9), x[1]))[:10]
+        assert got.get(query, {}) == {i: (d, round(s, 6)) for i, (s, d) in enumerate(best, 1)}
+    assert 97 not in got
+    lexes = q.select("query_id", "customer_id", F.explode("lexemes").alias("lex"))
+    posts = d.select("customer_id", "interaction_id", F.size("lexemes").alias("len"), F.explode("lexemes").alias("lex"))
+    stats = d.groupBy("customer_id").agg(F.count("*").alias("docs"), F.avg(F.size("lexemes")).alias("avg_len"))
+    weighed = lexes.join(posts.groupBy("customer_id", "lex").agg(F.count("*").alias("df")), ["customer_id", "lex"]).join(stats, "customer_id")
+    terms = weighed.select("query_id", "customer_id", "lex", "avg_len", F.expr("ln(1 + (docs - df + 0.5) / (df + 0.5))").alias("idf"))
+    assert 10 * retrieval.impact_hits(terms, posts, 10)[1].count() < emitted
