@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from postwright.llm.linededup import dedup_lines
 from postwright.llm.mixing import mix_sources, text_quality
 from postwright.llm.neardup import keep_one_of_each
 from postwright.llm.quality import keep_good, trusted_documents
+from postwright.sources.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared checkpoint folder and read again by the next."""
+    """All stages over documents, each written to the shared checkpoint folder and read again by the next.
+
+    What a stage wrote goes once the next one has written; the last table stays, as it is the result.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(number)
     return docs
