@@ -105,8 +105,8 @@ def bound(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def spans_of(hits: str, gaps: str, chunk: int = 512) -> Column:
-    """array<struct<s,e,h,g>> of the hits of a pattern from its matches and the pieces between them.
+def spans_sql(hits: str, gaps: str, chunk: int = 512) -> str:
+    """SQL for array<struct<s,e,h,g>> of the hits of a pattern from its matches and the pieces between them.
 
     hits is regexp_extract_all(text, p, 0) and gaps split(text, p, -1): the i-th hit starts after i + 1 gaps and
     i hits. Offsets count code points, ends are exclusive; g is the whole gap before the hit. Sums run within
@@ -121,16 +121,16 @@ def spans_of(hits: str, gaps: str, chunk: int = 512) -> Column:
         (acc, x) -> named_struct('p', acc.p + x.a + x.n, 'o', array_append(acc.o, named_struct('s', acc.p + x.a, 'e', acc.p + x.a + x.n, 'h', x.h, 'g', x.g))),
         acc -> acc.o)))"""
     none = "cast(array() as array<struct<s: int, e: int, h: string, g: string>>)"
-    return F.expr(f"if(size({hits}) > 0, {bound(parts, 'parts', bound(chunks, 'chunks', spans))}, {none})")
+    return f"if(size({hits}) > 0, {bound(parts, 'parts', bound(chunks, 'chunks', spans))}, {none})"
 
 
 def find_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Add for each name an array of the leftmost non-overlapping matches of its pattern, as spans_of() has them."""
+    """Add for each name an array of the leftmost non-overlapping matches of its pattern, as spans_sql() has them."""
     df = df.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"{k}__h") for k, p in patterns.items()])
     none = F.array().cast("array<string>")
     df = df.select("*", *[F.when(F.size(f"{k}__h") > 0, F.split(text, p, -1)).otherwise(none).alias(f"{k}__g") for k, p in patterns.items()])
     kept = [c for c in df.columns if not c.endswith(("__h", "__g"))]
-    return df.select(*kept, *[spans_of(f"{k}__h", f"{k}__g").alias(k) for k in patterns])
+    return df.select(*kept, *[F.expr(spans_sql(f"{k}__h", f"{k}__g")).alias(k) for k in patterns])
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, find_spans, table
+from .common import bound, find_spans, spans_sql, table
 
 #: Fixed patterns. hex and access carry their least length: a maximal run is kept or dropped whole either way.
 PATTERNS = {
@@ -18,9 +18,9 @@ PATTERNS = {
 }
 KINDS = ["assign", "access", "hex"]
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-#: Least bits per character of a window, by the character class of the candidate.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Candidates that are never secrets: placeholders, counters, one character over and over, rulers, paths of words.
+#: Least bits per character of a window, by the character class of the piece it lies in; letters are those of one case.
+THRESHOLDS = {"hex": 3.0, "letters": 3.7, "alnum": 3.6, "base64": 3.8}
+#: Stretches that are never part of a secret: placeholders, counters, one character over and over, rulers, paths of words.
 ALLOWED = r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|x{8,}|0123456789|abcdefgh|(.)\1{7,}|^[a-z]+(?:[_/-][a-z]+)+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
@@ -53,14 +53,28 @@ def entropy_stretch(candidate: str, window: int, threshold: str) -> str:
     return bound(threshold, "bits", bound(f"transform(split({candidate}, ''), ch -> instr('{ALPHABET}', ch) - 1)", "ids", made))
 
 
+def free_pieces(x: str, allow: str) -> str:
+    """SQL for array<struct<s, h>>: what the allow-list leaves of the candidate x (s, e, h), each piece with its start.
+
+    A window lies in a piece exactly if it touches no allowed stretch.
+    """
+    spans = f"transform({spans_sql('hits', 'gaps')}, y -> named_struct('s', {x}.s + y.s - char_length(y.g), 'h', y.g))"
+    tail = f"array(named_struct('s', {x}.e - char_length(element_at(gaps, -1)), 'h', element_at(gaps, -1)))"
+    cut = bound(f"regexp_extract_all({x}.h, '{allow}', 0)", "hits", bound(f"split({x}.h, '{allow}', -1)", "gaps", f"concat({spans}, {tail})"))
+    return f"if({x}.h rlike '{allow}', {cut}, array(named_struct('s', {x}.s, 'h', {x}.h)))"
+
+
 def scan_secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: str = ALLOWED) -> DataFrame:
     """Every row of docs with `secrets`: array<struct<start, end, kind, text>>, ordered by start, then kind.
 
-    Base kinds are assign, access and hex. Kind entropy: candidates of 20 or more token characters that hold a
-    digit or mixed case and match no allow-list pattern; the stretch whose windows reach the threshold of the
-    candidate's class (hex, alnum, base64) is a span. Spans of different kinds may overlap. Null text counts as
-    empty and gives an empty array; repeated rows stay; an empty table gives an empty result; other columns pass
-    through, except that a column named secrets is replaced. A text's cost is linear in its length.
+    Base kinds are assign, access and hex. Kind entropy: candidates are runs of 20 or more token characters; stretches
+    that match an allow-list pattern are cut out, and only windows that touch none of them count, however long the
+    candidate. A piece between them that has a digit, mixed case or letters alone is scanned, and in it the stretch
+    from the first to the last window that reaches the threshold of the piece's class (hex, letters of one case,
+    alnum, base64) is a span. Pieces of one case without digits but with separators, as paths of words, aren't
+    scanned. Spans of different kinds may overlap. Null text counts as empty and gives an empty array; repeated rows
+    stay; an empty table gives an empty result; other columns pass through, except that a column named secrets is
+    replaced. A text's cost is linear in its length.
     """
     t = THRESHOLDS | (thresholds or {})
     reserved = {"secrets", "sc__text", *PATTERNS}
@@ -74,9 +88,11 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, fl
     df = df.withColumn("assign", F.expr(f"transform(filter(assign, x -> char_length(regexp_extract(x.h, '{value}', 1)) >= 6), {out('assign')})"))
     for k in ("access", "hex"):
         df = df.withColumn(k, F.expr(f"transform({k}, {out(k)})"))
-    mixed = "(x.h rlike '[0-9]' OR (x.h rlike '[a-z]' AND substr(x.h, 2) rlike '[A-Z]'))"
-    df = df.withColumn("entropy", F.expr(f"filter(entropy, x -> {mixed} AND NOT x.h rlike '{allow}')"))
-    least = f"case when x.h rlike '^[0-9a-fA-F]+$' then {t['hex']}D when x.h rlike '^[0-9A-Za-z]+$' then {t['alnum']}D else {t['base64']}D end"
+    df = df.withColumn("entropy", F.expr(f"flatten(transform(entropy, x -> {free_pieces('x', allow)}))"))
+    scanned = "(x.h rlike '[0-9]' OR x.h rlike '^[A-Za-z]+$' OR (x.h rlike '[a-z]' AND substr(x.h, 2) rlike '[A-Z]'))"
+    df = df.withColumn("entropy", F.expr(f"filter(entropy, x -> char_length(x.h) >= {window} AND {scanned})"))
+    least = f"""case when x.h rlike '^[0-9a-fA-F]+$' AND x.h rlike '[0-9]' then {t['hex']}D when x.h rlike '^(?:[A-Za-z]?[a-z]+|[A-Z]+)$' then {t['letters']}D
+        when x.h rlike '^[0-9A-Za-z]+$' then {t['alnum']}D else {t['base64']}D end"""
     df = df.withColumn("entropy", F.expr(f"transform(entropy, x -> named_struct('x', x, 'w', {entropy_stretch('x.h', window, least)}))"))
     df = df.withColumn(
         "entropy",

@@ -52,14 +52,35 @@ def entropy_windows(text, threshold, width=20):
     return (out[0], out[-1] + width) if out else None
 
 
+def entropy_spans(text):
+    """Every window that touches no allowed stretch is judged by the class of the free piece it lies in."""
+    out = []
+    for token in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        free = [True] * len(token[0])
+        for m in re.finditer(secrets.ALLOWED, token[0]):
+            free[m.start() : m.end()] = [False] * (m.end() - m.start())
+        for piece in re.finditer("1{20,}", "".join("01"[f] for f in free)):
+            p = token[0][piece.start() : piece.end()]
+            digit, lower, upper = (bool(re.search(x, p)) for x in ("[0-9]", "[a-z]", "[A-Z]"))
+            mixed = lower and bool(re.search("[A-Z]", p[1:]))
+            if not (digit or mixed or p.isalpha()):
+                continue
+            kind = "hex" if digit and re.fullmatch("[0-9a-fA-F]+", p) else "base64" if not p.isalnum() else "alnum" if digit or mixed else "letters"
+            stretch = entropy_windows(p, secrets.THRESHOLDS[kind])
+            if stretch:
+                out.append((token.start() + piece.start() + stretch[0], token.start() + piece.start() + stretch[1]))
+    return out
+
+
 def test_entropy_stretch(spark):
-    texts = ["aaaaaaaaaaaaaaaaaaaaB1" + "q9Zx8Wc7Ve6Rb5Tn4Ym3" + "aaaaaaaaaaaaaaaaaaaaaaaa", "k3Jd8Sm2Qp9Xv4Ln7Bt1Hz6", "nothing here", "AAAA1111AAAA1111AAAA1111", "example" + "k3Jd8Sm2Qp9Xv4Ln7Bt1Hz6"]
+    key, lower = "k3Jd8Sm2Qp9Xv4Ln7Bt1Hz6", "qzjxkvbwpfygmucldhrtsnoieaqzjx"
+    texts = ["aaaaaaaaaaaaaaaaaaaaB1" + "q9Zx8Wc7Ve6Rb5Tn4Ym3" + "aaaaaaaaaaaaaaaaaaaaaaaa", key, "nothing here", "AAAA1111AAAA1111AAAA1111", "example" + key]
+    texts += [key + "AAAAAAAA", "see /srv/example/" + key + " now", key + "xxxxxxxx" + key, lower, lower.upper(), "X" + lower, "internationalizations", "some/long/path/of/plain/words", key[:15] + "example" + key[15:]]
+    texts += ["/some/long/path/of/plain/words", ("AAAAAAAA" + key) * 700, "deadbeefcafe0123deadbeefcafe", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [(x.start, x.end) for x in r.secrets if x.kind == "entropy"] for r in secrets.scan_secrets(docs).collect()}
-    for i, t in enumerate(texts):
-        token = re.search("[A-Za-z0-9+/_=-]{20,}", t)
-        stretch = entropy_windows(token[0], secrets.THRESHOLDS["alnum"]) if token and "example" not in t and not re.search(r"(.)\1{7,}", t) else None
-        assert got[i] == ([(token.start() + stretch[0], token.start() + stretch[1])] if stretch else [])
+    assert [got[i] for i in range(len(texts))] == [entropy_spans(t) for t in texts]
+    assert [len(got[i]) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)] == [1, 1, 1, 2, 1, 1, 1, 0, 0, 0, 0, 700]
 
 
 def luhn(s):
