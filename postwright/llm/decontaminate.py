@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, table
+from .common import cut, row_key, small, table
 
 UNITS = [
     "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "pounds", "oz", "ounces", "ml", "l",
@@ -15,6 +15,8 @@ UNITS = [
 WINDOW = 5
 #: A table of at most so many benchmark windows is broadcast; a larger one is joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: An item shorter than a window that more texts hold is everyday language, not a leak: a share of the distinct texts, at least a few.
+COMMON_SHARE, COMMON_TEXTS = 0.001, 5
 NAME = "⁣"  # an invisible separator put before names
 
 
@@ -46,11 +48,13 @@ def _raw(tokens: str) -> Column:
     return F.expr(f"transform({tokens}, x -> replace(x, '{NAME}', ''))")
 
 
-def _whole_items(texts: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
+def _whole_items(texts: DataFrame, items: DataFrame, width: int, common_share: float, common_texts: int) -> DataFrame | None:
     """Rows of contaminated() for items without windows of their own, which are found as a whole or not at all.
 
     An item is looked up by its first `width` tokens (all, if fewer) and then compared to its end: the raw tokens, or,
-    if it has three plain words, its template, in which a value must stand for one value. None without such items.
+    if it has three plain words, its template, in which a value must stand for one value. Items of fewer than `width` tokens must
+    be rare: those in more distinct texts than common_share of all (and than common_texts) give no rows.
+    None without such items.
     """
     short = cut(items.filter("size(bw) = 0 AND size(bp) > 0").select("item_id", "bp", "bt", _raw("bt").alias("br")))
     ways = short.withColumn("exact", F.explode(F.expr("if(size(filter(bp, t -> NOT startswith(t, '<'))) >= 3, array(true, false), array(true))")))
@@ -66,6 +70,13 @@ def _whole_items(texts: DataFrame, items: DataFrame, width: int) -> DataFrame |
     at = [f"if(size(dp) >= {w}, transform(sequence(1, size(dp) - {w - 1}), i -> named_struct('h', xxhash64({exact}, {w}, slice({'dr' if exact else 'dp'}, i, {w})), 'at', i)), array())" for exact, w in kinds]
     placed = tokens(texts).select("k1", "k2", F.explode(F.concat(*[F.expr(x) for x in at])).alias("x")).select("k1", "k2", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
     likely = cut(placed.join(anchors, "h").groupBy("k1", "k2", "item_id").agg(F.collect_set(F.struct("exact", "at")).alias("places")))
+    if any(w < width for _, w in kinds):
+        # an item's documents are counted by text, so that copies of one text count once
+        text = texts.select("k1", "k2", F.xxhash64("text").alias("kt"))
+        most = max(common_texts, text.agg(F.countDistinct("kt")).first()[0] * common_share)
+        brief = likely.join(short.filter(F.size("bp") < width).select("item_id"), "item_id", "left_semi").select("k1", "k2", "item_id")
+        common = brief.join(text.distinct(), ["k1", "k2"]).groupBy("item_id").agg(F.countDistinct("kt").alias("n")).filter(F.col("n") > most)
+        likely = cut(likely.join(small(cut(common.select("item_id")), BROADCAST_WINDOWS), "item_id", "left_anti"), [likely])
     sources = tokens(texts.join(likely.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
     df = likely.join(sources, ["k1", "k2"]).join(short, "item_id")
     pairs = "array_distinct(filter(transform(bp, (t, j) -> named_struct('b', concat(t, bt[j]), 'd', concat(t, get(dt, p.at + j - 1)))), x -> startswith(x.b, '<')))"
@@ -75,7 +86,8 @@ def _whole_items(texts: DataFrame, items: DataFrame, width: int) -> DataFrame |
     return df.select("k1", "k2", "doc_id", "item_id", F.lit(1).cast("long").alias("windows"), F.lit(1.0).alias("share"), "changed")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_share: float = 0.5, least_run: int = 16) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_share: float = 0.5, least_run: int = 16,
+                 common_share: float = COMMON_SHARE, common_texts: int = COMMON_TEXTS) -> DataFrame:
     """(k1, k2, doc_id, item_id, windows, share, changed): the documents that hold a benchmark item.
 
     Texts become templates, in which numbers, names and units are placeholders. Equal windows of `width` tokens
@@ -84,7 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     of the item's windows found in such alignments; least_share of them makes a row, and so do least_run windows of
     one alignment, however long the item. changed: some value differs, so the question was given other parameters.
     Windows with fewer than three plain words don't count; items without any other, also those shorter than a
-    window, are found as a whole (see _whole_items), with windows and share 1. k1, k2 name the document's id and text: repeated rows give one row. Null
+    window, are found as a whole (see _whole_items), with windows and share 1. Items shorter than a window, such as
+    single words, count only if few texts hold them: at most common_texts, or common_share of the distinct texts. k1, k2 name the document's id and text: repeated rows give one row. Null
     ids of documents are kept; null and empty texts and items match nothing. Other columns aren't read.
     """
     items = benchmark.filter("text IS NOT NULL").select("item_id", tokens_of(F.col("text")).alias("bt")).distinct()
@@ -114,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     )
     df = df.withColumn("share", F.col("windows") / F.col("n")).filter((F.col("share") >= least_share) | (F.col("run") >= least_run))
     df = df.select("k1", "k2", "doc_id", "item_id", "windows", "share", "changed")
-    whole = _whole_items(texts, every, width)
+    whole = _whole_items(texts, every, width, common_share, common_texts)
     return df if whole is None else df.unionByName(whole)
 
 

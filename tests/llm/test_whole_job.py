@@ -39,3 +39,15 @@ def test_short_and_numeric_items_and_long_excerpts_are_found(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.changed) for r in rows) == [(1, 1, False), (2, 2, False), (3, 3, True), (4, 4, False)]
+
+
+def test_short_items_in_many_texts_are_no_leaks(spark):
+    rnd = random.Random(17)
+    docs = [(i, f"{words_of(rnd, 20)} the {words_of(rnd, 5)}") for i in range(30)] + [(100 + i, "say zyxomma twice") for i in range(30)] + [(200, "and Zyxomma again"), (201, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "zyxomma"), (3, "The"), (4, "of the unseen")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect())
+    assert got == [(100 + i, 2) for i in range(30)] + [(200, 2)]  # thirty copies are one text
+    assert len(decontaminate.contaminated(df, items, common_texts=30).filter("item_id = 1").collect()) == 30
+    assert {r.item_id for r in decontaminate.contaminated(df, items, common_texts=0, common_share=0.07).collect()} == {2}
+    assert decontaminate.drop_contaminated(df, items).count() == 31
