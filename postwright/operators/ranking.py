@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,27 +77,66 @@ def lexical_overlap(query_text: Column, context: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(q, c)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
 
 
-def pair_scorer(score: Callable[[list[str], list[str]], list[float]]):
-    """M2. A vectorized column function from a batch scorer of text pairs, such as a cross-encoder."""
+_LOADED: dict[str, Callable] = {}
 
-    def run(q: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(score(q.tolist(), c.tolist()))
+
+def _made_once(name: str, load: Callable[[], Callable]) -> Callable:
+    """What load() gives, made once in a Python worker, which Spark uses for many tasks."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def _by_length(lengths: list[int], batch: int) -> list[list[int]]:
+    """Positions in batches of alike lengths, so that a model pads little."""
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
+    return [order[i : i + batch] for i in range(0, len(order), batch)]
+
+
+def _counted(made: list, n: int, what: str) -> list:
+    if len(made) != n:
+        raise ValueError(f"{len(made)} {what} for {n} texts")
+    return made
+
+
+def pair_scorer(score: Callable[[list[str], list[str]], list[float]] | None = None, load: Callable[[], Callable] | None = None, batch: int = 64):
+    """M2. A vectorized column function from a batch scorer of text pairs, such as a cross-encoder.
+
+    load, instead of score, is called once in each Python worker and gives the scorer, so a model is read once and not
+    sent with the task. Pairs go to it in batches of alike length; scores come back in the order of the rows.
+    """
+    name = uuid.uuid4().hex
+    load = load or (lambda: score)
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorer = _made_once(name, load)
+        for q, c in parts:
+            qs, cs, out = q.tolist(), c.tolist(), [0.0] * len(q)
+            for at in _by_length([len(x or "") + len(y or "") for x, y in zip(qs, cs, strict=True)], batch):
+                made = _counted(list(scorer([qs[i] for i in at], [cs[i] for i in at])), len(at), "scores")
+                for i, x in zip(at, made, strict=True):
+                    out[i] = x
+            yield pd.Series(out, dtype="float64")
 
     return F.pandas_udf(run, DoubleType())
 
 
-def batch_embedder(embed: Callable[[list[str]], list[list[float]]], batch: int = 16):
-    """M1. A vectorized column function text -> vector from a batch embedder; one vector per text, in order."""
+def batch_embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 16, load: Callable[[], Callable] | None = None):
+    """M1. A vectorized column function text -> vector from a batch embedder; one vector per text, in order.
 
-    def run(texts: pd.Series) -> pd.Series:
-        out: list = []
-        for i in range(0, len(texts), batch):
-            part = texts.iloc[i : i + batch].tolist()
-            made = embed(part)
-            if len(made) != len(part):
-                raise ValueError(f"{len(made)} vectors for {len(part)} texts")
-            out += made
-        return pd.Series(out, index=texts.index)
+    load, instead of embed, is called once in each Python worker and gives the embedder (see pair_scorer).
+    """
+    name = uuid.uuid4().hex
+    load = load or (lambda: embed)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = _made_once(name, load)
+        for part in parts:
+            texts, out = part.tolist(), [None] * len(part)
+            for at in _by_length([len(x or "") for x in texts], batch):
+                for i, v in zip(at, _counted(list(embedder([texts[i] for i in at])), len(at), "vectors"), strict=True):
+                    out[i] = v
+            yield pd.Series(out, dtype="object")
 
     return F.pandas_udf(run, ArrayType(FloatType()))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions.text import clean_text
 from ..operators.filters import pending
 from ..operators.ranking import hashed_embedding
 from ..operators.routing import route
+from ..sources.store import BUCKETS, BucketStore
 
 
 def index_rows(rows: DataFrame, model: str, embed: Callable = hashed_embedding, clean: Callable = clean_text) -> DataFrame:
@@ -19,29 +21,27 @@ def index_rows(rows: DataFrame, model: str, embed: Callable = hashed_embedding,
     return df.withColumn("embedding", embed(F.col("clean_content"))).withColumn("embedding_model", F.lit(model))
 
 
-def incremental_index(source: DataFrame, target: str, checkpoint: str, model: str, embed: Callable = hashed_embedding):
+def incremental_index(source: DataFrame, target: str, checkpoint: str, model: str, embed: Callable = hashed_embedding, buckets: int = BUCKETS):
     """X1. Index a stream of new or changed interactions into target, then stop.
 
-    Each micro-batch writes its own folder batch=<id>, so a batch that is run again replaces what it wrote before.
-    read_index() gives the newest version of each id.
+    target is a BucketStore: each micro-batch rewrites the buckets of its ids, and one that is run again after its
+    commit changes nothing. Batches are known by the query's id, which its checkpoint keeps, so a stream that
+    starts anew with another checkpoint isn't taken for a repeat. Of several rows of one id in a micro-batch the one
+    created last counts, then the one with the greater hash.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        index_rows(batch, model, embed).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        session = batch.sparkSession
+        query = json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        order = [c for c in ("created_at",) if c in batch.columns]
+        BucketStore(session, target, buckets=buckets).upsert(index_rows(batch, model, embed), order, query, batch_id)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of each id that incremental_index() wrote.
-
-    Of several in one micro-batch the one created last counts, then the one with the greater hash.
-    """
-    df = spark.read.parquet(target)
-    names = [c for c in df.columns if c not in ("id", "batch")]
-    when = [F.col(c) for c in ("created_at",) if c in names]
-    age = F.struct("batch", *when, F.xxhash64(*[c for c, kind in df.dtypes if c in names and not kind.startswith("map")]))
-    return df.groupBy("id").agg(F.max_by(F.struct(*names), age).alias("x")).select("id", "x.*")
+    """The newest version of each id that incremental_index() wrote."""
+    return BucketStore(spark, target).read()
 
 
 def route_mail(source: DataFrame, tables: Callable[[SparkSession], dict[str, DataFrame]], target: str, checkpoint: str):

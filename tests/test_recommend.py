@@ -1,10 +1,14 @@
 """The way from mail to ticket against a plain statement of the rules, and its four paths."""
 
 import datetime as dt
+import json
 import math
+import os
 import re
+import uuid
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from postwright.functions import text
@@ -110,6 +114,35 @@ def test_model_seams_take_any_batch_function(spark):
     assert [(list(r.v), r.s) for r in rows] == [([3.0, 1.0], 1.0), ([1.0, 1.0], 0.0)]
 
 
+def test_a_model_is_loaded_once_in_a_worker_and_sees_texts_of_alike_length(spark, tmp_path):
+    loads, batches = tmp_path / "loads", tmp_path / "batches"
+    loads.mkdir(), batches.mkdir()
+
+    def load():
+        (loads / uuid.uuid4().hex).write_text(str(os.getpid()))
+
+        def model(texts, others=None):
+            lengths = [len(t or "") for t in texts]
+            (batches / uuid.uuid4().hex).write_text(json.dumps(lengths))
+            return [float(n) for n in lengths] if others else [[float(n)] for n in lengths]
+
+        return model
+
+    texts = [("x" * ((i * 37) % 101), i) for i in range(400)] + [(None, 400), ("", 401)]
+    df = spark.createDataFrame(texts, "t string, i int").repartition(16, "i")
+    embed, score = ranking.batch_embedder(load=load, batch=10), ranking.pair_scorer(load=load, batch=10)
+    rows = df.select("t", embed("t").alias("v")).collect()
+    assert len(rows) == 402 and all(list(r.v) == [float(len(r.t or ""))] for r in rows)
+    pids = [p.read_text() for p in loads.iterdir()]
+    assert len(pids) == len(set(pids)) < 16  # sixteen tasks, one load a worker
+    sizes = [json.loads(p.read_text()) for p in batches.iterdir()]
+    assert all(len(x) <= 10 and x == sorted(x) for x in sizes)
+    assert all(r.s == float(len(r.t or "")) for r in df.select("t", score("t", "t").alias("s")).collect())
+    wrong = ranking.batch_embedder(lambda x: [])
+    with pytest.raises(Exception, match="0 vectors for"):
+        df.select(wrong("t")).collect()
+
+
 def test_global_search_keeps_a_running_best(spark, monkeypatch):
     import numpy as np
 

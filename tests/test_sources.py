@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from postwright import schemas
 from postwright.sources import tables
 
@@ -71,3 +74,24 @@ def test_two_corpora_keep_their_ids_apart(spark):
     assert both["interactions"].join(both["tickets"].select(both["tickets"]["id"].alias("ticket_id")), "ticket_id").count() == 2
     again = tables.union_corpora(both, one)
     assert {n: d.count() for n, d in again.items()} == {"customers": 2, "tickets": 2, "interactions": 2}
+
+
+def test_tables_come_from_a_database_in_ranges(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path / 'db'};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    ddl = {"people": "id string, name string, seen array<string>, made timestamp", "none": "id int, x double"}
+    rows = [(f"'{i:02x}'", f"'n{i}'", """'["a","b"]'""" if i % 2 else "NULL", f"TIMESTAMP('2024-01-01 00:00:{i % 60:02d}')") for i in range(256)] + [("NULL", "'nobody'", "'[]'", "NULL")]
+    base = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    run = base.createStatement().execute
+    run("CREATE TABLE people_table (ID varchar(8), NAME varchar(20), SEEN varchar(50), MADE timestamp)")
+    run('CREATE TABLE "none" (ID int, X int)')
+    run("INSERT INTO people_table VALUES " + ", ".join(f"({', '.join(r)})" for r in rows))
+    base.close()
+    got = tables.read_tables_jdbc(spark, url, {"people": ["40", "80", "c0"]}, properties=options, names={"people": "people_table", "none": '"none"'}, schemas_of=ddl)
+    assert got["people"].schema.simpleString() == "struct<id:string,name:string,seen:array<string>,made:timestamp>"
+    assert got["people"].rdd.getNumPartitions() == 4 and got["people"].count() == 257
+    sizes = sorted(r["count"] for r in got["people"].groupBy(F.spark_partition_id()).count().collect())
+    assert sizes == [64, 64, 64, 65]
+    assert {r.id: r.seen for r in got["people"].filter("name IN ('n3', 'n4', 'nobody')").collect()} == {"03": ["a", "b"], "04": None, None: []}
+    assert got["none"].dtypes == [("id", "int"), ("x", "double")] and got["none"].count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        tables.declared(got["none"], "id int, y int")
