@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import porter, scalars, text
 from ..operators import audit, evaluation, filters, listing, ordering, quality, ranking, retrieval, routing, sampling
 from ..schemas import CATEGORIES, CATEGORY_LABELS, SENDER_LABELS
+from ..sources.scratch import Scratch
+from ..sources.store import BucketStore
 from ..sources.tables import upsert
 from . import views as V
 from .recommend import recommend as recommend_emails
@@ -293,11 +295,29 @@ def a4_system_counts(spark, sf_dir):
     return listing.system_counts(V.customers(spark, sf_dir), V.tickets(spark, sf_dir), V.interactions(spark, sf_dir))
 
 
-@query(f"""SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY v DESC) AS n
-    FROM (SELECT id, status, 0 AS v FROM {B} AS b UNION ALL SELECT id + 7, 'CLOSED', 1 FROM {B} AS b WHERE status = 'OPEN') AS u) AS x WHERE n = 1""")
-def s3_upsert(spark, sf_dir):
+UPSERTED = f"""SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY v DESC) AS n
+    FROM (SELECT id, status, 0 AS v FROM {B} AS b UNION ALL SELECT id + 7, 'CLOSED', 1 FROM {B} AS b WHERE status = 'OPEN') AS u) AS x WHERE n = 1"""
+
+
+def _upserted(spark, sf_dir):
     b = V.view(spark, sf_dir, V.BIG_TICKETS).select("id", "status")
-    return upsert(b, b.filter("status = 'OPEN'").select((F.col("id") + 7).alias("id"), F.lit("CLOSED").alias("status")))
+    return b, b.filter("status = 'OPEN'").select((F.col("id") + 7).alias("id"), F.lit("CLOSED").alias("status"))
+
+
+@query(UPSERTED)
+def s3_upsert(spark, sf_dir):
+    return upsert(*_upserted(spark, sf_dir))
+
+
+@query(UPSERTED)
+def s3_bucket_upsert(spark, sf_dir):
+    """The same through a stored table, whose second upsert comes twice."""
+    store = BucketStore(spark, f"{Scratch(spark).root}/store", buckets=8)
+    rows, changes = _upserted(spark, sf_dir)
+    store.upsert(rows, writer="tickets", batch=0)
+    for _ in range(2):
+        store.upsert(changes, writer="tickets", batch=1)
+    return store.read()
 
 
 # Routing
