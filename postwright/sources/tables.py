@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalars import days_ago, derive_thread, offset_to_ts, stable_uuid
+from .json_records import json_records
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -103,15 +104,20 @@ def upsert(target: DataFrame, updates: DataFrame, key: str = "id", order: str |
     return target.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
+def _run():
+    """A file's own name."""
+    return F.element_at(F.split("file", "/"), -1)
+
+
 def read_eval_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """S4. (run, generated_at, result columns) of eval files, which are an object with results or a bare list."""
-    rows = f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _fields(schemas.EVAL_RESULT))}>>"
-    raw = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("run"), "value")
-    obj = F.from_json("value", f"generated_at string, results {rows}")
-    bare = F.from_json("value", rows)
-    listed = F.ltrim("value").startswith("[")
-    df = raw.select("run", F.when(~listed, obj["generated_at"]).alias("generated_at"), F.when(listed, bare).otherwise(obj["results"]).alias("results"))
-    return df.select("run", "generated_at", F.inline("results"))
+    """S4. (run, generated_at, result columns) of eval files, which are an object with results or a bare list.
+
+    Files are read piecewise (json_records), so a large one is shared by several tasks.
+    """
+    rows = json_records(spark, glob).filter("name IN ('', 'results')")
+    made = F.regexp_extract("outer", r'"generated_at"\s*:\s*("(?:[^"\\]|\\.)*+")', 1)
+    made = F.when(F.col("name") == "results", F.from_json(F.concat(F.lit('{"x":'), made, F.lit("}")), "x string").x)
+    return rows.select(_run().alias("run"), made.alias("generated_at"), F.from_json("record", schemas.EVAL_RESULT).alias("r")).select("run", "generated_at", "r.*")
 
 
 def _fields(ddl: str) -> list[str]:
@@ -126,19 +132,18 @@ def _fields(ddl: str) -> list[str]:
 
 
 def read_repeat_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """S5. One row per key and attempt (from 1)."""
-    df = spark.read.schema(schemas.REPEAT_FILE).json(glob, multiLine=True).select(F.input_file_name().alias("file"), F.explode("queries").alias("q"))
+    """S5. One row per key and attempt (from 1); files are read piecewise."""
+    kind = schemas.REPEAT_FILE.removeprefix("queries array<").removesuffix(">")
+    df = json_records(spark, glob).filter("name = 'queries'").select("file", F.from_json("record", kind).alias("q"))
     df = df.select("file", "q.*").select("file", "key", "category", "difficulty", "ambiguity_type", "expected_ticket_keys", F.posexplode("runs").alias("attempt", "r"))
-    return df.select(F.element_at(F.split("file", "/"), -1).alias("run"), "key", "category", "difficulty", "ambiguity_type", "expected_ticket_keys", (F.col("attempt") + 1).alias("attempt"), "r.*")
+    return df.select(_run().alias("run"), "key", "category", "difficulty", "ambiguity_type", "expected_ticket_keys", (F.col("attempt") + 1).alias("attempt"), "r.*")
 
 
 def read_ab_run(spark: SparkSession, glob: str) -> DataFrame:
-    """S6. Rows of both variants of the A/B file with the greatest name."""
-    rows = f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _fields(schemas.EVAL_RESULT))}>>"
-    raw = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"with_reranker {rows}, no_reranker {rows}").alias("j"))
-    last = raw.agg(F.max_by("j", "file").alias("j"), F.max("file").alias("file"))
-    pick = lambda name: last.select(F.element_at(F.split("file", "/"), -1).alias("run"), F.lit(name).alias("variant"), F.inline(f"j.{name}"))
-    return pick("with_reranker").unionByName(pick("no_reranker"))
+    """S6. Rows of both variants of the A/B file with the greatest name, which is read piecewise; others aren't read."""
+    last = spark.read.format("binaryFile").load(glob).agg(F.max("path")).first()[0]
+    rows = json_records(spark, last or glob).filter("name IN ('with_reranker', 'no_reranker')")
+    return rows.select(_run().alias("run"), F.col("name").alias("variant"), F.from_json("record", schemas.EVAL_RESULT).alias("r")).select("run", "variant", "r.*")
 
 
 def read_qa_json(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Readers and the sink, on small files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from postwright import schemas
 from postwright.sources import tables
+from postwright.sources.json_records import json_records
 
 
 def result(key, **more):
@@ -95,3 +97,31 @@ def test_tables_come_from_a_database_in_ranges(spark, tmp_path):
     assert got["none"].dtypes == [("id", "int"), ("x", "double")] and got["none"].count() == 0
     with pytest.raises(ValueError, match="missing"):
         tables.declared(got["none"], "id int, y int")
+
+
+def test_one_file_of_many_records_is_read_by_several_tasks(spark, tmp_path):
+    rnd = random.Random(9)
+    odd = ['"', "}", "{", "[", "]", "\\", '\\"}', "\n", "é", "}],{", " plain "]
+    word = lambda: "".join(rnd.choice(odd) for _ in range(rnd.randrange(12)))
+    record = lambda i: {"key": f"k{i}", "note": word(), "more": [{"x": word()}, {}], "deep": {"a": {"b": [1, {"c": word()}]}}}
+    rows = [record(i) for i in range(300)]
+    files = {
+        "a.json": rows, "b.json": {"generated_at": 'a "quoted" {day}', "meta": {"x": "}"}, "empty": [], "results": rows[:150], "end": {"deep": {"a": {"b": 1}}}, "other": rows[150:], "z": 1},
+        "c.json": [], "d.json": {"results": []}, "e.json": [rows[0]],
+    }
+    for i, (name, x) in enumerate(files.items()):
+        (tmp_path / name).write_text(json.dumps(x, indent=i % 2 or None, ensure_ascii=False))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "3000")
+        assert spark.read.text(str(tmp_path / "a.json"), lineSep="}").rdd.getNumPartitions() > 5
+        got = json_records(spark, str(tmp_path / "*.json")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lists = {("a.json", ""): rows, ("b.json", "results"): rows[:150], ("b.json", "other"): rows[150:], ("e.json", ""): [rows[0]]}
+    for (file, name), want in lists.items():
+        mine = [json.loads(r.record) for r in got if r.file.endswith(file) and r.name == name]
+        assert sorted(mine, key=lambda x: x["key"]) == sorted(want, key=lambda x: x["key"]), (file, name)
+    assert len(got) == sum(map(len, lists.values()))
