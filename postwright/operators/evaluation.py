@@ -44,7 +44,7 @@ def _clear() -> Column:
 
 
 def eval_summary(results: DataFrame) -> DataFrame:
-    """A8. One row for each run."""
+    """A8. One row for each run; which clear cases failed is told by failed_clear_cases()."""
     clear, hard = _clear(), F.col("difficulty").eqNullSafe("hard")
     multi = F.col("ambiguity_type").eqNullSafe("multi_acceptable")
     counts = {
@@ -53,11 +53,15 @@ def eval_summary(results: DataFrame) -> DataFrame:
         "hard_total": F.count_if(hard), "hard_correct": F.count_if(hard & F.col("correct")),
         "multi_total": F.count_if(hard & multi), "multi_correct": F.count_if(hard & multi & F.col("correct")),
         "single_total": F.count_if(hard & ~multi), "single_correct": F.count_if(hard & ~multi & F.col("correct")), "elapsed_s": F.sum("elapsed_s"),
-        "failed_clear_keys": F.array_sort(F.collect_list(F.when(clear & ~F.col("correct"), F.col("key")))),
     }
     return results.groupBy("run").agg(*[c.alias(n) for n, c in counts.items()])
 
 
+def failed_clear_cases(results: DataFrame) -> DataFrame:
+    """A8. (run, key, expected_ticket_keys, actual_ticket_key) of every clear case that isn't correct, a row each."""
+    return results.filter(_clear() & ~F.col("correct")).select("run", "key", "expected_ticket_keys", "actual_ticket_key")
+
+
 def category_breakdown(results: DataFrame) -> DataFrame:
     """A9. Clear cases by run and category; null is uncategorized; categories without a clear case don't appear."""
     clear = results.filter(_clear()).withColumn("category", F.coalesce("category", F.lit("uncategorized")))
@@ -103,11 +107,21 @@ def combined_stability(*observations: DataFrame) -> DataFrame:
     return stability(every)
 
 
+def _ticket_differs() -> Column:
+    return ~F.col("actual_ticket_key_a").eqNullSafe(F.col("actual_ticket_key_b"))
+
+
+def changed_cases(one: DataFrame, other: DataFrame) -> DataFrame:
+    """A14. (key, actual_ticket_key_a, actual_ticket_key_b): the cases of both sides whose ticket differs (null-safe)."""
+    a, b = (df.select("key", F.col("actual_ticket_key").alias(f"actual_ticket_key_{s}")) for df, s in ((one, "a"), (other, "b")))
+    return a.join(b, "key").filter(_ticket_differs())
+
+
 def compare_ab(one: DataFrame, other: DataFrame, stage: str = "reranking") -> DataFrame:
-    """A14. One row: how often and where the ticket differs (null-safe), times, accuracy and recall@3 per side."""
+    """A14. One row: how often the ticket differs (null-safe), times, accuracy and recall@3 per side. Where it differs is
+    told by changed_cases()."""
     pick = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("actual_ticket_key", "correct", "difficulty", "recall3", "elapsed_s")], *([F.coalesce(F.col("timings_ms")[stage], F.lit(0.0)).alias("ms")] if s == "a" else []))
     both = pick(one, "a").join(pick(other, "b"), "key")
-    changed = ~F.col("actual_ticket_key_a").eqNullSafe(F.col("actual_ticket_key_b"))
 
     def side(s):
         clear = ~F.col(f"difficulty_{s}").eqNullSafe("hard")
@@ -118,7 +132,7 @@ def compare_ab(one: DataFrame, other: DataFrame, stage: str = "reranking") -> Da
             F.when(r > 0, F.count_if(f"recall3_{s}") / r).alias(f"recall3_{s}"),
         ]
 
-    return both.agg(F.count("*").alias("n"), F.count_if(changed).alias("changed"), F.array_sort(F.collect_list(F.when(changed, F.col("key")))).alias("changed_keys"), F.avg("ms").alias("avg_rerank_ms"), *side("a"), *side("b"))
+    return both.agg(F.count("*").alias("n"), F.count_if(_ticket_differs()).alias("changed"), F.avg("ms").alias("avg_rerank_ms"), *side("a"), *side("b"))
 
 
 def validate_pairs(one: DataFrame, other: DataFrame) -> DataFrame:

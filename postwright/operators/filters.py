@@ -51,13 +51,18 @@ def unknown_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def validate_customers(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """P9. new with name trimmed, inbox_email normalised, and problem: missing, exists, duplicate or null."""
+    """P9. new with name trimmed, inbox_email normalised, and problem: missing, exists, duplicate or null.
+
+    Rows without an address take no part in the joins, however many they are; repeats are counted by address first.
+    """
     df = new.withColumn("name", F.trim("name")).withColumn("inbox_email", normalize_email("inbox_email"))
+    blank = F.coalesce("inbox_email", F.lit("")) == ""
+    given = df.filter(~blank)
     have = existing.select(normalize_email("inbox_email").alias("inbox_email"), F.lit(True).alias("have")).distinct()
-    df = df.join(have, "inbox_email", "left").withColumn("times", F.count("*").over(Window.partitionBy("inbox_email")))
-    missing = (F.coalesce("name", F.lit("")) == "") | (F.coalesce("inbox_email", F.lit("")) == "")
-    problem = F.when(missing, "missing").when(F.col("have"), "exists").when(F.col("times") > 1, "duplicate")
-    return df.withColumn("problem", problem).drop("have", "times")
+    repeated = given.groupBy("inbox_email").agg(F.count("*").alias("times")).filter("times > 1")
+    given = given.join(have, "inbox_email", "left").join(repeated, "inbox_email", "left")
+    problem = F.when(F.coalesce("name", F.lit("")) == "", "missing").when(F.col("have"), "exists").when(F.col("times") > 1, "duplicate")
+    return given.select(*df.columns, problem.alias("problem")).unionByName(df.filter(blank).withColumn("problem", F.lit("missing")))
 
 
 def matching(df: DataFrame, has_embedding: bool | None = None, **equal) -> DataFrame:

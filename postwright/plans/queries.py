@@ -14,6 +14,7 @@ from ..sources.scratch import Scratch
 from ..sources.store import BucketStore
 from ..sources.tables import upsert
 from . import views as V
+from .recommend import evaluate as evaluate_run
 from .recommend import recommend as recommend_emails
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,22 +550,46 @@ def u1_u2_correct(spark, sf_dir):
 _tp = "count(*) FILTER (WHERE {a} should_attach AND manager_decision {b} 'accepted')"
 
 
-@query(f"""SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM (SELECT customer_id, {_tp.format(a='', b='=')} AS tp, {_tp.format(a='', b='<>')} AS fp, {_tp.format(a='NOT', b='=')} AS tn, {_tp.format(a='NOT', b='<>')} AS fn,
+@query(f"""SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT customer_id, {_tp.format(a='', b='=')} AS tp, {_tp.format(a='', b='<>')} AS fp, {_tp.format(a='NOT', b='=')} AS tn, {_tp.format(a='NOT', b='<>')} AS fn,
     round(avg(confidence) FILTER (WHERE manager_decision = 'accepted'), 6) AS confidence_agreed, round(avg(confidence) FILTER (WHERE manager_decision <> 'accepted'), 6) AS confidence_disagreed,
+    avg(confidence) FILTER (WHERE manager_decision = 'accepted') > avg(confidence) FILTER (WHERE manager_decision <> 'accepted') AS calibrated,
     CASE WHEN {_tp.format(a='NOT', b='<>')} > 0 THEN count(*) FILTER (WHERE manager_decision <> 'accepted' AND corrected_ticket_id IS NOT NULL) END AS corrected FROM {FB} AS f GROUP BY customer_id HAVING {_tp.format(a='', b='=')} > 0) AS x""")
 def a5_a7_feedback(spark, sf_dir):
     df = evaluation.feedback_confusion(V.view(spark, sf_dir, V.FEEDBACK), ["customer_id"]).filter("tp > 0")
-    return df.select("customer_id", "tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("confidence_agreed", "confidence_disagreed")], "corrected", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall")])
+    return df.select("customer_id", "tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("confidence_agreed", "confidence_disagreed")], "calibrated", "corrected", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
 @query(f"""SELECT run, count(*) AS total, count(*) FILTER (WHERE {CLEAR}) AS clear_total, count(*) FILTER (WHERE {CLEAR} AND correct) AS clear_correct, count(recall20) AS recall20_total, count(*) FILTER (WHERE recall20) AS recall20_correct,
     count(recall3) AS recall3_total, count(*) FILTER (WHERE recall3) AS recall3_correct, count(*) FILTER (WHERE difficulty = 'hard') AS hard_total, count(*) FILTER (WHERE difficulty = 'hard' AND correct) AS hard_correct,
-    count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type = 'multi_acceptable') AS multi_total, count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type IS DISTINCT FROM 'multi_acceptable' AND correct) AS single_correct,
-    coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE {CLEAR} AND NOT correct), '') AS failed, round(sum(elapsed_s), 4) AS elapsed_s FROM {EVC} AS e GROUP BY run""")
+    count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type = 'multi_acceptable') AS multi_total, count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type = 'multi_acceptable' AND correct) AS multi_correct,
+    count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type IS DISTINCT FROM 'multi_acceptable') AS single_total, count(*) FILTER (WHERE difficulty = 'hard' AND ambiguity_type IS DISTINCT FROM 'multi_acceptable' AND correct) AS single_correct,
+    round(sum(elapsed_s), 4) AS elapsed_s FROM {EVC} AS e GROUP BY run""")
 def a8_eval_summary(spark, sf_dir):
     s = evaluation.eval_summary(results(spark, sf_dir))
-    cols = ["run", "total", "clear_total", "clear_correct", "recall20_total", "recall20_correct", "recall3_total", "recall3_correct", "hard_total", "hard_correct", "multi_total", "single_correct"]
-    return s.select(*cols, F.array_join("failed_clear_keys", ",").alias("failed"), F.round("elapsed_s", 4).alias("elapsed_s"))
+    return s.withColumn("elapsed_s", F.round("elapsed_s", 4))
+
+
+@query(f"SELECT run, event_id, key, expected, actual_ticket_key FROM {EVC} AS e WHERE {CLEAR} AND NOT correct")
+def a8_failed_clear_cases(spark, sf_dir):
+    df = results(spark, sf_dir).withColumn("run", F.struct("run", "event_id"))
+    return evaluation.failed_clear_cases(df).select("run.run", "run.event_id", "key", F.col("expected_ticket_keys")[0].alias("expected"), "actual_ticket_key")
+
+
+@query()
+def a8_recommend_accuracy(spark, sf_dir):
+    """recommend() on all conversations, judged from end to end. A mail belongs to its own conversation if its sender's
+    customer has that and there were turns before it; else no ticket is right."""
+    mail, customers, tickets, rows, _ = conversation_tables(spark, sf_dir)
+    own = mail.select(F.col("query_id").alias("key"), text.normalize_email("sender_email").alias("inbox"), F.col("conversation_id").isNotNull().alias("thread"))
+    before = rows.filter(filters.is_embeddable()).select(F.col("ticket_id").alias("key"), F.lit(True).alias("before")).distinct()
+    owner = customers.select(F.col("id").alias("owner"), text.normalize_email("inbox_email").alias("inbox"))
+    df = own.join(before, "key", "left").join(tickets.select(F.col("id").alias("key"), "customer_id"), "key").join(owner, "inbox", "left")
+    right = F.col("before") & (F.col("owner") == F.col("customer_id"))
+    category = F.when(F.coalesce(~right, F.lit(True)), "no ticket").when(F.col("thread"), "thread").otherwise("content")
+    expected = df.select("key", F.when(right, F.array("key")).alias("expected_ticket_keys"), F.lit("clear").alias("difficulty"), F.lit(None).cast("string").alias("ambiguity_type"), category.alias("category"))
+    cases = evaluate_run(_recommend(spark, sf_dir), expected, "default")
+    made = evaluation.category_breakdown(cases)
+    return made.select("run", "category", "total", "correct", "recall20_total", "recall20_correct", "recall3_total", "recall3_correct", r6("confidence_correct").alias("confidence"))
 
 
 @query(f"""SELECT run, coalesce(category, 'uncategorized') AS category, count(*) AS total, count(*) FILTER (WHERE correct) AS correct, count(recall20) AS recall20_total, count(*) FILTER (WHERE recall3) AS recall3_correct,
@@ -593,12 +618,22 @@ def a12_a13_stability(spark, sf_dir):
 
 @query(f"""WITH e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE actual_ticket_key END AS b FROM {EVC} AS e)
     SELECT count(*) AS n, count(*) FILTER (WHERE actual_ticket_key IS DISTINCT FROM b) AS changed, round(avg(elapsed_s * 10), 6) AS ms, round(count(*) FILTER (WHERE {CLEAR} AND correct) / count(*) FILTER (WHERE {CLEAR}), 6) AS clear_accuracy_a,
-    round(count(*) FILTER (WHERE recall3) / count(recall3), 6) AS recall3_b, round(avg(elapsed_s) / 2, 6) AS elapsed_b FROM e""")
+    round(count(*) FILTER (WHERE {CLEAR} AND correct) / count(*) FILTER (WHERE {CLEAR}), 6) AS clear_accuracy_b, round(count(*) FILTER (WHERE recall3) / count(recall3), 6) AS recall3_a,
+    round(count(*) FILTER (WHERE recall3) / count(recall3), 6) AS recall3_b, round(avg(elapsed_s), 6) AS elapsed_a, round(avg(elapsed_s) / 2, 6) AS elapsed_b FROM e""")
 def a14_compare_ab(spark, sf_dir):
+    c = evaluation.compare_ab(*_ab(spark, sf_dir))
+    return c.select("n", "changed", r6("avg_rerank_ms").alias("ms"), *[r6(f"{name}_{s}").alias(f"{short}_{s}") for name, short in (("clear_accuracy", "clear_accuracy"), ("recall3", "recall3"), ("avg_elapsed_s", "elapsed")) for s in "ab"])
+
+
+@query(f"SELECT CAST(event_id AS STRING) AS key, actual_ticket_key AS a FROM {EVC} AS e WHERE event_id % 4 = 0 AND actual_ticket_key IS NOT NULL")
+def a14_changed_cases(spark, sf_dir):
+    return evaluation.changed_cases(*_ab(spark, sf_dir)).filter("actual_ticket_key_b IS NULL").select("key", F.col("actual_ticket_key_a").alias("a"))
+
+
+def _ab(spark, sf_dir):
     one = results(spark, sf_dir).withColumn("key", F.col("event_id").cast("string"))
     two = one.withColumn("actual_ticket_key", F.when(F.col("event_id") % 4 != 0, F.col("actual_ticket_key"))).withColumn("elapsed_s", F.col("elapsed_s") / 2)
-    c = evaluation.compare_ab(one, two)
-    return c.select("n", "changed", r6("avg_rerank_ms").alias("ms"), r6("clear_accuracy_a").alias("clear_accuracy_a"), r6("recall3_b").alias("recall3_b"), r6("avg_elapsed_s_b").alias("elapsed_b"))
+    return one, two
 
 
 @query("""SELECT event_id AS key, concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'path differs' END, CASE WHEN event_id % 5 = 0 THEN 'candidate pool differs' END, CASE WHEN event_id % 7 = 0 THEN 'count sent differs' END) AS notes, NOT (event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0) AS ok FROM events""")

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from postwright.operators import audit, evaluation, quality, ranking, retrieval, routing, sampling
+from postwright.operators import audit, evaluation, filters, quality, ranking, retrieval, routing, sampling
 from postwright.sources.tables import load_fixture, upsert
 
 T0 = dt.datetime(2024, 1, 1)
@@ -82,6 +82,25 @@ def test_feedback_without_positives_is_nan(spark):
     assert r.tn == 1 and r.precision != r.precision and r.accuracy == 1.0
 
 
+def test_changed_cases_are_rows_and_count_as_the_summary_does(spark):
+    schema = "key string, actual_ticket_key string, correct boolean, difficulty string, recall3 boolean, elapsed_s double, timings_ms map<string,double>"
+    rows = lambda answers: spark.createDataFrame([(f"k{i}", a, a == "x", "clear", None, 1.0, {}) for i, a in enumerate(answers)], schema)
+    one, two = rows(["x", None, "y", None, "x"]), rows(["x", None, "x", "y", None])
+    got = {(r.key, r.actual_ticket_key_a, r.actual_ticket_key_b) for r in evaluation.changed_cases(one, two).collect()}
+    assert got == {("k2", "y", "x"), ("k3", None, "y"), ("k4", "x", None)}
+    summary = evaluation.compare_ab(one, two).first()
+    assert (summary.n, summary.changed, summary.clear_accuracy_a, summary.clear_accuracy_b) == (5, 3, 0.4, 0.4)
+
+
+def test_new_customers_without_an_address_stay_out_of_joins(spark):
+    new = [(" A ", " IN@x.example "), ("B", "new@x.example"), ("C", "NEW@x.example"), ("D", "one@x.example"), ("", "two@x.example"), (None, "three@x.example"), *[("E", a) for a in (None, "", "  ")] * 3]
+    df = spark.createDataFrame(new, "name string, inbox_email string")
+    made = filters.validate_customers(df, spark.createDataFrame([("In@x.example",), (None,), ("",)], "inbox_email string"))
+    got = made.collect()
+    assert [(r.name, r.problem) for r in sorted(got, key=lambda r: r.name or "") if r.name in ("A", "B", "C", "D")] == [("A", "exists"), ("B", "duplicate"), ("C", "duplicate"), ("D", None)]
+    assert len(got) == len(new) and sum(r.problem == "missing" for r in got) == 11
+
+
 def test_query_rules(spark):
     texts = ["ok", "this is about claims today", "see tkt_12_3 for more words", "as an ai I cannot do it", "a plain message about money"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postwright.functions import text
-from postwright.operators import ranking, retrieval
-from postwright.plans.recommend import rank_tickets, recommend
+from postwright.operators import evaluation, ranking, retrieval
+from postwright.plans.recommend import evaluate, rank_tickets, recommend
 
 NOW = dt.datetime(2024, 3, 1)
 BODIES = [
@@ -49,6 +49,22 @@ def test_the_four_paths(spark):
     assert plain["reply"] == ("auto_attach", 1) and plain["stranger"] == ("unknown_customer", None) and plain["same issue"] == ("ai_decision", 1)
 
 
+def test_evaluation_from_mail_to_summary(spark):
+    emails = mail(spark, [
+        ("reply", "Re: claim", "Any news?", "in@alpha.example", "c1", None, []), ("same", "Claim", "claim CLM-100 for patient Ann was denied by the payer please appeal", "in@alpha.example", None, None, []),
+        ("new", "", "zebra giraffe umbrella", "in@alpha.example", None, None, []), ("wrong", "", "zebra giraffe umbrella", "in@alpha.example", None, None, []), ("stranger", "Hi", "claim", "x@nowhere.example", None, None, []),
+    ])
+    cases = [("reply", [1], None, "thread"), ("same", [9, 1], None, "content"), ("new", None, None, None), ("wrong", [77], None, "content"), ("stranger", [5], "hard", None), ("unsent", [1], None, "thread")]
+    expected = spark.createDataFrame([(k, e, d, None, c) for k, e, d, c in cases], "key string, expected_ticket_keys array<long>, difficulty string, ambiguity_type string, category string")
+    rows = evaluate(recommend(emails, *tables(spark), F.lit(NOW)), expected, "r1")
+    got = {r.key: (r.correct, r.recall20, r.recall3) for r in rows.collect()}
+    assert got == {"reply": (True, None, None), "same": (True, True, True), "new": (True, None, None), "wrong": (False, False, False), "stranger": (False, None, None), "unsent": (False, None, None)}
+    s = evaluation.eval_summary(rows).first()
+    assert (s.total, s.clear_total, s.clear_correct, s.recall20_total, s.recall20_correct, s.hard_total, s.hard_correct, s.single_total) == (6, 5, 3, 2, 1, 1, 0, 1)
+    assert sorted(r.key for r in evaluation.failed_clear_cases(rows).collect()) == ["unsent", "wrong"]
+    assert {r.category: (r.total, r.correct) for r in evaluation.category_breakdown(rows).collect()} == {"thread": (2, 1), "content": (2, 1), "uncategorized": (1, 1)}
+
+
 def test_ranked_tickets_against_the_rules(spark):
     _, _, rows = tables(spark)
     queries = [("q1", 1, "was the claim denied"), ("q2", 1, "enrollment form signed"), ("q3", 2, "claim denied"), ("q4", 2, "xyz")]
