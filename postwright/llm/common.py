@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -11,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwright.sources.scratch import delete_at_end, file_system
+
 _ROOTS: set[str] = set()
 
 
@@ -29,28 +29,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(shared)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_at_end(spark, sc.getCheckpointDir())
 
 
 def cut(df: DataFrame, used: Iterable[DataFrame] = ()) -> DataFrame:
     """Materialise and cut lineage: a table in the shared checkpoint folder, written once and read again.
 
     Parquet takes a fraction of the room of a checkpoint, and its sizes help later joins. used: earlier results of
-    cut() that nothing reads after this; their files go. The other tables of an application go when the driver ends.
+    cut() that nothing reads after this; their files go. The other tables of an application go when the driver ends,
+    also where its session was stopped before.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/tables"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
     folder = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        delete_at_end(spark, root)
     drop(*used)
     made = spark.read.schema(df.schema).parquet(folder)
     made.cut_folder = folder
@@ -65,7 +61,8 @@ def small(df: DataFrame, most: int) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete the files of results of cut() that nothing reads any more."""
     for df in tables:
-        _remove(df.sparkSession, df.cut_folder)
+        fs, path = file_system(df.sparkSession, df.cut_folder)
+        fs.delete(path, True)
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: list[str], n: str | None = None, counted: DataFrame | None = None, total: int | None = None, share: float = 1 / 500) -> DataFrame:
