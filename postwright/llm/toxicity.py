@@ -28,11 +28,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0, least_count: int = 5) -> DataFrame:
-    """(f, score) of words and word beginnings that toxic texts favour, from (doc_id, text, toxic).
+    """(f, score) of words and word beginnings that toxic or clean texts favour, from (doc_id, text, toxic).
 
     Counts are of distinct words per text, each distinct text once, so neither repetition nor copies count more.
     Log-odds have a Dirichlet prior: one count of each feature and `prior` counts spread as in all texts; z is
-    the log-odds over its standard error. A feature's score is its log-odds less one standard error.
+    the log-odds over its standard error. A feature's score is its log-odds, one standard error nearer to 0; those of
+    clean texts are below 0. Features within least_z errors of 0 tell nothing and aren't there.
     """
     df = texts.select("doc_id", "text", "toxic", *row_key("text"))
     one = df.groupBy("k1", "k2").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -51,21 +52,25 @@ def learn_lexicon(texts: DataFrame, prior: float = 200.0, least_z: float = 4.0,
     odds = lambda n, all_n: F.log((n + a) / (float(all_n) + prior + 1))
     delta = odds(F.col("t"), totals.t) - odds(F.col("c"), totals.c)
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    found = feats.filter("f <> ''").select("f", delta.alias("d"), error.alias("e")).filter(f"d >= {least_z} * e")
-    return cut(found.select("f", F.least(F.col("d") - F.col("e"), F.lit(MOST_SCORE)).alias("score")), used=[feats])
+    found = feats.filter("f <> ''").select("f", delta.alias("d"), error.alias("e")).filter(f"abs(d) >= {least_z} * e")
+    return cut(found.select("f", (F.signum("d") * F.least(F.abs("d") - F.col("e"), F.lit(MOST_SCORE))).alias("score")), used=[feats])
 
 
 def maximal_segments(places: list[int], scores: list[float], penalty: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, last word, score), where each word not in places costs `penalty`.
 
     One pass that keeps candidate segments with the running sums before and after them, and merges a new segment
-    with the nearest earlier one that starts from a lower sum and ends below the new end (Ruzzo and Tompa).
+    with the nearest earlier one that starts from a lower sum and ends below the new end (Ruzzo and Tompa). Scores of 0
+    or less begin no segment.
     """
     out: list[list] = []
     total, last = 0.0, None
     for p, s in zip(places, scores, strict=True):
         total -= penalty * (p - last - 1) if last is not None else 0.0
         last = p
+        if s <= 0:
+            total += s
+            continue
         new = [p, p, total, total + s]
         total += s
         while True:
@@ -84,7 +89,7 @@ def _segment_batches(lexicon, penalty):
     scores = dict(lexicon)
 
     def of(w: str) -> float:
-        return max([scores.get(w, 0.0), *[scores.get("^" + w[:k], 0.0) for k in PREFIXES if len(w) > k]])
+        return max([scores.get(w, 0.0), *[scores.get("^" + w[:k], 0.0) for k in PREFIXES if len(w) > k]], key=lambda s: (abs(s), s))
 
     def run(batches):
         known: dict[str, float] = {}
@@ -133,7 +138,7 @@ def find_segments(docs: DataFrame, lexicon: DataFrame, penalty: float, broadcast
     tokens = cut(keyed.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode(words).alias("pos", "w")))
     counts = tokens.groupBy("w").agg(F.count("*").alias("n"))
     features = F.array_compact(F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in PREFIXES]))
-    scored = counts.select("w", "n", F.explode(features).alias("f")).join(lexicon, "f").groupBy("w").agg(F.first("n").alias("n"), F.max("score").alias("score"))
+    scored = counts.select("w", "n", F.explode(features).alias("f")).join(lexicon, "f").groupBy("w").agg(F.first("n").alias("n"), F.max(F.struct(F.abs("score"), "score"))["score"].alias("score"))
     hits = join_salted(tokens, cut(scored), ["w"], "n").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("hits"))
     none = F.array().cast("array<struct<pos:int,score:double>>")
     met = keyed.select("doc_id", "k1", "k2", F.size(words).cast("long").alias("words")).join(hits, ["k1", "k2"], "left").select("doc_id", "words", F.coalesce("hits", none).alias("hits"))
@@ -177,8 +182,8 @@ def fit_logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int =
 def score_toxicity(docs: DataFrame, labels: DataFrame, penalty: float = 0.1, broadcast_features: int = BROADCAST_FEATURES) -> DataFrame:
     """(doc_id, held_out, words, passages, evidence, score, predicted): a row for each row of docs.
 
-    Labels (doc_id, toxic) are learnt from where held_out() is false. Words score the largest entry of the
-    learnt lexicon that fits them, others cost `penalty`; every maximal segment is found in one scan of the whole
+    Labels (doc_id, toxic) are learnt from where held_out() is false. Words score the entry of the learnt
+    lexicon that fits them and is furthest from 0, others cost `penalty`; every maximal segment is found in one scan of the whole
     text. In clean training texts, a segment of score s or more occurs about K * words * exp(-rate * s) times;
     K and rate are fitted to the tail of their segments (see fit_tail). passages: array<struct<first, last, score, surprise>>,
     the segments with surprise = rate * s - ln(K * words) above 0; evidence is the sum of surprises; a logistic
