@@ -61,8 +61,11 @@ def check_tickets(tickets: DataFrame, assignments: DataFrame) -> DataFrame:
     """Q2. Add findings to ticket seeds; assignments (temp_id, category, status, disambiguation_sibling)."""
     p, m = "production_fields", "generation_metadata"
     given = assignments.select("temp_id", F.col("category").alias("a_category"), F.col("status").alias("a_status"), F.col("disambiguation_sibling").alias("sibling"))
-    other = tickets.select(F.col("temp_id").alias("sibling"), F.col(f"{m}.claim_number").alias("s_claim"), F.col(f"{m}.patient_id").alias("s_patient"), F.lit(True).alias("s_there"))
-    df = tickets.join(given, "temp_id", "left").join(other, "sibling", "left")
+    # tickets without a sibling meet nobody, under keys of their own, so they don't gather in one task
+    own = F.when(F.col("sibling").isNull(), F.concat(F.lit("-"), "temp_id")).otherwise(F.concat(F.lit("+"), "sibling"))
+    other = tickets.select(F.concat(F.lit("+"), "temp_id").alias("s_key"), F.col(f"{m}.claim_number").alias("s_claim"), F.col(f"{m}.patient_id").alias("s_patient"), F.lit(True).alias("s_there"))
+    df = tickets.join(given, "temp_id", "left")
+    df = df.join(other, own == F.col("s_key"), "left").select("sibling", *[c for c in df.columns if c != "sibling"], "s_claim", "s_patient", "s_there")
     status, closed, created = F.col(f"{p}.status"), F.col(f"{p}.closed_at_offset_days"), F.col(f"{p}.created_at_offset_days")
     terminal = F.coalesce(status.isin(TERMINAL), F.lit(False))
     there = F.coalesce("s_there", F.lit(False))
