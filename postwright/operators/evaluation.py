@@ -44,7 +44,8 @@ def _clear() -> Column:
 
 
 def eval_summary(results: DataFrame) -> DataFrame:
-    """A8. One row for each run; which clear cases failed is told by failed_clear_cases()."""
+    """A8. One row for each run; failed_clear_keys holds the keys of all clear cases that failed, in order, a key as often as
+    it failed. failed_clear_cases() gives them as rows, with their tickets."""
     clear, hard = _clear(), F.col("difficulty").eqNullSafe("hard")
     multi = F.col("ambiguity_type").eqNullSafe("multi_acceptable")
     counts = {
@@ -54,7 +55,12 @@ def eval_summary(results: DataFrame) -> DataFrame:
         "multi_total": F.count_if(hard & multi), "multi_correct": F.count_if(hard & multi & F.col("correct")),
         "single_total": F.count_if(hard & ~multi), "single_correct": F.count_if(hard & ~multi & F.col("correct")), "elapsed_s": F.sum("elapsed_s"),
     }
-    return results.groupBy("run").agg(*[c.alias(n) for n, c in counts.items()])
+    # keys are counted before a run's are gathered, so what is gathered grows with distinct keys
+    failed = results.filter(clear & ~F.col("correct") & F.col("key").isNotNull()).groupBy("run", "key").agg(F.count("*").cast("int").alias("n"))
+    failed = failed.groupBy(F.col("run").alias("failed__run")).agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("x"))
+    failed = failed.select("failed__run", F.flatten(F.transform("x", lambda x: F.array_repeat(x["key"], x["n"]))).alias("failed_clear_keys"))
+    made = results.groupBy("run").agg(*[c.alias(n) for n, c in counts.items()]).join(failed, F.col("run").eqNullSafe(F.col("failed__run")), "left").drop("failed__run")
+    return made.withColumn("failed_clear_keys", F.coalesce("failed_clear_keys", F.array().cast("array<string>")))
 
 
 def failed_clear_cases(results: DataFrame) -> DataFrame:
