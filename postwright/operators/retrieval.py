@@ -169,8 +169,8 @@ def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP,
     return top_n(local, ["query_id"], [F.desc("score"), "interaction_id"], n)
 
 
-#: Queries that lie in memory at once, and documents of a product.
-CHUNK_QUERIES, CHUNK_DOCUMENTS = 2_000, 4_096
+#: Queries that lie in memory at once, and documents of a product: a worker holds some ten matrices of that size (8 MB each).
+CHUNK_QUERIES, CHUNK_DOCUMENTS = 2_000, 512
 
 
 def _running_best(ids: list, vectors: list, n: int, exclude_self: bool, fields: list[str]):

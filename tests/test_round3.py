@@ -68,3 +68,46 @@ def test_tickets_without_a_sibling_are_spread(spark):
     assert len(found) == 2000 and max(per_task) < 1000
     extra = {k for k, n in found.items() if n > found["0"]}
     assert extra == {"5"}
+
+
+def test_global_search_holds_little_at_once(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from postwright.operators.retrieval import _running_best
+
+    rnd = np.random.default_rng(1)
+    q, d = rnd.normal(size=(2000, 8)), rnd.normal(size=(4096, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4096)), pa.array(d.tolist())], ["i", "v"])
+    run = _running_best(list(range(2000)), q.tolist(), 10, True, ["query_id", "interaction_id", "score"])
+    tracemalloc.start()
+    made = list(run(iter([batch])))[0].to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
+    score = np.round(q @ d.T, 9)
+    score[np.arange(2000), np.arange(2000)] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert [sorted(x) for x in made.groupby("query_id")["interaction_id"].apply(list)] == [sorted(x) for x in best.tolist()]
+
+
+def test_keyword_list_of_the_fusion_makes_few_pairs(spark):
+    from pyspark.sql import Window
+
+    from postwright.plans import queries
+
+    d = spark.range(3000).selectExpr("id AS interaction_id", "id % 2 AS customer_id")
+    q = d.filter("interaction_id % 20 = 0").withColumnRenamed("interaction_id", "query_id")
+    best = lambda pairs: {(r.query_id, r.interaction_id) for r in pairs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.expr("(query_id + interaction_id) % 17"), "interaction_id"))).filter("n <= 50").collect()}
+    few = queries.keyword_pairs(q, d)
+    assert few.count() <= 150 * 17 * 51
+    assert best(few) == best(q.join(d, "customer_id").filter("query_id <> interaction_id"))
+
+
+def test_style_reads_a_text_a_few_times_only(spark):
+    df = spark.createDataFrame([("x pls ab-1 asap",), (None,)], "t string")
+    plan = df.select(quality.noise_level(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert [r.n for r in df.select(quality.noise_level(F.col("t")).alias("n")).collect()] == ["mild", "clean"]
