@@ -28,11 +28,15 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
 
     queries (query_id, customer_id, lexemes) and documents (interaction_id, customer_id, lexemes): arrays of
     distinct lexemes. match="all" needs every lexeme of the query, "any" one. Queries without lexemes have no
-    hits. Postings meet on (customer, lexeme). With "any", impact_hits() leaves out what can't be among a query's first n.
-    With "all", only postings of the query's rarest lexeme choose the
-    candidates, and the others are checked on the candidate alone, so common lexemes spread nothing.
+    hits. Postings meet on (customer, lexeme). With "any", blocks of a customer's postings meet parts of its queries, and
+    only each query's first n of a block go on; documents and the result are written. With "all", only postings of the
+    query's rarest lexeme choose the candidates, and the others are checked on the candidate alone, so common lexemes
+    spread nothing.
     """
     docs = documents.select("interaction_id", "customer_id", "lexemes").withColumn("len", F.size("lexemes"))
+    scratch = Scratch(docs.sparkSession)
+    if match == "any":
+        docs = scratch.write(docs)
     stats = docs.groupBy("customer_id").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", "customer_id", "lexemes", F.size("lexemes").alias("terms")).filter("terms > 0")
     lexes = asked.select("query_id", "customer_id", "terms", F.explode("lexemes").alias("lex"))
@@ -44,7 +48,8 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     if match == "any":
-        scored = _any_of_the_terms(weighed.filter("df IS NOT NULL").select("query_id", "customer_id", "lex", "avg_len", idf.alias("idf")), postings, docs, n, k1, b)
+        terms = weighed.filter("df IS NOT NULL AND query_id IS NOT NULL").select("query_id", "customer_id", "lex", idf.alias("idf"))
+        scored = _any_of_the_terms(scratch.write(terms), scratch.write(postings.filter("interaction_id IS NOT NULL")), stats, n, k1, b)
     else:
         per_query = weighed.groupBy("query_id", "customer_id").agg(
             F.count("df").alias("known"), F.first("terms").alias("terms"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lex")).alias("rare"),
@@ -55,7 +60,9 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
         full = near.join(asked.select("query_id", F.col("lexemes").alias("terms")), "query_id").join(docs.select("interaction_id", "lexemes", "len"), "interaction_id")
         full = full.filter(F.size(F.array_except("terms", "lexemes")) == 0)
         scored = full.select("query_id", "interaction_id", (F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("score"))
-    return top_n(scored, ["query_id"], [F.desc(F.round("score", 9)), "interaction_id"], n)
+        scored = scored.withColumn("near", F.round("score", 9))
+    best = top_n(scored, ["query_id"], [F.desc("near"), "interaction_id"], n).drop("near")
+    return scratch.last(best) if match == "any" else best
 
 
 #: Documents are put into blocks of lengths within a factor of 2 ** (1 / BLOCKS_PER_DOUBLING).
@@ -74,7 +81,8 @@ def _idf_within(terms: str) -> Column:
 
 
 def impact_hits(terms: DataFrame, postings: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(plan, hits) of a search for any term; only hits that a query's first n documents may need.
+    """(plan, hits) of a search for any term by joins; only hits that a query's first n documents may need. keyword_search()
+    doesn't go this way, as even these hits, each of them a row, grow with queries times documents.
 
     terms (query_id, customer_id, lex, avg_len, idf), postings (customer_id, interaction_id, len, lex). A lexeme's
     postings are ordered by impact, that is by length. First each term's n shortest documents are scored: the n-th best
@@ -109,23 +117,93 @@ def impact_hits(terms: DataFrame, postings: DataFrame, n: int, k1: float = 1.2,
     return plan, hits.withColumn("part", F.col("idf") * _saturation(F.col("len"), k1, b))
 
 
-def _any_of_the_terms(terms: DataFrame, postings: DataFrame, docs: DataFrame, n: int, k1: float, b: float) -> DataFrame:
-    """(query_id, interaction_id, score) of documents that may be among a query's first n; terms that weren't read are
-    looked up in those documents that can still reach the threshold. The asked postings and the result are written."""
-    scratch = Scratch(docs.sparkSession)
-    terms, postings = scratch.write(terms), scratch.write(postings)  # each is read several times
-    plan, hits = impact_hits(terms, postings, n, k1, b)
-    plan = scratch.write(plan)
-    found = hits.groupBy("query_id", "interaction_id", "customer_id", "len").agg(F.sum("part").alias("part"))
-    some = found.join(plan.select("query_id", "least", "avg_len", "rest", "rest_idf"), "query_id")
-    some = some.filter(F.col("part") + F.col("rest_idf") * _saturation(F.col("len"), k1, b) >= F.col("least") - _SLACK)
-    whole = some.join(docs.select("interaction_id", "customer_id", "lexemes"), ["interaction_id", "customer_id"])
-    more = _idf_within("rest")
-    return scratch.last(whole.select("query_id", "interaction_id", (F.col("part") + more * _saturation(F.col("len"), k1, b)).alias("score")))
+#: Postings of a block of documents and terms of a part of queries: what meets in a task, some 60 bytes each.
+BLOCK_POSTINGS, PART_TERMS = 1_000_000, 1_000_000
+
+
+def _best_sums_of_block(n: int):
+    """Each query's best n documents of a block: its terms' postings are summed in one array of the block's documents."""
+
+    def in_groups(keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order that sorts keys from 0 to count - 1, and where each key's rows begin in it (and end: the next one's)."""
+        return np.argsort(keys, kind="stable"), np.r_[0, np.cumsum(np.bincount(keys, minlength=count))]
+
+    def numbered(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct ids in order, and each row's place among them."""
+        known = ids.unique()
+        known = known.take(pc.array_sort_indices(known))
+        return known, pc.index_in(ids, known).to_numpy().astype(np.int64)
+
+    def run(asked: pa.Table, postings: pa.Table) -> pa.Table:
+        lexes = asked["lex"].unique()
+        places = pc.index_in(postings["lex"], lexes)
+        postings, places = postings.filter(places.is_valid()), places.drop_null().to_numpy().astype(np.int64)
+        d_ids, docs = numbered(postings["interaction_id"])
+        q_ids, queries = numbered(asked["query_id"])
+        saturation = np.zeros(len(d_ids))
+        saturation[docs] = postings["saturation"].to_numpy()
+        order, begins = in_groups(places, len(lexes))
+        docs = docs[order]
+        order, first = in_groups(queries, len(q_ids))
+        terms, idf = pc.index_in(asked["lex"], lexes).to_numpy().astype(np.int64)[order], asked["idf"].to_numpy()[order]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for q in range(len(q_ids)):
+            mine, weights = terms[first[q] : first[q + 1]], idf[first[q] : first[q + 1]]
+            hits = np.concatenate([docs[begins[t] : begins[t + 1]] for t in mine])
+            if not len(hits):
+                continue
+            score = np.bincount(hits, np.repeat(weights, begins[mine + 1] - begins[mine]), len(d_ids)) * saturation
+            least = np.partition(score, -n)[-n] - 1e-8 if len(score) > n else 0.0
+            at = np.flatnonzero((score >= least) & (score > 0))
+            at = at[np.argsort(-np.round(score[at], 9), kind="stable")[:n]]  # equal ones stand by id
+            found.append((np.full(len(at), q), at, score[at]))
+        rows, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": q_ids.take(pa.array(rows)), "interaction_id": d_ids.take(pa.array(at)), "score": score, "near": np.round(score, 9)})
+
+    return run
+
+
+def _any_of_the_terms(terms: DataFrame, postings: DataFrame, stats: DataFrame, n: int, k1: float, b: float) -> DataFrame:
+    """(query_id, interaction_id, score, near: the score to nine decimals) of each query's best n documents of every block.
+
+    terms (query_id, customer_id, lex, idf), postings (customer_id, interaction_id, len, lex), stats (customer_id,
+    avg_len). A customer's postings are split into blocks of documents of about BLOCK_POSTINGS, its terms into parts of
+    queries of about PART_TERMS. Each pair of them is summed in one task, so no row is made of a hit: what is shuffled
+    are the postings once a part and the terms once a block.
+    """
+    shares = lambda df, most, to: df.groupBy("customer_id").agg(F.ceil(F.count("*") / most).cast("int").alias(to))
+    grid = shares(postings, BLOCK_POSTINGS, "blocks").join(shares(terms, PART_TERMS, "parts"), "customer_id")
+    spread = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asked = terms.join(grid, "customer_id").select(F.col("customer_id").alias("scope"), "query_id", "lex", "idf", spread("query_id", F.col("parts")).alias("part"), each("blocks").alias("block"))
+    held = postings.join(grid.join(stats, "customer_id"), "customer_id")
+    held = held.select(F.col("customer_id").alias("scope"), "interaction_id", "lex", _saturation(F.col("len"), k1, b).alias("saturation"), spread("interaction_id", F.col("blocks")).alias("block"), each("parts").alias("part"))
+    keys = ["scope", "block", "part"]
+    kinds = dict(terms.dtypes)["query_id"], dict(postings.dtypes)["interaction_id"]
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_best_sums_of_block(n), f"query_id {kinds[0]}, interaction_id {kinds[1]}, score double, near double")
+
+
+#: Queries whose cosines with a block lie in memory at once.
+ROWS_AT_ONCE = 64
 
 
 def _best_of_block(n: int, exclude_self: bool):
-    """Each query's best n rows of a block, from one product of two matrices."""
+    """Each query's best n rows of a block, from products of two matrices."""
+
+    def best_of_rows(asked: np.ndarray, held: np.ndarray, q_ids: np.ndarray, d_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, place of the document, cosine to nine decimals) of each query's best n documents, which stand by id."""
+        score = asked @ held
+        score[~np.isfinite(score)] = -np.inf
+        if exclude_self:
+            score[q_ids[:, None] == d_ids[None, :]] = -np.inf
+        found = []
+        for row, mine in enumerate(score):
+            least = np.partition(mine, -n)[-n] - 1e-8 if len(mine) > n else -np.inf
+            at = np.flatnonzero((mine >= least) & (mine > -np.inf))
+            best = np.round(mine[at], 9)
+            first = np.argsort(-best, kind="stable")[:n]
+            found.append((np.full(len(first), row), at[first], best[first]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(key, queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         q_ids, d_ids = queries["query_id"].to_numpy(), docs["interaction_id"].to_numpy()
@@ -133,26 +211,24 @@ def _best_of_block(n: int, exclude_self: bool):
         d_ids = d_ids[by_id]
         found = {"query_id": q_ids[:0], "interaction_id": d_ids[:0], "score": np.zeros(0)}
         if len(q_ids) and len(d_ids):
-            score = np.round(np.stack(queries["qv"].to_numpy()) @ np.stack(docs["dv"].to_numpy())[by_id].T, 9)
-            if exclude_self:
-                score[q_ids[:, None] == d_ids[None, :]] = -np.inf
-            at = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(len(q_ids)), at.shape[1])
-            best = score[rows, at.ravel()]
-            there = np.isfinite(best)
-            found = {"query_id": q_ids[rows[there]], "interaction_id": d_ids[at.ravel()[there]], "score": best[there]}
+            asked, held = np.stack(queries["qv"].to_numpy()), np.ascontiguousarray(np.stack(docs["dv"].to_numpy())[by_id].T)
+            parts = [best_of_rows(asked[i : i + ROWS_AT_ONCE], held, q_ids[i : i + ROWS_AT_ONCE], d_ids) for i in range(0, len(q_ids), ROWS_AT_ONCE)]
+            rows, at, best = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows += np.repeat(np.arange(len(parts)) * ROWS_AT_ONCE, [len(x[0]) for x in parts])
+            found = {"query_id": q_ids[rows], "interaction_id": d_ids[at], "score": best}
         return pd.DataFrame(found)
 
     return run
 
 
-def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP, exclude_self: bool = False, block_rows: int = 20_000, block_queries: int = 500) -> DataFrame:
+def vector_search(queries: DataFrame, documents: DataFrame, n: int = VECTOR_TOP, exclude_self: bool = False, block_rows: int = 20_000, block_queries: int = 5_000) -> DataFrame:
     """J10. (query_id, interaction_id, score, rank) by exact cosine within a customer; scores to nine decimals.
 
     queries (query_id, customer_id, embedding), documents (interaction_id, customer_id, embedding); ids aren't null.
     Vectors are normalised once. A customer's documents are split into blocks of about block_rows, and queries into
-    parts of about block_queries; each pair of them is one product of matrices, which gives its own top n of every
-    query, and these are ranked again. That is exact, emits no pair rows, and keeps a large customer out of one task.
+    parts of about block_queries; each pair of them gives its own top n of every query by products of ROWS_AT_ONCE
+    queries with the block, and these are ranked again. That is exact, emits no pair rows, and keeps a large customer out
+    of one task. Documents are shuffled once a part, so parts are as large as memory allows, not as a product does.
     """
     docs = documents.filter("embedding IS NOT NULL AND interaction_id IS NOT NULL").select("interaction_id", "customer_id", l2_normalize("embedding").alias("dv")).filter("dv IS NOT NULL")
     asked = queries.filter("embedding IS NOT NULL AND query_id IS NOT NULL").select("query_id", "customer_id", l2_normalize("embedding").alias("qv")).filter("qv IS NOT NULL")
