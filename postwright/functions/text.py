@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .html import html_text
 from .porter import stemmed
 
@@ -143,13 +144,15 @@ def with_lexemes(df: DataFrame, key: str, c: str, to: str = "lexemes") -> DataFr
 
     Each distinct word of the table is stemmed once, and the stems are joined back to the rows. key names a column that
     tells the rows apart. Rows with a null key or without words get an empty array. The words are counted to choose the
-    join.
+    join. Words, stems and the lexemes of each key are written once: what is read from the result splits no text again.
     """
-    each = df.select(F.col(key).alias("lx__k"), F.posexplode(lexemes(c)).alias("pos", "word")).filter("lx__k IS NOT NULL")
-    stems = stemmed(each.select("word").distinct())
-    stems = F.broadcast(stems) if stems.select("word").count() <= BROADCAST_STEMS else stems
+    scratch = Scratch(df.sparkSession)
+    split = scratch.write(df.select(F.col(key).alias("lx__k"), lexemes(c).alias("words")).filter("lx__k IS NOT NULL"))
+    each = split.select("lx__k", F.posexplode("words").alias("pos", "word"))
+    stems = scratch.write(stemmed(each.select("word").distinct()))
+    stems = F.broadcast(stems) if stems.count() <= BROADCAST_STEMS else stems
     back = each.join(stems, "word").groupBy("lx__k").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))
-    back = back.select("lx__k", F.array_distinct(F.transform("x", lambda x: x["stem"])).alias("lx__w"))
+    back = scratch.last(back.select("lx__k", F.array_distinct(F.transform("x", lambda x: x["stem"])).alias("lx__w")))
     made = df.drop(to).join(back, F.col(key) == F.col("lx__k"), "left")
     return made.withColumn(to, F.coalesce("lx__w", F.array().cast("array<string>"))).drop("lx__k", "lx__w")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from postwright.functions import text
 from postwright.operators import retrieval
 
 
@@ -85,3 +86,10 @@ def test_vectors_of_a_block_are_not_sorted_whole():
     score = np.round(q @ d.T, 9)
     score[np.arange(3000), np.arange(3000)] = -np.inf
     assert made["interaction_id"].tolist() == np.argsort(-score, axis=1, kind="stable")[:, :5].ravel().tolist()
+
+
+def test_lexemes_are_read_from_a_table(spark):
+    df = spark.createDataFrame([(1, "Running runs the runner"), (2, None), (None, "lost words")], "id long, body string")
+    made = text.with_lexemes(df, "id", "body")
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id or 0, r.lexemes) for r in made.collect()) == [(0, []), (1, ["run", "runner"]), (2, [])]
