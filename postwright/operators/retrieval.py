@@ -29,7 +29,7 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     queries (query_id, customer_id, lexemes) and documents (interaction_id, customer_id, lexemes): arrays of
     distinct lexemes. match="all" needs every lexeme of the query, "any" one. Queries without lexemes have no
     hits. Postings meet on (customer, lexeme). With "any", blocks of a customer's postings meet parts of its queries, and
-    only each query's first n of a block go on; documents and the result are written. With "all", only postings of the
+    only each query's first n of a block go on; documents, postings and the result are written. With "all", only postings of the
     query's rarest lexeme choose the candidates, and the others are checked on the candidate alone, so common lexemes
     spread nothing.
     """
@@ -43,13 +43,15 @@ def keyword_search(queries: DataFrame, documents: DataFrame, match: str = "all",
     wanted = lexes.select("customer_id", "lex").distinct()
     # of the postings only those of asked lexemes go on
     postings = docs.select("customer_id", "interaction_id", "len", F.explode("lexemes").alias("lex")).join(wanted, ["customer_id", "lex"], "left_semi")
+    if match == "any":
+        postings = scratch.write(postings)
     df = postings.groupBy("customer_id", "lex").agg(F.count("*").alias("df"))
     weighed = lexes.join(df, ["customer_id", "lex"], "left").join(stats, "customer_id")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     if match == "any":
         terms = weighed.filter("df IS NOT NULL AND query_id IS NOT NULL").select("query_id", "customer_id", "lex", idf.alias("idf"))
-        scored = _any_of_the_terms(scratch.write(terms), scratch.write(postings.filter("interaction_id IS NOT NULL")), stats, n, k1, b)
+        scored = _any_of_the_terms(scratch.write(terms), postings.filter("interaction_id IS NOT NULL"), stats, n, k1, b)
     else:
         per_query = weighed.groupBy("query_id", "customer_id").agg(
             F.count("df").alias("known"), F.first("terms").alias("terms"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lex")).alias("rare"),
