@@ -157,8 +157,8 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     nodes = cut(sketches.filter("size(bands) > 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")), used=[sketches])
     places = nodes.select("node", F.explode("x.bands").alias("bucket"))
     many = bands * nodes.count()
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cut(join_salted(places, sizes, ["bucket"], "n", total=many).select("bucket", "node", "n"))
+    sizes = cut(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    crowded = cut(join_salted(places, sizes, ["bucket"], "n", total=many).select("bucket", "node", "n"), used=[sizes])
     # the middle of a group meets more of it than others do, so it is in larger buckets
     weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
@@ -167,12 +167,17 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     shared = cut(join_salted(crowded.drop("n"), hubs, ["bucket"], "n", total=many).select("bucket", "node", "hub"), used=[crowded])
     wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"), used=[nodes])
     named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(small(wanted, BROADCAST_NODES), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    # of repeated rows one is enough
-    texts = with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles").dropDuplicates(["node"])
+    texts = with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles")
     texts = cut(texts.mapInArrow(_occurrences, "node binary, shingles array<bigint>") if counted else texts)
+    if texts.count() > wanted.count():  # of repeated rows one is enough
+        texts = cut(texts.dropDuplicates(["node"]), used=[texts])
+    drop(wanted)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        one, two = texts.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), texts.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        # only texts of these pairs are shuffled
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        met = texts.join(small(ends, BROADCAST_NODES), "node", "left_semi")
+        one, two = met.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), met.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         n = pairs.count()
         df = join_salted(join_salted(pairs, one, ["a"], total=n), two, ["b"], counted=pairs, total=n)
         # 1e-9 keeps pairs at the very threshold

@@ -93,3 +93,23 @@ def test_lexemes_are_read_from_a_table(spark):
     made = text.with_lexemes(df, "id", "body")
     assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.id or 0, r.lexemes) for r in made.collect()) == [(0, []), (1, ["run", "runner"]), (2, [])]
+
+
+def test_pairs_of_near_copies_shuffle_their_own_texts_alone(spark, monkeypatch):
+    from postwright.llm import neardup
+
+    met = []
+    whole = neardup.join_salted
+    monkeypatch.setattr(neardup, "join_salted", lambda left, right, on, *a, **k: (met.append(right.count()) if on == ["a"] else None) or whole(left, right, on, *a, **k))
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(12):  # a text and two copies with words changed
+        base = [word() for _ in range(80)]
+        for i in range(3):
+            rows.append((g * 10 + i, " ".join(base[:i] + ["new"] * (i > 0) + base[i + 1 :] if i else base)))
+    rows += [rows[0], (500, rows[5][1].upper()), (501, None)]  # a repeated row, an exact copy, no text
+    found = {(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sizes = {g: 3 + (g == 0) + (g == 1) for g in range(12)}
+    assert found == {(g * 10 + i, g * 10, sizes[g]) for g in range(12) for i in range(3)} | {(500, 10, 4), (501, 501, 1)}
+    assert len(met) == 2 and met[0] == 36 and met[1] == 0
