@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop, join_salted, small, table
 from .components import connected_components
 
-#: A list of at most so many candidate texts is broadcast, a longer one joined by shuffle.
-BROADCAST_NODES = 500_000
+#: A list of at most so many candidate texts or buckets, or pairs, is broadcast, a longer one joined by shuffle.
+BROADCAST_NODES, BROADCAST_PAIRS = 500_000, 100_000
 GOLDEN, CHUNK = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 
 
@@ -158,7 +158,9 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     places = nodes.select("node", F.explode("x.bands").alias("bucket"))
     many = bands * nodes.count()
     sizes = cut(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    crowded = cut(join_salted(places, sizes, ["bucket"], "n", total=many).select("bucket", "node", "n"), used=[sizes])
+    # most places are alone in their bucket: as long as the list of others is short, they aren't shuffled
+    met = places.join(F.broadcast(sizes), "bucket") if sizes.count() <= BROADCAST_NODES else join_salted(places, sizes, ["bucket"], "n", total=many)
+    crowded = cut(met.select("bucket", "node", "n"), used=[sizes])
     # the middle of a group meets more of it than others do, so it is in larger buckets
     weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = crowded.join(weights, "node").select("bucket", "node", "weight")
@@ -168,18 +170,19 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     wanted = cut(shared.select("node").distinct().join(nodes.select("node", F.col("x.doc_id").alias("rep")), "node"), used=[nodes])
     named = docs.select("doc_id", "text", F.unhex(F.md5(normal_text())).alias("node")).join(small(wanted, BROADCAST_NODES), "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = with_shingles(named.select("doc_id", "text"), shingle, not counted).select("node", "shingles")
-    texts = cut(texts.mapInArrow(_occurrences, "node binary, shingles array<bigint>") if counted else texts)
+    texts = texts.mapInArrow(_occurrences, "node binary, shingles array<bigint>") if counted else texts
+    texts = cut(texts.withColumn("size", F.size("shingles")))
     if texts.count() > wanted.count():  # of repeated rows one is enough
         texts = cut(texts.dropDuplicates(["node"]), used=[texts])
     drop(wanted)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        # only texts of these pairs are shuffled
-        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        met = texts.join(small(ends, BROADCAST_NODES), "node", "left_semi")
+        # only texts of these pairs are shuffled; few pairs go to the texts of one end, which then move once
+        n, ends = pairs.count(), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        few = n <= BROADCAST_PAIRS
+        met = texts.join(F.broadcast(ends) if few else small(cut(ends), BROADCAST_NODES), "node", "left_semi")
         one, two = met.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), met.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        n = pairs.count()
-        df = join_salted(join_salted(pairs, one, ["a"], total=n), two, ["b"], counted=pairs, total=n)
+        df = join_salted(join_salted(F.broadcast(pairs) if few else pairs, one, ["a"], total=n), two, ["b"], counted=pairs, total=n)
         # 1e-9 keeps pairs at the very threshold
         df = df.withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("linked", F.expr(f"both >= ({threshold} - 1e-9) * (size(sa) + size(sb) - both)"))
         return df.select("a", "b", "both", "linked").distinct()
@@ -193,9 +196,11 @@ def link_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     several = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "main", "n")
     mixed_up = cut(join_salted(named, several, ["bucket"], "n", total=many).drop("n"), used=[named])
     # shingles that no other text of these buckets has can't be shared: they bound the similarity of every pair
-    alive = texts.join(mixed_up.select("node").distinct(), "node", "left_semi")
+    met = mixed_up.select("node").distinct()
+    met = F.broadcast(met) if mixed_up.count() <= BROADCAST_NODES else met
+    alive = texts.join(met, "node", "left_semi")
     own = alive.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    alive = alive.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("both"))
+    alive = texts.select("node", "size").join(met, "node", "left_semi").join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("both"))
     alive = alive.filter(f"both >= ({threshold} - 1e-9) * size")
     pairs = mixed_up.join(alive, "node").withColumn("a", F.least("hub", "node")).withColumn("b", F.greatest("hub", "node"))
     pairs = pairs.join(to_hubs.select("a", "b", F.col("both").alias("met")), ["a", "b"], "left").drop("a", "b")

@@ -113,3 +113,38 @@ def test_pairs_of_near_copies_shuffle_their_own_texts_alone(spark, monkeypatch):
     sizes = {g: 3 + (g == 0) + (g == 1) for g in range(12)}
     assert found == {(g * 10 + i, g * 10, sizes[g]) for g in range(12) for i in range(3)} | {(500, 10, 4), (501, 501, 1)}
     assert len(met) == 2 and met[0] == 36 and met[1] == 0
+
+
+def test_near_copies_are_the_same_with_and_without_broadcasts(spark, monkeypatch):
+    from postwright.llm import neardup
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, base = [], []
+    for i in range(60):
+        if i % 5 == 0:
+            base = [word() for _ in range(60)]
+        rows.append((i, " ".join(base[: i % 5] + ["new"] * (i % 5 > 0) + base[i % 5 + 1 :] if i % 5 else base)))
+    docs = spark.createDataFrame([*rows, (70, None), (None, rows[0][1])], "doc_id long, text string")
+    plans, whole = [], neardup.join_salted
+
+    def seen(left, right, on, *a, **k):
+        made = whole(left, right, on, *a, **k)
+        plans.append((on, made._jdf.queryExecution().executedPlan().toString()))
+        return made
+
+    monkeypatch.setattr(neardup, "join_salted", seen)
+    found = []
+    for most in (None, -1):
+        if most is not None:
+            monkeypatch.setattr(neardup, "BROADCAST_NODES", most)
+            monkeypatch.setattr(neardup, "BROADCAST_PAIRS", most)
+        plans.clear()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert all(("SortMergeJoin" in plan) == (most is not None) for on, plan in plans if on == ["a"])
+        assert sum(on == ["bucket"] for on, _ in plans) == (3 if most is None else 4)  # places go to no shuffle if few are crowded
+    assert found[0] == found[1] == sorted([(i, i // 5 * 5, 6 if i < 5 else 5) for i in range(60)] + [(70, 70, 1), (-1, 0, 6)])
