@@ -7,6 +7,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,7 +22,8 @@ SYMBOLS_MASK = (1 << MODEL_AT) - 1
 BROADCAST_KEYS, BROADCAST_LANGS = 500_000, 20_000
 #: About so many characters are scored by one task.
 BUCKET_CHARS = 32_000_000
-HELD, SLICE = 4_000_000, 1 << 21
+#: A worker holds about so many n-grams until it merges them, takes so many symbols at a time, and sends so many rows at once.
+HELD, SLICE, SENT = 1_500_000, 1 << 19, 1 << 18
 #: What a verdict depends on.
 ROW = ("doc_id", "text", "lang")
 #: Texts are parted by hash, and scored by the model that leaves out their own part.
@@ -88,33 +90,34 @@ def _gathered(folds: int):
 
     def merged(keys: list, counts: list):
         codes, x = pd.factorize(np.concatenate(keys))
-        c = np.concatenate(counts, axis=1)
-        return x, np.stack([np.bincount(codes, weights=row, minlength=len(x)).astype(np.int64) for row in c])
+        return x, [np.bincount(codes, weights=np.concatenate([c[f] for c in counts]), minlength=len(x)).astype(np.int32) for f in range(folds)]
 
     def rows(x, counts):
         order = np.argsort(x)  # runs of near keys take less room in a shuffle
-        return pa.RecordBatch.from_arrays([pa.array(x[order]), *[pa.array(c[order].astype(np.int32)) for c in counts]], names)
+        for start in range(0, len(x), SENT):
+            at = order[start : start + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]), *[pa.array(c[at]) for c in counts]], names)
 
     def run(batches):
         keys, counts, held = [], [], 0
         for batch in batches:
-            texts = [t or "" for t in _column(batch, "text").to_pylist()]
+            texts = _column(batch, "text")
             group = np.where(_column(batch, "trusted").to_numpy(zero_copy_only=False), _column(batch, "fold").to_numpy(zero_copy_only=False), folds)
-            for a, b in _slices(np.array([len(t) for t in texts], dtype=np.int64)):
-                codes, sizes = symbols_of(texts[a:b])
+            for a, b in _slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+                codes, sizes = symbols_of([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 at, x = pd.factorize(grams_of(codes, sizes))
                 of = np.repeat(group[a:b], sizes)
                 keys.append(x)
-                counts.append(np.stack([np.bincount(at[of == f], minlength=len(x)) for f in range(folds)]))
+                counts.append([np.bincount(at[of == f], minlength=len(x)).astype(np.int32) for f in range(folds)])
                 held += len(x)
                 if held > HELD:
                     x, c = merged(keys, counts)
                     keys, counts, held = [x], [c], len(x)
-                    if held > HELD // 2:
-                        yield rows(x, c)
+                    if held > HELD * 2 // 3:
+                        yield from rows(x, c)
                         keys, counts, held = [], [], 0
         if keys:
-            yield rows(*merged(keys, counts))
+            yield from rows(*merged(keys, counts))
 
     return run
 
@@ -193,12 +196,11 @@ def _packed(buckets: int, folds: int, names: list[str]):
     def run(batches):
         codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            texts = [t or "" for t in _column(batch, "text").to_pylist()]
             part = (_column(batch, "r1").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(20)) % np.uint64(max(1, buckets // folds))
             bucket = part.astype(np.int64) * folds + _column(batch, "fold").to_numpy(zero_copy_only=False)
             for b in np.unique(bucket):
                 at = np.flatnonzero(bucket == b)
-                codes, sizes = symbols_of([texts[i] for i in at])
+                codes, sizes = symbols_of([t or "" for t in _column(batch, "text").take(pa.array(at)).to_pylist()])
                 ends = pa.array([0, len(at)], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, _column(batch, n).take(pa.array(at))) for n in names]
                 columns = [pa.array([int(b)], pa.int64()), pa.array([codec.compress(codes.tobytes(), asbytes=True)], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(sizes)), *lists]
@@ -232,8 +234,8 @@ def _needed(folds: int):
                     own[:] = [pd.unique(np.concatenate(own))]
         for bucket, own in held.items():
             x = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-            for start in range(0, len(x), SLICE):
-                part = x[start : start + SLICE]
+            for start in range(0, len(x), SENT):
+                part = x[start : start + SENT]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket)), pa.array(part)], ["bucket", "x"])
 
     return run
