@@ -13,21 +13,29 @@ CHUNK = 50_000
 OWN = 1 << 60
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, pos, lid, run): lines whose text occurs more than once; blank lines don't count.
+def repeated_lines(docs: DataFrame, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(g, pos, lid, at, run): lines of runs of repeated lines that may hold least_words words; (g, doc_id, k1, k2): their documents.
 
-    pos numbers a document's other lines from 1; run is the number of repeated lines in a row from here on. Equal
-    rows of docs are one document.
+    A line is repeated if its text occurs more than once; blank lines don't count. g is a document, equal rows of
+    docs being one, pos numbers its other lines from 1, at is a line's place in its run of repeated lines, from 1,
+    and run the number of lines from here to the run's end. A shared run of enough words lies in such a run at both
+    places, so shorter ones neither lose lines nor explain others.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    base = docs.filter("text IS NOT NULL").select(*row_key("doc_id", "text"), "doc_id", F.posexplode(F.transform(lines, lambda x: F.xxhash64(x))).alias("pos", "lid"))
-    # equal rows give equal lines: counted once each
-    base = cut(base.withColumn("pos", F.col("pos") + 1).dropDuplicates(["k1", "k2", "pos"]))
-    counts = cut(base.groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1"))
-    often = join_salted(base, counts, ["lid"], "n").drop("n")
-    doc = Window.partitionBy("k1", "k2")
-    island = often.withColumn("island", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
-    return cut(island.withColumn("run", F.max("pos").over(Window.partitionBy("k1", "k2", "island")) - F.col("pos") + 1).drop("island"), used=[base, counts])
+    base = docs.filter("text IS NOT NULL").select(*row_key("doc_id", "text"), "doc_id", lines.alias("lines"))
+    base = base.select("k1", "k2", "doc_id", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("lid"), F.length(x).alias("size"))).alias("lines"))
+    base = cut(base.dropDuplicates(["k1", "k2"]).withColumn("g", F.monotonically_increasing_id()))
+    every = base.select("g", F.posexplode("lines").alias("pos", "x")).select("g", (F.col("pos") + 1).alias("pos"), "x.lid", "x.size")
+    counts = cut(every.groupBy("lid").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = join_salted(every, counts, ["lid"], "n").drop("n")
+    island = often.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("g").orderBy("pos")))
+    own = Window.partitionBy("g", "island").orderBy("pos")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = island.withColumns({"at": F.row_number().over(own), "n": F.count("*").over(whole), "room": F.sum(F.col("size") + 1).over(whole)})
+    # n characters hold (n + 1) / 2 words at most
+    found = found.filter(F.col("room") >= 2 * least_words)
+    lines = cut(found.select("g", "pos", "lid", "at", (F.col("n") - F.col("at") + 1).cast("int").alias("run")), used=[counts])
+    return lines, base
 
 
 def start_ranks(counts: DataFrame, keys: list[str], order: str, bucket: Column) -> DataFrame:
@@ -45,58 +53,80 @@ def start_ranks(counts: DataFrame, keys: list[str], order: str, bucket: Column)
 
 
 def suffix_ranks(lines: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """lines with `ranks`, array of one rank per doubling, and c, the number of suffixes that share the last one.
+    """(g, pos, run, at, ranks, c): array of one rank per doubling, and the number of suffixes that share the last one.
 
     The rank at step j orders suffixes by their first 2**j line ids: the number of suffixes that are smaller. A
     suffix ends where its run of repeated lines does; what is equal up to that end stays tied. Only suffixes
-    that are still tied and go on are refined: by the pair of their rank and that of the suffix 2**j lines on.
+    that are still tied and go on are refined: by the pair of their rank and that of the suffix 2**j lines on. The
+    others keep their last rank, and aren't written again.
     """
     first = cut(start_ranks(lines.groupBy("lid").agg(F.count("*").alias("c")), [], "lid", F.shiftright("lid", 50)))
-    state = cut(join_salted(lines, first.select("lid", "c", "before"), ["lid"], "c").select("k1", "k2", "doc_id", "pos", "run", F.array("before").alias("ranks"), "c"))
-    total = state.count()
+    steps = [cut(join_salted(lines, first.select("lid", "c", "before"), ["lid"], "c").select("g", "pos", "at", "run", F.col("before").alias("r"), "c"))]
+    drop(first)
+    total, settled = steps[0].count(), []
     for j in range(most_rounds):
-        active = state.filter(f"c > 1 AND run >= {1 << j}")
-        if active.isEmpty():
-            return state
-        ahead = state.select("k1", "k2", (F.col("pos") - (1 << j)).alias("pos"), F.element_at("ranks", -1).alias("r2"))
-        r = F.element_at("ranks", -1)
-        active = active.withColumn("r", r).join(ahead, ["k1", "k2", "pos"], "left").withColumn("r2", F.when(F.col("run") > (1 << j), F.col("r2")).otherwise(F.lit(-1)))
+        tied = F.expr(f"c > 1 AND run >= {1 << j}")
+        active = steps[j].filter(tied)
+        if not (n := active.count()):
+            break
+        ahead = steps[j]
+        for x in settled:
+            ahead = ahead.unionByName(x)
+        ahead = ahead.filter(F.col("at") > (1 << j)).select("g", (F.col("pos") - (1 << j)).alias("pos"), F.col("r").alias("r2"))
+        active = active.drop("c").join(ahead, ["g", "pos"], "left").withColumn("r2", F.when(F.col("run") > (1 << j), F.col("r2")).otherwise(F.lit(-1)))
         active = cut(active)
         pairs = active.groupBy("r", "r2").agg(F.count("*").alias("c"))
         pairs = cut(start_ranks(pairs, ["r"], "r2", F.floor(F.col("r2") * 512 / total)))
-        refined = join_salted(active.drop("c"), pairs, ["r", "r2"], "c").select("k1", "k2", "doc_id", "pos", "run", F.array_append("ranks", F.col("r") + F.col("before")).alias("ranks"), "c")
-        rest = state.filter(f"NOT (c > 1 AND run >= {1 << j})").withColumn("ranks", F.array_append("ranks", r))
-        state = cut(refined.unionByName(rest), used=[state, active, pairs])
-    raise RuntimeError("a run of repeated lines is too long")
-
-
-def neighbour_lcp(state: DataFrame) -> DataFrame:
-    """(r, r0, left, right, doc_id, k1, k2, pos, run): the first suffix of each tied class, in document order, with
-    the lines it shares with the classes before and after it in the suffix array."""
-    last = F.element_at("ranks", -1).alias("r")
-    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "pos")
-    reps = state.select(last, "c", F.element_at("ranks", 1).alias("r0"), "run", where.alias("w"), "ranks")
-    reps = cut(reps.groupBy("r").agg(F.min("w").alias("w"), F.first("c").alias("c"), F.first("r0").alias("r0"), F.first("run").alias("run")))
-    one = reps.select("r", (F.col("r") + F.col("c")).alias("next"), "r0", F.col("w.k1").alias("a1"), F.col("w.k2").alias("a2"), F.col("w.pos").alias("ap"), F.col("run").alias("ar"))
-    two = reps.select(F.col("r").alias("next"), F.col("r0").alias("n0"), F.col("w.k1").alias("b1"), F.col("w.k2").alias("b2"), F.col("w.pos").alias("bp"), F.col("run").alias("br"))
-    pairs = one.join(two, "next").filter("r0 = n0").select("r", "next", "a1", "a2", "ap", "ar", "b1", "b2", "bp", "br", F.lit(0).alias("off"), F.lit(False).alias("done"))
-    at = state.select("k1", "k2", "pos", "ranks")
+        steps.append(cut(join_salted(active, pairs, ["r", "r2"], "c", total=n).select("g", "pos", "at", "run", (F.col("r") + F.col("before")).alias("r"), "c"), used=[active, pairs]))
+        settled.append(steps[j].filter(~tied))
+    else:
+        raise RuntimeError("a run of repeated lines is too long")
+    found = steps[0].withColumn("j", F.lit(0))
+    for j, x in enumerate(steps[1:], 1):
+        found = found.unionByName(x.withColumn("j", F.lit(j)))
+    found = found.groupBy("g", "pos").agg(F.sort_array(F.collect_list(F.struct("j", "r", "c"))).alias("x"), F.first("run").alias("run"), F.first("at").alias("at"))
+    return cut(found.select("g", "pos", "run", "at", F.col("x.r").alias("ranks"), F.element_at("x", -1)["c"].alias("c")), used=steps)
+
+
+def neighbour_lcp(state: DataFrame, owners: DataFrame) -> DataFrame:
+    """(r, r0, left, right, none, doc_id, k1, k2, g, pos, run): the first suffix of each tied class, in document order,
+    with the lines it shares with the classes before and after it in the suffix array.
+
+    The largest step at which two suffixes have one rank tells 2**j shared lines; what follows them is looked up for
+    the pairs that may share more, until none is left.
+    """
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "pos", "g", "run", "ranks", "c")
+    reps = state.join(owners.select("g", "doc_id", "k1", "k2"), "g").groupBy(F.element_at("ranks", -1).alias("r")).agg(F.min(where).alias("w"))
+    reps = cut(reps.select("r", "w.*", F.element_at("w.ranks", 1).alias("r0")))
+    one = reps.select("r", (F.col("r") + F.col("c")).alias("next"), "r0", F.col("g").alias("ga"), F.col("pos").alias("pa"), F.col("run").alias("ra"), F.col("ranks").alias("x"))
+    two = reps.select(F.col("r").alias("next"), F.col("r0").alias("n0"), F.col("g").alias("gb"), F.col("pos").alias("pb"), F.col("run").alias("rb"), F.col("ranks").alias("y"))
     levels = state.select(F.max(F.size("ranks"))).first()[0] or 0
-    for j in range(levels - 1, -1, -1):
-        a = at.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("pos").alias("xp"), F.element_at("ranks", j + 1).alias("x"))
-        b = at.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("pos").alias("yp"), F.element_at("ranks", j + 1).alias("y"))
-        open_ = pairs.withColumn("xp", F.col("ap") + F.col("off")).withColumn("yp", F.col("bp") + F.col("off"))
-        met = open_.join(a, ["a1", "a2", "xp"], "left").join(b, ["b1", "b2", "yp"], "left")
-        same = ~F.col("done") & F.coalesce(F.col("x") == F.col("y"), F.lit(False))
-        left = F.least(F.col("ar"), F.col("br")) - F.col("off")
-        step = F.when(same, F.least(left, F.lit(1 << j))).otherwise(0)
-        pairs = met.withColumn("done", F.col("done") | (left <= 0)).withColumn("off", (F.col("off") + step).cast("int")).drop("x", "y", "xp", "yp")
-        if j % 3 == 0:
-            pairs = cut(pairs)
-    left = pairs.select(F.col("next").alias("r"), F.col("off").alias("left"))
-    right = pairs.select("r", F.col("off").alias("right"))
+    pairs = one.join(two, "next").filter("r0 = n0").withColumns({"off": F.lit(0), "below": F.lit(levels)})
+
+    def stepped(pairs: DataFrame) -> DataFrame:
+        """After the largest step below `below` at which the suffixes off lines on are equal; 0: none is left to try."""
+        same = F.expr("size(filter(sequence(0, below - 1), j -> get(x, least(j, size(x) - 1)) = get(y, least(j, size(y) - 1))))")
+        left = F.least("ra", "rb") - F.col("off")
+        step = F.when(F.col("same") > 0, F.least(left, F.expr("shiftleft(1, same - 1)"))).otherwise(0)
+        moved = pairs.withColumn("same", same).withColumn("step", step).withColumn("off", F.col("off") + F.col("step"))
+        more = (F.col("same") > 1) & (F.least("ra", "rb") > F.col("off"))
+        moved = moved.withColumn("below", F.when(more, F.col("same") - 1).otherwise(0))
+        return cut(moved.select("r", "next", "ga", "pa", "ra", "gb", "pb", "rb", "off", "below"))
+
+    found = [stepped(pairs)]
+    at = state.filter("at > 2").select("g", "pos", "ranks")  # what is looked up lies two lines on at least
+    while not (open_ := found[-1].filter("below > 0")).isEmpty():
+        open_ = open_.withColumns({"xp": F.col("pa") + F.col("off"), "yp": F.col("pb") + F.col("off")})
+        met = open_.join(at.select(F.col("g").alias("ga"), F.col("pos").alias("xp"), F.col("ranks").alias("x")), ["ga", "xp"])
+        met = met.join(at.select(F.col("g").alias("gb"), F.col("pos").alias("yp"), F.col("ranks").alias("y")), ["gb", "yp"])
+        found.append(stepped(met))
+    shared = found[0].filter("below = 0")
+    for x in found[1:]:
+        shared = shared.unionByName(x.filter("below = 0"))
+    left = shared.select(F.col("next").alias("r"), F.col("off").alias("left"))
+    right = shared.select("r", F.col("off").alias("right"))
     out = reps.join(left, "r", "left").join(right, "r", "left")
-    return out.select("r", "r0", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), "w.none", F.coalesce("w.doc_id", F.lit(0)).cast("long").alias("doc_id"), "w.k1", "w.k2", "w.pos", "run")
+    return out.select("r", "r0", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), "none", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "k1", "k2", "g", "pos")
 
 
 def capped(stack: list, most: int) -> list:
@@ -138,7 +168,7 @@ def _unpack(rows) -> list:
 
 
 def longest_earlier(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(k1, k2, pos, earlier): for each class's first suffix, the most lines shared with an earlier place.
+    """(g, pos, earlier): for each class's first suffix, the most lines shared with an earlier place.
 
     Earlier places are looked for on both sides in the suffix array, range by range. A range hands on only the
     smallest place for each number of lines shared up to its end; these are combined along the ranges that one
@@ -183,20 +213,26 @@ def longest_earlier(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
             given = carry[carry["forward"] == forward]["stack"]
             best = sweep(keys, shared, _unpack(given.iloc[0]) if len(given) else [])
             parts.append(pd.Series(best, index=rows.index))
-        return pdf[["k1", "k2", "pos"]].assign(earlier=pd.concat(parts, axis=1).max(axis=1).astype("int32"))
+        return pdf[["g", "pos"]].assign(earlier=pd.concat(parts, axis=1).max(axis=1).astype("int32"))
+
+    return df.groupBy("chunk").cogroup(carried.groupBy("chunk")).applyInPandas(lambda k, a, b: final(k, a, b) if len(a) else a.reindex(columns=["g", "pos", "earlier"]), "g long, pos int, earlier int")
 
-    return df.groupBy("chunk").cogroup(carried.groupBy("chunk")).applyInPandas(lambda k, a, b: final(k, a, b) if len(a) else a.reindex(columns=["k1", "k2", "pos", "earlier"]), "k1 long, k2 long, pos int, earlier int")
 
+def earlier_runs(docs: DataFrame, chunk: int = CHUNK, least_words: int = 0) -> DataFrame:
+    """(k1, k2, runs): from line pos on, so many lines occur in the same order at an earlier place; array<struct<pos, lines>>.
 
-def earlier_runs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(k1, k2, pos, lines): from line pos on, so many lines occur in the same order at an earlier place."""
-    lines = repeated_lines(docs)
+    Runs that can't hold least_words words are left out.
+    """
+    lines, base = repeated_lines(docs, least_words)
     state = suffix_ranks(lines)
     drop(lines)
-    reps = neighbour_lcp(state)
-    firsts = longest_earlier(reps, chunk)
-    rest = state.join(firsts.select("k1", "k2", "pos"), ["k1", "k2", "pos"], "left_anti").select("k1", "k2", "pos", F.col("run").cast("int").alias("lines"))
-    return cut(rest.unionByName(firsts.select("k1", "k2", "pos", F.col("earlier").alias("lines"))).filter("lines > 0"), used=[state])
+    firsts = longest_earlier(neighbour_lcp(state, base), chunk)
+    rest = state.filter("c > 1").select("g", "pos", F.col("run").alias("lines"), F.lit(False).alias("first"))
+    all_ = firsts.select("g", "pos", F.col("earlier").alias("lines"), F.lit(True).alias("first")).unionByName(rest)
+    # a class's first suffix stands in both; its own result is the one that counts
+    best = all_.groupBy("g", "pos").agg(F.coalesce(F.max(F.when(F.col("first"), F.col("lines"))), F.max("lines")).alias("lines")).filter("lines > 0")
+    runs = best.groupBy("g").agg(F.collect_list(F.struct("pos", "lines")).alias("runs"))
+    return cut(runs.join(base.select("g", "k1", "k2"), "g").select("k1", "k2", "runs"), used=[state, base])
 
 
 def without_runs(text: str, runs: list, least_words: int) -> tuple[str, list]:
@@ -230,20 +266,19 @@ def dedup_lines(docs: DataFrame, least_words: int = 50, chunk: int = CHUNK) -> D
     and may have any name; a column named removed is replaced.
     """
     kept = [c for c in docs.columns if c != "removed"]
-    runs = earlier_runs(docs.select("doc_id", "text"), chunk).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lines")).alias("runs"))
+    runs = earlier_runs(docs.select("doc_id", "text"), chunk, least_words)
     keyed = docs.select(F.struct(*kept).alias("row"), *row_key("doc_id", "text"))
     met = keyed.join(runs, ["k1", "k2"], "left")
-    same = met.filter("runs IS NULL").select("row.*", F.array().cast("array<int>").alias("removed"))
 
-    # only texts and runs go to Python: the other columns pass by untouched
+    # only texts and runs of those that have some go to Python: the other columns pass by untouched
     @F.pandas_udf("text string, removed array<int>")
     def rebuilt(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        made = [without_runs(t, [(x["pos"], x["lines"]) for x in found], least_words) for t, found in zip(text, runs, strict=True)]
+        made = [(None, []) if found is None else without_runs(t, [(x["pos"], x["lines"]) for x in found], least_words) for t, found in zip(text, runs, strict=True)]
         return pd.DataFrame({"text": [m[0] for m in made], "removed": [m[1] for m in made]})
 
-    changed = met.filter("runs IS NOT NULL").select("row", rebuilt("row.text", "runs").alias("made"))
-    changed = changed.select(*[F.col("made.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], "made.removed")
-    return same.unionByName(changed)
+    made = met.select("row", F.col("runs").isNotNull().alias("has"), rebuilt(F.when(F.col("runs").isNotNull(), F.col("row.text")), "runs").alias("made"))
+    text = F.when(F.col("has"), F.col("made.text")).otherwise(F.col("row.text")).alias("text")
+    return made.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in kept], "made.removed")
 
 
 def op9_line_runs(spark, sf_dir):
